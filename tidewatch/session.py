@@ -36,6 +36,7 @@ def get_spark(app: str = "tidewatch", master: str | None = None, shuffle_partiti
         builder = builder.master(master)
         builder = builder.config("spark.driver.memory", driver_memory)
         builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
