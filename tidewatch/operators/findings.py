@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import CROSS_FUNCTION_NOTE, RULES
+from tidewatch.functions.text import loc_from_lines, redact, snippet, split_lines
 
 FINDING_COLUMNS = ("repo", "file", "line", "function", "rule_id", "title", "severity", "cwe",
                    "owasp", "snippet", "description", "remediation", "ord")
@@ -40,7 +41,7 @@ def rule_meta(rule_id):
             F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"),
             F.lit(r.cwe).alias("cwe"), F.lit(r.owasp).alias("owasp"),
             F.lit(r.description).alias("description"), F.lit(r.remediation).alias("remediation"))]
-    return F.element_at(F.create_map(*entries), rule_id)
+    return F.try_element_at(F.create_map(*entries), rule_id)
 
 
 def attach_metadata(candidates: DataFrame, disabled: str | Iterable[str] | None = None) -> DataFrame:
@@ -58,3 +59,22 @@ def attach_metadata(candidates: DataFrame, disabled: str | Iterable[str] | None
          .otherwise(meta["description"]).alias("description"),
         meta["remediation"].alias("remediation"), F.col("ord").cast("long").alias("ord"),
     )
+
+
+def attach_snippets(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """F2 + F3 for candidates that carry (repo, file, line, literal): one join
+    per *file* (candidates are grouped per file first, so a file's lines are
+    split once and never copied per finding), snippets computed inside the
+    row, literal replaced in the finding's own snippet, literal dropped.
+    AQE broadcasts the grouped side when it is small; otherwise it is a
+    sort-merge join on (repo, path)."""
+    keep = [c for c in candidates.columns if c not in ("repo", "file")]
+    per_file = candidates.groupBy("repo", "file").agg(F.collect_list(F.struct(*keep)).alias("fs"))
+    src = sources.select("repo", F.col("path").alias("file"), "content")
+    j = src.join(per_file, ["repo", "file"], "inner")
+    j = j.select("repo", "file", split_lines(F.col("content")).alias("lines"), "fs")
+    j = j.withColumn("loc", loc_from_lines(F.col("lines")))
+    ex = j.select("repo", "file", F.explode(F.transform("fs", lambda f: F.struct(
+        f.alias("f"), snippet(F.col("lines"), F.col("loc"), f["line"]).alias("raw")))).alias("x"))
+    cols = [F.col("x.f." + c).alias(c) for c in keep if c != "literal"]
+    return ex.select("repo", "file", *cols, redact(F.col("x.raw"), F.col("x.f.literal")).alias("snippet"))

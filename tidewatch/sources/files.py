@@ -38,7 +38,7 @@ def suffix(path_col):
 def language_of(path_col):
     """Language for a supported extension, else null."""
     m = F.create_map(*[x for k, v in EXTENSION_LANGUAGE.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, suffix(path_col))
+    return F.try_element_at(m, suffix(path_col))
 
 
 def in_ignored_dir(rel_path_col):
