@@ -1,9 +1,9 @@
-"""Python fact extraction (P1-P4): one ``mapInArrow`` pass, one row per file.
+"""Python fact extraction (P1-P4): one ``mapInArrow`` pass over the files.
 
 Each Python file is parsed once with the standard ``ast`` module inside the
 Python worker and walked in pre-order (the order ``ast.NodeVisitor`` visits:
 fields in declaration order, lists in order).  The walk emits plain facts -
-functions, classes, calls, assignments - as nested arrays of the file row;
+file, function, class, call and assignment rows (flat, ``kind`` column);
 everything else (rules, taint, snippets) is relational Spark work on those
 facts.  ``pos`` is the pre-order ordinal of a node, ``scope_id`` the ``pos`` of
 the innermost enclosing function (0 = module); class bodies, lambdas and
@@ -50,13 +50,6 @@ ASSIGN = T.StructType([
     T.StructField("value", ARG), T.StructField("value_call_shape", T.StringType()),
     T.StructField("value_call_name", T.StringType()), T.StructField("value_call_root", T.StringType())])
 
-FACTS_SCHEMA = T.StructType([
-    T.StructField("repo", T.StringType()), T.StructField("path", T.StringType()),
-    T.StructField("language", T.StringType()), T.StructField("loc", T.IntegerType()),
-    T.StructField("parse_error", T.StringType()),
-    T.StructField("functions", T.ArrayType(FUNCTION)), T.StructField("classes", T.ArrayType(CLASS)),
-    T.StructField("calls", T.ArrayType(CALL)), T.StructField("assigns", T.ArrayType(ASSIGN))])
-
 _FUNC_NODES = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -185,41 +178,72 @@ def _walk(tree: ast.Module, out: dict) -> None:
             stack.append((c, child_scope, child_fname))
 
 
-def _arrow_schema() -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(FACTS_SCHEMA)
+# Flat fact rows: one row per file / function / class / call / assignment,
+# ``kind`` says which; written once, partitioned by kind, so every fact table
+# is a partition-pruned columnar scan (no re-reading of nested arrays).
+FLAT_SCHEMA = T.StructType(
+    [T.StructField("kind", T.StringType()), T.StructField("repo", T.StringType()),
+     T.StructField("path", T.StringType()), T.StructField("language", T.StringType()),
+     T.StructField("loc", T.IntegerType()), T.StructField("parse_error", T.StringType())]
+    + [T.StructField(f.name, f.dataType) for f in CALL.fields]
+    + [T.StructField(f.name, f.dataType) for f in ASSIGN.fields if f.name not in {x.name for x in CALL.fields}]
+    + [T.StructField(f.name, f.dataType) for f in FUNCTION.fields
+       if f.name not in {x.name for x in CALL.fields} | {x.name for x in ASSIGN.fields}]
+    + [T.StructField("methods", T.ArrayType(T.StringType()))])
+
 
+def _flat_rows(repo, path, lang, facts):
+    yield {"kind": "file", "repo": repo, "path": path, "language": lang, "loc": facts["loc"],
+           "parse_error": facts["parse_error"]}
+    for k in ("functions", "classes", "calls", "assigns"):
+        kind = k[:-1] if k != "classes" else "class"
+        for r in facts[k]:
+            yield {"kind": kind, "repo": repo, "path": path, **r}
 
-def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _arrow_schema()
+
+def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = to_arrow_schema(FLAT_SCHEMA)
     for batch in batches:
         cols = batch.to_pydict()
         rows = []
         for repo, path, lang, content in zip(cols["repo"], cols["path"], cols["language"], cols["content"]):
-            facts = extract(content or "")
-            rows.append({"repo": repo, "path": path, "language": lang, **facts})
+            rows.extend(_flat_rows(repo, path, lang, extract(content or "")))
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def extract_python_facts(sources: DataFrame) -> DataFrame:
-    """(repo, path, language, content) of Python files -> one facts row per file."""
+    """(repo, path, language, content) of Python files -> flat fact rows."""
     src = sources.filter(F.col("language") == "Python").select("repo", "path", "language", "content")
-    return src.mapInArrow(_extract_batches, FACTS_SCHEMA)
+    return src.mapInArrow(_flat_batches, FLAT_SCHEMA)
+
+
+def write_facts(facts: DataFrame, path: str) -> None:
+    facts.write.mode("error").partitionBy("kind").parquet(path)
+
+
+# -- fact tables (partition-pruned reads of the flat facts) --------------------
+
+def _kind(facts: DataFrame, kind: str, fields) -> DataFrame:
+    return facts.filter(F.col("kind") == kind).select("repo", "path", *[f.name for f in fields])
+
 
+def files_table(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("kind") == "file").select("repo", "path", "language", "loc", "parse_error")
 
-# -- fact tables (explode of the per-file arrays) ---------------------------
 
 def functions_table(facts: DataFrame) -> DataFrame:
-    return facts.select("repo", "path", F.inline("functions"))
+    return _kind(facts, "function", FUNCTION.fields)
 
 
 def classes_table(facts: DataFrame) -> DataFrame:
-    return facts.select("repo", "path", F.inline("classes"))
+    return _kind(facts, "class", CLASS.fields)
 
 
 def calls_table(facts: DataFrame) -> DataFrame:
-    return facts.filter(F.col("parse_error").isNull()).select("repo", "path", F.inline("calls"))
+    """Calls of files that parsed (files that fail have no call rows)."""
+    return _kind(facts, "call", CALL.fields)
 
 
 def assigns_table(facts: DataFrame) -> DataFrame:
-    return facts.filter(F.col("parse_error").isNull()).select("repo", "path", F.inline("assigns"))
+    return _kind(facts, "assign", ASSIGN.fields)

@@ -27,17 +27,45 @@ NAME_CHARS = "[A-Za-z0-9_]*"
 SECRET_ASSIGN_RE = (f"({NAME_CHARS}(?iu:{SECRET_WORDS}){NAME_CHARS})[ \\t]*=[ \\t]*"
                     "(\"[^\"]{4,}\"|'[^']{4,}')")
 
+# Same matches, faster: a leftmost match can only start where no word character
+# precedes (else starting one character earlier would also match), so the
+# look-behind only skips start positions that cannot be leftmost.  (RE2, used
+# by the oracle, has no look-behind; the oracle keeps the plain pattern.)
+SECRET_ASSIGN_FAST_RE = "(?<![A-Za-z0-9_])" + SECRET_ASSIGN_RE
+# Necessary for any match: a secret word somewhere in the text.
+SECRET_WORD_RE = f"(?iu)({SECRET_WORDS})"
+# The same test on the lower-cased text with a case-sensitive regex (much
+# faster than case folding in the regex).  It is exact because the only
+# non-ASCII characters that case-fold to ASCII letters are dotted capital I,
+# dotless i, long s and the Kelvin sign; a text holding one of them takes the
+# case-folding regex instead.
+SECRET_WORDS_LOWER_RE = "p(?:assword|asswd|wd)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
+FOLDING_CHARS = ("\u0130", "\u0131", "\u017f", "\u212a")
+
+
+def may_hold_secret(content):
+    """Cheap superset test of 'some line matches the assignment pattern'."""
+    words = F.lower(content).rlike(SECRET_WORDS_LOWER_RE)
+    has_folding = F.lit(False)
+    for ch in FOLDING_CHARS:
+        has_folding = has_folding | (F.instr(content, ch) > 0)
+    folded = has_folding & content.rlike(SECRET_WORD_RE)
+    return (F.instr(content, "=") > 0) & (words | folded)
+
+
 ORD_LINE_STRIDE = 1 << 20   # ord = line * stride + match index in the line
 
 
 def secret_candidates(sources: DataFrame) -> DataFrame:
     """Candidates (before rule metadata) with the literal already redacted."""
-    pat = F.lit(SECRET_ASSIGN_RE)
-    base = (sources.select("repo", "path", split_lines(F.col("content")).alias("lines"))
+    pat = F.lit(SECRET_ASSIGN_FAST_RE)
+    # Cheap document-level test first: most files never get split into lines.
+    maybe = sources.filter(may_hold_secret(F.col("content")))
+    base = (maybe.select("repo", "path", split_lines(F.col("content")).alias("lines"))
             .withColumn("loc", loc_from_lines(F.col("lines"))))
     hits = F.filter(
         F.transform(F.col("lines"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))),
-        lambda h: h["text"].rlike(SECRET_ASSIGN_RE),
+        lambda h: (F.instr(h["text"], "=") > 0) & h["text"].rlike(SECRET_ASSIGN_FAST_RE),
     )
     hits = F.transform(hits, lambda h: F.struct(
         h["line"].alias("line"),

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, materialize
 
 UNKNOWN_CLIENT = "unknown"
 
@@ -90,7 +90,7 @@ def admit(events: DataFrame, window_seconds: int, limit: int, counted_paths: Ite
               .withColumn("sure", F.col("trailing_count") <= limit))
     # Written once; both branches below read it (lineage cut, survives lost executors).
     checkpoint_dir(events.sparkSession)
-    staged = staged.checkpoint(eager=True)
+    staged = materialize(staged, "admission-staged")
     busy = (staged.filter(~F.col("sure")).select("client", "session").distinct())
     decided = staged.join(busy, ["client", "session"], "left_anti").select(
         "event_id", "client", F.lit(True).alias("admitted"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import SECRET_NAME_RE
 from tidewatch.operators import taint
+from tidewatch.session import materialize
 
 FILE = ["repo", "path"]
 
@@ -117,11 +118,12 @@ def sink_queries(calls: DataFrame, local_names: DataFrame | None) -> DataFrame:
     a = calls.select(*FILE, "scope_id", "pos", "shape", "name", "args", is_sink.alias("is_sink"))
     ex = a.select(*FILE, "scope_id", "pos", "shape", "name", "is_sink", F.posexplode("args").alias("idx", "arg"))
     ex = ex.filter(F.col("arg.kind") == "ident")
-    q = ex.filter(F.col("is_sink") & (F.col("idx") == 0))
+    want = F.col("is_sink") & (F.col("idx") == 0)
     if local_names is not None:
-        local = local_names.select(*FILE, F.col("name")).distinct()
-        callee_rows = ex.filter(F.col("shape") == "name").join(local, FILE + ["name"], "left_semi")
-        q = q.unionByName(callee_rows).dropDuplicates(FILE + ["pos", "idx"])
+        local = local_names.select(*FILE, "name").distinct().withColumn("is_local", F.lit(True))
+        ex = ex.join(local, FILE + ["name"], "left")
+        want = want | ((F.col("shape") == "name") & F.coalesce("is_local", F.lit(False)))
+    q = ex.filter(want)
     return q.select(*FILE, "scope_id", F.col("arg.ident").alias("var"), "pos", F.lit("sink").alias("qkind"),
                     F.lit(None).cast("string").alias("qvar"), F.col("pos").alias("qpos"),
                     F.col("idx").cast("int").alias("qidx"))
@@ -180,7 +182,7 @@ def python_candidates(functions: DataFrame, calls: DataFrame, assigns: DataFrame
     pass1 = (assign_candidates(assigns).unionByName(plain_call_candidates(calls))
              .unionByName(taint_candidates(calls, tainted1, 1)))
 
-    seed_rows = seeds(call_taint(calls, tainted1), local_function_params(functions)).checkpoint(eager=True)
+    seed_rows = materialize(seeds(call_taint(calls, tainted1), local_function_params(functions)), "seeds")
     seeded_files = seed_rows.select(*FILE).distinct()
     seeded = not seed_rows.isEmpty()
 

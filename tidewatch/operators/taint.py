@@ -18,8 +18,9 @@ invisible inside a function):
   its own target is (the reference leaves such targets untouched);
 * tainted defs = reachability over those links, grown semi-naively (join the
   frontier, anti-join the known set) until no new def appears.  Links always
-  point to a smaller ``pos``, so there are no cycles.  Each round is
-  checkpointed to the shared checkpoint folder.
+  point to a smaller ``pos``, so there are no cycles.  The resolved links and
+  each round's new defs are written to the shared checkpoint folder, so the
+  loop's lineage stays a union of file scans.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, materialize
 
 FILE = ["repo", "path"]
 DEF_KEY = ["repo", "path", "scope_id", "var", "pos"]
@@ -36,7 +37,7 @@ DEF_KEY = ["repo", "path", "scope_id", "var", "pos"]
 def definitions(assigns: DataFrame) -> DataFrame:
     """Def events (repo, path, scope_id, var, pos, kind, src, single) from assigns."""
     t = assigns.select(*FILE, "scope_id", "pos", "n_targets", F.col("value.kind").alias("vkind"),
-                       F.col("value.ident").alias("vident"), F.explode("targets").alias("var"))
+                       F.col("value.ident").alias("vident"), F.explode(F.array_distinct("targets")).alias("var"))
     t = t.filter(F.col("var").isNotNull())
     kind = (F.when(F.col("vkind") == "dynamic", "gen")
             .when(F.col("vkind") == "ident", "alias")
@@ -44,7 +45,7 @@ def definitions(assigns: DataFrame) -> DataFrame:
     out = t.select(*FILE, "scope_id", "var", "pos", kind.alias("kind"),
                    F.when(F.col("vkind") == "ident", F.col("vident")).alias("src"),
                    (F.col("n_targets") == 1).alias("single"))
-    return out.filter(F.col("kind").isNotNull()).dropDuplicates(DEF_KEY)
+    return out.filter(F.col("kind").isNotNull())
 
 
 def seed_definitions(functions: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -91,17 +92,16 @@ def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
     edges = (links.filter(F.col("qkind").isin("src", "prev") & F.col("def_pos").isNotNull())
              .select(*FILE, "scope_id", F.col("qvar").alias("var"), F.col("qpos").alias("pos"),
                      F.col("var").alias("t_var"), F.col("def_pos").alias("t_pos")))
-    edges = edges.checkpoint(eager=True)
-    tainted = defs.filter(F.col("kind") == "gen").select(*DEF_KEY).distinct().checkpoint(eager=True)
+    tainted = defs.filter(F.col("kind") == "gen").select(*DEF_KEY).distinct()
     frontier = tainted
     while True:
         hop = (edges.join(frontier.select(*FILE, "scope_id", F.col("var").alias("t_var"), F.col("pos").alias("t_pos")),
                           FILE + ["scope_id", "t_var", "t_pos"], "left_semi")
                .select(*DEF_KEY).distinct())
-        new = hop.join(tainted, DEF_KEY, "left_anti").checkpoint(eager=True)
+        new = materialize(hop.join(tainted, DEF_KEY, "left_anti"), "taint-new")
         if new.isEmpty():
             break
-        tainted = tainted.unionByName(new).checkpoint(eager=True)
+        tainted = tainted.unionByName(new)
         frontier = new
     return tainted
 
@@ -117,7 +117,7 @@ def analyse(defs: DataFrame, sink_queries: DataFrame) -> DataFrame:
     """Resolve links and sinks in one window pass, grow the tainted set, and
     return the sink queries with a ``tainted`` flag."""
     checkpoint_dir(defs.sparkSession)
-    resolved = resolve(defs, link_queries(defs).unionByName(sink_queries)).checkpoint(eager=True)
+    resolved = materialize(resolve(defs, link_queries(defs).unionByName(sink_queries)), "taint-resolved")
     links = resolved.filter(F.col("qkind").isin("src", "prev"))
     tainted = tainted_definitions(defs, links)
     sinks = resolved.filter(~F.col("qkind").isin("src", "prev"))

@@ -51,14 +51,14 @@ def p1_loc_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k.repo, k.path, f.name, f.start_line, f.end_line, f.args, f.is_method, f.parent_class
 FROM {KEPT} k JOIN {cc.functions_values_sql()} f USING (tid)""")
 def p2_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory_functions(corpus_scan(spark, sf_dir).files)
+    return inventory_functions(corpus_scan(spark, sf_dir).facts)
 
 
 @register("p3_classes", f"""
 SELECT k.repo, k.path, c.name, c.start_line, c.end_line, c.methods
 FROM {KEPT} k JOIN {cc.classes_values_sql()} c USING (tid)""")
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory_classes(corpus_scan(spark, sf_dir).files)
+    return inventory_classes(corpus_scan(spark, sf_dir).facts)
 
 
 @register("p4_parse_errors", f"""

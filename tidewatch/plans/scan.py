@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from tidewatch.operators import facts_python as fp
 from tidewatch.operators.findings import attach_metadata, attach_snippets, parse_disabled
 from tidewatch.operators.rules_python import python_candidates
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, materialize
 from tidewatch.sources.files import classify
 
 
 @dataclass
 class ScanResult:
-    files: DataFrame       # (repo, path, language, loc, parse_error, functions, classes)
-    facts: DataFrame       # per-file facts (checkpointed)
+    files: DataFrame       # (repo, path, language, loc, parse_error)
+    facts: DataFrame       # flat fact rows, written once, partitioned by kind
     findings: DataFrame    # findings table (FINDING_COLUMNS)
 
 
@@ -43,27 +43,24 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
     if changed is not None:
         kept = kept.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     checkpoint_dir(sources.sparkSession)
-    facts = fp.extract_python_facts(kept).checkpoint(eager=True)
+    facts = materialize(fp.extract_python_facts(kept), "python-facts", partition_by="kind")
     functions = fp.functions_table(facts)
     calls = fp.calls_table(facts)
     assigns = fp.assigns_table(facts)
     dis = parse_disabled(disabled)
     cands = python_candidates(functions, calls, assigns, dis)
     findings = attach_metadata(attach_snippets(cands, kept), dis)
-    files = facts.select("repo", "path", "language", "loc", "parse_error",
-                         F.filter("functions", lambda f: f["is_top_level"] | f["is_method"]).alias("functions"),
-                         "classes")
-    return ScanResult(files, facts, findings)
+    return ScanResult(fp.files_table(facts), facts, findings)
 
 
-def inventory_functions(files: DataFrame) -> DataFrame:
+def inventory_functions(facts: DataFrame) -> DataFrame:
     """P2 rows: module-level functions and methods of module-level classes."""
-    return files.select("repo", "path", F.inline("functions")).select(
-        "repo", "path", "name", "start_line", "end_line", F.array_join("params", ",").alias("args"),
-        "is_method", "parent_class")
+    f = fp.functions_table(facts).filter(F.col("is_top_level") | F.col("is_method"))
+    return f.select("repo", "path", "name", "start_line", "end_line", F.array_join("params", ",").alias("args"),
+                    "is_method", "parent_class")
 
 
-def inventory_classes(files: DataFrame) -> DataFrame:
+def inventory_classes(facts: DataFrame) -> DataFrame:
     """P3 rows."""
-    return files.select("repo", "path", F.inline("classes")).select(
-        "repo", "path", "name", "start_line", "end_line", F.array_join("methods", ",").alias("methods"))
+    return fp.classes_table(facts).select("repo", "path", "name", "start_line", "end_line",
+                                          F.array_join("methods", ",").alias("methods"))

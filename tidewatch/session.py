@@ -63,3 +63,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df, name: str, partition_by: str | None = None):
+    """Cut lineage by writing ``df`` as a Parquet table under the shared
+    checkpoint folder and reading it back (one job; a reliable RDD checkpoint
+    would compute the plan twice).  Survives lost executors: the data lives in
+    the shared folder, not in executor memory."""
+    import uuid
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    w = df.write.mode("error")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path)
