@@ -101,13 +101,16 @@ def assign_candidates(assigns: DataFrame) -> DataFrame:
 
 
 def plain_call_candidates(calls: DataFrame) -> DataFrame:
-    """Every call rule that does not depend on taint (pass 1 only: pass 2
-    would emit the same rows, which the dedupe drops)."""
-    parts = None
-    for rule_id, cond in call_rule_conditions().items():
-        c = _cand(calls.filter(cond), rule_id, CALL_SEQ[rule_id], 1)
-        parts = c if parts is None else parts.unionByName(c)
-    return parts
+    """Every call rule that does not depend on taint, in one scan of the calls
+    (the matching rules of a call are collected into an array and exploded).
+    Pass 1 only: pass 2 would emit the same rows, which the dedupe drops."""
+    matched = F.filter(F.array(*[F.when(cond, F.lit(rule_id)) for rule_id, cond in call_rule_conditions().items()]),
+                       lambda r: r.isNotNull())
+    seq = F.lit(0)
+    for rule_id, n in CALL_SEQ.items():
+        seq = F.when(F.col("rule_id") == rule_id, F.lit(n)).otherwise(seq)
+    hits = calls.select("repo", "path", "line", "func_name", "pos", F.explode(matched).alias("rule_id"))
+    return _cand(hits, F.col("rule_id"), seq, 1)
 
 
 def sink_queries(calls: DataFrame, local_names: DataFrame | None) -> DataFrame:

@@ -27,7 +27,7 @@ K = len(PY_TEMPLATES)
 PLACEHOLDER = "{SECRET}"
 # Characters other than \n that end a line for splitlines(); replaced by spaces
 # so that every text line stays one comment line.
-OTHER_BREAKS = "[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+OTHER_BREAK_CHARS = "\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
 DUCK_OTHER_BREAKS = r"[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -35,9 +35,11 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, language, bytes, content, doc_id, tid, secret) - unfiltered."""
     d = tables.read_table(spark, sf_dir, "documents")
     tid = (F.col("doc_id") % K).cast("int")
-    template = F.element_at(F.array(*[F.lit(t) for t in PY_TEMPLATES]), tid + 1)
+    template = F.lit(None).cast("string")
+    for i in reversed(range(K)):
+        template = F.when(tid == i, F.lit(PY_TEMPLATES[i])).otherwise(template)
     secret = F.md5(F.col("text"))
-    clean = F.regexp_replace("text", OTHER_BREAKS, " ")
+    clean = F.translate("text", OTHER_BREAK_CHARS, " " * len(OTHER_BREAK_CHARS))
     comments = F.concat(F.lit("# "), F.replace(clean, F.lit("\n"), F.lit("\n# ")))
     content = F.concat(F.replace(template, F.lit(PLACEHOLDER), secret), F.lit("\n"), comments, F.lit("\n"))
     subdir = (F.when(F.col("doc_id") % 20 == 0, "node_modules/").when(F.col("doc_id") % 20 == 1, "build/")

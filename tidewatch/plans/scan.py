@@ -35,6 +35,15 @@ def discover(sources: DataFrame) -> DataFrame:
     return classify(base)
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Give the Python fact job at least ``per_core`` tasks per core.  Large
+    inputs already have more splits than cores and are left alone (no
+    shuffle of file contents); a small input stored as one big file would
+    otherwise be parsed by a single Python worker."""
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: DataFrame | None = None,
                  already_discovered: bool = False) -> ScanResult:
     kept = sources if already_discovered else discover(sources)
@@ -43,6 +52,7 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
     if changed is not None:
         kept = kept.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     checkpoint_dir(sources.sparkSession)
+    kept = spread(kept)
     facts = materialize(fp.extract_python_facts(kept), "python-facts", partition_by="kind")
     functions = fp.functions_table(facts)
     calls = fp.calls_table(facts)
