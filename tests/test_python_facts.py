@@ -50,7 +50,7 @@ def test_scopes_and_kinds():
 def test_parse_errors_are_rows_not_exceptions():
     assert extract("def f(:\n  pass\n")["parse_error"].startswith("syntax error: ")
     assert extract("x = 1\0\n")["parse_error"] is not None
-    assert extract("# only a comment\n") == {"loc": 1, "parse_error": None, "functions": [], "classes": [],
+    assert extract("# only a comment\n") == {"loc": 1, "parse_error": None, "functions": [], "classes": [], "inventory": [],
                                              "calls": [], "assigns": []}
     assert extract("")["loc"] == 0
 

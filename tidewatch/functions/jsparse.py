@@ -1,0 +1,1233 @@
+"""A small JavaScript / TypeScript parser for fact extraction (per-file helper).
+
+Produces nodes named like the usual JS grammar (call_expression,
+member_expression, variable_declarator, arrow_function, pair, string,
+template_string, ...) with children in source order, which is all the fact
+walker needs.  It covers ES2020+ statements and expressions and the common
+TypeScript annotations (parameter / return / variable types, generics,
+interfaces, type aliases, enums, ``as``, access modifiers).  JSX and the old
+``<T>expr`` cast are not supported; anything it cannot balance raises ``JsSyntaxError`` and the file
+becomes a ``parse_error`` row, the way a grammar error excludes a file.
+"""
+
+from __future__ import annotations
+
+import re
+
+KEYWORDS_NO_REGEX_AFTER = {"this", "super", "null", "true", "false", "undefined"}
+PUNCT = sorted(("{ } ( ) [ ] ; , < > + - * / % & | ^ ! ~ ? : = . @ # "
+                "... === !== == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= ** **= << >> >>> "
+                "<<= >>= >>>= &&= ||= ??= =>").split(), key=len, reverse=True)
+ASSIGN_OPS = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "<<=", ">>=", ">>>=", "&&=", "||=", "??="}
+BINARY_PREC = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7,
+               "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9,
+               "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
+_IDENT = re.compile(r"[A-Za-z_$\u00c0-\uffff][\w$\u00c0-\uffff]*")
+_NUM = re.compile(r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?")
+_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|[0-7]{1,3}|\r\n|[\s\S])")
+
+
+class JsSyntaxError(Exception):
+    pass
+
+
+class Node:
+    __slots__ = ("type", "line", "end_line", "children", "fields", "text", "parent")
+
+    def __init__(self, type_, line, children=(), text=None, **fields):
+        self.type, self.line, self.text = type_, line, text
+        self.children = [c for c in children if c is not None]
+        self.fields = fields
+        self.end_line = line
+        self.parent = None
+
+    def field(self, name):
+        return self.fields.get(name)
+
+
+class Tok:
+    __slots__ = ("kind", "value", "line", "end_line", "nl_before", "extra")
+
+    def __init__(self, kind, value, line, end_line, nl_before, extra=None):
+        self.kind, self.value, self.line, self.end_line = kind, value, line, end_line
+        self.nl_before, self.extra = nl_before, extra
+
+
+def _string_fragment(body: str) -> str:
+    """First unescaped fragment of a string literal body ("" when there is none)."""
+    for part in _ESCAPE.split(body):
+        if part:
+            return part
+    return ""
+
+
+def tokenize(src: str, line: int = 1) -> list[Tok]:
+    toks: list[Tok] = []
+    i, n, nl = 0, len(src), False
+    while i < n:
+        c = src[i]
+        if c == "\n":
+            line += 1
+            nl = True
+            i += 1
+            continue
+        if c in " \t\r\f\v\u00a0\ufeff\u2028\u2029":
+            i += 1
+            continue
+        if src.startswith("//", i):
+            j = src.find("\n", i)
+            j = n if j < 0 else j
+            toks.append(Tok("comment", src[i:j], line, line, nl))
+            i = j
+            continue
+        if src.startswith("/*", i):
+            j = src.find("*/", i + 2)
+            if j < 0:
+                raise JsSyntaxError("unterminated comment")
+            body = src[i:j + 2]
+            toks.append(Tok("comment", body, line, line + body.count("\n"), nl))
+            line += body.count("\n")
+            i = j + 2
+            continue
+        if c in "'\"":
+            j = i + 1
+            while j < n and src[j] != c:
+                if src[j] == "\\":
+                    j += 1
+                elif src[j] == "\n":
+                    raise JsSyntaxError("newline in string")
+                j += 1
+            if j >= n:
+                raise JsSyntaxError("unterminated string")
+            body = src[i + 1:j]
+            toks.append(Tok("string", body, line, line + body.count("\n"), nl, _string_fragment(body)))
+            line += body.count("\n")
+            nl = False
+            i = j + 1
+            continue
+        if c == "`":
+            j, parts, start_line = i + 1, [], line
+            while True:
+                if j >= n:
+                    raise JsSyntaxError("unterminated template")
+                ch = src[j]
+                if ch == "\\":
+                    j += 2
+                    continue
+                if ch == "`":
+                    break
+                if ch == "\n":
+                    line += 1
+                if src.startswith("${", j):
+                    sub_line = line
+                    k, line = tokenize_balanced(src, j + 2, line)
+                    parts.append((sub_line, src[j + 2:k - 1]))
+                    j = k
+                    continue
+                j += 1
+            toks.append(Tok("template", src[i:j + 1], start_line, line, nl, parts))
+            nl = False
+            i = j + 1
+            continue
+        m = _NUM.match(src, i) if (c.isdigit() or (c == "." and i + 1 < n and src[i + 1].isdigit())) else None
+        if m:
+            toks.append(Tok("number", m.group(), line, line, nl))
+            nl = False
+            i = m.end()
+            continue
+        m = _IDENT.match(src, i)
+        if m:
+            toks.append(Tok("ident", m.group(), line, line, nl))
+            nl = False
+            i = m.end()
+            continue
+        if c == "/" and _regex_allowed(toks):
+            j, in_class = i + 1, False
+            while j < n:
+                ch = src[j]
+                if ch == "\\":
+                    j += 2
+                    continue
+                if ch == "\n":
+                    raise JsSyntaxError("newline in regex")
+                if ch == "[":
+                    in_class = True
+                elif ch == "]":
+                    in_class = False
+                elif ch == "/" and not in_class:
+                    break
+                j += 1
+            j += 1
+            while j < n and (src[j].isalnum() or src[j] == "_"):
+                j += 1
+            toks.append(Tok("regex", src[i:j], line, line, nl))
+            nl = False
+            i = j
+            continue
+        for p in PUNCT:
+            if src.startswith(p, i):
+                toks.append(Tok("punct", p, line, line, nl))
+                nl = False
+                i += len(p)
+                break
+        else:
+            raise JsSyntaxError(f"unexpected character {c!r} at line {line}")
+    return toks
+
+
+def tokenize_balanced(src: str, i: int, line: int) -> tuple[int, int]:
+    """End index (after the closing brace) and line of a ``${ ... }`` body."""
+    depth, n = 1, len(src)
+    while i < n:
+        c = src[i]
+        if c == "\n":
+            line += 1
+        elif c in "'\"`":
+            j = _literal_end(src, i)
+            line += src.count("\n", i, j + 1)
+            i = j + 1
+            continue
+        elif src.startswith("//", i):
+            j = src.find("\n", i)
+            i = n if j < 0 else j
+            continue
+        elif src.startswith("/*", i):
+            j = src.find("*/", i + 2)
+            if j < 0:
+                raise JsSyntaxError("unterminated comment")
+            line += src.count("\n", i, j)
+            i = j + 2
+            continue
+        elif c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth == 0:
+                return i + 1, line
+        i += 1
+    raise JsSyntaxError("unterminated template substitution")
+
+
+def _literal_end(src: str, i: int) -> int:
+    q, j, n = src[i], i + 1, len(src)
+    while j < n:
+        if src[j] == "\\":
+            j += 2
+            continue
+        if q == "`" and src.startswith("${", j):
+            j, _ = tokenize_balanced(src, j + 2, 0)
+            continue
+        if src[j] == q:
+            return j
+        j += 1
+    raise JsSyntaxError("unterminated literal")
+
+
+def _regex_allowed(toks: list[Tok]) -> bool:
+    prev = next((t for t in reversed(toks) if t.kind != "comment"), None)
+    if prev is None:
+        return True
+    if prev.kind in ("number", "string", "template", "regex"):
+        return False
+    if prev.kind == "ident":
+        return prev.value not in KEYWORDS_NO_REGEX_AFTER and prev.value in (
+            "return", "typeof", "instanceof", "in", "of", "new", "delete", "void", "throw", "case", "do", "else",
+            "yield", "await")
+    return prev.value not in (")", "]", "}", "++", "--")
+
+
+FUNCTION_SCOPE_TYPES = {"function_declaration", "function_expression", "arrow_function",
+                        "generator_function_declaration", "generator_function", "method_definition"}
+
+
+class Parser:
+    def __init__(self, src: str):
+        self.toks = tokenize(src)
+        self.i = 0
+        self.pending_comments: list[Tok] = []
+
+    # -- token helpers -----------------------------------------------------
+    def _skip_comments(self):
+        while self.i < len(self.toks) and self.toks[self.i].kind == "comment":
+            self.i += 1
+
+    def peek(self, k: int = 0) -> Tok | None:
+        j, seen = self.i, -1
+        while j < len(self.toks):
+            if self.toks[j].kind != "comment":
+                seen += 1
+                if seen == k:
+                    return self.toks[j]
+            j += 1
+        return None
+
+    def at(self, value: str, k: int = 0) -> bool:
+        t = self.peek(k)
+        return t is not None and t.kind in ("punct", "ident") and t.value == value
+
+    def next(self) -> Tok:
+        self._skip_comments()
+        if self.i >= len(self.toks):
+            raise JsSyntaxError("unexpected end of file")
+        t = self.toks[self.i]
+        self.i += 1
+        return t
+
+    def expect(self, value: str) -> Tok:
+        t = self.next()
+        if t.value != value or t.kind not in ("punct", "ident"):
+            raise JsSyntaxError(f"expected {value!r} at line {t.line}, got {t.value!r}")
+        return t
+
+    def eat(self, value: str) -> bool:
+        if self.at(value):
+            self.next()
+            return True
+        return False
+
+    def semicolon(self):
+        if self.eat(";"):
+            return
+        t = self.peek()
+        if t is None or t.value == "}" or t.nl_before:
+            return
+        raise JsSyntaxError(f"unexpected {t.value!r} at line {t.line}")
+
+    def line(self) -> int:
+        t = self.peek()
+        return t.line if t else (self.toks[-1].end_line if self.toks else 1)
+
+    def prev_end(self) -> int:
+        j = self.i - 1
+        while j >= 0 and self.toks[j].kind == "comment":
+            j -= 1
+        return self.toks[j].end_line if j >= 0 else 1
+
+    def done(self, node: Node) -> Node:
+        node.end_line = max(node.line, self.prev_end())
+        return node
+
+    # -- program & statements ---------------------------------------------
+    def program(self) -> Node:
+        body = []
+        while self.peek() is not None:
+            body.append(self.statement())
+        root = Node("program", 1, body)
+        _link(root)
+        return root
+
+    def statement(self) -> Node:
+        t = self.peek()
+        v = t.value
+        if t.kind == "punct":
+            if v == "{":
+                return self.block()
+            if v == ";":
+                self.next()
+                return Node("empty_statement", t.line)
+            if v == "@":
+                self.decorator()
+                return self.statement()
+        if t.kind == "ident":
+            if v in ("var", "let", "const") and not self.at("(", 1) and not self.at(".", 1) and \
+                    not self.at("=", 1):
+                if v == "const" and self.at("enum", 1):
+                    self.next()
+                    return self.skip_enum()
+                return self.var_declaration()
+            if v == "function" or (v == "async" and self.at("function", 1) and not self.peek(1).nl_before):
+                return self.function(declaration=True)
+            if v == "class" or (v == "abstract" and self.at("class", 1)):
+                if v == "abstract":
+                    self.next()
+                return self.class_(declaration=True)
+            if v == "import" and not self.at("(", 1) and not self.at(".", 1):
+                return self.import_statement()
+            if v == "export":
+                return self.export_statement()
+            if v == "if":
+                return self.if_statement()
+            if v in ("for", "while"):
+                return self.loop(v)
+            if v == "do":
+                s = self.next()
+                body = self.statement()
+                self.expect("while")
+                cond = self.paren_expression()
+                self.eat(";")
+                return self.done(Node("do_statement", s.line, [body, cond]))
+            if v in ("return", "throw"):
+                s = self.next()
+                arg = None
+                nt = self.peek()
+                if nt is not None and not nt.nl_before and nt.value not in (";", "}"):
+                    arg = self.expression()
+                self.semicolon()
+                return self.done(Node(v + "_statement", s.line, [arg]))
+            if v in ("break", "continue"):
+                s = self.next()
+                nt = self.peek()
+                if nt is not None and nt.kind == "ident" and not nt.nl_before:
+                    self.next()
+                self.semicolon()
+                return Node(v + "_statement", s.line)
+            if v == "try":
+                return self.try_statement()
+            if v == "switch":
+                return self.switch_statement()
+            if v in ("interface",) and self.peek(1) and self.peek(1).kind == "ident":
+                return self.skip_interface()
+            if v == "type" and self.peek(1) and self.peek(1).kind == "ident" and not self.peek(1).nl_before:
+                return self.skip_type_alias()
+            if v == "enum" and self.peek(1) and self.peek(1).kind == "ident":
+                return self.skip_enum()
+            if v == "declare" and self.peek(1) and self.peek(1).kind == "ident" and not self.peek(1).nl_before:
+                self.next()
+                return self.statement()
+            if v in ("namespace", "module") and self.peek(1) and self.peek(1).kind in ("ident", "string") \
+                    and self.at("{", 2):
+                s = self.next()
+                self.next()
+                return self.done(Node("namespace", s.line, [self.block()]))
+            if self.at(":", 1) and self.peek(1) and not self.peek(0).value in ("case", "default"):
+                self.next()
+                self.next()
+                return self.statement()
+        s_line = self.line()
+        e = self.expression()
+        self.semicolon()
+        return self.done(Node("expression_statement", s_line, [e]))
+
+    def decorator(self):
+        self.expect("@")
+        self.postfix(self.primary())
+
+    def block(self) -> Node:
+        s = self.expect("{")
+        body = []
+        while not self.at("}"):
+            if self.peek() is None:
+                raise JsSyntaxError("unterminated block")
+            body.append(self.statement())
+        self.expect("}")
+        return self.done(Node("statement_block", s.line, body))
+
+    def paren_expression(self) -> Node:
+        self.expect("(")
+        e = self.expression()
+        self.expect(")")
+        return e
+
+    def if_statement(self) -> Node:
+        s = self.next()
+        cond = self.paren_expression()
+        then = self.statement()
+        other = None
+        if self.eat("else"):
+            other = self.statement()
+        return self.done(Node("if_statement", s.line, [cond, then, other]))
+
+    def loop(self, kw) -> Node:
+        s = self.next()
+        if kw == "while":
+            cond = self.paren_expression()
+            return self.done(Node("while_statement", s.line, [cond, self.statement()]))
+        self.eat("await")
+        self.expect("(")
+        parts = []
+        if not self.at(";"):
+            if self.peek().value in ("var", "let", "const"):
+                parts.append(self.var_declaration(in_for=True))
+            else:
+                parts.append(self.expression(no_in=True))
+        if self.at("of") or self.at("in"):
+            self.next()
+            parts.append(self.expression())
+        else:
+            self.expect(";")
+            if not self.at(";"):
+                parts.append(self.expression())
+            self.expect(";")
+            if not self.at(")"):
+                parts.append(self.expression())
+        self.expect(")")
+        parts.append(self.statement())
+        return self.done(Node("for_statement", s.line, parts))
+
+    def try_statement(self) -> Node:
+        s = self.next()
+        parts = [self.block()]
+        if self.eat("catch"):
+            if self.eat("("):
+                parts.append(self.binding_target())
+                if self.eat(":"):
+                    self.skip_type()
+                self.expect(")")
+            parts.append(self.block())
+        if self.eat("finally"):
+            parts.append(self.block())
+        return self.done(Node("try_statement", s.line, parts))
+
+    def switch_statement(self) -> Node:
+        s = self.next()
+        parts = [self.paren_expression()]
+        self.expect("{")
+        while not self.at("}"):
+            if self.eat("case"):
+                parts.append(self.expression())
+                self.expect(":")
+            else:
+                self.expect("default")
+                self.expect(":")
+            while not (self.at("case") or self.at("default") or self.at("}")):
+                parts.append(self.statement())
+        self.expect("}")
+        return self.done(Node("switch_statement", s.line, parts))
+
+    def import_statement(self) -> Node:
+        s = self.next()
+        while True:
+            t = self.next()
+            if t.kind == "string":
+                break
+        if self.at("assert") or self.at("with"):
+            self.next()
+            self.object_literal()
+        self.semicolon()
+        return Node("import_statement", s.line)
+
+    def export_statement(self) -> Node:
+        s = self.next()
+        if self.eat("default"):
+            t = self.peek()
+            if t.value == "function" or (t.value == "async" and self.at("function", 1)):
+                decl = self.function(declaration=True, allow_anonymous=True)
+            elif t.value == "class":
+                decl = self.class_(declaration=True, allow_anonymous=True)
+            else:
+                decl = self.expression()
+                self.semicolon()
+            return self.done(Node("export_statement", s.line, [decl], declaration=decl))
+        if self.at("{") or self.at("*"):
+            depth = 0
+            while True:
+                t = self.next()
+                if t.value == "{":
+                    depth += 1
+                elif t.value == "}":
+                    depth -= 1
+                if depth == 0 and (t.value in ("}", "*") or t.kind == "string"):
+                    if self.at("from"):
+                        self.next()
+                        self.next()
+                        break
+                    if t.value == "*" and self.at("as"):
+                        continue
+                    if t.value in ("}",) or t.kind == "string":
+                        break
+            self.semicolon()
+            return Node("export_statement", s.line)
+        if self.at("type") and self.at("{", 1):
+            self.next()
+            return self.export_statement_rest(s)
+        decl = self.statement()
+        return self.done(Node("export_statement", s.line, [decl], declaration=decl))
+
+    def export_statement_rest(self, s) -> Node:
+        depth = 0
+        while True:
+            t = self.next()
+            depth += t.value == "{"
+            depth -= t.value == "}"
+            if depth == 0:
+                break
+        if self.eat("from"):
+            self.next()
+        self.semicolon()
+        return Node("export_statement", s.line)
+
+    def var_declaration(self, in_for=False) -> Node:
+        s = self.next()
+        decls = []
+        while True:
+            d_line = self.line()
+            name = self.binding_target()
+            if self.at("!"):
+                self.next()
+            if self.eat(":"):
+                self.skip_type()
+            value = None
+            if self.eat("="):
+                value = self.assignment(no_in=in_for)
+            decls.append(self.done(Node("variable_declarator", d_line, [name, value], name=name, value=value)))
+            if not self.eat(","):
+                break
+        if not in_for:
+            self.semicolon()
+        kind = "variable_declaration" if s.value == "var" else "lexical_declaration"
+        return self.done(Node(kind, s.line, decls))
+
+    def binding_target(self) -> Node:
+        t = self.peek()
+        if t.value == "{":
+            return self.object_literal(pattern=True)
+        if t.value == "[":
+            return self.array_literal()
+        t = self.next()
+        if t.kind != "ident":
+            raise JsSyntaxError(f"bad binding {t.value!r} at line {t.line}")
+        return Node("identifier", t.line, text=t.value)
+
+    # -- TypeScript skipping ----------------------------------------------------
+    def skip_balanced(self, open_, close):
+        depth = 0
+        while True:
+            t = self.next()
+            if t.value == open_:
+                depth += 1
+            elif t.value == close:
+                depth -= 1
+                if depth == 0:
+                    return
+
+    def skip_type(self):
+        """Skip one TypeScript type expression."""
+        while True:
+            t = self.peek()
+            if t is None:
+                return
+            if t.value in ("|", "&"):
+                self.next()
+                continue
+            if t.value == "{":
+                self.skip_balanced("{", "}")
+            elif t.value == "(":
+                self.skip_balanced("(", ")")
+                if self.eat("=>"):
+                    self.skip_type()
+                    return
+            elif t.value == "[":
+                self.skip_balanced("[", "]")
+            elif t.kind in ("ident", "string", "number", "template") or t.value == "-":
+                self.next()
+                if t.value in ("typeof", "keyof", "readonly", "unique", "infer", "new", "asserts") and \
+                        self.peek() and self.peek().kind == "ident":
+                    continue
+                if t.value == "-":
+                    self.next()
+                while self.at("."):
+                    self.next()
+                    self.next()
+                if self.at("<"):
+                    self.skip_balanced("<", ">")
+                if self.at("is") and not self.peek().nl_before:
+                    self.next()
+                    continue
+            else:
+                return
+            while self.at("[") and self.at("]", 1):
+                self.next()
+                self.next()
+            if self.at("extends"):
+                self.next()
+                continue
+            if self.at("?") and not self.at(".", 1):
+                self.next()
+                self.skip_type()
+                self.expect(":")
+                continue
+            if not (self.at("|") or self.at("&")):
+                return
+
+    def skip_interface(self) -> Node:
+        s = self.next()
+        while not self.at("{"):
+            self.next()
+        self.skip_balanced("{", "}")
+        return Node("interface_declaration", s.line)
+
+    def skip_type_alias(self) -> Node:
+        s = self.next()
+        self.next()
+        if self.at("<"):
+            self.skip_balanced("<", ">")
+        self.expect("=")
+        self.skip_type()
+        self.semicolon()
+        return Node("type_alias_declaration", s.line)
+
+    def skip_enum(self) -> Node:
+        s = self.next()
+        self.next()
+        self.skip_balanced("{", "}")
+        return Node("enum_declaration", s.line)
+
+    # -- functions and classes -------------------------------------------------
+    def params(self) -> list[Node]:
+        self.expect("(")
+        out = []
+        while not self.at(")"):
+            while self.peek().value in ("public", "private", "protected", "readonly", "override") and \
+                    self.peek(1).kind == "ident" or (self.peek().value in ("public", "private", "protected",
+                                                                          "readonly") and self.at("{", 1)):
+                self.next()
+            if self.at("@"):
+                self.decorator()
+            p_line = self.line()
+            if self.eat("..."):
+                target = self.binding_target()
+                node = Node("rest_pattern", p_line, [target])
+            else:
+                target = self.binding_target()
+                node = target
+            optional = self.eat("?")
+            if self.eat(":"):
+                self.skip_type()
+                node = Node("required_parameter" if not optional else "optional_parameter", p_line, [node],
+                            pattern=node)
+            if self.eat("="):
+                default = self.assignment()
+                node = Node("assignment_pattern", p_line, [node, default], left=node, right=default)
+            out.append(self.done(node))
+            if not self.eat(","):
+                break
+        self.expect(")")
+        return out
+
+    def function(self, declaration=False, allow_anonymous=False) -> Node:
+        s_line = self.line()
+        is_async = self.eat("async")
+        self.expect("function")
+        gen = self.eat("*")
+        name = None
+        if self.peek().kind == "ident" and not self.at("("):
+            t = self.next()
+            name = Node("identifier", t.line, text=t.value)
+        if self.at("<"):
+            self.skip_balanced("<", ">")
+        params = self.params()
+        if self.eat(":"):
+            self.skip_type()
+        if declaration and name is None and not allow_anonymous:
+            raise JsSyntaxError("function declaration without a name")
+        if declaration and not self.at("{"):        # TS overload signature
+            self.semicolon()
+            return self.done(Node("function_signature", s_line, []))
+        body = self.block()
+        if declaration and name is not None:
+            kind = "generator_function_declaration" if gen else "function_declaration"
+        else:
+            kind = "generator_function" if gen else "function_expression"
+        del is_async
+        return self.done(Node(kind, s_line, [name, Node("formal_parameters", s_line, params), body], name=name,
+                              parameters=params, body=body))
+
+    def class_(self, declaration=False, allow_anonymous=False) -> Node:
+        s = self.expect("class")
+        name = None
+        if self.peek().kind == "ident" and self.peek().value not in ("extends", "implements"):
+            t = self.next()
+            name = Node("identifier", t.line, text=t.value)
+        if self.at("<"):
+            self.skip_balanced("<", ">")
+        heritage = None
+        if self.eat("extends"):
+            heritage = self.postfix(self.primary())
+            if self.at("<"):
+                self.skip_balanced("<", ">")
+        if self.eat("implements"):
+            self.skip_type()
+            while self.eat(","):
+                self.skip_type()
+        body = self.class_body()
+        kind = "class_declaration" if declaration else "class"
+        del allow_anonymous
+        return self.done(Node(kind, s.line, [name, heritage, body], name=name, body=body))
+
+    def class_body(self) -> Node:
+        s = self.expect("{")
+        members = []
+        while not self.at("}"):
+            if self.eat(";"):
+                continue
+            members.append(self.class_member())
+        self.expect("}")
+        return self.done(Node("class_body", s.line, members))
+
+    def class_member(self) -> Node:
+        m_line = self.line()
+        while self.at("@"):
+            self.decorator()
+            m_line = self.line()
+        mods = ("static", "public", "private", "protected", "readonly", "abstract", "override", "declare",
+                "async", "get", "set", "accessor")
+        while self.peek().value in mods and not (self.at("(", 1) or self.at("=", 1) or self.at(";", 1)
+                                                 or self.at(":", 1) or self.at("?", 1) or self.at("}", 1)):
+            self.next()
+        if self.peek().value == "static" and self.at("{", 1):
+            self.next()
+            return self.block()
+        gen = self.eat("*")
+        key = self.property_key()
+        optional = self.eat("?") or self.eat("!")
+        del optional
+        if self.at("(") or self.at("<"):
+            if self.at("<"):
+                self.skip_balanced("<", ">")
+            params = self.params()
+            if self.eat(":"):
+                self.skip_type()
+            if not self.at("{"):
+                self.semicolon()
+                return self.done(Node("method_signature", m_line, []))
+            body = self.block()
+            del gen
+            return self.done(Node("method_definition", m_line, [key, Node("formal_parameters", m_line, params), body],
+                                  name=key, parameters=params, body=body))
+        if self.eat(":"):
+            self.skip_type()
+        value = None
+        if self.eat("="):
+            value = self.assignment()
+        self.semicolon()
+        return self.done(Node("field_definition", m_line, [key, value], property=key, value=value))
+
+    def property_key(self) -> Node:
+        t = self.next()
+        if t.kind in ("ident", "number"):
+            return Node("property_identifier", t.line, text=t.value)
+        if t.kind == "string":
+            return Node("string", t.line, text=t.value, fragment=t.extra, quoted=True)
+        if t.value == "#":
+            n = self.next()
+            return Node("private_property_identifier", t.line, text="#" + n.value)
+        if t.value == "[":
+            e = self.assignment()
+            self.expect("]")
+            return Node("computed_property_name", t.line, [e])
+        raise JsSyntaxError(f"bad property key {t.value!r} at line {t.line}")
+
+    # -- expressions ---------------------------------------------------------------
+    def expression(self, no_in=False) -> Node:
+        e = self.assignment(no_in)
+        if self.at(","):
+            items = [e]
+            while self.eat(","):
+                items.append(self.assignment(no_in))
+            return self.done(Node("sequence_expression", e.line, items))
+        return e
+
+    def _arrow_ahead(self) -> bool:
+        """At '(' : does the matching ')' precede '=>' (optionally with a return type)?"""
+        j, depth = self.i, 0
+        toks = self.toks
+        while j < len(toks):
+            t = toks[j]
+            if t.kind == "comment":
+                j += 1
+                continue
+            if t.value in ("(", "[", "{"):
+                depth += 1
+            elif t.value in (")", "]", "}"):
+                depth -= 1
+                if depth == 0:
+                    k = j + 1
+                    while k < len(toks) and toks[k].kind == "comment":
+                        k += 1
+                    if k < len(toks) and toks[k].value == "=>":
+                        return True
+                    if k < len(toks) and toks[k].value == ":":
+                        # return type annotation: look for '=>' before a statement boundary
+                        d2 = 0
+                        for m in range(k + 1, min(len(toks), k + 200)):
+                            v = toks[m].value
+                            if v in ("(", "[", "{", "<"):
+                                d2 += 1
+                            elif v in (")", "]", "}", ">"):
+                                d2 -= 1
+                                if d2 < 0:
+                                    return False
+                            elif v == "=>" and d2 == 0:
+                                return True
+                            elif v in (";", ",") and d2 == 0:
+                                return False
+                    return False
+            j += 1
+        return False
+
+    def arrow(self, is_async=False) -> Node:
+        s_line = self.line()
+        if self.at("<"):
+            self.skip_balanced("<", ">")
+        if self.at("("):
+            params = self.params()
+            if self.eat(":"):
+                self.skip_type()
+            param_field = None
+        else:
+            t = self.next()
+            params = None
+            param_field = Node("identifier", t.line, text=t.value)
+        self.expect("=>")
+        body = self.block() if self.at("{") else self.assignment()
+        kids = [param_field if param_field is not None else Node("formal_parameters", s_line, params), body]
+        del is_async
+        return self.done(Node("arrow_function", s_line, kids, parameters=params, parameter=param_field, body=body))
+
+    def assignment(self, no_in=False) -> Node:
+        t = self.peek()
+        if t is None:
+            raise JsSyntaxError("unexpected end of file")
+        if t.kind == "ident":
+            if t.value == "async" and not self.peek(1).nl_before and (
+                    (self.peek(1).kind == "ident" and self.at("=>", 2)) or (self.at("(", 1) and self._arrow_at(1))):
+                self.next()
+                return self.arrow(True)
+            if self.at("=>", 1):
+                return self.arrow()
+            if t.value == "yield":
+                s = self.next()
+                self.eat("*")
+                arg = None
+                nt = self.peek()
+                if nt is not None and not nt.nl_before and nt.value not in (")", "]", "}", ",", ";", ":"):
+                    arg = self.assignment(no_in)
+                return self.done(Node("yield_expression", s.line, [arg]))
+        if t.value == "(" and self._arrow_ahead():
+            return self.arrow()
+        if t.value == "<" and self.peek(1) and self.peek(1).kind == "ident":
+            # generic arrow <T>(x: T) => ...
+            save = self.i
+            try:
+                self.skip_balanced("<", ">")
+                if self.at("(") and self._arrow_ahead():
+                    self.i = save
+                    return self.arrow()
+            except JsSyntaxError:
+                pass
+            self.i = save
+        left = self.conditional(no_in)
+        op = self.peek()
+        if op is not None and op.kind == "punct" and op.value in ASSIGN_OPS:
+            self.next()
+            right = self.assignment(no_in)
+            kind = "assignment_expression" if op.value == "=" else "augmented_assignment_expression"
+            return self.done(Node(kind, left.line, [left, right], left=left, right=right, operator=op.value))
+        return left
+
+    def _arrow_at(self, k) -> bool:
+        save = self.i
+        self._skip_comments()
+        # move to the k-th significant token
+        for _ in range(k):
+            self.next()
+        ok = self._arrow_ahead()
+        self.i = save
+        return ok
+
+    def conditional(self, no_in=False) -> Node:
+        cond = self.binary(0, no_in)
+        if self.at("?") and not self.at(".", 1):
+            self.next()
+            a = self.assignment()
+            self.expect(":")
+            b = self.assignment(no_in)
+            return self.done(Node("ternary_expression", cond.line, [cond, a, b]))
+        return cond
+
+    def binary(self, min_prec, no_in=False) -> Node:
+        left = self.unary()
+        while True:
+            t = self.peek()
+            if t is None:
+                return left
+            op = t.value
+            if t.kind == "ident" and op in ("as", "satisfies") and not t.nl_before:
+                self.next()
+                if self.at("const"):
+                    self.next()
+                else:
+                    self.skip_type()
+                continue
+            if t.kind == "punct" and op == "!" and not t.nl_before and not self.at("=", 1):
+                # TypeScript non-null assertion
+                nt = self.peek(1)
+                if nt is None or nt.value in (")", "]", "}", ".", ";", ",", "?.", "[", "(", "=") or nt.nl_before:
+                    self.next()
+                    left = self.postfix(left)
+                    continue
+            prec = BINARY_PREC.get(op) if (t.kind == "punct" or op in ("instanceof", "in")) else None
+            if prec is None or prec <= min_prec or (no_in and op == "in"):
+                return left
+            self.next()
+            right = self.binary(prec - 1 if op == "**" else prec, no_in)
+            left = self.done(Node("binary_expression", left.line, [left, right], left=left, right=right, operator=op))
+
+    def unary(self) -> Node:
+        t = self.peek()
+        if t is None:
+            raise JsSyntaxError("unexpected end of file")
+        if (t.kind == "punct" and t.value in ("!", "-", "+", "~", "++", "--")) or \
+                (t.kind == "ident" and t.value in ("typeof", "void", "delete", "await") and
+                 self.peek(1) is not None and self.peek(1).value not in (")", ",", ";", "=", ".", "]", "}")):
+            self.next()
+            arg = self.unary()
+            kind = "update_expression" if t.value in ("++", "--") else (
+                "await_expression" if t.value == "await" else "unary_expression")
+            return self.done(Node(kind, t.line, [arg], operator=t.value))
+        e = self.postfix(self.primary())
+        nt = self.peek()
+        if nt is not None and nt.kind == "punct" and nt.value in ("++", "--") and not nt.nl_before:
+            self.next()
+            e = self.done(Node("update_expression", e.line, [e], operator=nt.value))
+        return e
+
+    def arguments(self) -> Node:
+        """Call arguments; comments between arguments are kept as arguments."""
+        s = self.expect("(")
+        args = []
+        while True:
+            while self.i < len(self.toks) and self.toks[self.i].kind == "comment":
+                c = self.toks[self.i]
+                args.append(Node("comment", c.line, text=c.value))
+                self.i += 1
+            if self.at(")"):
+                break
+            if self.eat("..."):
+                a = self.assignment()
+                args.append(self.done(Node("spread_element", a.line, [a])))
+            else:
+                args.append(self.assignment())
+            while self.i < len(self.toks) and self.toks[self.i].kind == "comment":
+                c = self.toks[self.i]
+                args.append(Node("comment", c.line, text=c.value))
+                self.i += 1
+            if not self.eat(","):
+                break
+        self.expect(")")
+        return self.done(Node("arguments", s.line, args))
+
+    def postfix(self, e: Node) -> Node:
+        while True:
+            t = self.peek()
+            if t is None:
+                return e
+            v = t.value
+            if t.kind == "punct" and v in (".", "?."):
+                self.next()
+                if v == "?." and self.at("("):
+                    args = self.arguments()
+                    e = self.done(Node("call_expression", e.line, [e, args], function=e, arguments=args))
+                    continue
+                if v == "?." and self.at("["):
+                    self.next()
+                    idx = self.expression()
+                    self.expect("]")
+                    e = self.done(Node("subscript_expression", e.line, [e, idx], object=e, index=idx))
+                    continue
+                p = self.next()
+                if p.value == "#":
+                    p = self.next()
+                if p.kind != "ident":
+                    raise JsSyntaxError(f"bad member name at line {p.line}")
+                prop = Node("property_identifier", p.line, text=p.value)
+                e = self.done(Node("member_expression", e.line, [e, prop], object=e, property=prop))
+            elif t.kind == "punct" and v == "[":
+                self.next()
+                idx = self.expression()
+                self.expect("]")
+                e = self.done(Node("subscript_expression", e.line, [e, idx], object=e, index=idx))
+            elif t.kind == "punct" and v == "(":
+                args = self.arguments()
+                e = self.done(Node("call_expression", e.line, [e, args], function=e, arguments=args))
+            elif t.kind == "template":
+                tpl = self.template(self.next())
+                e = self.done(Node("call_expression", e.line, [e, tpl], function=e, arguments=None))
+            elif t.kind == "punct" and v == "<" and self._generic_call_ahead():
+                self.skip_balanced("<", ">")
+            else:
+                return e
+
+    def _generic_call_ahead(self) -> bool:
+        j, depth = self.i, 0
+        toks = self.toks
+        while j < len(toks) and j < self.i + 40:
+            v = toks[j].value
+            if toks[j].kind in ("string", "number", "template", "regex"):
+                return False
+            if v == "<":
+                depth += 1
+            elif v == ">":
+                depth -= 1
+                if depth == 0:
+                    return j + 1 < len(toks) and toks[j + 1].value == "("
+            elif v in (";", "{", "}", "=", "&&", "||", "(", ")"):
+                return False
+            j += 1
+        return False
+
+    def template(self, t: Tok) -> Node:
+        subs = []
+        for line, code in t.extra:
+            p = Parser(code)
+            for tok in p.toks:
+                tok.line += line - 1
+                tok.end_line += line - 1
+            expr = p.expression()
+            if p.peek() is not None:
+                raise JsSyntaxError("bad template substitution")
+            subs.append(Node("template_substitution", line, [expr]))
+        return self.done(Node("template_string", t.line, subs, text=t.value))
+
+    def primary(self) -> Node:
+        t = self.peek()
+        if t is None:
+            raise JsSyntaxError("unexpected end of file")
+        k, v = t.kind, t.value
+        if k == "string":
+            self.next()
+            return Node("string", t.line, text=v, fragment=t.extra)
+        if k == "number":
+            self.next()
+            return Node("number", t.line, text=v)
+        if k == "regex":
+            self.next()
+            return Node("regex", t.line, text=v)
+        if k == "template":
+            self.next()
+            return self.template(t)
+        if k == "ident":
+            if v == "function" or (v == "async" and self.at("function", 1)):
+                return self.function()
+            if v == "class":
+                return self.class_()
+            if v == "new":
+                self.next()
+                if self.eat("."):
+                    self.next()
+                    return Node("meta_property", t.line)
+                ctor = self.primary()
+                while self.at(".") or self.at("["):
+                    if self.eat("."):
+                        p = self.next()
+                        prop = Node("property_identifier", p.line, text=p.value)
+                        ctor = self.done(Node("member_expression", ctor.line, [ctor, prop], object=ctor, property=prop))
+                    else:
+                        self.next()
+                        idx = self.expression()
+                        self.expect("]")
+                        ctor = self.done(Node("subscript_expression", ctor.line, [ctor, idx], object=ctor, index=idx))
+                if self.at("<") and self._generic_call_ahead():
+                    self.skip_balanced("<", ">")
+                args = self.arguments() if self.at("(") else None
+                return self.done(Node("new_expression", t.line, [ctor, args], constructor=ctor, arguments=args))
+            if v == "import" and (self.at("(", 1) or self.at(".", 1)):
+                self.next()
+                return Node("import", t.line)
+            self.next()
+            if v in ("true", "false", "null", "undefined"):
+                return Node(v, t.line, text=v)
+            if v in ("this", "super"):
+                return Node(v, t.line, text=v)
+            return Node("identifier", t.line, text=v)
+        if v == "(":
+            self.next()
+            e = self.expression()
+            self.expect(")")
+            return self.done(Node("parenthesized_expression", t.line, [e]))
+        if v == "[":
+            return self.array_literal()
+        if v == "{":
+            return self.object_literal()
+        if v == "#":
+            self.next()
+            n = self.next()
+            return Node("private_property_identifier", t.line, text="#" + n.value)
+        if v == "@":
+            self.decorator()
+            return self.primary()
+        raise JsSyntaxError(f"unexpected {v!r} at line {t.line}")
+
+    def array_literal(self) -> Node:
+        s = self.expect("[")
+        items = []
+        while not self.at("]"):
+            if self.eat(","):
+                continue
+            if self.eat("..."):
+                a = self.assignment()
+                items.append(self.done(Node("spread_element", a.line, [a])))
+            else:
+                items.append(self.assignment())
+            if not self.at("]"):
+                self.expect(",")
+        self.expect("]")
+        return self.done(Node("array", s.line, items))
+
+    def object_literal(self, pattern=False) -> Node:
+        s = self.expect("{")
+        members = []
+        while not self.at("}"):
+            m_line = self.line()
+            if self.eat("..."):
+                a = self.assignment()
+                members.append(self.done(Node("spread_element", a.line, [a])))
+            else:
+                mods = ("async", "get", "set")
+                while self.peek().value in mods and not (self.at(",", 1) or self.at(":", 1) or self.at("(", 1)
+                                                         or self.at("}", 1) or self.at("=", 1)):
+                    self.next()
+                gen = self.eat("*")
+                key = self.property_key()
+                if self.at("(") or self.at("<"):
+                    if self.at("<"):
+                        self.skip_balanced("<", ">")
+                    params = self.params()
+                    if self.eat(":"):
+                        self.skip_type()
+                    body = self.block()
+                    members.append(self.done(Node("method_definition", m_line,
+                                                  [key, Node("formal_parameters", m_line, params), body],
+                                                  name=key, parameters=params, body=body)))
+                elif self.eat(":"):
+                    value = self.assignment()
+                    members.append(self.done(Node("pair", m_line, [key, value], key=key, value=value)))
+                else:
+                    if key.type != "property_identifier":
+                        raise JsSyntaxError(f"bad shorthand property at line {m_line}")
+                    default = None
+                    if self.eat("="):
+                        default = self.assignment()
+                    members.append(self.done(Node("shorthand_property_identifier", m_line, [default],
+                                                  text=key.text)))
+                del gen
+            if not self.at("}"):
+                self.expect(",")
+        self.expect("}")
+        node = self.done(Node("object_pattern" if pattern else "object", s.line, members))
+        return node
+
+
+def _link(root: Node) -> None:
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        for c in n.children:
+            c.parent = n
+            stack.append(c)
+
+
+def parse(src: str) -> Node:
+    """Parse a JS/TS source text; raises JsSyntaxError on anything unsupported."""
+    import sys
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 20000))
+    try:
+        return Parser(src).program()
+    except RecursionError as e:
+        raise JsSyntaxError("nesting too deep") from e
+    except (AttributeError, IndexError, TypeError, ValueError) as e:
+        # a token helper ran past the end of the input: malformed source
+        raise JsSyntaxError("unexpected end of input") from e
+    finally:
+        sys.setrecursionlimit(limit)

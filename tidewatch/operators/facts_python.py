@@ -110,7 +110,8 @@ def _end_line(node) -> int:
 def extract(source: str) -> dict:
     """Facts of one Python source text (pure function; unit-tested directly)."""
     loc = len(source.splitlines())
-    out = {"loc": loc, "parse_error": None, "functions": [], "classes": [], "calls": [], "assigns": []}
+    out = {"loc": loc, "parse_error": None, "functions": [], "classes": [], "calls": [], "assigns": [],
+           "inventory": []}
     try:
         tree = ast.parse(source)
     except SyntaxError as e:
@@ -122,7 +123,7 @@ def extract(source: str) -> dict:
     try:
         _walk(tree, out)
     except (RecursionError, MemoryError) as e:
-        for k in ("functions", "classes", "calls", "assigns"):
+        for k in ("functions", "classes", "calls", "assigns", "inventory"):
             out[k] = []
         out["parse_error"] = f"could not walk: {type(e).__name__}"
     return out
@@ -156,6 +157,8 @@ def _walk(tree: ast.Module, out: dict) -> None:
                 "params": [a.arg for a in node.args.args],
                 "start_line": node.lineno, "end_line": _end_line(node)})
             child_scope, child_fname = me, node.name
+            if id(node) in top_level or id(node) in method_parent:
+                out["inventory"].append({**out["functions"][-1]})
         elif isinstance(node, ast.Assign):
             v = node.value
             shape = name = root = None
@@ -189,16 +192,23 @@ FLAT_SCHEMA = T.StructType(
     + [T.StructField(f.name, f.dataType) for f in ASSIGN.fields if f.name not in {x.name for x in CALL.fields}]
     + [T.StructField(f.name, f.dataType) for f in FUNCTION.fields
        if f.name not in {x.name for x in CALL.fields} | {x.name for x in ASSIGN.fields}]
-    + [T.StructField("methods", T.ArrayType(T.StringType()))])
+    + [T.StructField("methods", T.ArrayType(T.StringType()))]
+    # JS/TS-only columns (null for Python rows)
+    + [T.StructField("decl", T.BooleanType()), T.StructField("target_shape", T.StringType()),
+       T.StructField("value_has_math_random", T.BooleanType()), T.StructField("value_is_literal", T.BooleanType()),
+       T.StructField("key", T.StringType()), T.StructField("value_kind", T.StringType()),
+       T.StructField("value_literal", T.StringType()), T.StructField("value_items", T.ArrayType(T.StringType())),
+       T.StructField("call_pos", T.IntegerType()), T.StructField("arg_idx", T.IntegerType()),
+       T.StructField("ctor", T.StringType())])
 
 
 def _flat_rows(repo, path, lang, facts):
     yield {"kind": "file", "repo": repo, "path": path, "language": lang, "loc": facts["loc"],
            "parse_error": facts["parse_error"]}
-    for k in ("functions", "classes", "calls", "assigns"):
-        kind = k[:-1] if k != "classes" else "class"
-        for r in facts[k]:
-            yield {"kind": kind, "repo": repo, "path": path, **r}
+    for k, kind in (("functions", "function"), ("classes", "class"), ("calls", "call"), ("assigns", "assign"),
+                    ("inventory", "inventory"), ("pairs", "pair"), ("news", "new")):
+        for r in facts.get(k, ()):
+            yield {"kind": kind, "repo": repo, "path": path, "language": lang, **r}
 
 
 def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +218,27 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cols = batch.to_pydict()
         rows = []
         for repo, path, lang, content in zip(cols["repo"], cols["path"], cols["language"], cols["content"]):
-            rows.extend(_flat_rows(repo, path, lang, extract(content or "")))
+            if lang == "Python":
+                facts = extract(content or "")
+            else:
+                from tidewatch.operators.facts_js import extract_js
+                facts = extract_js(content or "")
+            rows.extend(_flat_rows(repo, path, lang, facts))
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+CODE_LANGUAGES = ("Python", "JavaScript", "TypeScript")
+
+
 def extract_python_facts(sources: DataFrame) -> DataFrame:
-    """(repo, path, language, content) of Python files -> flat fact rows."""
-    src = sources.filter(F.col("language") == "Python").select("repo", "path", "language", "content")
+    """(repo, path, language, content) of Python / JS / TS files -> flat fact rows."""
+    src = sources.filter(F.col("language").isin(*CODE_LANGUAGES)).select("repo", "path", "language", "content")
     return src.mapInArrow(_flat_batches, FLAT_SCHEMA)
 
 
+extract_facts = extract_python_facts
+
+
 def write_facts(facts: DataFrame, path: str) -> None:
     facts.write.mode("error").partitionBy("kind").parquet(path)
 
@@ -233,17 +254,37 @@ def files_table(facts: DataFrame) -> DataFrame:
 
 
 def functions_table(facts: DataFrame) -> DataFrame:
+    """Every function scope (any nesting); ``is_top_level`` marks the targets of
+    cross-function seeding (module-level functions)."""
     return _kind(facts, "function", FUNCTION.fields)
 
 
+def inventory_table(facts: DataFrame) -> DataFrame:
+    """P2 / P5-P7 rows: the functions and methods a file inventory lists."""
+    return _kind(facts, "inventory", FUNCTION.fields)
+
+
+def pairs_table(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("kind") == "pair").select(
+        "repo", "path", "pos", "line", "scope_id", "func_name", "key", "value_kind", "value_literal",
+        "value_items", "call_pos", "arg_idx")
+
+
+def news_table(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("kind") == "new").select("repo", "path", "pos", "line", "scope_id", "func_name",
+                                                       "ctor")
+
+
 def classes_table(facts: DataFrame) -> DataFrame:
     return _kind(facts, "class", CLASS.fields)
 
 
 def calls_table(facts: DataFrame) -> DataFrame:
     """Calls of files that parsed (files that fail have no call rows)."""
-    return _kind(facts, "call", CALL.fields)
+    return facts.filter(F.col("kind") == "call").select("repo", "path", "language", *[f.name for f in CALL.fields])
 
 
 def assigns_table(facts: DataFrame) -> DataFrame:
-    return _kind(facts, "assign", ASSIGN.fields)
+    return facts.filter(F.col("kind") == "assign").select(
+        "repo", "path", "language", *[f.name for f in ASSIGN.fields], "decl", "target_shape",
+        "value_has_math_random", "value_is_literal")

@@ -113,11 +113,11 @@ def plain_call_candidates(calls: DataFrame) -> DataFrame:
     return _cand(hits, F.col("rule_id"), seq, 1)
 
 
-def sink_queries(calls: DataFrame, local_names: DataFrame | None) -> DataFrame:
+def sink_queries(calls: DataFrame, local_names: DataFrame | None, sink=None) -> DataFrame:
     """Identifier arguments whose taint is needed: argument 0 of the sink
-    calls (R1, R11) and every argument of bare calls to a local top-level
-    function name (T5)."""
-    _, is_sink = taint_sink_condition()
+    calls (R1, R11; R14, R15, R21 for JS) and every argument of bare calls
+    to a local top-level function name (T5)."""
+    _, is_sink = (sink or taint_sink_condition)()
     a = calls.select(*FILE, "scope_id", "pos", "shape", "name", "args", is_sink.alias("is_sink"))
     ex = a.select(*FILE, "scope_id", "pos", "shape", "name", "is_sink", F.posexplode("args").alias("idx", "arg"))
     ex = ex.filter(F.col("arg.kind") == "ident")
@@ -132,17 +132,20 @@ def sink_queries(calls: DataFrame, local_names: DataFrame | None) -> DataFrame:
                     F.col("idx").cast("int").alias("qidx"))
 
 
-def taint_candidates(calls: DataFrame, tainted_args: DataFrame, pass_no: int) -> DataFrame:
-    """Argument 0 dynamic, or an identifier whose reaching def is tainted."""
-    rule, is_sink = taint_sink_condition()
+def taint_candidates(calls: DataFrame, tainted_args: DataFrame, pass_no: int, sink=None, seq_of=None) -> DataFrame:
+    """Taint sinks: argument 0 dynamic, or an identifier whose reaching def is tainted."""
+    rule, is_sink = (sink or taint_sink_condition)()
     c = calls.filter(is_sink).withColumn("rule_id", rule)
     t0 = tainted_args.filter(F.col("qidx") == 0).select(*FILE, "pos", F.col("tainted").alias("t0"))
     j = c.join(t0, FILE + ["pos"], "left")
     a0 = _arg0()["kind"]
     fire = (a0 == "dynamic") | ((a0 == "ident") & F.coalesce("t0", F.lit(False)))
     hit = j.filter(fire)
-    seq = F.when(F.col("rule_id") == "sql-injection-string-build", CALL_SEQ["sql-injection-string-build"]) \
-        .otherwise(CALL_SEQ["path-traversal-open"])
+    if seq_of is not None:
+        seq = seq_of(F.col("rule_id"))
+    else:
+        seq = F.when(F.col("rule_id") == "sql-injection-string-build", CALL_SEQ["sql-injection-string-build"]) \
+            .otherwise(CALL_SEQ["path-traversal-open"])
     return _cand(hit, F.col("rule_id"), seq, pass_no)
 
 
@@ -173,17 +176,25 @@ def seeds(call_taint_df: DataFrame, params: DataFrame) -> DataFrame:
 
 def python_candidates(functions: DataFrame, calls: DataFrame, assigns: DataFrame,
                       disabled: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """All Python candidates after the two passes and the conditional dedupe.
+    """All Python candidates after the two passes and the conditional dedupe."""
+    plain = assign_candidates(assigns).unionByName(plain_call_candidates(calls))
+    return assemble(functions, calls, assigns, plain, None, None, disabled)
 
+
+def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain: DataFrame, sink, seq_of,
+             disabled=()) -> DataFrame:
+    """Two passes + conditional dedupe (T5-T8), shared by Python and JS.
+
+    ``plain`` are the pass-1 candidates of rules that do not depend on taint;
+    ``sink`` / ``seq_of`` describe the language's taint sinks.
     Columns: repo, file, line, function, rule_id, ord, pass, literal, via_param.
     """
     defs1 = taint.definitions(assigns)
     top_names = functions.filter(F.col("is_top_level")).select(*FILE, "name")
-    sinks1 = sink_queries(calls, top_names)
+    sinks1 = sink_queries(calls, top_names, sink)
     tainted1 = taint.analyse(defs1, sinks1)
 
-    pass1 = (assign_candidates(assigns).unionByName(plain_call_candidates(calls))
-             .unionByName(taint_candidates(calls, tainted1, 1)))
+    pass1 = plain.unionByName(taint_candidates(calls, tainted1, 1, sink, seq_of))
 
     seed_rows = materialize(seeds(call_taint(calls, tainted1), local_function_params(functions)), "seeds")
     seeded_files = seed_rows.select(*FILE).distinct()
@@ -198,17 +209,17 @@ def python_candidates(functions: DataFrame, calls: DataFrame, assigns: DataFrame
     calls2 = calls.join(seeded_files, FILE, "left_semi")
     defs2 = (taint.definitions(assigns.join(seeded_files, FILE, "left_semi"))
              .unionByName(taint.seed_definitions(functions.join(seeded_files, FILE, "left_semi"), seed_rows)))
-    sinks2 = sink_queries(calls2, None)
+    sinks2 = sink_queries(calls2, None, sink)
     tainted2 = taint.analyse(defs2, sinks2)
-    pass2 = taint_candidates(calls2, tainted2, 2)
+    pass2 = taint_candidates(calls2, tainted2, 2, sink, seq_of)
     if disabled:
         pass2 = pass2.filter(~F.col("rule_id").isin(list(disabled)))
 
     flag = seeded_files.select("repo", F.col("path").alias("file"), F.lit(True).alias("seeded"))
     marked = pass1.join(flag, ["repo", "file"], "left")
-    plain = marked.filter(F.col("seeded").isNull()).drop("seeded")
+    plain_rows = marked.filter(F.col("seeded").isNull()).drop("seeded")
     in_seeded = marked.filter(F.col("seeded")).drop("seeded").unionByName(pass2)
     w = Window.partitionBy("repo", "file", "rule_id", "line").orderBy("pass", "ord")
     kept = in_seeded.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1).drop("rk")
-    return (plain.withColumn("via_param", F.lit(False))
+    return (plain_rows.withColumn("via_param", F.lit(False))
             .unionByName(kept.withColumn("via_param", F.col("pass") == 2)))

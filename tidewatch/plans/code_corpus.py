@@ -1,9 +1,10 @@
 """A code corpus derived from ``documents`` (the driver tables hold no code).
 
-Every document becomes one Python module: template ``doc_id % 24`` (each one a
-set of detectors, look-alikes and taint cases, see ``templates_py``), its
-secret placeholder filled with the md5 of the text, followed by the
-document's *whole* text as comment lines.  The corpus grows with
+Every document becomes one source file: template ``doc_id % 36`` (24 Python
+modules from ``templates_py`` and 12 JS/TS modules from ``templates_js``; each
+one a set of detectors, look-alikes and taint cases), its secret placeholder
+filled with the md5 of the text, followed by the document's *whole* text as
+comment lines.  The corpus grows with
 ``documents``; the same expression is written in DuckDB SQL for the oracles,
 and the expected findings per template come from the sequential checker in
 ``plans.brute``.  Every 20th document lands under ``node_modules/`` and the next
@@ -19,11 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import sql_quote
-from tidewatch.plans import brute
+from tidewatch.operators.facts_js import extract_js
+from tidewatch.plans import brute, brute_js
+from tidewatch.plans.templates_js import JS_TEMPLATES
 from tidewatch.plans.templates_py import PY_TEMPLATES
 from tidewatch.sources import tables
 
-K = len(PY_TEMPLATES)
+# (extension, comment prefix, source) for every template id
+TEMPLATES = tuple((".py", "# ", t) for t in PY_TEMPLATES) + tuple((e, "// ", t) for e, t in JS_TEMPLATES)
+K = len(TEMPLATES)
+N_PY = len(PY_TEMPLATES)
 PLACEHOLDER = "{SECRET}"
 # Characters other than \n that end a line for splitlines(); replaced by spaces
 # so that every text line stays one comment line.
@@ -35,29 +41,42 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, language, bytes, content, doc_id, tid, secret) - unfiltered."""
     d = tables.read_table(spark, sf_dir, "documents")
     tid = (F.col("doc_id") % K).cast("int")
-    template = F.lit(None).cast("string")
+    template = ext = prefix = F.lit(None).cast("string")
     for i in reversed(range(K)):
-        template = F.when(tid == i, F.lit(PY_TEMPLATES[i])).otherwise(template)
+        e, pre, src = TEMPLATES[i]
+        template = F.when(tid == i, F.lit(src)).otherwise(template)
+    for i in reversed(range(K)):
+        ext = F.when(tid == i, F.lit(TEMPLATES[i][0])).otherwise(ext)
+    prefix = F.when(tid < N_PY, F.lit("# ")).otherwise(F.lit("// "))
     secret = F.md5(F.col("text"))
     clean = F.translate("text", OTHER_BREAK_CHARS, " " * len(OTHER_BREAK_CHARS))
-    comments = F.concat(F.lit("# "), F.replace(clean, F.lit("\n"), F.lit("\n# ")))
+    comments = F.concat(prefix, F.replace(clean, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
     content = F.concat(F.replace(template, F.lit(PLACEHOLDER), secret), F.lit("\n"), comments, F.lit("\n"))
     subdir = (F.when(F.col("doc_id") % 20 == 0, "node_modules/").when(F.col("doc_id") % 20 == 1, "build/")
               .otherwise(""))
-    path = F.concat(F.col("lang"), F.lit("/"), subdir, F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return d.select(F.col("source").alias("repo"), path.alias("path"), F.lit("Python").alias("language"),
-                    content.alias("content"), "doc_id", tid.alias("tid"), secret.alias("secret")) \
+    stem = F.when((F.col("doc_id") % 20 == 2) & (tid >= N_PY), F.lit(".min")).otherwise(F.lit(""))
+    path = F.concat(F.col("lang"), F.lit("/"), subdir, F.lit("m"), F.col("doc_id").cast("string"), stem, ext)
+    return d.select(F.col("source").alias("repo"), path.alias("path"), content.alias("content"), "doc_id",
+                    tid.alias("tid"), secret.alias("secret")) \
         .withColumn("bytes", F.octet_length("content").cast("long"))
 
 
+LANG_OF_EXT = {".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript"}
+
+
 def corpus_sql() -> str:
-    arr = "[" + ", ".join(sql_quote(t) for t in PY_TEMPLATES) + "]"
+    arr = "[" + ", ".join(sql_quote(t[2]) for t in TEMPLATES) + "]"
+    exts = "[" + ", ".join(sql_quote(t[0]) for t in TEMPLATES) + "]"
+    langs = "[" + ", ".join(sql_quote(LANG_OF_EXT[t[0]]) for t in TEMPLATES) + "]"
+    tid = f"CAST(doc_id % {K} AS INTEGER)"
+    pre = f"CASE WHEN {tid} < {N_PY} THEN '# ' ELSE '// ' END"
     return f"""(SELECT source AS repo,
     lang || '/' || CASE doc_id % 20 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'build/' ELSE '' END
-      || 'm' || CAST(doc_id AS VARCHAR) || '.py' AS path,
-    'Python' AS language, doc_id, CAST(doc_id % {K} AS INTEGER) AS tid, md5(text) AS secret,
-    replace(list_extract({arr}, CAST(doc_id % {K} AS INTEGER) + 1), '{PLACEHOLDER}', md5(text)) || chr(10) || '# '
-      || replace(regexp_replace(text, '{DUCK_OTHER_BREAKS}', ' ', 'g'), chr(10), chr(10) || '# ') || chr(10) AS content
+      || 'm' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 20 = 2 AND {tid} >= {N_PY} THEN '.min' ELSE '' END
+      || list_extract({exts}, {tid} + 1) AS path,
+    list_extract({langs}, {tid} + 1) AS language, doc_id, {tid} AS tid, md5(text) AS secret,
+    replace(list_extract({arr}, {tid} + 1), '{PLACEHOLDER}', md5(text)) || chr(10) || {pre}
+      || replace(regexp_replace(text, '{DUCK_OTHER_BREAKS}', ' ', 'g'), chr(10), chr(10) || {pre}) || chr(10) AS content
   FROM documents)"""
 
 
@@ -87,7 +106,15 @@ def _v(x) -> str:
 def expectations() -> dict:
     """Per template: findings, seeds, parse error, function and class inventory."""
     out = {}
-    for tid, src in enumerate(PY_TEMPLATES):
+    for tid, (_, _, src) in enumerate(TEMPLATES):
+        if tid >= N_PY:
+            res = brute_js.analyse(src)
+            facts = extract_js(src)
+            inv_f = [(f["name"], f["start_line"], f["end_line"], f["params"], f["is_method"], f["parent_class"])
+                     for f in facts["inventory"]]
+            inv_c = [(c["name"], c["start_line"], c["end_line"], c["methods"]) for c in facts["classes"]]
+            out[tid] = {**res, "functions": inv_f, "classes": inv_c}
+            continue
         res = brute.analyse(src)
         inv_f, inv_c = [], []
         if res["parse_error"] is None:

@@ -1,7 +1,7 @@
 """Registered queries over the code corpus derived from ``documents``:
-discovery (S2-S4), file facts (P1-P4, P9), cross-function seeds (T5, T6) and
-the Python findings of all 13 Python detectors with taint (R1-R13, T1-T9, F1-F4,
-P10), plus the summary over them."""
+discovery (S2-S4), file facts (P1-P7, P9), cross-function seeds (T5, T6) and
+the findings of all 24 detectors with taint (R1-R24, T1-T9, F1-F4, P10) for
+Python and JavaScript / TypeScript, plus the summaries over them."""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ def kept_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(cc.code_corpus(spark, sf_dir).select("repo", "path", "content", "bytes"))
 
 
+
 def corpus_scan(spark: SparkSession, sf_dir: str):
     """One scan per (session, sf_dir) within a process: the fact job is
     checkpointed, so later queries reuse it instead of re-parsing."""
@@ -104,8 +105,21 @@ PY_FINDINGS_SQL = f"""(WITH l AS (SELECT k.repo, k.path, k.tid, k.secret, s.line
   FROM j JOIN {RULES} r USING (rule_id))"""
 
 
-@register("r_python_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f")
+@register("r_python_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f WHERE file LIKE '%.py'")
 def r_python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the Python detectors (R1-R13) with taint."""
+    return corpus_scan(spark, sf_dir).findings.filter(F.col("file").endswith(".py")).select(*FINDING_COLUMNS)
+
+
+@register("r_js_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f WHERE file NOT LIKE '%.py'")
+def r_js_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the JavaScript / TypeScript detectors (R14-R24) with taint."""
+    return corpus_scan(spark, sf_dir).findings.filter(~F.col("file").endswith(".py")).select(*FINDING_COLUMNS)
+
+
+@register("r_code_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f")
+def r_code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of the code scan, both languages (P10 order keys included)."""
     return corpus_scan(spark, sf_dir).findings.select(*FINDING_COLUMNS)
 
 

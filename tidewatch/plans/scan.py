@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import facts_python as fp
 from tidewatch.operators.findings import attach_metadata, attach_snippets, parse_disabled
-from tidewatch.operators.rules_python import python_candidates
+from tidewatch.operators import rules_js as rj
+from tidewatch.operators import rules_python as rp
 from tidewatch.session import checkpoint_dir, materialize
 from tidewatch.sources.files import classify
 
@@ -35,6 +36,31 @@ def discover(sources: DataFrame) -> DataFrame:
     return classify(base)
 
 
+def code_candidates(facts: DataFrame, disabled=()) -> DataFrame:
+    """Candidates of all 24 detectors over Python and JS/TS facts in one
+    two-pass assembly (one taint analysis for both languages)."""
+    functions, calls, assigns = fp.functions_table(facts), fp.calls_table(facts), fp.assigns_table(facts)
+    is_py = F.col("language") == "Python"
+    py_calls, js_calls = calls.filter(is_py), calls.filter(~is_py)
+    plain = (rp.assign_candidates(assigns.filter(is_py)).unionByName(rp.plain_call_candidates(py_calls))
+             .unionByName(rj.plain_candidates(js_calls, assigns.filter(~is_py), fp.pairs_table(facts),
+                                               fp.news_table(facts))))
+
+    def sink():
+        py_rule, py_cond = rp.taint_sink_condition()
+        js_rule, js_cond = rj.taint_sink_condition()
+        return (F.when(is_py, py_rule).otherwise(js_rule), F.when(is_py, py_cond).otherwise(js_cond))
+
+    def seq_of(rule):
+        s = F.lit(0)
+        for r, n in list(rp.CALL_SEQ.items()) + list(rj.CALL_SEQ.items()):
+            if r in rp.TAINT_RULES or r in rj.TAINT_RULES:
+                s = F.when(rule == r, F.lit(n)).otherwise(s)
+        return s
+
+    return rp.assemble(functions, calls, assigns, plain, sink, seq_of, disabled)
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give the Python fact job at least ``per_core`` tasks per core.  Large
     inputs already have more splits than cores and are left alone (no
@@ -53,19 +79,16 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
         kept = kept.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     checkpoint_dir(sources.sparkSession)
     kept = spread(kept)
-    facts = materialize(fp.extract_python_facts(kept), "python-facts", partition_by="kind")
-    functions = fp.functions_table(facts)
-    calls = fp.calls_table(facts)
-    assigns = fp.assigns_table(facts)
+    facts = materialize(fp.extract_facts(kept), "code-facts", partition_by="kind", whole_stage_codegen=False)
     dis = parse_disabled(disabled)
-    cands = python_candidates(functions, calls, assigns, dis)
+    cands = code_candidates(facts, dis)
     findings = attach_metadata(attach_snippets(cands, kept), dis)
     return ScanResult(fp.files_table(facts), facts, findings)
 
 
 def inventory_functions(facts: DataFrame) -> DataFrame:
     """P2 rows: module-level functions and methods of module-level classes."""
-    f = fp.functions_table(facts).filter(F.col("is_top_level") | F.col("is_method"))
+    f = fp.inventory_table(facts)
     return f.select("repo", "path", "name", "start_line", "end_line", F.array_join("params", ",").alias("args"),
                     "is_method", "parent_class")
 
