@@ -82,7 +82,8 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
     facts = materialize(fp.extract_facts(kept), "code-facts", partition_by="kind", whole_stage_codegen=False)
     dis = parse_disabled(disabled)
     cands = code_candidates(facts, dis)
-    findings = attach_metadata(attach_snippets(cands, kept), dis)
+    # Written once: summaries, filters, reports and reviews all read this table.
+    findings = materialize(attach_metadata(attach_snippets(cands, kept), dis), "findings")
     return ScanResult(fp.files_table(facts), facts, findings)
 
 
