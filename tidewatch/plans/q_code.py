@@ -149,3 +149,25 @@ def d2_rule_distribution_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.rule_distribution(corpus_scan(spark, sf_dir).findings)
 
 
+
+
+DISABLED = ("weak-crypto-hash", "hardcoded-secret")
+
+
+@register("f4_disabled_rules", f"""
+SELECT * FROM {PY_FINDINGS_SQL} f WHERE rule_id NOT IN ('weak-crypto-hash', 'hardcoded-secret')""")
+def f4_disabled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a disabled rule never becomes a finding; taint still propagates and the
+    dedupe key holds the rule id, so this equals the scan minus those rules."""
+    from tidewatch.operators.findings import drop_disabled
+    return drop_disabled(corpus_scan(spark, sf_dir).findings, ",".join(DISABLED)).select(*FINDING_COLUMNS)
+
+
+@register("s14_findings_json", f"""
+SELECT repo, file, line, ord, to_json(struct_pack(file := file, line := line, "function" := function,
+  rule_id := rule_id, title := title, severity := severity, cwe := cwe, owasp := owasp, snippet := snippet,
+  description := description, remediation := remediation)) AS json
+FROM {PY_FINDINGS_SQL} f""")
+def s14_findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.sources.reports import findings_json
+    return findings_json(corpus_scan(spark, sf_dir).findings)

@@ -15,6 +15,7 @@ from tidewatch.operators.lexical import scan_secrets
 from tidewatch.plans.oracle import RULES, SRC_DOCUMENTS, rl_findings_sql
 from tidewatch.plans.providers import labels_provider
 from tidewatch.plans.registry import register
+from tidewatch.session import materialize
 from tidewatch.sources import reports, stores, tables
 
 FD = rl_findings_sql(SRC_DOCUMENTS)
@@ -93,7 +94,8 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = labels_provider(tables.read_table(spark, sf_dir, "labels"))
     empty = spark.createDataFrame([], stores.CACHE_SCHEMA)
     first = verdicts.validate_findings(doc_findings(spark, sf_dir, english_only=True), empty, provider)
-    second = verdicts.validate_findings(doc_findings(spark, sf_dir), first.new_cache, provider)
+    cache = materialize(first.new_cache, "verdict-cache")      # the cache a first review run saved
+    second = verdicts.validate_findings(doc_findings(spark, sf_dir), cache, provider)
     return second.validated
 
 
@@ -187,3 +189,32 @@ SELECT fs.repo, fs.rule_id, fs.s.file AS first_file, fs.s.line AS first_line, fs
 FROM fs LEFT JOIN {RULES} r USING (rule_id)""")
 def s16_sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rules(doc_findings(spark, sf_dir))
+
+
+@register("d6_verified_share", f"""
+SELECT repo, CAST(count(*) AS BIGINT) AS candidate_count, CAST(count(*) FILTER (WHERE verified) AS BIGINT) AS verified_count,
+       CAST(floor(CAST(count(*) FILTER (WHERE verified) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 + 0.5) AS INTEGER) AS verified_pct
+FROM {VALIDATED_SQL} v GROUP BY repo""")
+def d6_verified_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, verified and the rounded verified share per repository."""
+    from tidewatch.operators.summary import verified_share
+    v = _validated(spark, sf_dir).groupBy("repo").agg(F.count(F.lit(1)).alias("candidate_count"),
+                                                      F.count_if("verified").alias("verified_count"))
+    return v.withColumn("verified_pct", verified_share(F.col("candidate_count"), F.col("verified_count")))
+
+
+@register("q8_findings_in_changed_files", f"""
+WITH f AS {FD},
+b AS (SELECT repo, path, sha256(content) AS hb FROM {SRC_DOCUMENTS} d WHERE language <> 'de'),
+h AS (SELECT repo, path, sha256(CASE WHEN language = 'fr' THEN content || chr(10) || '# edited' ELSE content END) AS hh
+      FROM {SRC_DOCUMENTS} d WHERE repo <> 'src1'),
+c AS (SELECT coalesce(b.repo, h.repo) AS repo, coalesce(b.path, h.path) AS path FROM b FULL OUTER JOIN h
+      ON b.repo = h.repo AND b.path = h.path WHERE hb IS NULL OR hh IS NULL OR hb <> hh)
+SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM c WHERE c.repo = f.repo AND c.path = f.file)""")
+def q8_findings_in_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8 over S17: findings whose file changed between the two snapshots."""
+    from tidewatch.operators.filters import filter_to_changed
+    from tidewatch.plans.q_sources import _snapshots
+    from tidewatch.sources.files import changed_files
+    base, head = _snapshots(spark, sf_dir)
+    return filter_to_changed(doc_findings(spark, sf_dir), changed_files(base, head))

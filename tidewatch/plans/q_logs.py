@@ -98,7 +98,7 @@ def w2_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 W_US = WINDOW_SECONDS * 1_000_000
 
 
-@register("w1_admission", f"""
+W1_SQL = f"""
 WITH RECURSIVE ev AS (
   SELECT event_id, {CLIENT_SQL} AS client, epoch_us(ts) AS t,
          row_number() OVER (PARTITION BY {CLIENT_SQL} ORDER BY ts, event_id) AS rn
@@ -112,7 +112,20 @@ walk(client, rn, event_id, admitted, win) AS (
               THEN list_append(list_filter(w.win, lambda x: e.t - x <= {W_US}), e.t)
               ELSE list_filter(w.win, lambda x: e.t - x <= {W_US}) END
   FROM walk w JOIN ev e ON e.client = w.client AND e.rn = w.rn + 1)
-SELECT event_id, client, admitted FROM walk""")
+SELECT event_id, client, admitted FROM walk"""
+
+
+@register("w1_admission", W1_SQL)
 def w1_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratelimit.admit(_events(spark, sf_dir), WINDOW_SECONDS, LIMIT, COUNTED_PATHS,
                            client_col="user_id", path_col="event_type")
+
+
+@register("w1_admission_stream", W1_SQL)
+def w1_admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 as a Structured Streaming query (state per client, event-time
+    timeout) over the events replayed as 10-day chunk files."""
+    from tidewatch.streaming.ratelimit import replay_admission
+    ev = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    return replay_admission(ev, WINDOW_SECONDS, LIMIT, COUNTED_PATHS, client_col="user_id",
+                            path_col="event_type")

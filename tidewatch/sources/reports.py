@@ -27,7 +27,8 @@ TOOL_VERSION = "0.1.0"
 def findings_json(findings: DataFrame) -> DataFrame:
     """One JSON object per finding (the finding fields, no internals)."""
     cols = [c for c in FINDING_COLUMNS if c not in ("repo", "ord")]
-    return findings.select("repo", "file", "line", "ord", F.to_json(F.struct(*cols)).alias("json"))
+    return findings.select("repo", "file", "line", "ord",
+                           F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_findings_json(findings: DataFrame, path: str) -> None:

@@ -65,6 +65,32 @@ def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_pat
         _step(limit, window_us), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def replay_admission(events: DataFrame, window_seconds: int, limit: int, counted_paths: Iterable[str],
+                     chunk_col: str = "ts", chunk_seconds: int = 86400 * 10, **cols) -> DataFrame:
+    """W1 through Structured Streaming over an event table: the events are
+    written as time-ordered chunk files under the shared checkpoint folder,
+    read back with a file stream (one chunk per micro-batch, ``availableNow``),
+    decided by ``admit_stream`` and collected in a Parquet sink there.
+    Returns the sink as a batch DataFrame (event_id, client, admitted)."""
+    import uuid
+
+    from tidewatch.session import checkpoint_dir
+    spark = events.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    bucket = F.floor(F.unix_seconds(F.col(chunk_col).cast("timestamp")) / chunk_seconds).cast("long")
+    staged = events.withColumn("_chunk", bucket)
+    chunks = [r[0] for r in staged.select("_chunk").distinct().orderBy("_chunk").collect()]
+    for i, c in enumerate(chunks):        # one small write per time chunk, oldest first
+        staged.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1).write.parquet(f"{root}/in/c{i:06d}")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{root}/in/*"))
+    out = admit_stream(stream, window_seconds, limit, counted_paths, **cols)
+    q = (out.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(OUTPUT_SCHEMA).parquet(f"{root}/out")
+
+
 def admit_batch_of_files(spark, paths: Sequence[str], schema, window_seconds: int, limit: int,
                          counted_paths: Iterable[str], checkpoint: str, **cols) -> DataFrame:
     """Run ``admit_stream`` over parquet files (one micro-batch per file, in
