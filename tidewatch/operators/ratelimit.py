@@ -8,16 +8,20 @@ Rejected events are not remembered, so admission depends on earlier
 admissions and is not a plain window count.
 
 Batch plan, exact and skew-safe:
-1. one window pass per client ordered by (t, event_id) gives the trailing count
-   of *all* events (W2) and a session number that starts after every gap longer
-   than ``window`` (the admitted set is empty after such a gap, so sessions are
-   independent);
+1. windows partitioned by (client, time bucket of one window length), each
+   event also present as context in the next bucket, give the trailing count
+   of *all* events (W2) and the gaps longer than ``window`` (the admitted set
+   is empty after such a gap, so the sessions they start are independent); a
+   session's start time comes from the same bucket or, carried over, from a
+   small per-(client, bucket) table of last break times;
 2. an event whose trailing count is at most ``limit`` is admitted for sure
    (admitted entries are a subset of earlier events) - decided in the JVM;
 3. only sessions holding an undecided event go to Python: hash-partitioned by
    (client, session), sorted inside partitions, and walked by ``mapInPandas``
    batch by batch with at most ``limit`` timestamps of state, so a hot client
-   never has to fit in memory and its sessions spread over tasks.
+   never has to fit in memory and its sessions spread over tasks.  One session
+   that never pauses for a whole window is one sequential walk (each decision
+   depends on the previous ones); that task streams, it does not collect.
 """
 
 from __future__ import annotations
@@ -44,13 +48,27 @@ def _prepare(events: DataFrame, client_col: str, path_col: str, ts_col: str, id_
                     F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t")))
 
 
+def _bucketed(ev: DataFrame, window_us: int) -> DataFrame:
+    """Each event in its own time bucket (own=True) and, as context, in the
+    next one.  Buckets are one window long, so for an event in bucket k every
+    event within the window lies in bucket k or k-1: windows partitioned by
+    (client, bucket) are exact, and a hot client is spread over its buckets
+    instead of one task."""
+    b = F.floor(F.col("t") / F.lit(window_us)).cast("long")
+    own = ev.withColumn("bucket", b).withColumn("own", F.lit(True))
+    ctx = ev.withColumn("bucket", b + 1).withColumn("own", F.lit(False))
+    return own.unionByName(ctx)
+
+
 def trailing_counts(events: DataFrame, window_seconds: int, client_col: str = "client", path_col: str = "path",
                     ts_col: str = "ts", id_col: str = "event_id",
                     counted_paths: Sequence[str] = ()) -> DataFrame:
     """Events of the client in [t - window, t] (ties at t included)."""
+    window_us = window_seconds * 1_000_000
     ev = _prepare(events, client_col, path_col, ts_col, id_col, counted_paths)
-    w = Window.partitionBy("client").orderBy("t").rangeBetween(-window_seconds * 1_000_000, 0)
-    return ev.withColumn("trailing_count", F.count(F.lit(1)).over(w))
+    w = Window.partitionBy("client", "bucket").orderBy("t").rangeBetween(-window_us, 0)
+    return (_bucketed(ev, window_us).withColumn("trailing_count", F.count(F.lit(1)).over(w))
+            .filter("own").drop("own", "bucket"))
 
 
 def _walk(limit: int, window_us: int):
@@ -81,13 +99,28 @@ def admit(events: DataFrame, window_seconds: int, limit: int, counted_paths: Ite
     counted_paths = list(counted_paths)
     window_us = window_seconds * 1_000_000
     ev = _prepare(events, client_col, path_col, ts_col, id_col, counted_paths)
-    order = Window.partitionBy("client").orderBy("t", "event_id")
-    trailing = Window.partitionBy("client").orderBy("t").rangeBetween(-window_us, 0)
+    both = _bucketed(ev, window_us)
+    order = Window.partitionBy("client", "bucket").orderBy("t", "event_id", "own")
+    trailing = Window.partitionBy("client", "bucket").orderBy("t").rangeBetween(-window_us, 0)
     gap = F.col("t") - F.lag("t").over(order)
-    staged = (ev.withColumn("trailing_count", F.count(F.lit(1)).over(trailing))
-              .withColumn("brk", F.when(gap.isNull() | (gap > window_us), 1).otherwise(0))
-              .withColumn("session", F.sum("brk").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("sure", F.col("trailing_count") <= limit))
+    # A gap longer than the window empties the admitted set: a new session.
+    local = (both.withColumn("trailing_count", F.count(F.lit(1)).over(trailing))
+             .withColumn("brk", gap.isNull() | (gap > window_us))
+             .withColumn("start_here", F.last(F.when(F.col("brk") & F.col("own"), F.col("t")), ignorenulls=True)
+                         .over(order.rowsBetween(Window.unboundedPreceding, 0)))
+             .filter("own"))
+    # Sessions that began in an earlier bucket: the latest break of any earlier
+    # bucket (a small table, one row per client and bucket).
+    last_brk = local.filter("brk").groupBy("client", "bucket").agg(F.max("t").alias("b_t"))
+    all_buckets = local.select("client", "bucket").distinct()
+    carry = (all_buckets.join(last_brk, ["client", "bucket"], "left")
+             .withColumn("carry", F.max("b_t").over(Window.partitionBy("client").orderBy("bucket")
+                                                   .rowsBetween(Window.unboundedPreceding, -1)))
+             .select("client", "bucket", "carry"))
+    staged = (local.join(carry, ["client", "bucket"], "left")
+              .withColumn("session", F.coalesce("start_here", "carry"))
+              .withColumn("sure", F.col("trailing_count") <= limit)
+              .select("event_id", "client", "t", "session", "trailing_count", "sure"))
     # Written once; both branches below read it (lineage cut, survives lost executors).
     checkpoint_dir(events.sparkSession)
     staged = materialize(staged, "admission-staged")
