@@ -95,10 +95,11 @@ def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
     tainted = defs.filter(F.col("kind") == "gen").select(*DEF_KEY).distinct()
     frontier = tainted
     while True:
-        hop = (edges.join(frontier.select(*FILE, "scope_id", F.col("var").alias("t_var"), F.col("pos").alias("t_pos")),
-                          FILE + ["scope_id", "t_var", "t_pos"], "left_semi")
-               .select(*DEF_KEY).distinct())
-        new = materialize(hop.join(tainted, DEF_KEY, "left_anti"), "taint-new")
+        # two hops per round (fewer jobs); still exact: rounds go on until
+        # a round adds nothing
+        hop1 = _hop(edges, frontier)
+        hop2 = _hop(edges, hop1)
+        new = materialize(hop1.unionByName(hop2).distinct().join(tainted, DEF_KEY, "left_anti"), "taint-new")
         if new.isEmpty():
             break
         tainted = tainted.unionByName(new)
@@ -106,6 +107,12 @@ def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
     return tainted
 
 
+def _hop(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Defs with a link into ``frontier``."""
+    f = frontier.select(*FILE, "scope_id", F.col("var").alias("t_var"), F.col("pos").alias("t_pos"))
+    return edges.join(f, FILE + ["scope_id", "t_var", "t_pos"], "left_semi").select(*DEF_KEY).distinct()
+
+
 def taint_of(resolved: DataFrame, tainted: DataFrame) -> DataFrame:
     """Mark resolved queries whose reaching def is tainted."""
     t = tainted.select(*FILE, "scope_id", "var", F.col("pos").alias("def_pos"), F.lit(True).alias("hit"))

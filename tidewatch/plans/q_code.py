@@ -16,6 +16,7 @@ from tidewatch.plans import code_corpus as cc
 from tidewatch.plans.oracle import NOTE, RULES, lines_sql, snippet_sql
 from tidewatch.plans.registry import register
 from tidewatch.plans.scan import discover, inventory_classes, inventory_functions, scan_sources
+from tidewatch.session import materialize
 
 _CACHE: dict = {}
 
@@ -30,7 +31,10 @@ def corpus_scan(spark: SparkSession, sf_dir: str):
     checkpointed, so later queries reuse it instead of re-parsing."""
     key = (id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = scan_sources(kept_corpus(spark, sf_dir), already_discovered=True)
+        # The derived corpus stands in for a source table: write it once, so
+        # the fact job and the snippet join both read it instead of rebuilding it.
+        sources = materialize(kept_corpus(spark, sf_dir), "code-corpus")
+        _CACHE[key] = scan_sources(sources, already_discovered=True)
     return _CACHE[key]
 
 

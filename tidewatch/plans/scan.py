@@ -19,7 +19,7 @@ from tidewatch.operators import facts_python as fp
 from tidewatch.operators.findings import attach_metadata, attach_snippets, parse_disabled
 from tidewatch.operators import rules_js as rj
 from tidewatch.operators import rules_python as rp
-from tidewatch.session import checkpoint_dir, materialize
+from tidewatch.session import checkpoint_dir, materialize, spread
 from tidewatch.sources.files import classify
 
 
@@ -61,15 +61,6 @@ def code_candidates(facts: DataFrame, disabled=()) -> DataFrame:
     return rp.assemble(functions, calls, assigns, plain, sink, seq_of, disabled)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give the Python fact job at least ``per_core`` tasks per core.  Large
-    inputs already have more splits than cores and are left alone (no
-    shuffle of file contents); a small input stored as one big file would
-    otherwise be parsed by a single Python worker."""
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: DataFrame | None = None,
                  already_discovered: bool = False) -> ScanResult:
     kept = sources if already_discovered else discover(sources)

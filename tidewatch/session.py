@@ -88,3 +88,12 @@ def materialize(df, name: str, partition_by: str | None = None, whole_stage_code
     finally:
         spark.conf.set(key, before)
     return spark.read.parquet(path)
+
+
+def spread(df, per_core: int = 2):
+    """At least ``per_core`` partitions per core for per-row heavy work.  Large
+    inputs already have more splits than cores and are returned unchanged (no
+    shuffle); a small table stored as one big file would otherwise be processed
+    by a single task."""
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 SOURCE_COLUMNS = ("repo", "path", "language", "bytes", "content")
 
 # Host part of a URL: scheme, then everything up to the first / : ? or #.
 URL_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
 
+# Tables whose rows carry whole texts: per-row work (regexes, line splits,
+# parsing) is spread over all cores even when the table is one small file.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def documents_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
