@@ -149,3 +149,13 @@ def test_findings_order_and_module_level_function(spark):
     ordered = sorted(rows, key=lambda r: (r.file, r.line, r.ord))
     assert [r.rule_id for r in ordered] == ["insecure-deserialization-pickle", "command-injection-os-system",
                                             "hardcoded-secret"]
+
+
+def test_strict_redaction_hides_neighbouring_secrets(spark):
+    src = "db_password = 'hunter2hunter2'\napi_token = 'abcdefghij'\nx = 1\n"
+    files = {"s.py": src}
+    parity = scan_sources(source_df(spark, files)).findings.orderBy("line").collect()
+    assert "abcdefghij" in parity[0].snippet and "hunter2hunter2" not in parity[0].snippet
+    strict = scan_sources(source_df(spark, files), strict_redaction=True).findings.orderBy("line").collect()
+    assert all("hunter2hunter2" not in r.snippet and "abcdefghij" not in r.snippet for r in strict)
+    assert [r.line for r in strict] == [r.line for r in parity] == [1, 2]

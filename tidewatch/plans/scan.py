@@ -62,7 +62,7 @@ def code_candidates(facts: DataFrame, disabled=()) -> DataFrame:
 
 
 def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: DataFrame | None = None,
-                 already_discovered: bool = False) -> ScanResult:
+                 already_discovered: bool = False, strict_redaction: bool = False) -> ScanResult:
     kept = sources if already_discovered else discover(sources)
     if languages:
         kept = kept.filter(F.lower("language").isin([x.lower() for x in languages]))
@@ -74,7 +74,7 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
     dis = parse_disabled(disabled)
     cands = code_candidates(facts, dis)
     # Written once: summaries, filters, reports and reviews all read this table.
-    findings = materialize(attach_metadata(attach_snippets(cands, kept), dis), "findings")
+    findings = materialize(attach_metadata(attach_snippets(cands, kept, strict_redaction), dis), "findings")
     return ScanResult(fp.files_table(facts), facts, findings)
 
 
