@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import SECRET_NAME_RE
 from tidewatch.operators import taint
-from tidewatch.session import materialize
+from tidewatch.session import checkpoint_dir, materialize
 
 FILE = ["repo", "path"]
 
@@ -186,17 +186,32 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     """Two passes + conditional dedupe (T5-T8), shared by Python and JS.
 
     ``plain`` are the pass-1 candidates of rules that do not depend on taint;
-    ``sink`` / ``seq_of`` describe the language's taint sinks.
+    ``sink`` / ``seq_of`` describe the language's taint sinks.  Definitions are
+    resolved once for both passes (see ``taint``): pass 1 grows the tainted
+    set from gen defs, pass 2 continues it from the seeded parameter defs.
     Columns: repo, file, line, function, rule_id, ord, pass, literal, via_param.
     """
-    defs1 = taint.definitions(assigns)
+    params = local_function_params(functions)
+    # Placeholder defs: each function node named like a module-level function,
+    # one per parameter name of that function (candidates for seeding).
+    nodes = functions.select(*FILE, F.col("func_id").alias("scope_id"), F.col("name").alias("callee"))
+    virtual = (nodes.join(params.select(*FILE, "callee", "param").distinct(), FILE + ["callee"])
+               .select(*FILE, "scope_id", F.col("param").alias("var"), F.col("scope_id").alias("pos"),
+                       F.lit("param").alias("kind"), F.lit(None).cast("string").alias("src"),
+                       F.lit(True).alias("single"), "callee"))
+    defs = taint.definitions(assigns).withColumn("callee", F.lit(None).cast("string")).unionByName(virtual)
     top_names = functions.filter(F.col("is_top_level")).select(*FILE, "name")
-    sinks1 = sink_queries(calls, top_names, sink)
-    tainted1 = taint.analyse(defs1, sinks1)
+    queries = taint.link_queries(defs).unionByName(sink_queries(calls, top_names, sink))
+    checkpoint_dir(functions.sparkSession)
+    resolved = materialize(taint.resolve(defs, queries), "taint-resolved")
+    edges = taint.link_edges(resolved)
+    sinks = resolved.filter(F.col("qkind") == "sink")
 
-    pass1 = plain.unionByName(taint_candidates(calls, tainted1, 1, sink, seq_of))
+    tainted1 = taint.closure(edges, defs.filter(F.col("kind") == "gen"))
+    args1 = taint.taint_of(sinks, tainted1)
+    pass1 = plain.unionByName(taint_candidates(calls, args1, 1, sink, seq_of))
 
-    seed_rows = materialize(seeds(call_taint(calls, tainted1), local_function_params(functions)), "seeds")
+    seed_rows = materialize(seeds(call_taint(calls, args1), params), "seeds")
     seeded_files = seed_rows.select(*FILE).distinct()
     seeded = not seed_rows.isEmpty()
 
@@ -205,13 +220,14 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     if not seeded:
         return pass1.withColumn("via_param", F.lit(False))
 
-    # Pass 2 only in seeded files and only for the taint rules.
+    # Pass 2: the seeded placeholder defs are tainted too (only seeded files
+    # change; only the taint rules can differ from pass 1).
+    seed_defs = virtual.join(seed_rows.select(*FILE, "callee", F.col("param").alias("var")),
+                             FILE + ["callee", "var"], "left_semi")
+    tainted2 = taint.closure(edges, seed_defs, known=tainted1)
     calls2 = calls.join(seeded_files, FILE, "left_semi")
-    defs2 = (taint.definitions(assigns.join(seeded_files, FILE, "left_semi"))
-             .unionByName(taint.seed_definitions(functions.join(seeded_files, FILE, "left_semi"), seed_rows)))
-    sinks2 = sink_queries(calls2, None, sink)
-    tainted2 = taint.analyse(defs2, sinks2)
-    pass2 = taint_candidates(calls2, tainted2, 2, sink, seq_of)
+    args2 = taint.taint_of(sinks.join(seeded_files, FILE, "left_semi"), tainted2)
+    pass2 = taint_candidates(calls2, args2, 2, sink, seq_of)
     if disabled:
         pass2 = pass2.filter(~F.col("rule_id").isin(list(disabled)))
 

@@ -7,8 +7,11 @@ invisible inside a function):
   statement's pre-order ``pos``: ``gen`` (dynamic value), ``alias`` (value is
   a name ``src``), ``kill`` (any other value with exactly one target); other
   multi-target assignments define nothing;
-* in pass 2, a function node whose name has seeds gets a ``gen`` definition
-  of each seeded parameter name at the function's own ``pos``;
+* every function node named like a module-level function gets a ``param``
+  definition of each of that function's parameter names at the node's own
+  ``pos``: untainted, so pass 1 reads it exactly like "no definition"; in
+  pass 2 the seeded ones are tainted.  Resolution is therefore computed once
+  for both passes, and pass 2 only grows the tainted set from the seeds;
 * the definition reaching a use at ``pos q`` is the latest one with a smaller
   ``pos`` (an as-of lookup: one window over defs + queries, queries ordered
   first on ties, so an assignment takes effect before the calls in its own
@@ -48,16 +51,6 @@ def definitions(assigns: DataFrame) -> DataFrame:
     return out.filter(F.col("kind").isNotNull())
 
 
-def seed_definitions(functions: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Pass-2 seeds: every function node named like a seeded callee gets a gen
-    def of each seeded parameter name at its own pos (T6)."""
-    f = functions.select(*FILE, F.col("func_id").alias("scope_id"), F.col("name").alias("callee"))
-    s = seeds.select(*FILE, "callee", F.col("param").alias("var")).distinct()
-    return (f.join(s, FILE + ["callee"]).select(
-        *FILE, "scope_id", "var", F.col("scope_id").alias("pos"), F.lit("gen").alias("kind"),
-        F.lit(None).cast("string").alias("src"), F.lit(True).alias("single")))
-
-
 def resolve(defs: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query (repo, path, scope_id, var, pos, qkind, qvar, qpos, qidx)
     the pos of the latest def of (scope_id, var) strictly before ``pos``
@@ -85,15 +78,22 @@ def link_queries(defs: DataFrame) -> DataFrame:
     return src.unionByName(prev)
 
 
-def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
-    """Reachability from gen defs over alias links (semi-naive; T4)."""
-    spark = defs.sparkSession
-    checkpoint_dir(spark)
-    edges = (links.filter(F.col("qkind").isin("src", "prev") & F.col("def_pos").isNotNull())
-             .select(*FILE, "scope_id", F.col("qvar").alias("var"), F.col("qpos").alias("pos"),
-                     F.col("var").alias("t_var"), F.col("def_pos").alias("t_pos")))
-    tainted = defs.filter(F.col("kind") == "gen").select(*DEF_KEY).distinct()
-    frontier = tainted
+def link_edges(resolved: DataFrame) -> DataFrame:
+    """Edges alias-def -> def it depends on, from resolved link queries."""
+    return (resolved.filter(F.col("qkind").isin("src", "prev") & F.col("def_pos").isNotNull())
+            .select(*FILE, "scope_id", F.col("qvar").alias("var"), F.col("qpos").alias("pos"),
+                    F.col("var").alias("t_var"), F.col("def_pos").alias("t_pos")))
+
+
+def closure(edges: DataFrame, start: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Defs reachable from ``start`` over the edges, plus ``known`` (semi-naive,
+    two hops per round, until a round adds nothing; T4)."""
+    tainted = start.select(*DEF_KEY).distinct()
+    if known is not None:
+        tainted = known.unionByName(tainted.join(known, DEF_KEY, "left_anti"))
+        frontier = materialize(start.select(*DEF_KEY).distinct().join(known, DEF_KEY, "left_anti"), "taint-start")
+    else:
+        frontier = tainted
     while True:
         # two hops per round (fewer jobs); still exact: rounds go on until
         # a round adds nothing
@@ -107,6 +107,12 @@ def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
     return tainted
 
 
+def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
+    """Reachability from gen defs over alias links (semi-naive; T4)."""
+    checkpoint_dir(defs.sparkSession)
+    return closure(link_edges(links), defs.filter(F.col("kind") == "gen"))
+
+
 def _hop(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     """Defs with a link into ``frontier``."""
     f = frontier.select(*FILE, "scope_id", F.col("var").alias("t_var"), F.col("pos").alias("t_pos"))
