@@ -232,6 +232,8 @@ CODE_LANGUAGES = ("Python", "JavaScript", "TypeScript")
 
 def extract_python_facts(sources: DataFrame) -> DataFrame:
     """(repo, path, language, content) of Python / JS / TS files -> flat fact rows."""
+    from tidewatch.session import ship_package
+    ship_package(sources.sparkSession)
     src = sources.filter(F.col("language").isin(*CODE_LANGUAGES)).select("repo", "path", "language", "content")
     return src.mapInArrow(_flat_batches, FLAT_SCHEMA)
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpoint_dir, materialize
+from tidewatch.session import checkpoint_dir, materialize, ship_package
 
 UNKNOWN_CLIENT = "unknown"
 
@@ -98,6 +98,7 @@ def admit(events: DataFrame, window_seconds: int, limit: int, counted_paths: Ite
     """W1 (batch): (event_id, client, admitted) for every counted event."""
     counted_paths = list(counted_paths)
     window_us = window_seconds * 1_000_000
+    ship_package(events.sparkSession)
     ev = _prepare(events, client_col, path_col, ts_col, id_col, counted_paths)
     both = _bucketed(ev, window_us)
     order = Window.partitionBy("client", "bucket").orderBy("t", "event_id", "own")

@@ -97,3 +97,31 @@ def spread(df, per_core: int = 2):
     by a single task."""
     target = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidewatch`` importable in the Python workers (the fact job, the
+    limiter walk and the streaming state function run there).  Zips the
+    package once per SparkContext and registers it with ``addPyFile``, which
+    distributes it to every executor, as ``--py-files`` would."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import tidewatch
+    root = os.path.dirname(os.path.abspath(tidewatch.__file__))
+    base = os.path.dirname(root)
+    out_dir = tempfile.mkdtemp(prefix="tidewatch-pyfiles-")
+    zpath = os.path.join(out_dir, "tidewatch.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))

@@ -55,6 +55,8 @@ def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_pat
                  id_col: str = "event_id", watermark: str | None = None) -> DataFrame:
     """W1 on a streaming DataFrame; returns a streaming (event_id, client, admitted)."""
     window_us = window_seconds * 1_000_000
+    from tidewatch.session import ship_package
+    ship_package(events.sparkSession)
     ev = (events.filter(F.col(path_col).isin(list(counted_paths)))
           .select(F.col(id_col).alias("event_id"),
                   F.coalesce(F.col(client_col).cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"),
