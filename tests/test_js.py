@@ -117,3 +117,64 @@ def test_random_js_programs_match_checker(spark, seed):
     rows = _rows(spark, files)
     assert _actual(rows) == _expected(files)
     assert any(x[4] for x in _expected(files))
+
+
+# ES2020+ and TypeScript forms the parser must accept (own samples).
+SYNTAX_FORMS = [
+ "class A { #m() { return 1; } get x() { return this.#m(); } set x(v) {} static { init(); } }",
+ "const o = { get a() { return 1; }, set a(v) {}, async *gen() {}, [k]: 1, 'q': 2, ...rest };",
+ "run(async () => { await x; }, async function named() {});",
+ "a?.b(); a?.[k]; x ??= 1; y **= 2; z ||= 3;",
+ "outer: for (const x of xs) { continue outer; }",
+ "for await (const c of stream) {}",
+ "f(...args, ...more);",
+ "function g({ a, b = 2 }, [c, d], ...rest) {}",
+ "const h = ({ a, b }) => a + b;",
+ "x = a / b / c; y = (a) / 2; const r = /ab\\/c/g.test(s); if (/x/.test(s)) {}",
+ "const t = `a ${`b ${c}`} d`;",
+ "export * from './m'; export * as ns from './n'; export { a as b } from './c';",
+ "const m = await import('./mod');",
+ "enum Color { Red = 1, Green }",
+ "declare module 'x' { export function f(): void; }",
+ "abstract class S { abstract run(): void; protected x?: number; }",
+ "const c = [1, 2] as const;",
+ "function id<T = string>(x: T): T { return x; }",
+ "function over(a: string): void; function over(a: any) {}",
+ "@Component({ selector: 'x' }) class Cmp { @Input() name: string; constructor(@Inject(T) private t: T) {} }",
+ "let v!: number; const w = obj!.prop; const u = arr![0];",
+ "interface I { [key: string]: number; f?(a: number): void }",
+ "type K = keyof typeof obj; type F = (a: number) => void; type G = new () => X;",
+ "const gen = <T,>(x: T) => x;",
+ "const s = cfg satisfies Config;",
+ "if (a) b(); else if (c) d(); else { e(); }",
+ "switch (x) { case 'a': { f(); break; } default: }",
+ "try { f() } catch { g() }",
+ "const big = 10n ** 20n; const hex = 0xFF_FF;",
+ "a = b ? c : d ? e : f;",
+ "x = typeof y === 'undefined' ? void 0 : delete z[k];",
+ "new Foo; new Foo.Bar(1); new (getClass())();",
+ "const { a: { b } = {} } = obj;",
+ "class B extends mixin(A, C) { constructor() { super(); super.x(); } }",
+ "function* g() { const x = yield; yield* other(); }",
+ "let x = 1\nlet y = 2\n(function(){})()",
+ "export default class extends Base {}",
+ "export const enum E { A }",
+ "import type { T } from './t'; import def, { a } from 'm'; import * as ns from 'n';",
+ "obj.if = 1; obj.class = 2; x = obj.new;",
+ "const re = x.replace(/\\s+/g, ' ').split(/,/);",
+ "label: { break label; }",
+ "while (i--) {}",
+ "const fn = function* () {};",
+ "var a = 1, b = 2, c;",
+ "const arr = [, , 1];",
+ "let o = { async: 1, get: 2, set: 3, static: 4 };",
+ "return_ = a => ({ b: a });",
+ "const p: Promise<Array<Map<string, number>>> = load();",
+ "function f(this: Window, ...a: number[]) {}",
+ "class C { private readonly x = 1; static async m<T>(a?: T): Promise<void> {} }",
+]
+
+
+@pytest.mark.parametrize("src", SYNTAX_FORMS)
+def test_syntax_forms_parse(src):
+    parse(src)

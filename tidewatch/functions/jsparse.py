@@ -585,9 +585,9 @@ class Parser:
             t = self.next()
             if t.value == open_:
                 depth += 1
-            elif t.value == close:
-                depth -= 1
-                if depth == 0:
+            elif t.value == close or (close == ">" and t.value in (">>", ">>>")):
+                depth -= len(t.value)
+                if depth <= 0:
                     return
 
     def skip_type(self):
@@ -610,6 +610,8 @@ class Parser:
                 self.skip_balanced("[", "]")
             elif t.kind in ("ident", "string", "number", "template") or t.value == "-":
                 self.next()
+                if t.value == "new" and self.at("("):
+                    continue
                 if t.value in ("typeof", "keyof", "readonly", "unique", "infer", "new", "asserts") and \
                         self.peek() and self.peek().kind == "ident":
                     continue
@@ -667,6 +669,8 @@ class Parser:
         self.expect("(")
         out = []
         while not self.at(")"):
+            while self.at("@"):
+                self.decorator()
             while self.peek().value in ("public", "private", "protected", "readonly", "override") and \
                     self.peek(1).kind == "ident" or (self.peek().value in ("public", "private", "protected",
                                                                           "readonly") and self.at("{", 1)):
@@ -759,6 +763,9 @@ class Parser:
         while self.at("@"):
             self.decorator()
             m_line = self.line()
+        if self.peek().value == "static" and self.at("{", 1):
+            self.next()
+            return self.block()
         mods = ("static", "public", "private", "protected", "readonly", "abstract", "override", "declare",
                 "async", "get", "set", "accessor")
         while self.peek().value in mods and not (self.at("(", 1) or self.at("=", 1) or self.at(";", 1)
@@ -1057,9 +1064,9 @@ class Parser:
                 return False
             if v == "<":
                 depth += 1
-            elif v == ">":
-                depth -= 1
-                if depth == 0:
+            elif v in (">", ">>", ">>>"):
+                depth -= len(v)
+                if depth <= 0:
                     return j + 1 < len(toks) and toks[j + 1].value == "("
             elif v in (";", "{", "}", "=", "&&", "||", "(", ")"):
                 return False
