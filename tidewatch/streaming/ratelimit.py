@@ -70,9 +70,10 @@ def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_pat
 def replay_admission(events: DataFrame, window_seconds: int, limit: int, counted_paths: Iterable[str],
                      chunk_col: str = "ts", chunk_seconds: int = 86400 * 10, **cols) -> DataFrame:
     """W1 through Structured Streaming over an event table: the events are
-    written as time-ordered chunk files under the shared checkpoint folder,
-    read back with a file stream (one chunk per micro-batch, ``availableNow``),
-    decided by ``admit_stream`` and collected in a Parquet sink there.
+    written in one job as one file per time chunk under the shared checkpoint
+    folder, read back with a file stream (one chunk per micro-batch, oldest
+    first, ``availableNow``), decided by ``admit_stream`` and collected in a
+    Parquet sink there.
     Returns the sink as a batch DataFrame (event_id, client, admitted)."""
     import uuid
 
@@ -80,12 +81,22 @@ def replay_admission(events: DataFrame, window_seconds: int, limit: int, counted
     spark = events.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     bucket = F.floor(F.unix_seconds(F.col(chunk_col).cast("timestamp")) / chunk_seconds).cast("long")
-    staged = events.withColumn("_chunk", bucket)
-    chunks = [r[0] for r in staged.select("_chunk").distinct().orderBy("_chunk").collect()]
-    for i, c in enumerate(chunks):        # one small write per time chunk, oldest first
-        staged.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1).write.parquet(f"{root}/in/c{i:06d}")
+    # One job writes every chunk as exactly one file; the file source replays
+    # files oldest first, so their modification times are set in chunk order.
+    (events.withColumn("_chunk", bucket).repartition("_chunk")
+     .write.partitionBy("_chunk").parquet(f"{root}/staged"))
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(f"{root}/staged")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dirs = sorted((int(st.getPath().getName().split("=", 1)[1]), st.getPath()) for st in fs.listStatus(hpath)
+                  if st.isDirectory() and st.getPath().getName().startswith("_chunk="))
+    base_ms = 1_000_000_000_000
+    for i, (_, d) in enumerate(dirs):
+        for st in fs.listStatus(d):
+            if st.getPath().getName().endswith(".parquet"):
+                fs.setTimes(st.getPath(), base_ms + i * 1000, -1)
     stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{root}/in/*"))
+              .parquet(f"{root}/staged/*"))
     out = admit_stream(stream, window_seconds, limit, counted_paths, **cols)
     q = (out.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
