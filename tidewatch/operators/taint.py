@@ -91,7 +91,7 @@ def closure(edges: DataFrame, start: DataFrame, known: DataFrame | None = None)
     tainted = start.select(*DEF_KEY).distinct()
     if known is not None:
         tainted = known.unionByName(tainted.join(known, DEF_KEY, "left_anti"))
-        frontier = materialize(start.select(*DEF_KEY).distinct().join(known, DEF_KEY, "left_anti"), "taint-start")
+        frontier = start.select(*DEF_KEY).distinct().join(known, DEF_KEY, "left_anti")
     else:
         frontier = tainted
     while True:

@@ -104,9 +104,10 @@ _SHIPPED: set[int] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``tidewatch`` importable in the Python workers (the fact job, the
-    limiter walk and the streaming state function run there).  Zips the
-    package once per SparkContext and registers it with ``addPyFile``, which
-    distributes it to every executor, as ``--py-files`` would."""
+    limiter walk and the streaming state function run there).  On a cluster
+    the package is zipped once per SparkContext and registered with
+    ``addPyFile``, which distributes it to every executor, as ``--py-files``
+    would; a local master only needs the path."""
     import zipfile
 
     sc = spark.sparkContext
@@ -115,6 +116,14 @@ def ship_package(spark: SparkSession) -> None:
     import tidewatch
     root = os.path.dirname(os.path.abspath(tidewatch.__file__))
     base = os.path.dirname(root)
+    if sc.master.startswith("local"):
+        # Executors share the driver's file system: put the package's parent on
+        # the workers' PYTHONPATH (sent with every Python function) instead.
+        current = sc.environment.get("PYTHONPATH", "")
+        if base not in current.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = base + (os.pathsep + current if current else "")
+        _SHIPPED.add(id(sc))
+        return
     out_dir = tempfile.mkdtemp(prefix="tidewatch-pyfiles-")
     zpath = os.path.join(out_dir, "tidewatch.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
