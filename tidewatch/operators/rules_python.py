@@ -211,12 +211,14 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     args1 = taint.taint_of(sinks, tainted1)
     pass1 = plain.unionByName(taint_candidates(calls, args1, 1, sink, seq_of))
 
+    if disabled:
+        pass1 = pass1.filter(~F.col("rule_id").isin(list(disabled)))
+    # Written once: both the unseeded rows and the dedupe below read it.
+    pass1 = materialize(pass1, "pass1-candidates")
     seed_rows = materialize(seeds(call_taint(calls, args1), params), "seeds")
     seeded_files = seed_rows.select(*FILE).distinct()
     seeded = not seed_rows.isEmpty()
 
-    if disabled:
-        pass1 = pass1.filter(~F.col("rule_id").isin(list(disabled)))
     if not seeded:
         return pass1.withColumn("via_param", F.lit(False))
 
