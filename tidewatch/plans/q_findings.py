@@ -90,12 +90,17 @@ def v1_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two review rounds: English documents first (empty cache), then all
-    documents with the cache the first round wrote (hits + new misses)."""
+    documents with the cache the first round wrote (hits + new misses).  The
+    lexical findings are computed once and written; round 1 takes the English
+    documents' share of them."""
     provider = labels_provider(tables.read_table(spark, sf_dir, "labels"))
     empty = spark.createDataFrame([], stores.CACHE_SCHEMA)
-    first = verdicts.validate_findings(doc_findings(spark, sf_dir, english_only=True), empty, provider)
+    findings = materialize(doc_findings(spark, sf_dir), "doc-findings")
+    english = (tables.read_table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+               .select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("file")))
+    first = verdicts.validate_findings(findings.join(english, ["repo", "file"], "left_semi"), empty, provider)
     cache = materialize(first.new_cache, "verdict-cache")      # the cache a first review run saved
-    second = verdicts.validate_findings(doc_findings(spark, sf_dir), cache, provider)
+    second = verdicts.validate_findings(findings, cache, provider)
     return second.validated
 
 
