@@ -37,3 +37,21 @@ def test_oracles_agree(spark, sf):
         idx = [d.columns.index(c) for c in cols]
         exp = sorted((tuple(_norm(r[i]) for i in idx) for r in d.fetchall()), key=repr)
         assert got == exp, name
+
+
+def test_workers_can_import_the_package(spark):
+    import os
+
+    import tidewatch
+    from tidewatch.session import ship_package
+    ship_package(spark)
+    base = os.path.dirname(os.path.dirname(os.path.abspath(tidewatch.__file__)))
+    assert base in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+
+    def probe(batches):
+        import pandas as pd
+
+        import tidewatch as tw
+        for b in batches:
+            yield pd.DataFrame({"ok": [tw.__name__ == "tidewatch"] * len(b)})
+    assert all(r.ok for r in spark.range(4).mapInPandas(probe, "ok boolean").collect())
