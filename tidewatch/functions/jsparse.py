@@ -700,7 +700,7 @@ class Parser:
 
     def function(self, declaration=False, allow_anonymous=False) -> Node:
         s_line = self.line()
-        is_async = self.eat("async")
+        self.eat("async")
         self.expect("function")
         gen = self.eat("*")
         name = None
@@ -722,7 +722,6 @@ class Parser:
             kind = "generator_function_declaration" if gen else "function_declaration"
         else:
             kind = "generator_function" if gen else "function_expression"
-        del is_async
         return self.done(Node(kind, s_line, [name, Node("formal_parameters", s_line, params), body], name=name,
                               parameters=params, body=body))
 
@@ -745,7 +744,6 @@ class Parser:
                 self.skip_type()
         body = self.class_body()
         kind = "class_declaration" if declaration else "class"
-        del allow_anonymous
         return self.done(Node(kind, s.line, [name, heritage, body], name=name, body=body))
 
     def class_body(self) -> Node:
@@ -774,10 +772,9 @@ class Parser:
         if self.peek().value == "static" and self.at("{", 1):
             self.next()
             return self.block()
-        gen = self.eat("*")
+        self.eat("*")
         key = self.property_key()
-        optional = self.eat("?") or self.eat("!")
-        del optional
+        self.eat("?") or self.eat("!")      # optional / definite-assignment marks
         if self.at("(") or self.at("<"):
             if self.at("<"):
                 self.skip_balanced("<", ">")
@@ -788,7 +785,6 @@ class Parser:
                 self.semicolon()
                 return self.done(Node("method_signature", m_line, []))
             body = self.block()
-            del gen
             return self.done(Node("method_definition", m_line, [key, Node("formal_parameters", m_line, params), body],
                                   name=key, parameters=params, body=body))
         if self.eat(":"):
@@ -862,7 +858,7 @@ class Parser:
             j += 1
         return False
 
-    def arrow(self, is_async=False) -> Node:
+    def arrow(self) -> Node:
         s_line = self.line()
         if self.at("<"):
             self.skip_balanced("<", ">")
@@ -878,7 +874,6 @@ class Parser:
         self.expect("=>")
         body = self.block() if self.at("{") else self.assignment()
         kids = [param_field if param_field is not None else Node("formal_parameters", s_line, params), body]
-        del is_async
         return self.done(Node("arrow_function", s_line, kids, parameters=params, parameter=param_field, body=body))
 
     def assignment(self, no_in=False) -> Node:
@@ -889,7 +884,7 @@ class Parser:
             if t.value == "async" and not self.peek(1).nl_before and (
                     (self.peek(1).kind == "ident" and self.at("=>", 2)) or (self.at("(", 1) and self._arrow_at(1))):
                 self.next()
-                return self.arrow(True)
+                return self.arrow()
             if self.at("=>", 1):
                 return self.arrow()
             if t.value == "yield":
@@ -1184,7 +1179,7 @@ class Parser:
                 while self.peek().value in mods and not (self.at(",", 1) or self.at(":", 1) or self.at("(", 1)
                                                          or self.at("}", 1) or self.at("=", 1)):
                     self.next()
-                gen = self.eat("*")
+                self.eat("*")
                 key = self.property_key()
                 if self.at("(") or self.at("<"):
                     if self.at("<"):
@@ -1207,7 +1202,6 @@ class Parser:
                         default = self.assignment()
                     members.append(self.done(Node("shorthand_property_identifier", m_line, [default],
                                                   text=key.text)))
-                del gen
             if not self.at("}"):
                 self.expect(",")
         self.expect("}")
