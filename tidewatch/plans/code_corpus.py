@@ -147,6 +147,12 @@ def seeds_values_sql() -> str:
     return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS s(tid, callee, param))"
 
 
+def call_taint_values_sql() -> str:
+    rows = [f"({tid}, {_v(fn)}, {i})" for tid, e in expectations().items()
+            for fn, idx in sorted(e.get("call_taint", {}).items()) for i in idx]
+    return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS c(tid, callee, idx))"
+
+
 def functions_values_sql() -> str:
     rows = [f"({tid}, {_v(n)}, {a}, {b}, {_v(','.join(args))}, {_v(m)}, {_v(pc)})"
             for tid, e in expectations().items() for (n, a, b, args, m, pc) in e["functions"]]

@@ -87,6 +87,18 @@ def p9_inventory_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"))
 
 
+@register("t5_call_taint", f"""
+SELECT k.repo, k.path, c.callee, CAST(c.idx AS INTEGER) AS idx FROM {KEPT} k JOIN {cc.call_taint_values_sql()} c USING (tid)""")
+def t5_call_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: (file, local callee, argument index) passed a dynamic or tainted value in pass 1."""
+    facts = corpus_scan(spark, sf_dir).facts
+    functions, calls, assigns = fp.functions_table(facts), fp.calls_table(facts), fp.assigns_table(facts)
+    top = functions.filter(F.col("is_top_level")).select("repo", "path", "name")
+    tainted1 = taint.analyse(taint.definitions(assigns), rp.sink_queries(calls, top))
+    local = rp.local_function_params(functions).select("repo", "path", "callee").distinct()
+    return rp.call_taint(calls, tainted1).join(local, ["repo", "path", "callee"], "left_semi")
+
+
 @register("t6_seeds", f"""
 SELECT k.repo, k.path, s.callee, s.param FROM {KEPT} k JOIN {cc.seeds_values_sql()} s USING (tid)""")
 def t6_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
