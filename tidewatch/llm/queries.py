@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, curriculum, decision_list, decontam, sharding
+from tidewatch.llm import chat, curriculum, decision_list, decontam, sharding, simhash
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -153,3 +153,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = decision_list.learn_rules(docs, table(spark, sf_dir, "labels"))
     judged = decision_list.judge(docs, rules)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
