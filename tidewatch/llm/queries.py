@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, curriculum, decision_list, decontam, sharding, simhash
+from tidewatch.llm import chat, curriculum, decision_list, decontam, langid, quality_knn, sharding, simhash
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -158,3 +158,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.report(docs, langid.learn(docs))
+
+
+@query
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_knn.score(docs, quality_knn.learn(docs, table(spark, sf_dir, "labels")))
