@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, curriculum, decision_list, decontam, langid, quality_knn, sharding, simhash
+from tidewatch.llm import chat, curriculum, decision_list, decontam, html_extract, langid, quality_knn, sharding, simhash
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -170,3 +170,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_knn.score(docs, quality_knn.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
