@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, curriculum, decision_list, decontam, html_extract, langid, quality_knn, sharding, simhash
+from tidewatch.llm import (
+    chat, curriculum, decision_list, decontam, html_extract, langid, quality_knn, sharding, simhash, substring_dedup)
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -175,3 +176,29 @@ def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, w[i:i + 12] AS g FROM d, unnest(range(1, len(w) - 11)) AS u(i)
+), low AS (
+  SELECT g, min(doc_id) AS first FROM win GROUP BY g
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (g) WHERE first < doc_id
+), n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r),
+kept AS (
+  SELECT x.r, string_agg(x.word, ' ' ORDER BY x.p) AS kept
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  LEFT JOIN gone ON gone.r = x.r AND gone.p = x.p WHERE gone.r IS NULL GROUP BY x.r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
