@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import lower_ascii, words
+from tidewatch.session import materialize
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,4 +108,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wind
     return per.select(
         "doc_id", F.col("__n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-        "hit_spans", F.col("__row"))
+        "hit_spans")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, with their own columns.
+
+    Contaminated rows are written as a short table of row hashes and taken out by an
+    anti join; Spark broadcasts it where its size allows and joins by sorting otherwise.
+    """
+    a, b = F.xxhash64(F.lit(1), "doc_id", "text"), F.xxhash64(F.lit(2), "text", "doc_id")
+    keyed = docs.select(F.struct(a.alias("a"), b.alias("b")).alias("doc_id"), "text")
+    bad = scan(keyed, benchmark, **options).filter("contaminated").select(F.col("doc_id.a").alias("__a"), F.col("doc_id.b").alias("__b"))
+    bad = materialize(bad.distinct(), "contaminated")
+    kept = docs.withColumn("__a", a).withColumn("__b", b).join(bad, ["__a", "__b"], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,11 +86,9 @@ def codewords(n: int, bits: int = CODE_BITS, tries: int = 400) -> np.ndarray:
     return found if found is not None else rng.integers(0, 2, (n, bits)) * 2 - 1
 
 
-def fit(x: np.ndarray, y: list[str]) -> Model | None:
+def fit(x: np.ndarray, y: list[str]) -> Model:
     """Ridge regression of all code bits at once, in its dual form (rows x rows)."""
     languages = tuple(sorted(set(y)))
-    if not languages:
-        return None
     code = codewords(len(languages))
     target = code[[languages.index(v) for v in y]].astype(np.float64)
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
@@ -113,7 +111,9 @@ def learn(docs: DataFrame, seed: str = "lang-1") -> Model | None:
 
     rows = rows.select("doc_id", "__label", "text").mapInArrow(vectors, "id string, label string, v binary").limit(2 * SAMPLE_ROWS).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["v"])))
-    x = np.array([np.frombuffer(bytes(r["v"]), np.float32) for r in rows]).reshape(len(rows), -1)
+    if not rows:
+        return None
+    x = np.array([np.frombuffer(bytes(r["v"]), np.float32) for r in rows])
     return fit(x, [r["label"] for r in rows])
 
 

@@ -93,9 +93,7 @@ class Model:
         return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model | None:
-    if not len(x):
-        return None
+def fit(x: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     mean = x.mean(axis=0)
     c = x - mean
     rng = np.random.default_rng(4)
@@ -122,7 +120,9 @@ def learn(docs: DataFrame, labels: DataFrame, seed: str = "quality-1") -> Model
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("__label").cast("int").alias("label"), "text")
     rows = rows.mapInArrow(vectors, "id string, label int, v binary").limit(4 * PER_LABEL).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["v"])))
-    x = np.array([np.frombuffer(bytes(r["v"]), np.float32) for r in rows]).reshape(len(rows), -1)
+    if not rows:
+        return None
+    x = np.array([np.frombuffer(bytes(r["v"]), np.float32) for r in rows])
     return fit(x, np.array([r["label"] for r in rows]))
 
 
