@@ -39,6 +39,11 @@ def labelled_sample(keys: DataFrame, label: str, per_label: int, total: int, see
     in all, first in a seeded order; held-out and null ids are left out."""
     k = keys.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     k = k.select("doc_id", label, seeded_hash(seed, F.col("doc_id")).alias("__order"))
+    # First a cut by the seeded order that leaves about twice what is wanted of each label
+    # (one count per label), so that no label's rows meet in one task; then the exact places.
+    counts = k.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
+    k = k.join(F.broadcast(counts.orderBy(F.col("__n").desc(), "__l").limit(total)), F.col(label) == F.col("__l"))
+    k = k.filter(F.col("__order") < F.lit(float(1 << 60)) * F.least(F.lit(1.0), F.lit(2.0 * per_label + 64) / F.col("__n")))
     place = Window.partitionBy(label).orderBy("__order", "doc_id")
     k = k.withColumn("__place", F.row_number().over(place)).filter(F.col("__place") <= per_label)
     return k.orderBy("__place", "__order", label).limit(total).select(F.col("doc_id").alias("__id"), F.col(label).alias("__label"))
