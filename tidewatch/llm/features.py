@@ -47,3 +47,11 @@ def labelled_sample(keys: DataFrame, label: str, per_label: int, total: int, see
     place = Window.partitionBy(label).orderBy("__order", "doc_id")
     k = k.withColumn("__place", F.row_number().over(place)).filter(F.col("__place") <= per_label)
     return k.orderBy("__place", "__order", label).limit(total).select(F.col("doc_id").alias("__id"), F.col(label).alias("__label"))
+
+
+def unpack_vectors(rows: list) -> np.ndarray:
+    """Half-precision vectors sent to the driver, as one float matrix (no second copy of all rows)."""
+    x = np.empty((len(rows), len(rows[0]["v"]) // 2), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["v"], np.float16)
+    return x

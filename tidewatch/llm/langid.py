@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tidewatch.llm.features import held_out, labelled_sample, ngram_counts
+from tidewatch.llm.features import held_out, labelled_sample, ngram_counts, unpack_vectors
 from tidewatch.session import ship_package
 
 UNDETERMINED = "und"
@@ -87,14 +87,19 @@ def codewords(n: int, bits: int = CODE_BITS, tries: int = 400) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: list[str]) -> Model:
-    """Ridge regression of all code bits at once, in its dual form (rows x rows)."""
+    """Ridge regression of all code bits at once, in its dual form (rows x rows),
+    with a constant feature; ``x`` is not copied."""
     languages = tuple(sorted(set(y)))
     code = codewords(len(languages))
     target = code[[languages.index(v) for v in y]].astype(np.float64)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    weights = x.T @ np.linalg.solve(x @ x.T + RIDGE * np.eye(len(x)), target)
-    right = ((x @ weights) * target > 0).mean(axis=0)
-    return Model(languages, code, weights.astype(np.float32), np.maximum(2 * right - 1, 0.01))
+    products = (x @ x.T).astype(np.float64)
+    products += 1.0
+    products[np.diag_indices_from(products)] += RIDGE
+    dual = np.linalg.solve(products, target)
+    products[np.diag_indices_from(products)] -= RIDGE
+    right = ((products @ dual) * target > 0).mean(axis=0)
+    weights = np.vstack([x.T @ dual.astype(np.float32), dual.sum(axis=0, keepdims=True).astype(np.float32)])
+    return Model(languages, code, weights, np.maximum(2 * right - 1, 0.01))
 
 
 def learn(docs: DataFrame, seed: str = "lang-1") -> Model | None:
@@ -106,15 +111,16 @@ def learn(docs: DataFrame, seed: str = "lang-1") -> Model | None:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [vector(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("__label"), pa.array([v.tobytes() for v in made], pa.binary())],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("__label"), pa.array([v.astype(np.float16).tobytes() for v in made], pa.binary())],
                                              names=["id", "label", "v"])
 
     rows = rows.select("doc_id", "__label", "text").mapInArrow(vectors, "id string, label string, v binary").limit(2 * SAMPLE_ROWS).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["v"])))
     if not rows:
         return None
-    x = np.array([np.frombuffer(bytes(r["v"]), np.float32) for r in rows])
-    return fit(x, [r["label"] for r in rows])
+    y, x = [r["label"] for r in rows], unpack_vectors(rows)
+    del rows
+    return fit(x, y)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.features import held_out, labelled_sample, ngram_counts
+from tidewatch.llm.features import held_out, labelled_sample, ngram_counts, unpack_vectors
 from tidewatch.session import ship_package
 
 PER_LABEL = 1500
@@ -96,6 +96,7 @@ class Model:
 def fit(x: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     mean = x.mean(axis=0)
     c = x - mean
+    del x
     rng = np.random.default_rng(4)
     q = c.T @ rng.standard_normal((len(c), min(dims + 16, *c.shape))).astype(np.float32)
     for _ in range(4):  # range of the largest singular vectors
@@ -104,7 +105,7 @@ def fit(x: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     _, _, rotate = np.linalg.svd(c @ q, full_matrices=False)
     space = (q @ rotate.T)[:, :dims].astype(np.float32)
     model = Model(mean, space, np.zeros((0, space.shape[1]), np.float32), labels.astype(np.float64))
-    return Model(mean, space, model.project(x).astype(np.float32), model.labels)
+    return Model(mean, space, model.project(c + mean).astype(np.float32), model.labels)
 
 
 def learn(docs: DataFrame, labels: DataFrame, seed: str = "quality-1") -> Model | None:
@@ -114,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: str = "quality-1") -> Model
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [vector(t.as_py()).tobytes() for t in b.column("text")]
+            made = [vector(t.as_py()).astype(np.float16).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(made, pa.binary())], names=["id", "label", "v"])
 
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("__label").cast("int").alias("label"), "text")
@@ -122,8 +123,9 @@ def learn(docs: DataFrame, labels: DataFrame, seed: str = "quality-1") -> Model
     rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["v"])))
     if not rows:
         return None
-    x = np.array([np.frombuffer(bytes(r["v"]), np.float32) for r in rows])
-    return fit(x, np.array([r["label"] for r in rows]))
+    y, x = np.array([r["label"] for r in rows]), unpack_vectors(rows)
+    del rows
+    return fit(x, y)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
