@@ -24,7 +24,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def simhash(docs):
+def simhash(docs, groups=False):
     fps = [fingerprint(d["text"]) for d in docs]
     group = list(range(len(docs)))
     for i in range(len(docs)):
@@ -36,6 +36,8 @@ def simhash(docs):
     for d, g in zip(docs, group):
         if d["doc_id"] is not None:
             first[g].append(d["doc_id"])
+    if groups:
+        return group
     return [(d["doc_id"], f"{f:016x}", min(first[g], default=None)) for d, f, g in zip(docs, fps, group)]
 
 

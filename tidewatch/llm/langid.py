@@ -124,11 +124,9 @@ def learn(docs: DataFrame, seed: str = "lang-1") -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` plus lang_pred, score, ambiguous."""
+    """``docs``, all columns unchanged, plus __lang, __score, __ambiguous."""
     ship_package(docs.sparkSession)
-    own = ("lang_pred", "score", "ambiguous")
-    d = docs.drop(*own)
-    names = d.columns
+    own, names = ("__lang", "__score", "__ambiguous"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,17 +138,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 [*b.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())],
                 names=[*names, *own])
 
-    return d.mapInArrow(run, StructType([
-        *d.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]))
+    return docs.mapInArrow(run, StructType([
+        *docs.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType()), StructField("__ambiguous", BooleanType())]))
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents whose language could be told, with their own columns only."""
     verdict = identify(docs, model)
-    keep = (F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")
+    keep = (F.col("__lang") != UNDETERMINED) & ~F.col("__ambiguous")
     return verdict.filter(keep).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, model: Model | None) -> DataFrame:
     d = identify(docs.select("doc_id", "text"), model)
-    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"),
+                    F.col("__score").alias("score"), F.col("__ambiguous").alias("ambiguous"))
