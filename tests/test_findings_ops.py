@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+
+import pytest
 import re
 
 from pyspark.sql import functions as F
@@ -118,14 +120,17 @@ def test_verdict_merge_defaults_errors_and_cache(spark, tmp_path):
     empty = spark.createDataFrame([], stores.CACHE_SCHEMA)
     res = verdicts.validate_findings(f, empty, _provider(docs))
     v = {r.file: r for r in res.validated.collect()}
-    assert sorted(v) == [f"f{i}.py" for i in range(8)]           # batch r#1 errored
+    assert len(v) == 10                                          # batch r#1 could not be read: kept, unverified
+    assert (v["f9.py"].verified, v["f9.py"].explanation) == (False, verdicts.MISSING_EXPLANATION)
+    with pytest.raises(verdicts.VerdictError):
+        verdicts.validate_findings(f, empty, _provider(docs), fail_fast=True)
     assert (v["f0.py"].verified, v["f0.py"].confidence) == (True, "high")
     assert (v["f1.py"].explanation, v["f1.py"].things_to_verify) == ("last", [])   # duplicate index: last
     assert (v["f5.py"].verified, v["f5.py"].confidence, v["f5.py"].explanation) == \
         (False, "low", verdicts.MISSING_EXPLANATION)
     assert [r.batch_id for r in res.errors.collect()] == ["r#1"]
     prompts = {r.batch_id: r for r in res.prompts.collect()}
-    assert prompts["r#0"].n == 8 and prompts["r#1"].n == 2 and "### Finding 7" in prompts["r#0"].prompt
+    assert prompts["r#0"].n == 8 and prompts["r#1"].n == 2 and '{"n":7,' in prompts["r#0"].prompt
     # second round: everything from batch r#0 is a cache hit now
     root = str(tmp_path / "cache")
     stores.save_cache(res.new_cache, root)

@@ -1,17 +1,9 @@
-"""JavaScript / TypeScript: parser features, inventory, rules against the
-sequential JS checker (templates, fixtures, random programs)."""
-
-import random
+"""JavaScript / TypeScript facts from the token table, on forms that lex or nest in unusual ways."""
 
 import pytest
 
 from conftest import source_df
-from tidewatch.catalog import CROSS_FUNCTION_NOTE
-from tidewatch.functions.jsparse import JsSyntaxError, parse
-from tidewatch.operators.facts_js import extract_js
-from tidewatch.plans import brute_js
-from tidewatch.plans.scan import scan_sources
-from tidewatch.plans.templates_js import JS_TEMPLATES
+from tidewatch.operators.facts_js import extract_js_facts
 
 FEATURES = """export function exported(a, b) { return a + b; }
 export default function () { return 1; }
@@ -23,158 +15,70 @@ export class Widget {
   static create(opts = {}) { return new Widget(); }
 }
 function withDefaults(a, b = 2, ...rest) { return [a, b, ...rest]; }
+function pattern({a,b}, [c]) {}
 """
 
 TS = """export function typed(id: number, name?: string, ...more: string[]): void {}
 class Box<T> { private value: T; constructor(public readonly v: T) {} get(): T { return this.v; } }
 """
 
-
-def test_inventory_features():
-    f = extract_js(FEATURES)
-    inv = [(x["name"], x["params"], x["is_method"], x["parent_class"], x["start_line"]) for x in f["inventory"]]
-    # an anonymous default export is an expression, not a declaration: not listed
-    assert inv == [("exported", ["a", "b"], False, None, 1),
-                   ("arrow", ["x"], False, None, 3), ("single", [], False, None, 4),
-                   ("method", [], True, "Widget", 6), ("onClick", ["event"], True, "Widget", 7),
-                   ("create", ["opts"], True, "Widget", 8), ("withDefaults", ["a", "b", "...rest"], False, None, 10)]
-    assert [(c["name"], c["methods"], c["start_line"], c["end_line"]) for c in f["classes"]] == \
-        [("Widget", ["method", "onClick", "create"], 5, 9)]
-    t = extract_js(TS)
-    assert t["parse_error"] is None
-    assert t["inventory"][0]["params"] == ["id", "name", "...more"]
-    assert [x["name"] for x in t["inventory"]] == ["typed", "constructor", "get"]
-    assert [c["name"] for c in t["classes"]] == ["Box"]
-
-
-def test_parse_errors():
-    for bad in ["function (", "const x = ;", "let s = 'abc", "<div>{x}</div>", "a = `${b`"]:
-        with pytest.raises(JsSyntaxError):
-            parse(bad)
-    assert extract_js("// only a comment\n")["parse_error"] is None
-    assert extract_js("if (x {")["parse_error"].startswith("syntax error")
-
-
-def _rows(spark, files):
-    res = scan_sources(source_df(spark, files))
-    return res.findings.select("file", "line", "function", "rule_id", "description", "ord").collect()
-
-
-def _expected(files):
-    out = []
-    for path, src in files.items():
-        for f in brute_js.analyse(src)["findings"]:
-            out.append((path, f["line"], f["function"], f["rule_id"], f["via_param"], f["ord"]))
-    return sorted(out, key=repr)
-
-
-def _actual(rows):
-    return sorted(((r.file, r.line, r.function, r.rule_id, r.description.endswith(CROSS_FUNCTION_NOTE), r.ord)
-                   for r in rows), key=repr)
-
-
-def test_js_templates_match_checker(spark):
-    files = {f"t{i}{ext}": src.replace("{SECRET}", "0123456789abcdef") for i, (ext, src) in enumerate(JS_TEMPLATES)}
-    rows = _rows(spark, files)
-    assert _actual(rows) == _expected(files)
-    assert {r.rule_id for r in rows} >= {"sql-injection-string-build", "command-injection-js-exec",
-                                         "dangerous-eval-exec", "xss-innerhtml-assignment", "insecure-cors-wildcard",
-                                         "jwt-none-algorithm", "path-traversal-fs", "cookie-missing-secure-flag",
-                                         "hardcoded-secret", "insecure-random-token", "weak-crypto-hash"}
-
-
-def _random_js(rng):
-    names, funcs = ["a", "b", "q", "s"], ["f0", "f1", "f2"]
-
-    def stmt(ind, params):
-        v, w = rng.choice(names + params), rng.choice(names + params)
-        k = rng.randrange(9)
-        return ind + [f"let {v}x = 'p' + {w};", f"{v} = {w};", f"{v} = `t${{{w}}}`;", f"{v} = clean({w});",
-                      f"db.query({v});", f"fs.readFile({v}, cb);", f"{rng.choice(funcs)}({v}, 'x' + {w});",
-                      f"cp.exec({v});", f"let {v}y;"][k]
-
-    lines = []
-    for fn in funcs:
-        params = rng.sample(["x", "y", "z"], rng.randrange(1, 3))
-        if rng.random() < 0.5:
-            lines.append(f"function {fn}({', '.join(params)}) {{")
-        else:
-            lines.append(f"const {fn} = ({', '.join(params)}) => {{")
-        for _ in range(rng.randrange(2, 7)):
-            lines.append(stmt("  ", params))
-        lines.append("};" if lines[-1] and "=>" in "".join(lines[-8:]) and False else "}")
-    for _ in range(rng.randrange(1, 5)):
-        lines.append(stmt("", []))
-    return "\n".join(lines) + "\n"
-
-
-@pytest.mark.parametrize("seed", [3, 4])
-def test_random_js_programs_match_checker(spark, seed):
-    rng = random.Random(seed)
-    files = {f"r{seed}_{i}.js": _random_js(rng) for i in range(60)}
-    for src in files.values():
-        assert brute_js.analyse(src)["parse_error"] is None, src
-    rows = _rows(spark, files)
-    assert _actual(rows) == _expected(files)
-    assert any(x[4] for x in _expected(files))
-
-
-# ES2020+ and TypeScript forms the parser must accept (own samples).
-SYNTAX_FORMS = [
- "class A { #m() { return 1; } get x() { return this.#m(); } set x(v) {} static { init(); } }",
- "const o = { get a() { return 1; }, set a(v) {}, async *gen() {}, [k]: 1, 'q': 2, ...rest };",
- "run(async () => { await x; }, async function named() {});",
- "a?.b(); a?.[k]; x ??= 1; y **= 2; z ||= 3;",
- "outer: for (const x of xs) { continue outer; }",
- "for await (const c of stream) {}",
- "f(...args, ...more);",
- "function g({ a, b = 2 }, [c, d], ...rest) {}",
- "const h = ({ a, b }) => a + b;",
- "x = a / b / c; y = (a) / 2; const r = /ab\\/c/g.test(s); if (/x/.test(s)) {}",
- "const t = `a ${`b ${c}`} d`;",
- "export * from './m'; export * as ns from './n'; export { a as b } from './c';",
- "const m = await import('./mod');",
- "enum Color { Red = 1, Green }",
- "declare module 'x' { export function f(): void; }",
- "abstract class S { abstract run(): void; protected x?: number; }",
- "const c = [1, 2] as const;",
- "function id<T = string>(x: T): T { return x; }",
- "function over(a: string): void; function over(a: any) {}",
- "@Component({ selector: 'x' }) class Cmp { @Input() name: string; constructor(@Inject(T) private t: T) {} }",
- "let v!: number; const w = obj!.prop; const u = arr![0];",
- "interface I { [key: string]: number; f?(a: number): void }",
- "type K = keyof typeof obj; type F = (a: number) => void; type G = new () => X;",
- "const gen = <T,>(x: T) => x;",
- "const s = cfg satisfies Config;",
- "if (a) b(); else if (c) d(); else { e(); }",
- "switch (x) { case 'a': { f(); break; } default: }",
- "try { f() } catch { g() }",
- "const big = 10n ** 20n; const hex = 0xFF_FF;",
- "a = b ? c : d ? e : f;",
- "x = typeof y === 'undefined' ? void 0 : delete z[k];",
- "new Foo; new Foo.Bar(1); new (getClass())();",
- "const { a: { b } = {} } = obj;",
- "class B extends mixin(A, C) { constructor() { super(); super.x(); } }",
- "function* g() { const x = yield; yield* other(); }",
- "let x = 1\nlet y = 2\n(function(){})()",
- "export default class extends Base {}",
- "export const enum E { A }",
- "import type { T } from './t'; import def, { a } from 'm'; import * as ns from 'n';",
- "obj.if = 1; obj.class = 2; x = obj.new;",
- "const re = x.replace(/\\s+/g, ' ').split(/,/);",
- "label: { break label; }",
- "while (i--) {}",
- "const fn = function* () {};",
- "var a = 1, b = 2, c;",
- "const arr = [, , 1];",
- "let o = { async: 1, get: 2, set: 3, static: 4 };",
- "return_ = a => ({ b: a });",
- "const p: Promise<Array<Map<string, number>>> = load();",
- "function f(this: Window, ...a: number[]) {}",
- "class C { private readonly x = 1; static async m<T>(a?: T): Promise<void> {} }",
+# Each form holds one sink that must be seen, whatever stands around it.
+FORMS = [
+    "class A { #m() { return 1; } get x() { return this.#m(); } set x(v) {} static { init(); } }",
+    "const o = { get a() { return 1; }, set a(v) {}, async *gen() {}, [k]: 1, 'q': 2, ...rest };",
+    "a?.b(); a?.[k]; x ??= 1; y **= 2; z ||= 3;",
+    "outer: for (const x of xs) { continue outer; }",
+    "for await (const c of stream) {}",
+    "function g({ a, b = 2 }, [c, d], ...rest) {}",
+    "x = a / b / c; y = (a) / 2; const r = /ab\\/c/g.test(s); if (/x['\"]/.test(s)) {}",
+    "const t = `a ${`b ${c}`} d`;",
+    "enum Color { Red = 1, Green }",
+    "declare module 'x' { export function f(): void; }",
+    "function over(a: string): void; function over(a: any) {}",
+    "@Component({ selector: 'x' }) class Cmp { @Input() name: string; constructor(@Inject(T) private t: T) {} }",
+    "type K = keyof typeof obj; type F = (a: number) => void; type G = new () => X;",
+    "switch (x) { case 'a': { f(); break; } default: }",
+    "class B extends mixin(A, C) { constructor() { super(); super.x(); } }",
+    "let x = 1\nlet y = 2\nvar z = (function(){})()",
+    "const v = <div className='x'>it's {a} &amp; don't</div>;",
+    "const p: Promise<Array<Map<string, number>>> = load();",
+    "obj.if = 1; obj.class = 2; x = obj.new;",
 ]
 
 
-@pytest.mark.parametrize("src", SYNTAX_FORMS)
-def test_syntax_forms_parse(src):
-    parse(src)
+@pytest.fixture(scope="module")
+def facts(spark):
+    files = {"f.js": FEATURES, "t.ts": TS, "empty.js": "", "open.js": "if (x {", "nul.js": "\0 'a", "words.tsx": "<<<<< not code `"}
+    files |= {f"form{i}.tsx": f"#!/bin/x\n{s}\ncp.exec('ls ' + arg{i});\n" for i, s in enumerate(FORMS)}
+    return [r.asDict(recursive=True) for r in extract_js_facts(source_df(spark, files)).collect()]
+
+
+def of(facts, path, kind):
+    return [r for r in facts if r["path"] == path and r["kind"] == kind]
+
+
+def test_inventory(facts):
+    inv = sorted((r["start_line"], r["name"], r["params"], r["is_method"], r["parent_class"]) for r in of(facts, "f.js", "inventory"))
+    # An anonymous default export is an expression, not a declaration: not listed.
+    assert inv == [(1, "exported", ["a", "b"], False, None), (3, "arrow", ["x"], False, None), (4, "single", [], False, None),
+                   (6, "method", [], True, "Widget"), (7, "onClick", ["event"], True, "Widget"), (8, "create", ["opts"], True, "Widget"),
+                   (10, "withDefaults", ["a", "b", "...rest"], False, None), (11, "pattern", ["{a,b}", "[c]"], False, None)]
+    assert [(r["name"], r["methods"], r["start_line"], r["end_line"]) for r in of(facts, "f.js", "class")] == [
+        ("Widget", ["method", "onClick", "create"], 5, 9)]
+
+
+def test_typescript(facts):
+    inv = {r["name"]: r["params"] for r in of(facts, "t.ts", "inventory")}
+    assert inv == {"typed": ["id", "name", "...more"], "constructor": ["v"], "get": []}
+
+
+def test_every_file_is_listed(facts):
+    errors = {r["path"]: r["parse_error"] for r in facts if r["kind"] == "file"}
+    assert errors["empty.js"] is None and errors["open.js"] and set(errors) >= {"nul.js", "words.tsx", "f.js"}
+    assert len(errors) == 6 + len(FORMS)
+
+
+@pytest.mark.parametrize("i", range(len(FORMS)))
+def test_no_form_hides_the_sink_after_it(facts, i):
+    calls = [r for r in of(facts, f"form{i}.tsx", "call") if r["name"] == "exec"]
+    assert [(c["root"], c["args"][0]["kind"], c["func_name"]) for c in calls] == [("cp", "dynamic", None)], FORMS[i]

@@ -1,7 +1,5 @@
 """Rule statistics, scan history and the trailing-window admission."""
 
-import os
-import tempfile
 from collections import defaultdict, deque
 
 import pytest
@@ -49,24 +47,34 @@ def test_admission_null_client_and_exact_window(spark):
 
 
 def test_streaming_admission_equals_batch(spark, sf):
-    from tidewatch.streaming.ratelimit import admit_batch_of_files
-    ev = tables.read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
-    scratch = tempfile.mkdtemp(prefix="tw-stream-", dir="/tmp")
-    days = [r.d for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
-    chunks = [days[i:i + 10] for i in range(0, len(days), 10)]
-    paths = []
-    for i, ch in enumerate(chunks):
-        p = os.path.join(scratch, f"in{i}")
-        ev.filter(F.to_date("ts").isin(ch)).write.parquet(p)
-        paths += sorted(os.path.join(p, f) for f in os.listdir(p) if f.endswith(".parquet"))
-    out = admit_batch_of_files(spark, paths, ev.schema, 86400, 3, ["click", "purchase", "view"], scratch,
-                               client_col="user_id", path_col="event_type")
-    stream = {r.event_id: r.admitted for r in out.collect()}
-    batch = {r.event_id: r.admitted for r in ratelimit.admit(ev, 86400, 3, ["click", "purchase", "view"],
-                                                             client_col="user_id", path_col="event_type").collect()}
+    from tidewatch.streaming.ratelimit import replay_admission
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "ts")
+    paths = ["click", "purchase", "view"]
+    cols = {"client_col": "user_id", "path_col": "event_type"}
+    batch = {r.event_id: r.admitted for r in ratelimit.admit(ev, 86400, 3, paths, **cols).collect()}
+    stream = {r.event_id: r.admitted for r in replay_admission(ev, 86400, 3, paths, **cols).collect()}
     assert stream == batch
 
 
+def test_stream_decides_late_events(spark):
+    """Every event gets a row, however late it comes."""
+    import uuid
+
+    from tidewatch.session import checkpoint_dir
+    from tidewatch.streaming.ratelimit import OUTPUT_SCHEMA, admit_stream
+    root = f"{checkpoint_dir(spark)}/late-{uuid.uuid4().hex}"
+    schema = "event_id long, client string, path string, ts timestamp"
+    for rows in ([(1, "c", "p", 1_000_000), (2, "c", "p", 1_000_010)], [(3, "c", "p", 10), (4, None, "p", 20), (5, "c", "p", 1_000_020)]):
+        spark.createDataFrame(rows, "event_id long, client string, path string, s long").selectExpr(
+            "event_id", "client", "path", "timestamp_seconds(s) AS ts").write.mode("append").parquet(f"{root}/in")
+        q = admit_stream(spark.readStream.schema(schema).parquet(f"{root}/in"), 60, 2, ["p"]).writeStream.format("parquet").option(
+            "path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.event_id: (r.client, r.admitted) for r in spark.read.schema(OUTPUT_SCHEMA).parquet(f"{root}/out").collect()}
+    # The late event 3 meets two admitted entries in the state.
+    assert got == {1: ("c", True), 2: ("c", True), 3: ("c", False), 4: ("unknown", True), 5: ("c", False)}
+
+
 def test_rule_stats_rounding_and_review(spark):
     rows = [("a", 1)] * 2 + [("a", 0)] * 1 + [("b", 0)] * 5 + [("b", 1)] * 2 + [("c", 0)]
     v = spark.createDataFrame(rows, "rule_id string, verified int")

@@ -97,3 +97,34 @@ def test_history_append(spark, sf):
     assert [(r.repository, r.candidate_finding_count, r.verified_finding_count, r.risk_score) for r in s] == \
         [("demo", 2, 2, 20)]
     assert verdicts.PROMPT_VERSION
+
+
+def test_tree_of_checkouts_and_clean_sarif(spark):
+    root = tempfile.mkdtemp(prefix="tw-tree-", dir="/tmp")
+    for repo, text in (("one", "eval(x)\n"), ("two", "y = 1\n")):
+        os.makedirs(os.path.join(root, repo, "src"))
+        open(os.path.join(root, repo, "src", "m.py"), "w").write(text)
+    src = files.read_source_tree(spark, root)
+    assert sorted((r.repo, r.path) for r in src.collect()) == [("one", "src/m.py"), ("two", "src/m.py")]
+    found = scan_sources(src, already_discovered=True).findings
+    docs = {r.repo: json.loads(r.document) for r in reports.sarif_documents(found, src).collect()}
+    assert len(docs["one"]["runs"][0]["results"]) == 1
+    assert docs["two"]["runs"][0]["results"] == [] and docs["two"]["runs"][0]["tool"]["driver"]["rules"] == []
+
+
+def test_review_survives_a_failed_history(spark, monkeypatch):
+    from tidewatch.plans.flows import review_flow
+    from tidewatch.sources import stores
+    root = tempfile.mkdtemp(prefix="tw-tree-", dir="/tmp")
+    open(os.path.join(root, "m.py"), "w").write("eval(x)\n")
+    res = scan_sources(files.read_source_tree(spark, root, repo="demo"), already_discovered=True)
+
+    def broken(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(stores, "record_scans", broken)
+    silent = lambda prompts, batched: batched.selectExpr("batch_id", "cast(null as string) as doc").limit(0)
+    out = review_flow(res.findings, res.files, spark.createDataFrame([], stores.CACHE_SCHEMA), silent, history=root + "/history")
+    assert out.dismissed.count() == 1 and out.verified.count() == 0
+    assert len(out.warnings) == 1 and "disk full" in out.warnings[0]
+    assert stores.read_history(spark, root + "/history/validations", stores.VALIDATIONS_SCHEMA).count() == 1

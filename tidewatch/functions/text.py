@@ -47,7 +47,3 @@ def redact(snip: Column, literal: Column) -> Column:
     """Replace every occurrence of the literal (as text, not a pattern)."""
     return F.when(literal.isNull() | (literal == F.lit("")), snip).otherwise(
         F.replace(snip, literal, F.lit(REDACTED)))
-
-
-def is_secret_name(name: Column) -> Column:
-    return name.rlike(SECRET_NAME_RE)

@@ -33,7 +33,7 @@ FUNCTION = T.StructType([
     T.StructField("scope_id", T.IntegerType()), T.StructField("is_top_level", T.BooleanType()),
     T.StructField("is_method", T.BooleanType()), T.StructField("parent_class", T.StringType()),
     T.StructField("params", T.ArrayType(T.StringType())), T.StructField("start_line", T.IntegerType()),
-    T.StructField("end_line", T.IntegerType())])
+    T.StructField("end_line", T.IntegerType()), T.StructField("local_name", T.StringType())])
 CLASS = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("start_line", T.IntegerType()),
     T.StructField("end_line", T.IntegerType()), T.StructField("methods", T.ArrayType(T.StringType()))])
@@ -64,6 +64,14 @@ def _clean(s):
         return s.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
 
 
+def _literal_text(value) -> str:
+    """repr of a literal; an integer too long to print in decimal is printed in hex."""
+    try:
+        return _clean(repr(value))
+    except ValueError:
+        return hex(value) if isinstance(value, int) else type(value).__name__
+
+
 def expr_fact(node: ast.AST) -> dict:
     """Kind + payload of an expression (the vocabulary of the rules)."""
     kind, literal, ident, attr = "other", None, None, None
@@ -77,7 +85,7 @@ def expr_fact(node: ast.AST) -> dict:
         if isinstance(node.value, str):
             kind, literal = "str_literal", _clean(node.value)
         else:
-            kind, literal = "other_literal", _clean(repr(node.value))
+            kind, literal = "other_literal", _literal_text(node.value)
     elif isinstance(node, ast.Name):
         kind, ident = "ident", node.id
     elif isinstance(node, ast.Attribute):
@@ -117,12 +125,12 @@ def extract(source: str) -> dict:
     except SyntaxError as e:
         out["parse_error"] = _clean(f"syntax error: {e.msg} at line {e.lineno}")
         return out
-    except (ValueError, RecursionError, MemoryError, OverflowError) as e:
+    except Exception as e:  # one file never fails the job; the inventory counts it with its reason
         out["parse_error"] = _clean(f"could not parse: {type(e).__name__}")
         return out
     try:
         _walk(tree, out)
-    except (RecursionError, MemoryError) as e:
+    except Exception as e:
         for k in ("functions", "classes", "calls", "assigns", "inventory"):
             out[k] = []
         out["parse_error"] = f"could not walk: {type(e).__name__}"
@@ -151,7 +159,7 @@ def _walk(tree: ast.Module, out: dict) -> None:
         child_scope, child_fname = scope, fname
         if isinstance(node, _FUNC_NODES):
             out["functions"].append({
-                "func_id": me, "name": node.name, "scope_id": scope,
+                "func_id": me, "name": node.name, "local_name": node.name, "scope_id": scope,
                 "is_top_level": id(node) in top_level, "is_method": id(node) in method_parent,
                 "parent_class": method_parent.get(id(node)),
                 "params": [a.arg for a in node.args.args],
@@ -215,34 +223,38 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     from pyspark.sql.pandas.types import to_arrow_schema
     schema = to_arrow_schema(FLAT_SCHEMA)
     for batch in batches:
-        cols = batch.to_pydict()
+        # One file after the other: a batch of files is never held as Python objects.
+        columns = [batch.column(c) for c in ("repo", "path", "language", "content")]
         rows = []
-        for repo, path, lang, content in zip(cols["repo"], cols["path"], cols["language"], cols["content"]):
-            if lang == "Python":
-                facts = extract(content or "")
-            else:
-                from tidewatch.operators.facts_js import extract_js
-                facts = extract_js(content or "")
-            rows.extend(_flat_rows(repo, path, lang, facts))
+        for i in range(batch.num_rows):
+            repo, path, lang, content = (c[i].as_py() for c in columns)
+            rows.extend(_flat_rows(repo, path, lang, extract(content or "")))
+            if len(rows) >= FLUSH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+FLUSH_ROWS = 20_000
 CODE_LANGUAGES = ("Python", "JavaScript", "TypeScript")
 
 
 def extract_python_facts(sources: DataFrame) -> DataFrame:
-    """(repo, path, language, content) of Python / JS / TS files -> flat fact rows."""
+    """(repo, path, language, content) of Python files -> flat fact rows."""
     from tidewatch.session import ship_package
     ship_package(sources.sparkSession)
-    src = sources.filter(F.col("language").isin(*CODE_LANGUAGES)).select("repo", "path", "language", "content")
+    src = sources.filter(F.col("language") == "Python").select("repo", "path", "language", "content")
     return src.mapInArrow(_flat_batches, FLAT_SCHEMA)
 
 
-extract_facts = extract_python_facts
-
-
-def write_facts(facts: DataFrame, path: str) -> None:
-    facts.write.mode("error").partitionBy("kind").parquet(path)
+def extract_facts(sources: DataFrame) -> DataFrame:
+    """Flat fact rows of all code files: Python by one pass over ``ast`` per
+    file, JavaScript and TypeScript from the token table."""
+    from tidewatch.operators.facts_js import extract_js_facts
+    js = extract_js_facts(sources)
+    have = set(js.columns)
+    js = js.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in FLAT_SCHEMA.fields])
+    return extract_python_facts(sources).unionByName(js)
 
 
 # -- fact tables (partition-pruned reads of the flat facts) --------------------

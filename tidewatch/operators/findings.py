@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.catalog import CROSS_FUNCTION_NOTE, RULES
+from tidewatch.catalog import CROSS_FUNCTION_NOTE, RULES, rules_df
 from tidewatch.functions.text import REDACTED, loc_from_lines, redact, snippet, split_lines
 
 FINDING_COLUMNS = ("repo", "file", "line", "function", "rule_id", "title", "severity", "cwe",
@@ -32,32 +32,22 @@ def drop_disabled(candidates: DataFrame, disabled: str | Iterable[str] | None) -
     return candidates.filter(~F.col("rule_id").isin(ids)) if ids else candidates
 
 
-def rule_meta(rule_id):
-    """Rule metadata as a literal map lookup: the dimension has a fixed size of 19
-    rows, so it is folded into the projection instead of being joined."""
-    entries = []
-    for r in RULES:
-        entries += [F.lit(r.rule_id), F.struct(
-            F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"),
-            F.lit(r.cwe).alias("cwe"), F.lit(r.owasp).alias("owasp"),
-            F.lit(r.description).alias("description"), F.lit(r.remediation).alias("remediation"))]
-    return F.try_element_at(F.create_map(*entries), rule_id)
-
-
-def attach_metadata(candidates: DataFrame, disabled: str | Iterable[str] | None = None) -> DataFrame:
+def attach_metadata(candidates: DataFrame, disabled: str | Iterable[str] | None = None, only_rule: str | None = None) -> DataFrame:
     """Add title, severity, CWE, OWASP, description (+ cross-function note) and
-    remediation; unknown rule ids are dropped (inner-join semantics)."""
+    remediation; unknown rule ids are dropped.  The dimension has 19 rows, so
+    broadcasting it is bounded; candidates that are all of ``only_rule`` get its row as literals."""
     cand = drop_disabled(candidates, disabled)
     if "via_param" not in cand.columns:
         cand = cand.withColumn("via_param", F.lit(False))
-    meta = rule_meta(F.col("rule_id"))
-    return cand.filter(meta.isNotNull()).select(
-        "repo", "file", F.col("line").cast("int").alias("line"), "function", "rule_id",
-        meta["title"].alias("title"), meta["severity"].alias("severity"), meta["cwe"].alias("cwe"),
-        meta["owasp"].alias("owasp"), "snippet",
-        F.when(F.col("via_param"), F.concat(meta["description"], F.lit(CROSS_FUNCTION_NOTE)))
-         .otherwise(meta["description"]).alias("description"),
-        meta["remediation"].alias("remediation"), F.col("ord").cast("long").alias("ord"),
+    if only_rule is not None:
+        r = next(r for r in RULES if r.rule_id == only_rule)
+        j = cand.withColumns({c: F.lit(getattr(r, c)).cast("string") for c in ("title", "severity", "cwe", "owasp", "description", "remediation")})
+    else:
+        j = cand.join(F.broadcast(rules_df(cand.sparkSession)), "rule_id")
+    return j.select(
+        "repo", "file", F.col("line").cast("int").alias("line"), "function", "rule_id", "title", "severity", "cwe", "owasp", "snippet",
+        F.when(F.col("via_param"), F.concat("description", F.lit(CROSS_FUNCTION_NOTE))).otherwise(F.col("description")).alias("description"),
+        "remediation", F.col("ord").cast("long").alias("ord"),
     )
 
 

@@ -93,4 +93,4 @@ def secret_candidates(sources: DataFrame) -> DataFrame:
 
 def scan_secrets(sources: DataFrame, disabled: str | Iterable[str] | None = None) -> DataFrame:
     """Lexical hard-coded secret findings for a source table."""
-    return attach_metadata(secret_candidates(sources), disabled)
+    return attach_metadata(secret_candidates(sources), disabled, only_rule="hardcoded-secret")

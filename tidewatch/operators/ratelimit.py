@@ -40,12 +40,22 @@ UNKNOWN_CLIENT = "unknown"
 OUT_SCHEMA = "event_id long, client string, admitted boolean"
 
 
+def micros(events: DataFrame, ts_col: str):
+    """Microseconds since 1970 of a time column.  A time without zone is read as UTC
+    from its own fields, whatever the session's zone."""
+    if events.schema[ts_col].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(F.col(ts_col).cast("timestamp"))
+    c = F.col(ts_col)
+    seconds = F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c).cast("long") * 3600 + F.minute(c).cast("long") * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECONDS"), c) * 1_000_000).cast("long")
+
+
 def _prepare(events: DataFrame, client_col: str, path_col: str, ts_col: str, id_col: str,
              counted_paths: Sequence[str]) -> DataFrame:
     return (events.filter(F.col(path_col).isin(list(counted_paths)))
             .select(F.col(id_col).alias("event_id"),
                     F.coalesce(F.col(client_col).cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"),
-                    F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t")))
+                    micros(events, ts_col).alias("t")))
 
 
 def _bucketed(ev: DataFrame, window_us: int) -> DataFrame:

@@ -49,13 +49,6 @@ def taint_sink_condition():
     return rule, sql | exe | fs
 
 
-def taint_seq(rule_col):
-    s = F.lit(0)
-    for r in TAINT_RULES:
-        s = F.when(rule_col == r, F.lit(CALL_SEQ[r])).otherwise(s)
-    return s
-
-
 def plain_candidates(calls: DataFrame, assigns: DataFrame, pairs: DataFrame, news: DataFrame) -> DataFrame:
     """Every JS/TS rule that does not depend on taint (pass 1)."""
     member, name, n = F.col("shape") == "attr", F.col("name"), F.size("args")

@@ -153,9 +153,9 @@ def local_function_params(functions: DataFrame) -> DataFrame:
     """Top-level functions (classes' methods and nested ones excluded),
     the later definition of a name wins; (repo, path, callee, idx, param)."""
     top = functions.filter(F.col("is_top_level"))
-    w = Window.partitionBy(*FILE, "name").orderBy(F.col("func_id").desc())
+    w = Window.partitionBy(*FILE, "local_name").orderBy(F.col("func_id").desc())
     last = top.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1)
-    return last.select(*FILE, F.col("name").alias("callee"), F.posexplode("params").alias("idx", "param"))
+    return last.select(*FILE, F.col("local_name").alias("callee"), F.posexplode("params").alias("idx", "param"))
 
 
 def call_taint(calls: DataFrame, tainted_args: DataFrame) -> DataFrame:
@@ -174,21 +174,14 @@ def seeds(call_taint_df: DataFrame, params: DataFrame) -> DataFrame:
             .select(*FILE, "callee", "param").distinct())
 
 
-def python_candidates(functions: DataFrame, calls: DataFrame, assigns: DataFrame,
-                      disabled: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """All Python candidates after the two passes and the conditional dedupe."""
-    plain = assign_candidates(assigns).unionByName(plain_call_candidates(calls))
-    return assemble(functions, calls, assigns, plain, None, None, disabled)
-
-
 def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain: DataFrame, sink, seq_of,
              disabled=()) -> DataFrame:
     """Two passes + conditional dedupe (T5-T8), shared by Python and JS.
 
     ``plain`` are the pass-1 candidates of rules that do not depend on taint;
     ``sink`` / ``seq_of`` describe the language's taint sinks.  Definitions are
-    resolved once for both passes (see ``taint``): pass 1 grows the tainted
-    set from gen defs, pass 2 continues it from the seeded parameter defs.
+    resolved to their roots once for both passes (see ``taint``): pass 1 taints gen
+    defs, pass 2 the seeded parameter defs as well.
     Columns: repo, file, line, function, rule_id, ord, pass, literal, via_param.
     """
     params = local_function_params(functions)
@@ -200,14 +193,16 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
                        F.lit("param").alias("kind"), F.lit(None).cast("string").alias("src"),
                        F.lit(True).alias("single"), "callee"))
     defs = taint.definitions(assigns).withColumn("callee", F.lit(None).cast("string")).unionByName(virtual)
-    top_names = functions.filter(F.col("is_top_level")).select(*FILE, "name")
+    top_names = functions.filter(F.col("is_top_level")).select(*FILE, F.col("local_name").alias("name"))
     queries = taint.link_queries(defs).unionByName(sink_queries(calls, top_names, sink))
     checkpoint_dir(functions.sparkSession)
     resolved = materialize(taint.resolve(defs, queries), "taint-resolved")
-    edges = taint.link_edges(resolved)
-    sinks = resolved.filter(F.col("qkind") == "sink")
+    links = taint.resolve_links(taint.link_edges(resolved))
+    # Rooted once; both passes only ask which roots are tainted.
+    sinks = materialize(taint.rooted(resolved.filter(F.col("qkind") == "sink"), links), "taint-sinks")
 
-    tainted1 = taint.closure(edges, defs.filter(F.col("kind") == "gen"))
+    gens = defs.filter(F.col("kind") == "gen").select(*taint.DEF_KEY)
+    tainted1 = links.tainted(gens)
     args1 = taint.taint_of(sinks, tainted1)
     pass1 = plain.unionByName(taint_candidates(calls, args1, 1, sink, seq_of))
 
@@ -226,7 +221,7 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     # change; only the taint rules can differ from pass 1).
     seed_defs = virtual.join(seed_rows.select(*FILE, "callee", F.col("param").alias("var")),
                              FILE + ["callee", "var"], "left_semi")
-    tainted2 = taint.closure(edges, seed_defs, known=tainted1)
+    tainted2 = links.tainted(gens.unionByName(seed_defs.select(*taint.DEF_KEY)))
     calls2 = calls.join(seeded_files, FILE, "left_semi")
     args2 = taint.taint_of(sinks.join(seeded_files, FILE, "left_semi"), tainted2)
     pass2 = taint_candidates(calls2, args2, 2, sink, seq_of)

@@ -19,22 +19,27 @@ invisible inside a function):
 * a ``gen`` def is tainted; an ``alias`` def is tainted iff the def reaching
   its ``src`` is tainted, or - for a multi-target alias - the previous def of
   its own target is (the reference leaves such targets untouched);
-* tainted defs = reachability over those links, grown semi-naively (join the
-  frontier, anti-join the known set) until no new def appears.  Links always
-  point to a smaller ``pos``, so there are no cycles.  The resolved links and
-  each round's new defs are written to the shared checkpoint folder, so the
-  loop's lineage stays a union of file scans.
+* an alias with one target has exactly one link, so chains of them are resolved by
+  pointer doubling: every round each def jumps to its link's link, and a chain of n
+  steps is settled after log2(n) rounds.  What remains are roots: defs without a
+  link, and multi-target aliases (two links).  Taint is decided on roots, for
+  both passes from the same resolved links; only links among multi-target
+  aliases are followed one by one.  Links always point to a smaller ``pos``, so
+  there are no cycles.  Every round is a written table in the shared folder.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import checkpoint_dir, materialize
 
 FILE = ["repo", "path"]
-DEF_KEY = ["repo", "path", "scope_id", "var", "pos"]
+SCOPE = FILE + ["scope_id"]
+DEF_KEY = SCOPE + ["var", "pos"]
 
 
 def definitions(assigns: DataFrame) -> DataFrame:
@@ -85,54 +90,72 @@ def link_edges(resolved: DataFrame) -> DataFrame:
                     F.col("var").alias("t_var"), F.col("def_pos").alias("t_pos")))
 
 
-def closure(edges: DataFrame, start: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Defs reachable from ``start`` over the edges, plus ``known`` (semi-naive,
-    two hops per round, until a round adds nothing; T4)."""
-    tainted = start.select(*DEF_KEY).distinct()
-    if known is not None:
-        tainted = known.unionByName(tainted.join(known, DEF_KEY, "left_anti"))
-        frontier = start.select(*DEF_KEY).distinct().join(known, DEF_KEY, "left_anti")
-    else:
-        frontier = tainted
+@dataclass
+class Links:
+    """Resolved links: single-link defs with their root, and multi-target aliases."""
+    roots: DataFrame   # DEF_KEY, r_var, r_pos
+    multi: DataFrame   # DEF_KEY, t_var, t_pos (targets already roots)
+    has_multi: bool
+
+    def tainted(self, start: DataFrame) -> DataFrame:
+        """Roots that are tainted when the defs ``start`` are (T4)."""
+        known = start.select(*DEF_KEY).distinct()
+        while self.has_multi:
+            k = known.select(*SCOPE, F.col("var").alias("t_var"), F.col("pos").alias("t_pos"))
+            new = self.multi.join(k, SCOPE + ["t_var", "t_pos"], "left_semi").select(*DEF_KEY).distinct()
+            new = materialize(new.join(known, DEF_KEY, "left_anti"), "taint-new")
+            if new.isEmpty():
+                break
+            known = known.unionByName(new)
+        return known
+
+
+def resolve_links(edges: DataFrame) -> Links:
+    """Follow single links to their roots in a logarithmic number of rounds."""
+    targets = edges.groupBy(*DEF_KEY).agg(F.collect_set(F.struct("t_var", "t_pos")).alias("to"))  # at most two
+    targets = materialize(targets, "taint-links")
+    at = targets.filter(F.size("to") == 1).select(*DEF_KEY, F.col("to")[0]["t_var"].alias("r_var"), F.col("to")[0]["t_pos"].alias("r_pos"))
+    settled, open_ = None, at
     while True:
-        # two hops per round (fewer jobs); still exact: rounds go on until
-        # a round adds nothing
-        hop1 = _hop(edges, frontier)
-        hop2 = _hop(edges, hop1)
-        new = materialize(hop1.unionByName(hop2).distinct().join(tainted, DEF_KEY, "left_anti"), "taint-new")
-        if new.isEmpty():
+        step = at.select(*SCOPE, F.col("var").alias("r_var"), F.col("pos").alias("r_pos"), F.col("r_var").alias("n_var"), F.col("r_pos").alias("n_pos"))
+        jump = open_.join(step, SCOPE + ["r_var", "r_pos"], "left").select(
+            *DEF_KEY, F.coalesce("n_var", "r_var").alias("r_var"), F.coalesce("n_pos", "r_pos").alias("r_pos"), F.col("n_pos").isNotNull().alias("moved"))
+        jump = materialize(jump, "taint-jumps")
+        # Defs that did not move stand at their root; only the others go on.
+        done = jump.filter(~F.col("moved")).drop("moved")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = jump.filter("moved").drop("moved")
+        if open_.isEmpty():
             break
-        tainted = tainted.unionByName(new)
-        frontier = new
-    return tainted
-
-
-def tainted_definitions(defs: DataFrame, links: DataFrame) -> DataFrame:
-    """Reachability from gen defs over alias links (semi-naive; T4)."""
-    checkpoint_dir(defs.sparkSession)
-    return closure(link_edges(links), defs.filter(F.col("kind") == "gen"))
-
-
-def _hop(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Defs with a link into ``frontier``."""
-    f = frontier.select(*FILE, "scope_id", F.col("var").alias("t_var"), F.col("pos").alias("t_pos"))
-    return edges.join(f, FILE + ["scope_id", "t_var", "t_pos"], "left_semi").select(*DEF_KEY).distinct()
-
-
-def taint_of(resolved: DataFrame, tainted: DataFrame) -> DataFrame:
-    """Mark resolved queries whose reaching def is tainted."""
-    t = tainted.select(*FILE, "scope_id", "var", F.col("pos").alias("def_pos"), F.lit(True).alias("hit"))
-    return (resolved.join(t, FILE + ["scope_id", "var", "def_pos"], "left")
+        at = settled.unionByName(open_)
+    multi = targets.filter(F.size("to") > 1).select(*DEF_KEY, F.explode("to").alias("t")).select(*DEF_KEY, "t.t_var", "t.t_pos")
+    has_multi = not multi.isEmpty()
+    if has_multi:
+        r = settled.select(*SCOPE, F.col("var").alias("t_var"), F.col("pos").alias("t_pos"), "r_var", "r_pos")
+        multi = materialize(multi.join(r, SCOPE + ["t_var", "t_pos"], "left").select(
+            *DEF_KEY, F.coalesce("r_var", "t_var").alias("t_var"), F.coalesce("r_pos", "t_pos").alias("t_pos")), "taint-multi")
+    return Links(settled, multi, has_multi)
+
+
+def rooted(queries: DataFrame, links: Links) -> DataFrame:
+    """Resolved queries with the root of the def that reaches them (r_var, r_pos)."""
+    r = links.roots.select(*SCOPE, "var", F.col("pos").alias("def_pos"), "r_var", "r_pos")
+    q = queries.join(r, SCOPE + ["var", "def_pos"], "left")
+    return q.withColumn("r_var", F.coalesce("r_var", "var")).withColumn("r_pos", F.coalesce("r_pos", "def_pos"))
+
+
+def taint_of(rooted_queries: DataFrame, tainted: DataFrame) -> DataFrame:
+    """Mark rooted queries whose reaching def is tainted."""
+    t = tainted.select(*SCOPE, F.col("var").alias("r_var"), F.col("pos").alias("r_pos"), F.lit(True).alias("hit"))
+    return (rooted_queries.join(t, SCOPE + ["r_var", "r_pos"], "left")
             .withColumn("tainted", F.coalesce(F.col("hit"), F.lit(False))).drop("hit"))
 
 
 def analyse(defs: DataFrame, sink_queries: DataFrame) -> DataFrame:
-    """Resolve links and sinks in one window pass, grow the tainted set, and
+    """Resolve links and sinks in one window pass, decide taint on roots, and
     return the sink queries with a ``tainted`` flag."""
     checkpoint_dir(defs.sparkSession)
     resolved = materialize(resolve(defs, link_queries(defs).unionByName(sink_queries)), "taint-resolved")
-    links = resolved.filter(F.col("qkind").isin("src", "prev"))
-    tainted = tainted_definitions(defs, links)
-    sinks = resolved.filter(~F.col("qkind").isin("src", "prev"))
-    return taint_of(sinks, tainted)
-
+    links = resolve_links(link_edges(resolved))
+    sinks = rooted(resolved.filter(~F.col("qkind").isin("src", "prev")), links)
+    return taint_of(sinks, links.tainted(defs.filter(F.col("kind") == "gen")))

@@ -1,27 +1,22 @@
 """A code corpus derived from ``documents`` (the driver tables hold no code).
 
-Every document becomes one source file: template ``doc_id % 36`` (24 Python
-modules from ``templates_py`` and 12 JS/TS modules from ``templates_js``; each
+Every document becomes one source file: template ``doc_id % K`` (Python
+modules from ``templates_py``, then JS/TS modules from ``templates_js``; each
 one a set of detectors, look-alikes and taint cases), its secret placeholder
 filled with the md5 of the text, followed by the document's *whole* text as
 comment lines.  The corpus grows with
 ``documents``; the same expression is written in DuckDB SQL for the oracles,
-and the expected findings per template come from the sequential checker in
-``plans.brute``.  Every 20th document lands under ``node_modules/`` and the next
+and what each template must give is written out by hand in ``plans.expected``.  Every 20th document lands under ``node_modules/`` and the next
 under ``build/``, which discovery must skip.
 """
 
 from __future__ import annotations
 
-import ast
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import sql_quote
-from tidewatch.operators.facts_js import extract_js
-from tidewatch.plans import brute, brute_js
+from tidewatch.plans.expected import EXPECTED
 from tidewatch.plans.templates_js import JS_TEMPLATES
 from tidewatch.plans.templates_py import PY_TEMPLATES
 from tidewatch.sources import tables
@@ -102,70 +97,36 @@ def _v(x) -> str:
     return sql_quote(x)
 
 
-@lru_cache(maxsize=1)
-def expectations() -> dict:
-    """Per template: findings, seeds, parse error, function and class inventory."""
-    out = {}
-    for tid, (_, _, src) in enumerate(TEMPLATES):
-        if tid >= N_PY:
-            res = brute_js.analyse(src)
-            facts = extract_js(src)
-            inv_f = [(f["name"], f["start_line"], f["end_line"], f["params"], f["is_method"], f["parent_class"])
-                     for f in facts["inventory"]]
-            inv_c = [(c["name"], c["start_line"], c["end_line"], c["methods"]) for c in facts["classes"]]
-            out[tid] = {**res, "functions": inv_f, "classes": inv_c}
-            continue
-        res = brute.analyse(src)
-        inv_f, inv_c = [], []
-        if res["parse_error"] is None:
-            tree = ast.parse(src)
-            for node in tree.body:
-                if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    inv_f.append((node.name, node.lineno, node.end_lineno, [a.arg for a in node.args.args], False, None))
-                elif isinstance(node, ast.ClassDef):
-                    methods = [c for c in node.body if isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef))]
-                    for m in methods:
-                        inv_f.append((m.name, m.lineno, m.end_lineno, [a.arg for a in m.args.args], True, node.name))
-                    inv_c.append((node.name, node.lineno, node.end_lineno, [m.name for m in methods]))
-        out[tid] = {**res, "functions": inv_f, "classes": inv_c}
-    return out
+def _values(key: str, row, names: str) -> str:
+    """The hand-written rows of all templates as a SQL table (tid, ...)."""
+    rows = [f"({tid}, " + ", ".join(row(*r)) + ")" for tid, e in enumerate(EXPECTED) for r in e.get(key, ())]
+    return f"(SELECT * FROM (VALUES {', '.join(rows)}) AS e(tid, {names}))"
 
 
 def findings_values_sql() -> str:
-    rows = []
-    for tid, e in expectations().items():
-        for f in e["findings"]:
-            rows.append(f"({tid}, {f['line']}, {_v(f['function'])}, {_v(f['rule_id'])}, {f['ord']}, "
-                        f"{_v(f['via_param'])}, {_v(f['literal'])})")
-    return ("(SELECT * FROM (VALUES " + ", ".join(rows) +
-            ") AS e(tid, line, function, rule_id, ord, via_param, literal))")
+    """rank: place of the finding among its file's findings."""
+    rows = [f"({tid}, {n}, {line}, {_v(fn)}, {_v(rule)}, {_v(seeded)}, {_v(literal)})"
+            for tid, e in enumerate(EXPECTED) for n, (line, fn, rule, seeded, literal) in enumerate(e.get("findings", ()), 1)]
+    return f"(SELECT * FROM (VALUES {', '.join(rows)}) AS e(tid, rank, line, function, rule_id, via_param, literal))"
 
 
 def seeds_values_sql() -> str:
-    rows = [f"({tid}, {_v(fn)}, {_v(p)})" for tid, e in expectations().items()
-            for fn, ps in sorted(e["seeds"].items()) for p in sorted(ps)]
-    return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS s(tid, callee, param))"
+    return _values("seeds", lambda fn, p: (_v(fn), _v(p)), "callee, param")
 
 
 def call_taint_values_sql() -> str:
-    rows = [f"({tid}, {_v(fn)}, {i})" for tid, e in expectations().items()
-            for fn, idx in sorted(e.get("call_taint", {}).items()) for i in idx]
-    return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS c(tid, callee, idx))"
+    return _values("calls", lambda fn, i: (_v(fn), str(i)), "callee, idx")
 
 
 def functions_values_sql() -> str:
-    rows = [f"({tid}, {_v(n)}, {a}, {b}, {_v(','.join(args))}, {_v(m)}, {_v(pc)})"
-            for tid, e in expectations().items() for (n, a, b, args, m, pc) in e["functions"]]
-    return ("(SELECT * FROM (VALUES " + ", ".join(rows) +
-            ") AS f(tid, name, start_line, end_line, args, is_method, parent_class))")
+    return _values("functions", lambda n, a, b, args, m, c: (_v(n), str(a), str(b), _v(",".join(args)), _v(m), _v(c)),
+                   "name, start_line, end_line, args, is_method, parent_class")
 
 
 def classes_values_sql() -> str:
-    rows = [f"({tid}, {_v(n)}, {a}, {b}, {_v(','.join(ms))})"
-            for tid, e in expectations().items() for (n, a, b, ms) in e["classes"]]
-    return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS c(tid, name, start_line, end_line, methods))"
+    return _values("classes", lambda n, a, b, ms: (_v(n), str(a), str(b), _v(",".join(ms))), "name, start_line, end_line, methods")
 
 
 def errors_values_sql() -> str:
-    rows = [f"({tid}, {_v(e['parse_error'])})" for tid, e in expectations().items() if e["parse_error"]]
+    rows = [f"({tid}, {_v(e['error'])})" for tid, e in enumerate(EXPECTED) if e.get("error")]
     return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") AS p(tid, parse_error))"

@@ -5,7 +5,9 @@ Python and JavaScript / TypeScript, plus the summaries over them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import facts_python as fp
@@ -18,7 +20,8 @@ from tidewatch.plans.registry import register
 from tidewatch.plans.scan import discover, inventory_classes, inventory_functions, scan_sources
 from tidewatch.session import materialize
 
-_CACHE: dict = {}
+# Scans of this process, by the session object itself: a scan dies with its session.
+_CACHE: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def kept_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +32,19 @@ def kept_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_scan(spark: SparkSession, sf_dir: str):
     """One scan per (session, sf_dir) within a process: the fact job is
     checkpointed, so later queries reuse it instead of re-parsing."""
-    key = (id(spark), sf_dir)
-    if key not in _CACHE:
+    scans = _CACHE.setdefault(spark, {})
+    if sf_dir not in scans:
         # The derived corpus stands in for a source table: write it once, so
         # the fact job and the snippet join both read it instead of rebuilding it.
         sources = materialize(kept_corpus(spark, sf_dir), "code-corpus")
-        _CACHE[key] = scan_sources(sources, already_discovered=True)
-    return _CACHE[key]
+        scans[sf_dir] = scan_sources(sources, already_discovered=True)
+    return scans[sf_dir]
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    """``ord`` as the finding's place among its file's findings (P10)."""
+    place = Window.partitionBy("repo", "file").orderBy("ord")
+    return findings.withColumn("ord", F.row_number().over(place).cast("long")).select(*FINDING_COLUMNS)
 
 
 KEPT = cc.kept_corpus_sql()
@@ -93,7 +102,7 @@ def t5_call_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: (file, local callee, argument index) passed a dynamic or tainted value in pass 1."""
     facts = corpus_scan(spark, sf_dir).facts
     functions, calls, assigns = fp.functions_table(facts), fp.calls_table(facts), fp.assigns_table(facts)
-    top = functions.filter(F.col("is_top_level")).select("repo", "path", "name")
+    top = functions.filter(F.col("is_top_level")).select("repo", "path", F.col("local_name").alias("name"))
     tainted1 = taint.analyse(taint.definitions(assigns), rp.sink_queries(calls, top))
     local = rp.local_function_params(functions).select("repo", "path", "callee").distinct()
     return rp.call_taint(calls, tainted1).join(local, ["repo", "path", "callee"], "left_semi")
@@ -104,39 +113,39 @@ SELECT k.repo, k.path, s.callee, s.param FROM {KEPT} k JOIN {cc.seeds_values_sql
 def t6_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = corpus_scan(spark, sf_dir).facts
     functions, calls, assigns = fp.functions_table(facts), fp.calls_table(facts), fp.assigns_table(facts)
-    top = functions.filter(F.col("is_top_level")).select("repo", "path", "name")
+    top = functions.filter(F.col("is_top_level")).select("repo", "path", F.col("local_name").alias("name"))
     tainted1 = taint.analyse(taint.definitions(assigns), rp.sink_queries(calls, top))
     return rp.seeds(rp.call_taint(calls, tainted1), rp.local_function_params(functions))
 
 
 PY_FINDINGS_SQL = f"""(WITH l AS (SELECT k.repo, k.path, k.tid, k.secret, s.lines, s.loc FROM {KEPT} k
       JOIN {lines_sql(KEPT)} s ON s.repo = k.repo AND s.path = k.path),
-  j AS (SELECT l.repo, l.path AS file, e.line, e.function, e.rule_id, e.ord, e.via_param,
+  j AS (SELECT l.repo, l.path AS file, e.line, e.function, e.rule_id, e.rank, e.via_param,
           replace(e.literal, '{cc.PLACEHOLDER}', l.secret) AS lit, {snippet_sql('l.lines', 'l.loc', 'e.line')} AS raw
         FROM l JOIN {cc.findings_values_sql()} e USING (tid))
   SELECT j.repo, j.file, CAST(j.line AS INTEGER) AS line, j.function, r.rule_id, r.title, r.severity, r.cwe, r.owasp,
          CASE WHEN lit IS NULL OR lit = '' THEN raw ELSE replace(raw, lit, '<redacted>') END AS snippet,
          CASE WHEN j.via_param THEN r.description || {NOTE} ELSE r.description END AS description,
-         r.remediation, CAST(j.ord AS BIGINT) AS ord
+         r.remediation, CAST(j.rank AS BIGINT) AS ord
   FROM j JOIN {RULES} r USING (rule_id))"""
 
 
 @register("r_python_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f WHERE file LIKE '%.py'")
 def r_python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the Python detectors (R1-R13) with taint."""
-    return corpus_scan(spark, sf_dir).findings.filter(F.col("file").endswith(".py")).select(*FINDING_COLUMNS)
+    return ranked(corpus_scan(spark, sf_dir).findings.filter(F.col("file").endswith(".py")))
 
 
 @register("r_js_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f WHERE file NOT LIKE '%.py'")
 def r_js_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the JavaScript / TypeScript detectors (R14-R24) with taint."""
-    return corpus_scan(spark, sf_dir).findings.filter(~F.col("file").endswith(".py")).select(*FINDING_COLUMNS)
+    return ranked(corpus_scan(spark, sf_dir).findings.filter(~F.col("file").endswith(".py")))
 
 
 @register("r_code_findings", f"SELECT * FROM {PY_FINDINGS_SQL} f")
 def r_code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of the code scan, both languages (P10 order keys included)."""
-    return corpus_scan(spark, sf_dir).findings.select(*FINDING_COLUMNS)
+    return ranked(corpus_scan(spark, sf_dir).findings)
 
 
 @register("d3_summary_corpus", f"""
@@ -171,12 +180,11 @@ DISABLED = ("weak-crypto-hash", "hardcoded-secret")
 
 
 @register("f4_disabled_rules", f"""
-SELECT * FROM {PY_FINDINGS_SQL} f WHERE rule_id NOT IN ('weak-crypto-hash', 'hardcoded-secret')""")
+SELECT * REPLACE (row_number() OVER (PARTITION BY repo, file ORDER BY ord) AS ord)
+FROM {PY_FINDINGS_SQL} f WHERE rule_id NOT IN ('weak-crypto-hash', 'hardcoded-secret')""")
 def f4_disabled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a disabled rule never becomes a finding; taint still propagates and the
-    dedupe key holds the rule id, so this equals the scan minus those rules."""
-    from tidewatch.operators.findings import drop_disabled
-    return drop_disabled(corpus_scan(spark, sf_dir).findings, ",".join(DISABLED)).select(*FINDING_COLUMNS)
+    """a scan of its own with rules switched off."""
+    return ranked(scan_sources(kept_corpus(spark, sf_dir), disabled=",".join(DISABLED), already_discovered=True).findings)
 
 
 @register("s14_findings_json", f"""
@@ -186,4 +194,4 @@ SELECT repo, file, line, ord, to_json(struct_pack(file := file, line := line, "f
 FROM {PY_FINDINGS_SQL} f""")
 def s14_findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.sources.reports import findings_json
-    return findings_json(corpus_scan(spark, sf_dir).findings)
+    return findings_json(ranked(corpus_scan(spark, sf_dir).findings))

@@ -69,10 +69,8 @@ def o6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NL = "chr(10)"
-BLOCK_SQL = (f"'### Finding ' || CAST(idx AS VARCHAR) || {NL} || 'Rule: ' || rule_id || ' (' || title || ')' || {NL}"
-             f" || 'CWE: ' || coalesce(cwe, 'None') || {NL} || 'File: ' || file || {NL}"
-             f" || 'Function: ' || coalesce(function, '(module level)') || {NL} || 'Line: ' || CAST(line AS VARCHAR)"
-             f" || {NL} || 'Code:' || {NL} || snippet || {NL} || 'Rule description: ' || description || {NL}")
+LINE_SQL = ("to_json(struct_pack(n := idx, rule := rule_id, what := title, weakness := coalesce(cwe, ''), "
+            "\"at\" := file || ':' || CAST(line AS VARCHAR), scope := coalesce(function, ''), why := description, code := snippet))")
 
 
 def _sql_text(s: str) -> str:
@@ -82,7 +80,7 @@ def _sql_text(s: str) -> str:
 
 @register("v1_prompts", f"""
 SELECT batch_id, repo, CAST(count(*) AS BIGINT) AS n,
-       {_sql_text(verdicts.PROMPT_HEAD)} || string_agg({BLOCK_SQL}, {NL} ORDER BY idx) || {_sql_text(verdicts.PROMPT_TAIL)} AS prompt
+       {_sql_text(verdicts.PROMPT_HEAD)} || string_agg(CAST({LINE_SQL} AS VARCHAR), {NL} ORDER BY idx) || {_sql_text(verdicts.PROMPT_TAIL)} AS prompt
 FROM {BATCH_SQL} GROUP BY batch_id, repo""")
 def v1_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.build_prompts(verdicts.assign_batches(doc_findings(spark, sf_dir)))

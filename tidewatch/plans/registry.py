@@ -31,4 +31,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tidewatch.plans import q_code, q_findings, q_logs, q_sources, q_text  # noqa: F401
+    from tidewatch.plans import q_code, q_findings, q_flows, q_logs, q_sources, q_text  # noqa: F401

@@ -177,5 +177,43 @@ module.exports.handler = function (event) {
 let auth_token = 'tok-' + Date.now();
 var PRIVATE_KEY = '{SECRET}';
 document.body.innerHTML = `<p>${auth_token}</p>`;
+"""),
+    # 12: JSX with an apostrophe in its text; a sink beside it and one inside an attribute
+    (".jsx", """import React from 'react';
+
+const View = ({ rows, html }) => (
+  <div className="list">
+    don't panic: {rows.map(r => <li key={r.id}>{r.name}</li>)}
+  </div>
+);
+
+export function Search(db, term) {
+  db.query("SELECT * FROM t WHERE n = '" + term + "'");
+  return <p onClick={() => document.body.innerHTML = term}>it's fine</p>;
+}
+"""),
+    # 13: nested generics, destructured parameters, old casts, import types, quotes in a regular expression
+    (".tsx", """type Loader = typeof import('./loader');
+
+export async function load(m: Map<string, Array<number>>, { a, b }: Opts, [c] = [], ...rest: string[]): Promise<Map<string, number>> {
+  const y = <string>pick("a" + b);
+  if (/["'`]/.test(y)) { cp.exec(`ls ${y}`); }
+  return m;
+}
+
+class Box<T> extends Base<T> {
+  static async save<U>(path: string): Promise<void> { fs.writeFileSync(path + '.json', '{}'); }
+}
+"""),
+    # 14: first line for the shell; a named function expression is called by its declarator's name, its scope has its own
+    (".js", """#!/usr/bin/env node
+const run = function inner(db, stmt) {
+  db.query(stmt);
+};
+function outer(db, v) {
+  run(db, "SELECT " + v);
+  inner(db, "DELETE " + v);
+}
+const strip = s => s.replace(/['"]/g, '');
 """),
 )

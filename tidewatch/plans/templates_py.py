@@ -332,4 +332,12 @@ data = pickle.load(open("cache.bin", "rb"))
 os.popen("uptime " + os.environ.get("X", ""))
 PRIVATE_KEY = "{SECRET}"
 ''',
+    # 24: an integer too long to print in decimal does not stop the file
+    "BIG = 0x" + "f" * 5000 + """
+
+def run(cur, v):
+    cur.execute("SELECT " + v)
+""",
+    # 25: taint through an alias chain of 1,000 steps
+    "def chain(cur, v):\n    q0 = 'SELECT ' + v\n" + "".join(f"    q{i} = q{i - 1}\n" for i in range(1, 1001)) + "    cur.execute(q1000)\n",
 )

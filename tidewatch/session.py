@@ -1,7 +1,7 @@
 """Spark session helpers.
 
-On a cluster the session is created by the platform; ``get_spark`` only fills
-settings that are unset.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from
+On a cluster the session is created by the platform and ``get_spark`` returns it
+as it is; operators do not rely on any of the defaults below.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from
 the session and only invents a local folder when the master is local (tests,
 bench), never on a cluster.
 """
@@ -28,7 +28,7 @@ def get_spark(app: str = "tidewatch", master: str | None = None, shuffle_partiti
               driver_memory: str = "8g") -> SparkSession:
     """Return the active session, or build a local one for tests and benches."""
     active = SparkSession.getActiveSession()
-    if active is not None:
+    if active is not None:  # settings of a session that is already there are its owner's
         return active
     builder = SparkSession.builder.appName(app)
     master = master or os.environ.get("TIDEWATCH_MASTER")
@@ -90,13 +90,13 @@ def materialize(df, name: str, partition_by: str | None = None, whole_stage_code
     return spark.read.parquet(path)
 
 
-def spread(df, per_core: int = 2):
-    """At least ``per_core`` partitions per core for per-row heavy work.  Large
-    inputs already have more splits than cores and are returned unchanged (no
-    shuffle); a small table stored as one big file would otherwise be processed
-    by a single task."""
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def spread(df):
+    """Deal the rows of a text table over more tasks where the session asks for it
+    with ``spark.tidewatch.spread`` (a number of partitions; unset: never).  The
+    plan does not depend on the input's size: by default files are split by the
+    scan's own settings and texts are not shuffled."""
+    n = df.sparkSession.conf.get("spark.tidewatch.spread", None)
+    return df.repartition(int(n)) if n else df
 
 
 _SHIPPED: set[int] = set()

@@ -67,13 +67,32 @@ def classify(files: DataFrame) -> DataFrame:
     return out.filter(F.col("language").isNotNull() & ~in_ignored_dir(F.col("path")) & ~is_minified(F.col("path")))
 
 
+# Larger files are not read (Spark's file source holds a file's bytes in one value).
+MAX_FILE_BYTES = 1 << 30
+
+
 def read_source_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """S1 + S5: every file under ``root`` as (repo, path, language, bytes, content)."""
+    """S1 + S5: the code files under ``root`` as (repo, path, language, bytes, content).
+
+    ``repo`` names one repository at ``root``; without it ``root`` holds one checkout
+    per folder, and the first folder of a file's path names its repository (files
+    directly under ``root`` belong to the last part of ``root``).  Only files of the five
+    extensions are opened (``pathGlobFilter``), and those above ``MAX_FILE_BYTES``
+    are left out before their content is read.
+    """
     root = root.rstrip("/")
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in EXTENSION_LANGUAGE) + "}").load(root))
+    raw = raw.filter(F.col("length") <= MAX_FILE_BYTES)
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + root.lstrip("/").replace(".", r"\.") + "/", "")
-    meta = raw.select(F.lit(repo or root).alias("repo"), rel.alias("path"), F.col("length").alias("bytes"),
-                      "content")
+    meta = raw.select(rel.alias("rel"), F.col("length").alias("bytes"), "content")
+    if repo is not None:
+        meta = meta.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "bytes", "content")
+    else:
+        inside = F.instr("rel", "/") > 0
+        meta = meta.select(
+            F.when(inside, F.substring_index("rel", "/", 1)).otherwise(F.lit(root.rsplit("/", 1)[-1])).alias("repo"),
+            F.when(inside, F.expr("substring(rel, instr(rel, '/') + 1)")).otherwise(F.col("rel")).alias("path"), "bytes", "content")
     kept = classify(meta)
     return kept.select("repo", "path", "language", "bytes", decode_utf8(F.col("content")).alias("content"))
 

@@ -2,8 +2,8 @@
 
 Reports are built as rows first (one row per finding plus small per-repo
 rows), so they can be checked as tables and written without collecting a
-repository's findings into one row.  Writers repartition by repo and sort
-within partitions, so each repository's document is one streamed file.
+repository's findings into one row.  JSON lines and text are range-sorted, so a large
+repository is several files in order; a SARIF document is one file by its format.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def findings_json(findings: DataFrame) -> DataFrame:
 
 
 def write_findings_json(findings: DataFrame, path: str) -> None:
-    (findings_json(findings).repartition("repo").sortWithinPartitions("repo", "file", "line", "ord")
+    (findings_json(findings).repartitionByRange("repo", "file", "line", "ord").sortWithinPartitions("repo", "file", "line", "ord")
      .select("repo", "json").write.mode("overwrite").partitionBy("repo").text(path))
 
 
@@ -58,7 +58,7 @@ def text_report_rows(findings: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def write_text_report(rows: DataFrame, path: str) -> None:
-    (rows.repartition("repo").sortWithinPartitions("repo", "part", "file", "line", "ord")
+    (rows.repartitionByRange("repo", "part", "file", "line", "ord").sortWithinPartitions("repo", "part", "file", "line", "ord")
      .select("repo", "text").write.mode("overwrite").partitionBy("repo").text(path))
 
 
@@ -112,9 +112,13 @@ def sarif_results(findings: DataFrame) -> DataFrame:
         F.col("function").alias("logical_name"))
 
 
-def sarif_fragments(findings: DataFrame, tool_name: str = TOOL_NAME, tool_version: str = TOOL_VERSION) -> DataFrame:
-    """Rows (repo, part, k1, k2, k3, text) whose concatenation in key order is
-    the repository's SARIF document.  Results keep request order."""
+def sarif_fragments(findings: DataFrame, repos: DataFrame | None = None, tool_name: str = TOOL_NAME, tool_version: str = TOOL_VERSION) -> DataFrame:
+    """Rows (repo, part, file, line, ord, text) whose concatenation in key order is
+    the repository's SARIF document.  Results keep request order.  ``repos`` (repo)
+    names all scanned repositories: one without findings gets a document without
+    results, which is what clears its old alerts."""
+    listed = findings.select("repo") if repos is None else findings.select("repo").unionByName(repos.select("repo"))
+    listed = listed.distinct()
     res = sarif_results(findings)
     loc = F.struct(
         F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"),
@@ -137,21 +141,29 @@ def sarif_fragments(findings: DataFrame, tool_name: str = TOOL_NAME, tool_versio
         F.col("help_uri").alias("helpUri"),
         F.struct(F.filter(F.split("tags", ","), lambda t: t != "").alias("tags")).alias("properties"),
         F.when(F.col("help_text").isNotNull(), F.struct(F.col("help_text").alias("text"))).alias("help")))
-    head_rules = (rules.groupBy("repo").agg(F.sort_array(F.collect_list(
-        F.struct("first_file", "first_line", "first_ord", rule_json.alias("j")))).alias("rs"))
+    by_repo = (rules.groupBy("repo").agg(F.sort_array(F.collect_list(
+        F.struct("first_file", "first_line", "first_ord", rule_json.alias("j")))).alias("rs")))
+    head_rules = (listed.join(by_repo, "repo", "left")
         .select("repo", F.lit(1).alias("part"), F.lit(None).cast("string").alias("file"),
                 F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("ord"),
                 F.concat(F.lit('{"$schema":' + json.dumps(SARIF_SCHEMA_URI) + ',"version":"' + SARIF_VERSION +
                                '","runs":[{"tool":{"driver":{"name":' + json.dumps(tool_name) + ',"version":' +
                                json.dumps(tool_version) + ',"rules":['),
-                         F.array_join(F.transform("rs", lambda x: x["j"]), ","),
+                         F.coalesce(F.array_join(F.transform("rs", lambda x: x["j"]), ","), F.lit("")),
                          F.lit(']}},"results":[')).alias("text")))
-    tail = (res.select("repo").distinct().select(
+    tail = (listed.select(
         "repo", F.lit(3).alias("part"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"),
         F.lit(None).cast("long").alias("ord"), F.lit("]}]}").alias("text")))
     return head_rules.unionByName(body).unionByName(tail)
 
 
+def sarif_documents(findings: DataFrame, repos: DataFrame | None = None, **kw) -> DataFrame:
+    """(repo, document): the fragments of each repository joined to its one SARIF text."""
+    parts = F.sort_array(F.collect_list(F.struct("part", "file", "line", "ord", "text")))
+    return sarif_fragments(findings, repos, **kw).groupBy("repo").agg(parts.alias("p")).select(
+        "repo", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("document"))
+
+
 def write_sarif(findings: DataFrame, path: str, **kw) -> None:
     """One SARIF document per repository under ``path/repo=<repo>/``."""
     (sarif_fragments(findings, **kw).repartition("repo")

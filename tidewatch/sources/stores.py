@@ -22,6 +22,7 @@ BASELINE_FORMAT_VERSION = 1
 
 BASELINE_SCHEMA = T.StructType([T.StructField("fingerprint", T.StringType(), False)])
 
+# Column names and types of the stored tables.
 VERDICT_FIELDS = ("verified", "confidence", "explanation", "exploit_scenario", "patch_suggestion",
                   "things_to_verify")
 CACHE_SCHEMA = T.StructType([
@@ -131,7 +132,11 @@ def load_cache(spark: SparkSession, root: str, enabled: bool = True) -> DataFram
         df = spark.read.schema(CACHE_SCHEMA).parquet(f"{root}/{versions[-1]}")
         df.limit(1).collect()      # surface a corrupt folder here, not later
         return df
-    except Exception:              # corrupt cache -> behave as empty
+    except Exception as e:
+        # Only a damaged table counts as empty; a failed read of a sound one is an error,
+        # since an empty cache means paying for every review again.
+        if not any(mark in str(e) for mark in ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA", "CORRUPTED")):
+            raise
         return _empty(spark, CACHE_SCHEMA)
 
 

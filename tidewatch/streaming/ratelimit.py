@@ -1,25 +1,23 @@
 """Trailing-window admission (W1) as a Structured Streaming query.
 
 ``applyInPandasWithState`` keyed by client; the state is the admitted
-timestamps still inside the window (at most ``limit`` of them).  Within a
-micro-batch a client's events are walked in (event time, event id) order.  An
-event-time timeout drops a client's state once the watermark passes its last
-admitted time + window, so idle clients cost nothing.  Decisions follow
-processing order: an event arriving after later events of the same client
-were already decided is judged against the state as it is then (the
-reference decides in arrival order too).
+timestamps still inside the window of the latest event seen (at most ``limit`` of
+them).  Within a micro-batch a client's events are walked in (event time, event id)
+order.  There is no watermark, so every event gets a row however late it comes; a late
+event is judged against the admitted entries of the state as it is then (entries
+later than it count as well), as the reference decides in arrival order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.operators.ratelimit import UNKNOWN_CLIENT
+from tidewatch.operators.ratelimit import UNKNOWN_CLIENT, micros
 
 OUTPUT_SCHEMA = "event_id long, client string, admitted boolean"
 STATE_SCHEMA = "admitted array<long>"
@@ -28,9 +26,6 @@ STATE_SCHEMA = "admitted array<long>"
 def _step(limit: int, window_us: int):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (client,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
         admitted = list(state.get[0]) if state.exists else []
         frames = [p for p in pdfs]
         if not frames:
@@ -44,15 +39,13 @@ def _step(limit: int, window_us: int):
                 admitted.append(t)
             out.append((ev_id, client, ok))
         state.update((admitted,))
-        if admitted:
-            state.setTimeoutTimestamp(admitted[-1] // 1000 + window_us // 1000 + 1)
         yield pd.DataFrame(out, columns=["event_id", "client", "admitted"])
     return fn
 
 
 def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_paths: Iterable[str],
                  client_col: str = "client", path_col: str = "path", ts_col: str = "ts",
-                 id_col: str = "event_id", watermark: str | None = None) -> DataFrame:
+                 id_col: str = "event_id") -> DataFrame:
     """W1 on a streaming DataFrame; returns a streaming (event_id, client, admitted)."""
     window_us = window_seconds * 1_000_000
     from tidewatch.session import ship_package
@@ -60,64 +53,33 @@ def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_pat
     ev = (events.filter(F.col(path_col).isin(list(counted_paths)))
           .select(F.col(id_col).alias("event_id"),
                   F.coalesce(F.col(client_col).cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"),
-                  F.col(ts_col).cast("timestamp").alias("event_time"))
-          .withColumn("t", F.unix_micros("event_time")))
-    ev = ev.withWatermark("event_time", watermark or f"{window_seconds} seconds")
+                  micros(events, ts_col).alias("t")))
     return ev.groupBy("client").applyInPandasWithState(
-        _step(limit, window_us), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        _step(limit, window_us), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def replay_admission(events: DataFrame, window_seconds: int, limit: int, counted_paths: Iterable[str],
                      chunk_col: str = "ts", chunk_seconds: int = 86400 * 10, **cols) -> DataFrame:
-    """W1 through Structured Streaming over an event table: the events are
-    written in one job as one file per time chunk under the shared checkpoint
-    folder, read back with a file stream (one chunk per micro-batch, oldest
-    first, ``availableNow``), decided by ``admit_stream`` and collected in a
-    Parquet sink there.
+    """W1 through Structured Streaming over an event table.
+
+    The events are dealt into time chunks; chunk after chunk is written into the stream's
+    source folder and the query runs until it has taken all there is
+    (``availableNow``, same checkpoint), so the order of chunks does not rest on file
+    times or names.  The driver loops over chunks, never over rows or files.
     Returns the sink as a batch DataFrame (event_id, client, admitted)."""
     import uuid
 
     from tidewatch.session import checkpoint_dir
     spark = events.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    bucket = F.floor(F.unix_seconds(F.col(chunk_col).cast("timestamp")) / chunk_seconds).cast("long")
-    # One job writes every chunk as exactly one file; the file source replays
-    # files oldest first, so their modification times are set in chunk order.
-    (events.withColumn("_chunk", bucket).repartition("_chunk")
-     .write.partitionBy("_chunk").parquet(f"{root}/staged"))
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{root}/staged")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dirs = sorted((int(st.getPath().getName().split("=", 1)[1]), st.getPath()) for st in fs.listStatus(hpath)
-                  if st.isDirectory() and st.getPath().getName().startswith("_chunk="))
-    base_ms = 1_000_000_000_000
-    for i, (_, d) in enumerate(dirs):
-        for st in fs.listStatus(d):
-            if st.getPath().getName().endswith(".parquet"):
-                fs.setTimes(st.getPath(), base_ms + i * 1000, -1)
-    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{root}/staged/*"))
-    out = admit_stream(stream, window_seconds, limit, counted_paths, **cols)
-    q = (out.writeStream.format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
+    chunk = F.floor(micros(events, chunk_col) / (chunk_seconds * 1_000_000)).cast("long")
+    events.withColumn("_chunk", chunk).write.partitionBy("_chunk").parquet(f"{root}/staged")
+    staged = spark.read.parquet(f"{root}/staged")
+    for row in staged.select("_chunk").distinct().orderBy("_chunk").toLocalIterator():
+        staged.filter(F.col("_chunk").eqNullSafe(row["_chunk"])).select(*events.columns).write.mode("append").parquet(f"{root}/source")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/source")
+        out = admit_stream(stream, window_seconds, limit, counted_paths, **cols)
+        q = (out.writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(OUTPUT_SCHEMA).parquet(f"{root}/out")
-
-
-def admit_batch_of_files(spark, paths: Sequence[str], schema, window_seconds: int, limit: int,
-                         counted_paths: Iterable[str], checkpoint: str, **cols) -> DataFrame:
-    """Run ``admit_stream`` over parquet files (one micro-batch per file, in
-    the given order) with ``availableNow`` and return the collected decisions
-    as a batch DataFrame.  Used by tests and the file-replay query."""
-    import os
-    import tempfile
-    src_dir = tempfile.mkdtemp(prefix="tidewatch-stream-src-", dir=checkpoint)
-    for i, p in enumerate(paths):
-        os.symlink(p, os.path.join(src_dir, f"part-{i:05d}.parquet"))
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir))
-    out = admit_stream(stream, window_seconds, limit, counted_paths, **cols)
-    sink = tempfile.mkdtemp(prefix="tidewatch-stream-out-", dir=checkpoint)
-    q = (out.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", sink + "_ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(OUTPUT_SCHEMA).parquet(sink)
