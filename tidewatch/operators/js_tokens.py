@@ -63,13 +63,14 @@ def raw_tokens(sources: DataFrame) -> DataFrame:
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     w = Window.partitionBy(*FILE).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (t.withColumn("line", (F.lit(1) + F.sum(newlines).over(upto) - newlines).cast("int"))
-             .withColumn("depth", F.sum(step).over(upto).cast("int"))
-             .withColumn("level", F.col("depth") - F.when(opens, 1).otherwise(0))
-             .withColumn("opens", opens).withColumn("closes", closes)
-             .withColumn("gap", F.when(F.lag("kind").over(w) == "space", F.lag("text").over(w)).otherwise(F.lit("")))
-             .withColumn("before_comment", (F.lead("kind").over(w) == "comment")
-                         | ((F.lead("kind").over(w) == "space") & (F.lead("kind", 2).over(w) == "comment"))))
+    after = F.lead("kind").over(w)
+    return t.withColumns({
+        "line": (F.lit(1) + F.sum(newlines).over(upto) - newlines).cast("int"),
+        "depth": F.sum(step).over(upto).cast("int"),
+        "level": F.sum(step).over(upto).cast("int") - F.when(opens, 1).otherwise(0),
+        "opens": opens, "closes": closes,
+        "gap": F.when(F.lag("kind").over(w) == "space", F.lag("text").over(w)).otherwise(F.lit("")),
+        "before_comment": (after == "comment") | ((after == "space") & (F.lead("kind", 2).over(w) == "comment"))})
 
 
 def tokens(raw: DataFrame) -> DataFrame:
@@ -83,46 +84,48 @@ def tokens(raw: DataFrame) -> DataFrame:
     asc = at.orderBy("i", "mark").rowsBetween(Window.unboundedPreceding, 0)
     desc = at.orderBy(F.col("i").desc(), F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
     own = F.col("mark") == 0
-    t = (t.withColumn("par", F.coalesce(F.last(F.when(F.col("mark") == 1, F.col("i")), True).over(asc), F.lit(0)))
-          .withColumn("opened", F.last(F.when(F.col("opens") & own, F.col("i")), True).over(asc))
-          .withColumn("closed", F.last(F.when(F.col("closes"), F.col("i")), True).over(desc))
+    t = (t.withColumns({
+            "par": F.coalesce(F.last(F.when(F.col("mark") == 1, F.col("i")), True).over(asc), F.lit(0)),
+            "opened": F.last(F.when(F.col("opens") & own, F.col("i")), True).over(asc),
+            "closed": F.last(F.when(F.col("closes"), F.col("i")), True).over(desc)})
           .filter(own).withColumn("mate", F.when(F.col("opens"), F.col("closed")).when(F.col("closes"), F.col("opened")))
           .drop("mark", "opened", "closed"))
     w = Window.partitionBy(*FILE, "par").orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    for k in (1, 2, 3, 4):
-        t = t.withColumn(f"p{k}", F.lag("text", k).over(w)).withColumn(f"n{k}", F.lead("text", k).over(w))
-    t = (t.withColumn("pk1", F.lag("kind").over(w)).withColumn("pi1", F.lag("i").over(w)).withColumn("pmate", F.lag("mate").over(w)).withColumn("pi4", F.lag("i", 4).over(w))
-          .withColumn("ni1", F.lead("i").over(w)).withColumn("nk1", F.lead("kind").over(w)).withColumn("pline", F.lag("line").over(w)))
+    beside = {f"p{k}": F.lag("text", k).over(w) for k in (1, 2, 3, 4)} | {f"n{k}": F.lead("text", k).over(w) for k in (1, 2, 3)}
+    t = t.withColumns(beside | {
+        "pk1": F.lag("kind").over(w), "pi1": F.lag("i").over(w), "pmate": F.lag("mate").over(w), "pi4": F.lag("i", 4).over(w),
+        "nk1": F.lead("kind").over(w), "pline": F.lag("line").over(w), "rn": F.row_number().over(w)})
     sep = F.col("text").isin(*SEPARATORS)
     starts = (F.col("kind").isin("ident", "str", "num", "tmpl") | F.col("text").isin("{", "}")) & ~F.col("text").isin(*GOES_ON) & (F.col("kind") != "tmpl")
     line_end = (F.col("line") > F.col("pline")) & _operand_end(F.col("pk1"), F.col("p1")) & starts
-    t = t.withColumn("sep", sep).withColumn("ends", F.coalesce(line_end, F.lit(False)))
+    t = t.withColumns({"sep": sep, "ends": F.coalesce(line_end, F.lit(False))})
     cut = F.col("sep") | F.col("ends")
-    t = (t.withColumn("seg", F.sum(cut.cast("int")).over(upto)).withColumn("item", F.sum((F.col("text") == ",").cast("int")).over(upto))
-          .withColumn("stmt", F.sum(((F.col("text") == ";") | F.col("ends")).cast("int")).over(upto))
-          .withColumn("rn", F.row_number().over(w)))
-    t = t.withColumn("k", F.col("rn") - F.coalesce(F.last(F.when(cut, F.col("rn") - F.col("ends").cast("int")), True).over(upto), F.lit(0)))
+    t = t.withColumns({
+        "seg": F.sum(cut.cast("int")).over(upto), "item": F.sum((F.col("text") == ",").cast("int")).over(upto),
+        "stmt": F.sum(((F.col("text") == ";") | F.col("ends")).cast("int")).over(upto),
+        "k": F.col("rn") - F.coalesce(F.last(F.when(cut, F.col("rn") - F.col("ends").cast("int")), True).over(upto), F.lit(0))})
     # Chains: names, dots and the brackets applied to them.
     applied = F.col("text").isin("(", "[") & _operand_end(F.col("pk1"), F.col("p1")) & ~F.col("ends") & ~(
         F.col("p1").isin(*NOT_CALLED) & ~F.coalesce(F.col("p2").isin(".", "?."), F.lit(False)))
     goes_on = F.col("text").isin(".", "?.", ")", "]") | F.col("p1").isin(".", "?.") | applied
     head = ~F.coalesce(goes_on, F.lit(False))
     link = F.col("text").isin("(", "[").cast("int")
-    t = t.withColumn("head", head).withColumn("links", F.sum(link).over(upto) - link)
+    t = t.withColumns({"head": head, "links": F.sum(link).over(upto) - link})
     first = lambda c: F.last(F.when(F.col("head"), F.struct(F.col(c).alias("v"))), True).over(upto)["v"]
-    t = (t.withColumn("chain", first("i")).withColumn("chain_text", first("text")).withColumn("chain_kind", first("kind"))
-          .withColumn("chain_line", first("line")).withColumn("chain_before", first("p1")).withColumn("chain_links", F.col("links") - first("links")))
+    t = t.withColumns({"chain_text": first("text"), "chain_kind": first("kind"), "chain_line": first("line"),
+                       "chain_before": first("p1"), "chain_links": F.col("links") - first("links")})
     # The last token of an expression that starts here, and the next body or semicolon.
     down = Window.partitionBy(*FILE, "par").orderBy(F.col("i").desc())
     later = down.rowsBetween(Window.unboundedPreceding, -1)
-    t = (t.withColumn("stop", F.last(F.when(F.col("text").isin(",", ";") | F.col("ends"), F.col("pi1")), True).over(later))
-          .withColumn("last_i", F.max("i").over(Window.partitionBy(*FILE, "par")))
-          .withColumn("body", F.last(F.when(F.col("text").isin("{", ";"), F.struct("text", "i", "mate")), True).over(later))
-          .withColumn("paren", F.last(F.when(F.col("text") == "(", F.struct("i", "mate")), True).over(later))
-          # A return type before an arrow: ``): T =>``.
-          .withColumn("typed", F.last(F.when(F.col("sep"), F.struct((F.when((F.col("text") == ":") & (F.col("p1") == ")"), F.col("pmate"))).alias("v"))), True).over(before)["v"]))
+    t = t.withColumns({
+        "stop": F.last(F.when(F.col("text").isin(",", ";") | F.col("ends"), F.col("pi1")), True).over(later),
+        "last_i": F.max("i").over(Window.partitionBy(*FILE, "par")),
+        "body": F.last(F.when(F.col("text").isin("{", ";"), F.struct("text", "i", "mate")), True).over(later),
+        "paren": F.last(F.when(F.col("text") == "(", F.struct("i", "mate")), True).over(later),
+        # A return type before an arrow: ``): T =>``.
+        "typed": F.last(F.when(F.col("sep"), F.struct((F.when((F.col("text") == ":") & (F.col("p1") == ")"), F.col("pmate"))).alias("v"))), True).over(before)["v"]})
     return t.drop("rn", "links", "level", "opens", "closes")
 
 

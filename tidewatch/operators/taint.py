@@ -20,8 +20,8 @@ invisible inside a function):
   its ``src`` is tainted, or - for a multi-target alias - the previous def of
   its own target is (the reference leaves such targets untouched);
 * an alias with one target has exactly one link, so chains of them are resolved by
-  pointer doubling: every round each def jumps to its link's link, and a chain of n
-  steps is settled after log2(n) rounds.  What remains are roots: defs without a
+  pointer jumping: every round each def follows its link several times, so paths grow
+  four times as long, and a chain of n steps is settled after log4(n) rounds.  What remains are roots: defs without a
   link, and multi-target aliases (two links).  Taint is decided on roots, for
   both passes from the same resolved links; only links among multi-target
   aliases are followed one by one.  Links always point to a smaller ``pos``, so
@@ -90,6 +90,10 @@ def link_edges(resolved: DataFrame) -> DataFrame:
                     F.col("var").alias("t_var"), F.col("def_pos").alias("t_pos")))
 
 
+# A link followed this many times per round makes paths (JUMPS + 1) times as long.
+JUMPS = 3
+
+
 @dataclass
 class Links:
     """Resolved links: single-link defs with their root, and multi-target aliases."""
@@ -118,10 +122,12 @@ def resolve_links(edges: DataFrame) -> Links:
     settled, open_ = None, at
     while True:
         step = at.select(*SCOPE, F.col("var").alias("r_var"), F.col("pos").alias("r_pos"), F.col("r_var").alias("n_var"), F.col("r_pos").alias("n_pos"))
-        jump = open_.join(step, SCOPE + ["r_var", "r_pos"], "left").select(
-            *DEF_KEY, F.coalesce("n_var", "r_var").alias("r_var"), F.coalesce("n_pos", "r_pos").alias("r_pos"), F.col("n_pos").isNotNull().alias("moved"))
+        jump = open_
+        for _ in range(JUMPS):  # several jumps per written table: fewer jobs for long chains
+            jump = jump.join(step, SCOPE + ["r_var", "r_pos"], "left").select(
+                *DEF_KEY, F.coalesce("n_var", "r_var").alias("r_var"), F.coalesce("n_pos", "r_pos").alias("r_pos"), F.col("n_pos").isNotNull().alias("moved"))
         jump = materialize(jump, "taint-jumps")
-        # Defs that did not move stand at their root; only the others go on.
+        # Defs that the last jump did not move stand at their root; only the others go on.
         done = jump.filter(~F.col("moved")).drop("moved")
         settled = done if settled is None else settled.unionByName(done)
         open_ = jump.filter("moved").drop("moved")

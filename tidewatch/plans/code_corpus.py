@@ -36,13 +36,11 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, language, bytes, content, doc_id, tid, secret) - unfiltered."""
     d = tables.read_table(spark, sf_dir, "documents")
     tid = (F.col("doc_id") % K).cast("int")
-    template = ext = prefix = F.lit(None).cast("string")
-    for i in reversed(range(K)):
-        e, pre, src = TEMPLATES[i]
-        template = F.when(tid == i, F.lit(src)).otherwise(template)
-    for i in reversed(range(K)):
-        ext = F.when(tid == i, F.lit(TEMPLATES[i][0])).otherwise(ext)
-    prefix = F.when(tid < N_PY, F.lit("# ")).otherwise(F.lit("// "))
+    # A fixed table with one row per template.
+    rows = [(i, ext, comment, source) for i, (ext, comment, source) in enumerate(TEMPLATES)]
+    shapes = spark.createDataFrame(rows, "__tid int, ext string, prefix string, template string")
+    d = d.withColumn("tid", tid).join(F.broadcast(shapes), F.col("tid") == F.col("__tid"))
+    tid, ext, prefix, template = F.col("tid"), F.col("ext"), F.col("prefix"), F.col("template")
     secret = F.md5(F.col("text"))
     clean = F.translate("text", OTHER_BREAK_CHARS, " " * len(OTHER_BREAK_CHARS))
     comments = F.concat(prefix, F.replace(clean, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
