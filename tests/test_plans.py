@@ -38,8 +38,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
 
 def test_fact_tables_are_partition_pruned(spark):
-    facts = materialize(extract_facts(source_df(spark, {"a.py": PY_TEMPLATES[0]})), "plan-facts",
-                        partition_by="kind", whole_stage_codegen=False)
+    facts = materialize(extract_facts(source_df(spark, {"a.py": PY_TEMPLATES[0]})), "plan-facts", partition_by="kind")
     p = plan(calls_table(facts))
     assert "PartitionFilters: [isnotnull(kind" in p and "(kind" in p and "= call)" in p
 

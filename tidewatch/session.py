@@ -65,7 +65,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df, name: str, partition_by: str | None = None, whole_stage_codegen: bool = True):
+def materialize(df, name: str, partition_by: str | None = None):
     """Cut lineage by writing ``df`` as a Parquet table under the shared
     checkpoint folder and reading it back (one job; a reliable RDD checkpoint
     would compute the plan twice).  Survives lost executors: the data lives in
@@ -77,16 +77,7 @@ def materialize(df, name: str, partition_by: str | None = None, whole_stage_code
     w = df.write.mode("error")
     if partition_by:
         w = w.partitionBy(partition_by)
-    key = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(key)
-    if not whole_stage_codegen:
-        # The fact rows are wide nested records; their writer stage would
-        # exceed the JVM method size limit in generated code.
-        spark.conf.set(key, "false")
-    try:
-        w.parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
