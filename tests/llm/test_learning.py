@@ -63,3 +63,15 @@ def test_page_furniture_goes_and_short_blocks_stay():
     <div class="sidebar"><p>Sidebar text</p></div><footer>foot</footer><script>var x="<p>no</p>"</script></body></html>"""
     assert html_extract.extract(page) == ["Title & more", "First para with bold text and more of it, long enough to be content.", "Sh.",
                                           "item one", "item two", "Last para é <tag>"]
+
+
+def test_links_of_the_article_stay():
+    paras = [f"{i} " + "word " * 99 + "end" for i in range(6)]
+    refs = [f"Reference title {i}" for i in range(10)]
+    body = "".join(f"<p>{p}</p>" for p in paras) + "<ul>" + "".join(f"<li><a href=/r{i}>{r}</a></li>" for i, r in enumerate(refs)) + "</ul>"
+    assert html_extract.extract(f"<html><body><article>{body}</article></body></html>") == paras + refs
+    # Without an article element, links between content lines stay and links after them go.
+    links = "".join(f"<p><a href=/{i}>Go {i}</a></p>" for i in range(8))
+    more = "".join(f"<p>{p}</p>" for p in paras)
+    got = html_extract.extract(f"<html><body>{body}{more}{links}</body></html>")
+    assert got[:22] == paras + refs + paras and "Go 7" not in got

@@ -8,7 +8,8 @@ section of the page that holds all content lines (never inside an article or
 main element).  Every line of that region is kept, short ones too, except
 what lies in page furniture (navigation, headers, footers, asides, forms, adverts,
 notices, comments, by element, role, class or id) and low lines that are nothing
-but links.
+but links, lie in no article or main element and stand before the first or after
+the last content line.
 
 Each page is handled inside its own row; nothing is shuffled.
 
@@ -54,10 +55,11 @@ _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Section:
-    __slots__ = ("tag", "parent", "depth")
+    __slots__ = ("tag", "parent", "depth", "in_article")
 
     def __init__(self, tag: str, parent: "_Section | None"):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.in_article = tag in ARTICLE or bool(parent and parent.in_article)
 
 
 class _Lines(HTMLParser):
@@ -130,11 +132,8 @@ class _Lines(HTMLParser):
     def _is_furniture(self, tag, attrs) -> bool:
         if tag in FURNITURE:
             return True
-        inside = self.section
-        while inside is not None and inside.tag not in ARTICLE:
-            inside = inside.parent
         if tag == "header":
-            return inside is None
+            return not self.section.in_article
         if tag in ARTICLE or tag in ("html", "body"):
             return False
         for name, value in attrs:
@@ -186,9 +185,11 @@ def extract(html: str | None) -> list[str]:
         if at.tag in ARTICLE:
             region = at
         at = at.parent
+    run = [i for i, (line, ratio) in enumerate(zip(lines, ratios)) if not line[3] and ratio >= bound]
     kept = []
-    for (text, _, linked, furniture, section), ratio in zip(lines, ratios):
-        if furniture or (ratio < bound and linked >= len(text.replace(" ", "")) > 0):
+    for i, ((text, _, linked, furniture, section), ratio) in enumerate(zip(lines, ratios)):
+        outside = not section.in_article and not (run and run[0] < i < run[-1])
+        if furniture or (outside and ratio < bound and linked >= len(text.replace(" ", "")) > 0):
             continue
         while section.depth > region.depth:
             section = section.parent
