@@ -75,3 +75,17 @@ def test_links_of_the_article_stay():
     more = "".join(f"<p>{p}</p>" for p in paras)
     got = html_extract.extract(f"<html><body>{body}{more}{links}</body></html>")
     assert got[:22] == paras + refs + paras and "Go 7" not in got
+
+
+def test_left_out_end_tags():
+    paras = [f"{i} " + "word " * 30 + "end" for i in range(6)]
+    text = "".join(f"<p>{p}" for p in paras)
+    options = "".join(f"<option>Choice {i}" for i in range(1000))
+    items = "".join(f"<li><a href=/{i}>Go {i}</a>" for i in range(1000))
+    cells = "".join(f"<tr><td>{i}<td>{i}" for i in range(300))
+    for menu in (f"<select>{options}</select>", f"<nav><ul>{items}</ul></nav>", f"<nav><table>{cells}</table></nav>", "<nav>" + "<b class=x>y" * 600 + "</nav>"):
+        assert html_extract.extract(f"<html><body>{menu}<div>{text}</div></body></html>") == paras
+    # An element closed by the next one ends its furniture too; a list inside an item does not end the item.
+    assert html_extract.extract(f"<ul><li class=share>Tell<li>{paras[0]}</ul><p class=ad>Buy<p>{paras[1]}") == paras[:2]
+    assert html_extract.extract(f"<ul><li class=share>Tell<ul><li>one<li>two</ul>more<li>{paras[0]}</ul>") == paras[:1]
+    assert html_extract.extract(f"<table><tr><td class=sidebar>Side<td>{paras[0]}</table><dl><dt class=promo>Buy<dd>{paras[1]}</dl>") == paras[:2]

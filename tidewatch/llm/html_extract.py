@@ -41,6 +41,19 @@ BLOCK = frozenset((
     "select style summary table tbody td template textarea tfoot th thead title tr ul").split())
 SECTION = frozenset("article aside body center details dialog div dl fieldset figure footer form header main nav ol section table td ul".split())
 ARTICLE = frozenset(("article", "main"))
+# Elements that a start tag closes when their end tags were left out, and the elements it does not look beyond.
+_ITEM = SECTION - {"div"} | {"blockquote", "button", "dir", "menu", "object", "select", "template"}
+_CELL = frozenset(("table", "template"))
+IMPLIED = {
+    "li": (("li",), _ITEM), "dt": (("dt", "dd"), _ITEM), "dd": (("dt", "dd"), _ITEM),
+    "option": (("option",), frozenset(("select", "datalist", "optgroup"))), "optgroup": (("option", "optgroup"), frozenset(("select",))),
+    "td": (("td", "th"), _CELL | {"tr"}), "th": (("td", "th"), _CELL | {"tr"}), "tr": (("caption", "td", "th", "tr"), _CELL),
+} | {t: (("caption", "td", "th", "tr", "tbody", "thead", "tfoot"), _CELL) for t in ("tbody", "thead", "tfoot")}
+# Start tags that end a paragraph, and the elements a paragraph outside of which stays open.
+_ENDS_P = frozenset((
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li "
+    "main menu nav ol p pre section summary table ul").split())
+_P_SCOPE = frozenset("button caption object table td template th".split())
 # Elements whose text is never article text.  A header counts only outside an article.
 FURNITURE = frozenset((
     "aside button dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea").split())
@@ -73,6 +86,9 @@ class _Lines(HTMLParser):
         self.root = self.section = _Section("", None)
         # Open elements: (tag, section before it, furniture depth before it).
         self.open: list[tuple[str, _Section, int]] = []
+        # Places of open elements in the stack by tag, and of those that are sections.
+        self.places: dict[str, list[int]] = {}
+        self.sections: list[int] = []
         self.furniture = self.links = 0
 
     def parse_marked_section(self, i, report=1):  # <![...: a comment, as in browsers
@@ -88,6 +104,7 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.end_line()
+            self._close_implied(tag)
         self.tags += 1
         if tag in VOID:
             if tag == "br":
@@ -99,6 +116,9 @@ class _Lines(HTMLParser):
             return  # plain inline markup needs no place in the stack
         if tag in ARTICLE:
             self.furniture = 0  # an article never belongs to an unclosed menu before it
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SECTION:
+            self.sections.append(len(self.open))
         self.open.append((tag, self.section, self.furniture))
         if self._is_furniture(tag, attrs):
             self.furniture += 1
@@ -116,13 +136,35 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = 0
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 256), -1):
-            if self.open[i][0] == tag:
-                _, self.section, self.furniture = self.open[i]
-                del self.open[i:]
-                return
-            if tag not in SECTION and self.open[i][0] in SECTION:
-                return  # a stray end tag does not close a section
+        i = self._last(tag)
+        # A stray end tag does not close a section.
+        if i >= 0 and (tag in SECTION or not self.sections or self.sections[-1] < i):
+            self._close(i)
+
+    def _last(self, tag) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _close(self, i: int) -> None:
+        """Closes the open element at place ``i`` and those inside it."""
+        _, self.section, self.furniture = self.open[i]
+        while len(self.open) > i:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in SECTION:
+                self.sections.pop()
+
+    def _close_implied(self, tag) -> None:
+        if tag in _ENDS_P:
+            i = self._last("p")
+            if i >= 0 and i > max(map(self._last, _P_SCOPE)):
+                self._close(i)
+        if tag in IMPLIED:
+            closed, beyond = IMPLIED[tag]
+            least = max(map(self._last, beyond - set(closed)))
+            i = min((x for x in map(self._last, closed) if x > least), default=-1)
+            if i >= 0:
+                self._close(i)
 
     def handle_data(self, data):
         self.text.append(data)
