@@ -89,3 +89,28 @@ def test_left_out_end_tags():
     assert html_extract.extract(f"<ul><li class=share>Tell<li>{paras[0]}</ul><p class=ad>Buy<p>{paras[1]}") == paras[:2]
     assert html_extract.extract(f"<ul><li class=share>Tell<ul><li>one<li>two</ul>more<li>{paras[0]}</ul>") == paras[:1]
     assert html_extract.extract(f"<table><tr><td class=sidebar>Side<td>{paras[0]}</table><dl><dt class=promo>Buy<dd>{paras[1]}</dl>") == paras[:2]
+
+
+def test_names_do_not_outweigh_the_text():
+    paras = [f"{i} " + "word " * 30 + "end" for i in range(6)]
+    text = "".join(f"<p>{p}</p>" for p in paras)
+    menu = "<nav><a href=/>menu</a></nav>"
+    for tag, name in (("div", 'id="page" class="site has-sidebar"'), ("div", 'class="no-sidebar"'), ("div", 'class="widget-content"'),
+                      ("div", 'class="search-result"'), ("div", 'class="comments-open"'), ("form", ""), ("div", 'role="form"')):
+        assert html_extract.extract(f"<html><body><{tag} {name}>{menu}<div>{text}</div></{tag}></body></html>") == paras, name
+        inner = f'<div class="sidebar"><p>Side</p></div><div class="comments">{text}{text}</div>'
+        if "comments" not in name:
+            assert html_extract.extract(f"<html><body><{tag} {name}>{menu}<div>{text}</div>{inner}</{tag}></body></html>") == paras, name
+    # Names alone: nothing else is left.
+    assert html_extract.extract("".join(f'<div class="teaser"><p>{p}</p></div>' for p in paras)) == paras
+
+
+def test_articles_that_are_furniture():
+    paras = [f"{i} " + "word " * 30 + "end" for i in range(6)]
+    text = "".join(f"<p>{p}</p>" for p in paras)
+    more = "".join(f"<p>Reader {p}</p>" for p in paras * 3)
+    for beside in (f'<article class="comment">{more}</article>', f'<section class="related"><article>{more}</article></section>',
+                   f"<aside><article>{more}</article></aside>", f'<div id="comments"><article class="comment-body">{more}</article></div>'):
+        assert html_extract.extract(f"<html><body><article>{text}</article>{beside}</body></html>") == paras, beside[:40]
+        assert html_extract.extract(f"<html><body><main><article>{text}</article>{beside}</main></body></html>") == paras, beside[:40]
+    assert html_extract.extract(f"<html><body><nav><ul><li>x<article>{text}</article></body></html>") == paras

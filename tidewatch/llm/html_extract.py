@@ -11,6 +11,13 @@ notices, comments, by element, role, class or id) and low lines that are nothing
 but links, lie in no article or main element and stand before the first or after
 the last content line.
 
+A class, id or role only names furniture, as a form does: such a subtree (also an
+article that is a reader's comment or lies in one, in an aside or in a footer) is
+furniture unless it holds most of the page's content lines, found without the
+elements that always are.  Reader comments have no vote unless there is nothing else,
+and a subtree is not chosen over content lines of an article (or main element) that it lies outside of.
+A page with no line left takes all lines that are furniture by name only.
+
 Each page is handled inside its own row; nothing is shuffled.
 
 Defined results: null and empty html give an empty text; a page without content lines keeps
@@ -56,7 +63,7 @@ _ENDS_P = frozenset((
 _P_SCOPE = frozenset("button caption object table td template th".split())
 # Elements whose text is never article text.  A header counts only outside an article.
 FURNITURE = frozenset((
-    "aside button dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea").split())
+    "aside button dialog footer head iframe input label menu nav noscript object option script select style svg template textarea").split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 # Class and id words (split at spaces, dashes, underscores and case changes) that name furniture.
 NAMES = frozenset((
@@ -64,15 +71,34 @@ NAMES = frozenset((
     "disclaimer discussion disqus feedback footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices "
     "notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond responses search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets").split())
+# Words that name reader comments; an article so named is one comment.
+COMMENTS = frozenset("comment comments discussion disqus replies reply respond response responses".split())
+ONE_COMMENT = frozenset(("comment", "reply"))
+# A name after one of these says what the element has or lacks, not what it is.
+_ABOUT = frozenset(("has", "no", "with", "without"))
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Section:
-    __slots__ = ("tag", "parent", "depth", "in_article")
+    __slots__ = ("tag", "parent", "depth", "rank")
 
     def __init__(self, tag: str, parent: "_Section | None"):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.in_article = tag in ARTICLE or bool(parent and parent.in_article)
+        # 2 inside an article, 1 inside main only.
+        self.rank = max(parent.rank if parent else 0, 2 if tag == "article" else int(tag in ARTICLE))
+
+
+class _Furniture:
+    """A furniture subtree: ``sure`` if it or one around it always is, else by name only and released when it holds the text."""
+    __slots__ = ("parent", "sure", "comments", "rank", "off", "votes", "own", "of_article", "holds_articles")
+
+    def __init__(self, parent: "_Furniture | None", named: bool, comments: bool, rank: int, holds_articles: bool = False):
+        self.parent, self.rank, self.holds_articles = parent, rank, holds_articles
+        self.sure = not named or bool(parent and parent.sure)
+        self.comments = comments or bool(parent and parent.comments)
+        self.off = True
+        self.votes, self.own = 0, [0, 0, 0]  # content lines inside; those of its own by rank
+        self.of_article: "_Furniture | None" = None  # stands for the articles inside
 
 
 class _Lines(HTMLParser):
@@ -80,16 +106,18 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, _Section]] = []
+        self.lines: list[tuple[str, int, int, _Furniture | None, _Section]] = []
+        self.named: list[_Furniture] = []  # those by name only, outer ones first
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.root = self.section = _Section("", None)
-        # Open elements: (tag, section before it, furniture depth before it).
-        self.open: list[tuple[str, _Section, int]] = []
+        # Open elements: (tag, section before it, furniture before it).
+        self.open: list[tuple[str, _Section, _Furniture | None]] = []
         # Places of open elements in the stack by tag, and of those that are sections.
         self.places: dict[str, list[int]] = {}
         self.sections: list[int] = []
-        self.furniture = self.links = 0
+        self.furniture: _Furniture | None = None
+        self.links = 0
 
     def parse_marked_section(self, i, report=1):  # <![...: a comment, as in browsers
         return self.parse_bogus_comment(i)
@@ -97,7 +125,7 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, max(self.tags, 1), self.linked, self.furniture > 0, self.section))
+            self.lines.append((text, max(self.tags, 1), self.linked, self.furniture, self.section))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -114,17 +142,38 @@ class _Lines(HTMLParser):
             self.links = 1
         if tag not in BLOCK and tag not in FURNITURE and not attrs:
             return  # plain inline markup needs no place in the stack
-        if tag in ARTICLE:
-            self.furniture = 0  # an article never belongs to an unclosed menu before it
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in SECTION:
             self.sections.append(len(self.open))
         self.open.append((tag, self.section, self.furniture))
-        if self._is_furniture(tag, attrs):
-            self.furniture += 1
+        if tag in ARTICLE:
+            self.furniture = self._around_article()
+        how = self._is_furniture(tag, attrs)
+        if how:
+            self._enter(how != "sure", how == "comments", tag in ("aside", "footer"))
         if tag in SECTION:
             self.section = _Section(tag, self.section)
 
+    def _enter(self, named: bool, comments: bool, holds_articles: bool = False) -> None:
+        self.furniture = _Furniture(self.furniture, named, comments, self.section.rank, holds_articles)
+        if not self.furniture.sure:
+            self.named.append(self.furniture)
+
+    def _around_article(self) -> _Furniture | None:
+        """An article in a named section, an aside or a footer is furniture by name only; it never belongs to an unclosed menu before it."""
+        at = self.furniture
+        if at is None or not at.sure:
+            return at
+        while at is not None and at.sure and not at.holds_articles:
+            at = at.parent
+        if at is None or not at.sure:
+            return at
+        if at.of_article is None:
+            before, self.furniture = self.furniture, None
+            self._enter(True, at.comments)
+            at.of_article, self.furniture = self.furniture, before
+        return at.of_article
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -171,23 +220,35 @@ class _Lines(HTMLParser):
         if self.links:
             self.linked += len(data.strip())
 
-    def _is_furniture(self, tag, attrs) -> bool:
+    def _is_furniture(self, tag, attrs) -> str:
+        """"sure", "named", "comments", or nothing."""
         if tag in FURNITURE:
-            return True
+            return "sure"
         if tag == "header":
-            return not self.section.in_article
-        if tag in ARTICLE or tag in ("html", "body"):
-            return False
+            return "" if self.section.rank else "sure"
+        if tag in ("html", "body", "main"):
+            return ""
+        found = "named" if tag == "form" else ""
         for name, value in attrs:
             if name in ("class", "id"):
-                if any(w.lower() in NAMES for w in _WORDS.findall(value or "")):
-                    return True
+                for one in (value or "").split():
+                    words = [w.lower() for w in _WORDS.findall(one)]
+                    words = [w for before, w in zip(["", *words], words) if before not in _ABOUT]
+                    if tag == "article":
+                        if not ONE_COMMENT.isdisjoint(words):
+                            found = "comments"
+                    elif not COMMENTS.isdisjoint(words):
+                        found = "comments"
+                    elif not found and not NAMES.isdisjoint(words):
+                        found = "named"
+            elif tag == "article":
+                continue
             elif name == "role":
                 if (value or "").lower() in ROLES:
-                    return True
+                    found = found or "named"
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                return "sure"
+        return found
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -207,15 +268,44 @@ def _common(a: _Section, b: _Section) -> _Section:
     return a
 
 
+def _ratios(lines: list[tuple], furniture: list[bool]) -> tuple[np.ndarray, float]:
+    """Smoothed ratios and their bound."""
+    ratios = smoothed(np.array([0.0 if f else len(text) / tags for (text, tags, *_), f in zip(lines, furniture)]))
+    return ratios, ratios.std() if len(ratios) else 0.0
+
+
+def _release(lines: list[tuple], named: list[_Furniture]) -> None:
+    """Takes ``off`` from the named subtrees that hold most of the page's content lines."""
+    sure = [f is not None and f.sure for _, _, _, f, _ in lines]
+    ratios, bound = _ratios(lines, sure)
+    content = [(f, section) for (_, _, _, f, section), s, ratio in zip(lines, sure, ratios) if not s and ratio >= bound]
+    content = [x for x in content if not (x[0] and x[0].comments)] or content
+    clear = [0, 0, 0]
+    for f, section in content:
+        (f.own if f else clear)[section.rank] += 1
+    for at in reversed(named):
+        at.votes += sum(at.own)
+        if at.parent:
+            at.parent.votes += at.votes
+    for at in named:
+        if not (at.parent and at.parent.off) and 2 * at.votes > len(content) and not any(clear[at.rank + 1:]):
+            at.off = False
+            clear = [x + y for x, y in zip(clear, at.own)]
+    if not any(not s and not (f and f.off) for (_, _, _, f, _), s in zip(lines, sure)):
+        for at in named:
+            at.off = False
+
+
 def extract(html: str | None) -> list[str]:
     """The lines of the main text, in page order."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.end_line()
-    lines = parser.lines
-    ratios = smoothed(np.array([0.0 if furniture else len(text) / tags for text, tags, _, furniture, _ in lines]))
-    bound = ratios.std() if len(ratios) else 0.0
+    if parser.named:
+        _release(parser.lines, parser.named)
+    lines = [(text, tags, linked, f is not None and f.off, section) for text, tags, linked, f, section in parser.lines]
+    ratios, bound = _ratios(lines, [line[3] for line in lines])
     region = None
     for (_, _, _, furniture, section), ratio in zip(lines, ratios):
         if not furniture and ratio >= bound:
@@ -230,7 +320,7 @@ def extract(html: str | None) -> list[str]:
     run = [i for i, (line, ratio) in enumerate(zip(lines, ratios)) if not line[3] and ratio >= bound]
     kept = []
     for i, ((text, _, linked, furniture, section), ratio) in enumerate(zip(lines, ratios)):
-        outside = not section.in_article and not (run and run[0] < i < run[-1])
+        outside = not section.rank and not (run and run[0] < i < run[-1])
         if furniture or (outside and ratio < bound and linked >= len(text.replace(" ", "")) > 0):
             continue
         while section.depth > region.depth:
