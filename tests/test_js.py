@@ -4,6 +4,7 @@ import pytest
 
 from conftest import source_df
 from tidewatch.operators.facts_js import extract_js_facts
+from tidewatch.operators.js_tokens import lex
 
 FEATURES = """export function exported(a, b) { return a + b; }
 export default function () { return 1; }
@@ -82,3 +83,37 @@ def test_every_file_is_listed(facts):
 def test_no_form_hides_the_sink_after_it(facts, i):
     calls = [r for r in of(facts, f"form{i}.tsx", "call") if r["name"] == "exec"]
     assert [(c["root"], c["args"][0]["kind"], c["func_name"]) for c in calls] == [("cp", "dynamic", None)], FORMS[i]
+
+
+# Regular expression literals by what stands before them, each with a sink on its line; the last ones divide.
+LITERALS = [
+    "const ok = us.filter(u => /^https?:\\/\\//.test(u)); cp.exec('ls ' + ok);",
+    "if (x) /['\"]/.test(y); cp.exec('ls ' + x);",
+    "while (f(a, (b))) /[\"({]/.exec(c); cp.exec('ls ' + x);",
+    "for await (const y of x) /`/.test(y); cp.exec('ls ' + x);",
+    "          /['\"(]/.test(y); cp.exec('ls ' + x);",
+    "const f = (a) => { switch (a) { case /[{']/.test(a): return /* of */ /[{']/; } }; cp.exec('ls ' + x);",
+    "if (x) { f(); }\n          /[{']/.test(y); cp.exec('ls ' + x);",
+    "const r = (a) / 2; cp.exec('ls ' + x); s = '/';",
+    "const r = a[0] / 2 / b.if(c) / x! / {} / 2; cp.exec('ls ' + x); s = '/';",
+    "const v = <p>{a} / {b}<br /></p>; cp.exec('ls ' + x); s = '/';",
+]
+
+
+@pytest.fixture(scope="module")
+def literal_facts(spark):
+    files = {f"lit{i}.tsx": f"{s}\nfunction after(a) {{ return a; }}\n" for i, s in enumerate(LITERALS)}
+    return [r.asDict(recursive=True) for r in extract_js_facts(source_df(spark, files)).collect()]
+
+
+@pytest.mark.parametrize("i", range(len(LITERALS)))
+def test_regex_literals_hide_nothing(literal_facts, i):
+    path = f"lit{i}.tsx"
+    assert [(c["root"], c["args"][0]["kind"]) for c in of(literal_facts, path, "call") if c["name"] == "exec" and c["root"] == "cp"] == [("cp", "dynamic")]
+    assert [(r["name"], r["params"]) for r in of(literal_facts, path, "inventory") if r["name"] == "after"] == [("after", ["a"])]
+    assert [r["parse_error"] for r in of(literal_facts, path, "file")] == [None]
+
+
+def test_tokens_give_back_the_file():
+    for s in [FEATURES, TS, *FORMS, *LITERALS, "", "'open", "`open", "/* open", "/[open", "\0 'a", "\u00a0\ufeff\U0001f600 é²"]:
+        assert "".join(lex(s)) == s

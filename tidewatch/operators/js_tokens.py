@@ -1,41 +1,53 @@
-"""JavaScript / TypeScript token table: lexing and bracket structure as Spark
-expressions and windows.
+"""JavaScript / TypeScript token table: lexing in one pass per file, bracket
+structure as Spark windows.
 
-A file is cut into tokens by one regular expression (``regexp_extract_all`` +
-``posexplode``).  Windows per file give lines and bracket depth; windows per
+A file is cut into tokens by one regular expression inside the row
+(``mapInArrow``); whether a slash divides or starts a regular expression literal
+depends on the token before it, and after ``)`` or ``}`` on what opened that
+bracket.  Windows per file give lines and bracket depth; windows per
 (file, depth) match brackets; windows per (file, enclosing bracket) split what
 one pair of brackets holds into segments (at ``, ; = => : ?`` and line ends
 that end a statement), items (at commas) and chains (``a.b(c).d``).
 
-Nothing here can fail on a file: text that does not lex well (JSX prose, odd
-regular expressions) yields odd tokens around that spot and the other facts
-of the file stay.
+Nothing here can fail on a file: text that does not lex well (JSX prose) yields
+odd tokens around that spot and the other facts of the file stay.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import ship_package
+
 FILE = ["repo", "path"]
 JS_LANGUAGES = ("JavaScript", "TypeScript")
 
-_ESC = r"(?:\\(?s:.)[^{q}\\{nl}]*+){{0,2000}}+"
-TOKEN = "|".join((
-    r"\A#![^\n]*+", r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)", r"\s++",
-    r'"[^"\\\n]*+' + _ESC.format(q='"', nl=r"\n") + '"?', r"'[^'\\\n]*+" + _ESC.format(q="'", nl=r"\n") + "'?",
-    r"`[^`\\]*+" + _ESC.format(q="`", nl="") + "`?",
-    # A regular expression literal: only where an operand may start.
-    r"(?:(?<=[(,=:\[!&|?{};+\n]\s{0,4})|(?<=\breturn\s))/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n]){0,500}+\]){1,500}+/[A-Za-z]*+",
-    r"[\p{L}_$#@][\p{L}\p{N}_$]*+", r"[0-9][\w.]*+",
-    r"=>|\?\.(?![0-9])|\.\.\.|[=!]==?|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|[-+*/%&|^]=|<<=?|>>>?=?", r"(?s:.)",
-))
+_TRIVIA = r"(?P<space>[ \t\n\x0b\x0c\r]++)|(?P<comment>//[^\n]*+|/\*[\s\S]*?(?:\*/|\Z)|\A#![^\n]*+)"
+_TOKEN = re.compile("|".join((
+    _TRIVIA,
+    r'(?P<str>"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+){0,2000}+"?' + r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+){0,2000}+'?)", r"(?P<tmpl>`[^`\\]*+(?:\\[\s\S][^`\\]*+){0,2000}+`?)",
+    r"(?P<ident>(?:[^\W\d]|[$#@])[\w$]*+)", r"(?P<num>[0-9][0-9A-Za-z_.]*+)",
+    r"(?P<punct>=>|\?\.(?![0-9])|\.\.\.|[=!]==?|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|[-+*/%&|^]=|<<=?|>>>?=?|[\s\S])",
+)))
+_REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n]){0,500}+\]){1,500}+/[A-Za-z]*+")
+BATCH = 50_000  # tokens that leave a task at a time
 SEPARATORS = (",", ";", "=", "=>", ":", "?")
 # Words before a bracket that make it something else than a call.
 NOT_CALLED = tuple(("if for while switch catch function return typeof await new delete void in of instanceof case do else yield throw with "
                     "async const let var import export extends").split())
 # Words that cannot end an operand, or that go on with the line before.
 OPERATOR_WORDS = tuple("return typeof await new delete void in of instanceof case do else yield throw as satisfies extends implements".split())
+# Words whose brackets are the header of a statement; words, besides the operator words, that a literal may follow.
+HEADS = frozenset(("if", "while", "for", "with"))
+_BEFORE_LITERAL = frozenset(OPERATOR_WORDS) | {"default"}
+# Words and signs that a block follows, and signs that end an operand or that no literal follows (``<`` and ``>`` also end JSX tags).
+_BEFORE_BLOCK = frozenset(("", ")", ";", "{", "=>", "else", "do", "try", "finally"))
+_NO_LITERAL = frozenset((")", "]", "++", "--", ".", "?.", "<", ">"))
 GOES_ON = tuple("in of instanceof as satisfies else catch finally".split())
 
 
@@ -44,20 +56,98 @@ def _operand_end(kind: Column, text: Column) -> Column:
     return word | kind.isin("str", "tmpl", "num", "regex") | text.isin(")", "]", "}")
 
 
+def lex(content: str) -> Iterator[str]:
+    """The tokens of a file, white space and comments included; joined they are the file."""
+    at, size = 0, len(content)
+    kind = text = before = ""  # the last token that is no white space or comment, and the one before
+    literal = True  # a regular expression literal may follow
+    parens: list[bool] = []  # open round brackets: the header of a statement
+    braces: list[str] = []  # open curly brackets: "block", "value" or "either"
+    last, line_end = "", False  # the curly bracket closed last; a line end since the last token
+    while at < size:
+        m = None
+        if content[at] == "/" and (literal or (text == "}" and last == "either" and line_end)):
+            m = _REGEX.match(content, at)
+            # After a curly bracket, ends of JSX tags are no literal.
+            if m and text == "}" and (content[at + 1] == ">" or "</" in m[0]):
+                m = None
+        new = "regex" if m else ""
+        if not m:
+            m = _TOKEN.match(content, at)
+            new = m.lastgroup
+        token, at = m[0], m.end()
+        yield token
+        if new in ("space", "comment"):
+            line_end = line_end or "\n" in token
+            continue
+        if new == "punct":
+            may = token not in _NO_LITERAL
+            if token == "(":
+                parens.append((text in HEADS and before not in (".", "?.")) or (text == "await" and before == "for"))
+            elif token == ")":
+                may = bool(parens and parens.pop())
+            elif token == "{":
+                braces.append(_brace(kind, text, last, braces))
+            elif token == "}":
+                last = braces.pop() if braces else "block"
+                may = last == "block"
+            elif token == "!":
+                may = literal or line_end  # else a postfix: x! / 2
+            elif token.isspace() or token == "\ufeff":
+                continue
+        else:
+            may = new == "ident" and token in _BEFORE_LITERAL and text not in (".", "?.")
+        before, kind, text, literal, line_end = text, new, token, may, False
+
+
+def _brace(kind: str, text: str, last: str, braces: list[str]) -> str:
+    """What a curly bracket after this token opens; "either" where names and tags come before it."""
+    if text == "}":
+        return last
+    if text in _BEFORE_BLOCK:
+        return "block"
+    if text == ":":
+        return "value" if braces and braces[-1] == "value" else "either"
+    if kind == "punct" and text not in (">", "]"):
+        return "value"
+    return "value" if kind == "ident" and text in _BEFORE_LITERAL else "either"
+
+
+def _lex_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in range(b.num_rows):
+            content = b.column("content")[row].as_py()
+            rows, first = [], 1
+            for token in lex((content or b"").decode("utf-8", "replace")):
+                rows.append(token)
+                if len(rows) == BATCH:
+                    yield _token_batch(b, row, first, rows)
+                    rows, first = [], first + BATCH
+            if rows:
+                yield _token_batch(b, row, first, rows)
+
+
+def _token_batch(b: pa.RecordBatch, row: int, first: int, rows: list[str]) -> pa.RecordBatch:
+    keys = [b.column(x).take(pa.array([row] * len(rows), pa.int32())) for x in FILE]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(range(first, first + len(rows)), pa.int32()), pa.array(rows, pa.string())], names=[*FILE, "i", "text"])
+
+
 def raw_tokens(sources: DataFrame) -> DataFrame:
     """repo, path, i (1-based), text, kind, line, depth, gap (white space before), white space and comments included.
 
     This is the only shuffle by file: the windows of ``tokens`` are partitioned by
     (repo, path) and more, which this partitioning already satisfies."""
-    src = sources.filter(F.col("language").isin(*JS_LANGUAGES))
-    t = src.select(*FILE, F.posexplode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("i", "text"))
+    ship_package(sources.sparkSession)
+    src = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, F.col("content").cast("binary").alias("content"))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:len(FILE)])
+    t = src.mapInArrow(_lex_files, f"{keys}, i int, text string")
     c = F.substring("text", 1, 1)
     two = F.substring("text", 1, 2)
     kind = (F.when(F.trim(F.translate("text", "\n\t\r\u000b\u000c ﻿", " ")) == "", "space")
             .when(two.isin("//", "/*") | (two == "#!"), "comment")
             .when(c.isin("'", '"'), "str").when(c == "`", "tmpl").when((c == "/") & (F.length("text") > 2), "regex")
             .when(c.rlike("[0-9]"), "num").when(c.rlike(r"[\p{L}_$#@]"), "ident").otherwise("punct"))
-    t = t.withColumn("i", F.col("i") + 1).withColumn("kind", kind)
+    t = t.withColumn("kind", kind)
     opens, closes = F.col("text").isin("(", "[", "{"), F.col("text").isin(")", "]", "}")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
