@@ -117,3 +117,14 @@ def test_regex_literals_hide_nothing(literal_facts, i):
 def test_tokens_give_back_the_file():
     for s in [FEATURES, TS, *FORMS, *LITERALS, "", "'open", "`open", "/* open", "/[open", "\0 'a", "\u00a0\ufeff\U0001f600 é²"]:
         assert "".join(lex(s)) == s
+
+
+def test_long_literals_end_where_they_end(spark):
+    many = "\\x41" * 100_000
+    long = {"str.js": f'"{many}"', "tick.js": f"`{many}`", "class.js": "/[" + "\\u0041-\\u0043" * 2000 + "]/", "atoms.js": "/" + "a" * 2000 + "'/"}
+    files = {p: f"const s = {x}; cp.exec('ls ' + s);\nfunction after(a) {{ return a; }}\n" for p, x in long.items()}
+    rows = [r.asDict(recursive=True) for r in extract_js_facts(source_df(spark, files)).collect()]
+    for p in files:
+        assert [(c["root"], c["args"][0]["kind"]) for c in of(rows, p, "call") if c["name"] == "exec"] == [("cp", "dynamic")], p
+        assert [r["name"] for r in of(rows, p, "inventory")] == ["after"], p
+        assert [r["parse_error"] for r in of(rows, p, "file")] == [None], p

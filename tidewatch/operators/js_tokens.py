@@ -30,11 +30,11 @@ JS_LANGUAGES = ("JavaScript", "TypeScript")
 _TRIVIA = r"(?P<space>[ \t\n\x0b\x0c\r]++)|(?P<comment>//[^\n]*+|/\*[\s\S]*?(?:\*/|\Z)|\A#![^\n]*+)"
 _TOKEN = re.compile("|".join((
     _TRIVIA,
-    r'(?P<str>"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+){0,2000}+"?' + r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+){0,2000}+'?)", r"(?P<tmpl>`[^`\\]*+(?:\\[\s\S][^`\\]*+){0,2000}+`?)",
+    r'(?P<str>"(?:[^"\\\n]++|\\[\s\S])*+"?' + r"|'(?:[^'\\\n]++|\\[\s\S])*+'?)", r"(?P<tmpl>`(?:[^`\\]++|\\[\s\S])*+`?)",
     r"(?P<ident>(?:[^\W\d]|[$#@])[\w$]*+)", r"(?P<num>[0-9][0-9A-Za-z_.]*+)",
     r"(?P<punct>=>|\?\.(?![0-9])|\.\.\.|[=!]==?|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|[-+*/%&|^]=|<<=?|>>>?=?|[\s\S])",
 )))
-_REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n]){0,500}+\]){1,500}+/[A-Za-z]*+")
+_REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+")
 BATCH = 50_000  # tokens that leave a task at a time
 SEPARATORS = (",", ";", "=", "=>", ":", "?")
 # Words before a bracket that make it something else than a call.
