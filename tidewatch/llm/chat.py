@@ -7,7 +7,8 @@ Events have columns ``conv_id, turn, part, seq, op, role, text``:
 ``message`` sets role and text of a message, ``edit`` replaces its text,
 ``regenerate`` throws its text away, ``delta`` appends to it.  A message is named by
 (conv_id, turn, part); its final text is the last setting event's text with the
-deltas after it, in ``seq`` order.
+deltas after it, in ``seq`` order (ties by op, then text).  The conversations table
+holds only finished rows: ``conversation_events`` gives one ``message`` event per row.
 
 Template, per message: ``<|role:ROLE|>\\nTEXT<|end|>\\n``.  In ROLE and TEXT the
 characters ``& < [ |`` are written as character references, so no control string
@@ -60,7 +61,7 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, part, role, text."""
     key = ["conv_id", "turn", "part"]
-    log = Window.partitionBy(*key).orderBy("seq", "op", "text")
+    log = Window.partitionBy(*key).orderBy("seq", "op", "text").rowsBetween(Window.unboundedPreceding, 0)
     sets = F.col("op").isin("message", "edit", "regenerate")
     e = events.select(*key, "seq", "op", "role", "text")
     e = e.withColumn("__version", F.sum(sets.cast("int")).over(log))
