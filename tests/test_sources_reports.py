@@ -128,3 +128,17 @@ def test_review_survives_a_failed_history(spark, monkeypatch):
     assert out.dismissed.count() == 1 and out.verified.count() == 0
     assert len(out.warnings) == 1 and "disk full" in out.warnings[0]
     assert stores.read_history(spark, root + "/history/validations", stores.VALIDATIONS_SCHEMA).count() == 1
+
+
+def test_large_files_are_listed(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="tw-tree-", dir="/tmp")
+    for name, text in (("big.py", "eval(x)\n" * 20), ("big.js", "eval(x);\n" * 20), ("small.py", "eval(x)\n")):
+        open(os.path.join(root, name), "w").write(text)
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 100)
+    src = files.read_source_tree(spark, root, repo="demo")
+    assert {r.path: (r.bytes, r.content) for r in src.collect()} == {"big.py": (160, None), "big.js": (180, None), "small.py": (8, "eval(x)\n")}
+    assert [r.total_bytes for r in files.repo_sizes(src).collect()] == [348]
+    assert files.accepted_files(src, 300 / 1024 / 1024).count() == 0
+    res = scan_sources(src, already_discovered=True)
+    assert {r.path: r.parse_error for r in res.files.collect()} == {"big.py": files.NOT_READ, "big.js": files.NOT_READ, "small.py": None}
+    assert [r.file for r in res.findings.collect()] == ["small.py"]

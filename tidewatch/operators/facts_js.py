@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import loc_from_lines, split_lines
 from tidewatch.operators.js_tokens import FILE, JS_LANGUAGES, NOT_CALLED, raw_tokens, segments, tokens
 from tidewatch.session import materialize
+from tidewatch.sources.files import NOT_READ, not_read
 
 ANONYMOUS = "<anonymous>"
 DECLARES = ("const", "let", "var")
@@ -191,7 +192,7 @@ def _pairs(t: DataFrame, s: DataFrame, calls: DataFrame) -> DataFrame:
 
 def extract_js_facts(sources: DataFrame) -> DataFrame:
     """(repo, path, language, content) of JS / TS files -> flat fact rows of all kinds."""
-    js = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, "language", "content")
+    js = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, "language", "content", not_read(sources).alias("not_read"))
     t = materialize(tokens(raw_tokens(js)), "js-tokens")
     s = materialize(segments(t), "js-segments")
     class_seg = s.filter("has_class").select(*FILE, "par", "seg")
@@ -246,7 +247,7 @@ def extract_js_facts(sources: DataFrame) -> DataFrame:
     # A file whose brackets do not close is listed with a reason; its facts stay.
     shut = t.groupBy(*FILE).agg(F.max(F.struct("i", "depth"))["depth"].alias("left_open"), F.min("depth").alias("lowest"))
     lines = split_lines(F.coalesce("content", F.lit("")))
-    files = js.select(*FILE, "language", loc_from_lines(lines).alias("loc")).join(shut, FILE, "left").select(
-        *FILE, "language", "loc", F.when((F.col("left_open") != 0) | (F.col("lowest") < 0), "syntax error: brackets do not match").alias("parse_error"))
+    files = js.select(*FILE, "language", "not_read", loc_from_lines(lines).alias("loc")).join(shut, FILE, "left").select(
+        *FILE, "language", "loc", F.when(F.col("not_read"), NOT_READ).when((F.col("left_open") != 0) | (F.col("lowest") < 0), "syntax error: brackets do not match").alias("parse_error"))
     known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (scoped, tag(inventory, "inventory"), tag(classes, "class")))
     return known.join(js.select(*FILE, "language"), FILE).unionByName(tag(files, "file"), allowMissingColumns=True)

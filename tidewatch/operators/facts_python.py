@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.sources.files import NOT_READ, not_read
+
 ARG = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("literal", T.StringType()),
     T.StructField("ident", T.StringType()), T.StructField("attr", T.StringType())])
@@ -224,11 +226,11 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     schema = to_arrow_schema(FLAT_SCHEMA)
     for batch in batches:
         # One file after the other: a batch of files is never held as Python objects.
-        columns = [batch.column(c) for c in ("repo", "path", "language", "content")]
+        columns = [batch.column(c) for c in ("repo", "path", "language", "content", "not_read")]
         rows = []
         for i in range(batch.num_rows):
-            repo, path, lang, content = (c[i].as_py() for c in columns)
-            rows.extend(_flat_rows(repo, path, lang, extract(content or "")))
+            repo, path, lang, content, not_read = (c[i].as_py() for c in columns)
+            rows.extend(_flat_rows(repo, path, lang, {"loc": 0, "parse_error": NOT_READ} if not_read else extract(content or "")))
             if len(rows) >= FLUSH_ROWS:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows = []
@@ -243,7 +245,7 @@ def extract_python_facts(sources: DataFrame) -> DataFrame:
     """(repo, path, language, content) of Python files -> flat fact rows."""
     from tidewatch.session import ship_package
     ship_package(sources.sparkSession)
-    src = sources.filter(F.col("language") == "Python").select("repo", "path", "language", "content")
+    src = sources.filter(F.col("language") == "Python").select("repo", "path", "language", "content", not_read(sources).alias("not_read"))
     return src.mapInArrow(_flat_batches, FLAT_SCHEMA)
 
 

@@ -67,8 +67,16 @@ def classify(files: DataFrame) -> DataFrame:
     return out.filter(F.col("language").isNotNull() & ~in_ignored_dir(F.col("path")) & ~is_minified(F.col("path")))
 
 
-# Larger files are not read (Spark's file source holds a file's bytes in one value).
+# Larger files are listed and not read (Spark's file source holds a file's bytes in one value).
 MAX_FILE_BYTES = 1 << 30
+NOT_READ = "not read: file too large"
+
+
+def not_read(sources: DataFrame):
+    """Files of ``sources`` that were listed without their content."""
+    if "bytes" not in sources.columns:
+        return F.lit(False)
+    return F.coalesce(F.col("content").isNull() & (F.col("bytes") > MAX_FILE_BYTES), F.lit(False))
 
 
 def read_source_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
@@ -78,12 +86,14 @@ def read_source_tree(spark: SparkSession, root: str, repo: str | None = None) ->
     per folder, and the first folder of a file's path names its repository (files
     directly under ``root`` belong to the last part of ``root``).  Only files of the five
     extensions are opened (``pathGlobFilter``), and those above ``MAX_FILE_BYTES``
-    are left out before their content is read.
+    are listed with their length and a null content; a scan gives them a ``parse_error``.
     """
     root = root.rstrip("/")
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in EXTENSION_LANGUAGE) + "}").load(root))
-    raw = raw.filter(F.col("length") <= MAX_FILE_BYTES)
+    large = F.col("length") > MAX_FILE_BYTES
+    listed = raw.filter(large).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    raw = raw.filter(~large).select("path", "length", "content").unionAll(listed)
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + root.lstrip("/").replace(".", r"\.") + "/", "")
     meta = raw.select(rel.alias("rel"), F.col("length").alias("bytes"), "content")
     if repo is not None:
