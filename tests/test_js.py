@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import source_df
+from source_tables import source_df
 from tidewatch.operators.facts_js import extract_js_facts
 from tidewatch.operators.js_tokens import lex
 

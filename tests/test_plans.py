@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from conftest import source_df
+from source_tables import source_df
 from tidewatch.operators import summary
 from tidewatch.operators.facts_python import calls_table, extract_facts
 from tidewatch.operators.lexical import scan_secrets

@@ -1,6 +1,6 @@
 """Python detectors and taint on own fixtures (the corpus templates: test_templates.py)."""
 
-from conftest import source_df
+from source_tables import source_df
 from tidewatch.plans.scan import scan_sources
 from tidewatch.plans.templates_py import PY_TEMPLATES
 

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import source_df
+from source_tables import source_df
 from tidewatch.plans.scan import scan_sources
 from tidewatch.plans.templates_py import PY_TEMPLATES
 from tidewatch.sources import files, reports, stores

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from conftest import source_df
+from source_tables import source_df
 from tidewatch.catalog import CROSS_FUNCTION_NOTE
 from tidewatch.plans.code_corpus import TEMPLATES
 from tidewatch.plans.expected import EXPECTED
