@@ -4,7 +4,7 @@ from collections import Counter
 
 import brute
 import pytest
-from conftest import documents, tables
+from llm_tables import documents, tables
 
 from tidewatch.llm.queries import QUERIES
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import brute
 import pytest
-from conftest import documents, tables
+from llm_tables import documents, tables
 
 import corpus_pipeline
 from tidewatch.llm.common import table
