@@ -90,3 +90,27 @@ def running(df: DataFrame, group: str | None, bucket: str, order: list[str], val
     return (out.withColumn("__rank", F.col("__rank0") + F.col("__r") - 1)
                .withColumn("__before", F.col("__before0") + F.col("__v") - F.col(value))
                .drop("__rank0", "__before0", "__r", "__v"))
+
+
+# Keys of at least one in so many rows are broadcast, so there are at most so many of them.
+HOT_SHARE = 1000
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left join of ``rows`` to a written ``table`` with one row per string ``key``, where
+    ``weight`` says how many rows hold it.  A key of more than a thousandth of all
+    rows is looked up in a broadcast of at most ``HOT_SHARE`` such keys; the other
+    keys are joined by shuffle, where none is more than a thousandth."""
+    names = [c for c in table.columns if c != key]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE >= F.lit(total)
+    packed = F.struct(*names)
+    many = table.filter(hot).select(F.col(key).alias("__hot_key"), packed.alias("__hot"))
+    few = table.filter(~hot).select(F.col(key).alias("__cold_key"), packed.alias("__cold"))
+    out = rows.join(F.broadcast(many), F.col(key) == F.col("__hot_key"), "left")
+    # Rows that are served spread over all partitions under keys that nothing has.
+    out = out.withColumn("__at", F.when(F.col("__hot_key").isNull(), F.col(key)).otherwise(
+        F.concat(F.lit("~"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))))
+    out = out.join(few, F.col("__at") == F.col("__cold_key"), "left")
+    got = F.coalesce("__hot", "__cold")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[got[n].alias(n) for n in names])

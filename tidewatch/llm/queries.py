@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    chat, curriculum, decision_list, decontam, html_extract, langid, quality_knn, sharding, simhash, substring_dedup)
+    chat, curriculum, decision_list, decontam, exact_dedup, html_extract, langid, quality_knn, sharding, simhash, substring_dedup)
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -202,3 +202,21 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
 """
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.assign(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
+), g AS (
+  SELECT doc_id, body, count(*) OVER (PARTITION BY body) AS group_size,
+         row_number() OVER (PARTITION BY body ORDER BY chars DESC, doc_id NULLS LAST) AS place,
+         first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id
+  FROM d
+)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g
+"""
