@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    chat, curriculum, decision_list, decontam, exact_dedup, html_extract, langid, quality_knn, sharding, simhash, substring_dedup)
+    chat, conversation_repair, curriculum, decision_list, decontam, exact_dedup, html_extract, langid, quality_knn, sharding, simhash, substring_dedup)
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -220,3 +220,70 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.report(conversations, conversation_repair.damage(conversations))
+
+
+# DuckDB has no crc32; the bytes of a key are folded bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE c AS (
+  SELECT coalesce(conv_id::VARCHAR, 'null') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), h AS (SELECT *, {_CRC32} % 20 AS how FROM c
+), l AS (
+  SELECT conv, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE how <> 0
+), o AS (
+  SELECT conv, turn, role, text, row_number() OVER w AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, lead(left(role, 1)) OVER w AS follows
+  FROM l WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) AS nth FROM o
+), f AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND nth > 1 AS dup, bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         bare = '' OR nth > 1 AS gone, left(role, 1) AS ini,
+         CASE WHEN bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS tr
+  FROM p
+), b AS (  -- costs to finish from row i in the states none, s, u, a (1 to 4)
+  SELECT conv, max(i) + 1 AS i, [0, 6, 3, 0] AS v FROM f GROUP BY conv
+  UNION ALL
+  SELECT conv, i, [least(d1, 3 + d3, 6 + d4), least(d2, 3 + d3, 6 + d4), least(d3, 3 + d4), least(d4, 3 + d3)] FROM (
+    SELECT f.conv, f.i,
+      least(4 + v[1], CASE WHEN gone THEN 99999999 ELSE least(tr + 3 + v[3], CASE ini WHEN 's' THEN tr + v[2] WHEN 'u' THEN tr + v[3] ELSE 99999999 END) END) AS d1,
+      least(4 + v[2], CASE WHEN gone THEN 99999999 ELSE least(tr + 3 + v[3], CASE ini WHEN 'u' THEN tr + v[3] ELSE 99999999 END) END) AS d2,
+      least(4 + v[3], CASE WHEN gone THEN 99999999 ELSE least(tr + 3 + v[4], CASE ini WHEN 'a' THEN tr + v[4] ELSE 99999999 END) END) AS d3,
+      least(4 + v[4], CASE WHEN gone THEN 99999999 ELSE least(tr + 3 + v[3], CASE ini WHEN 'u' THEN tr + v[3] ELSE 99999999 END) END) AS d4
+    FROM b JOIN f ON f.conv = b.conv AND f.i = b.i - 1)
+), w AS (
+  SELECT conv, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS lines FROM f GROUP BY conv
+  UNION ALL
+  SELECT conv, CASE m WHEN 'I' THEN i ELSE i + 1 END, CASE m WHEN 'D' THEN q WHEN 'K' THEN kept ELSE nxt END, audit || m,
+         CASE m WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                ELSE list_append(lines, CASE nxt WHEN 3 THEN 'user' ELSE 'assistant' END || ':' || CASE m WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT x.*, CASE WHEN role IS NOT NULL AND now[q] = 4 + after[q] THEN 'D' WHEN now[q] = 3 + now[nxt] THEN 'I'
+                     WHEN NOT gone AND kept > 0 AND now[q] = tr + after[kept] THEN 'K' ELSE 'R' END AS m
+    FROM (
+      SELECT w.conv, w.i, w.q, w.audit, w.lines, f.role, f.text, f.gone, f.tr, b.v AS now, e.v AS after, CASE w.q WHEN 3 THEN 4 ELSE 3 END AS nxt,
+             CASE WHEN f.ini = 's' AND w.q = 1 THEN 2 WHEN f.ini = 'u' AND w.q IN (1, 2, 4) THEN 3 WHEN f.ini = 'a' AND w.q = 3 THEN 4 ELSE 0 END AS kept
+      FROM w JOIN b ON b.conv = w.conv AND b.i = w.i LEFT JOIN b e ON e.conv = w.conv AND e.i = w.i + 1 LEFT JOIN f ON f.conv = w.conv AND f.i = w.i
+      WHERE f.i IS NOT NULL OR w.q IN (2, 3)
+    ) x)
+), done AS (
+  SELECT w.conv, w.audit, array_to_string(w.lines, chr(10)) AS said FROM w ANTI JOIN f ON f.conv = w.conv AND f.i = w.i WHERE q IN (1, 4)
+), n AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (follows IS NOT NULL AND ini || follows NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM c) c LEFT JOIN n USING (conv) LEFT JOIN done USING (conv) LEFT JOIN b ON b.conv = c.conv AND b.i = 1
+"""
