@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    chat, conversation_repair, curriculum, decision_list, decontam, exact_dedup, html_extract, langid, quality_knn, sharding, simhash, substring_dedup)
+    chat, conversation_repair, curriculum, decision_list, decontam, exact_dedup, html_extract, langid, lexical_search,
+    quality_knn, sharding, simhash, substring_dedup)
 from tidewatch.llm.common import table
 
 QUERIES: dict = {}
@@ -287,3 +288,30 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
        coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv, conv_id FROM c) c LEFT JOIN n USING (conv) LEFT JOIN done USING (conv) LEFT JOIN b ON b.conv = c.conv AND b.i = 1
 """
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op11_lexical_search"] = rf"""
+WITH q AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS_SQL}) AS terms FROM benchmark
+), qt AS (SELECT q, unnest(terms) AS t FROM q
+), d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS w FROM documents
+), s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d
+), p AS (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY r, t
+), f AS (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t
+), i AS (
+  SELECT r, t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+               * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(w)::BIGINT * n_docs) // n_terms)))) AS part
+  FROM p JOIN f USING (t) JOIN d USING (r) CROSS JOIN s
+), sc AS (SELECT q, r, sum(part)::BIGINT AS score FROM qt JOIN i USING (t) GROUP BY q, r
+), k AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc JOIN d USING (r) WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k JOIN q USING (q) WHERE rank <= 50
+"""
