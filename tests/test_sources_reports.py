@@ -7,9 +7,10 @@ import tempfile
 from pyspark.sql import functions as F
 
 from source_tables import source_df
-from tidewatch.plans.scan import scan_sources
+from tidewatch.plans.scan import scan_sources, scan_tree
 from tidewatch.plans.templates_py import PY_TEMPLATES
 from tidewatch.sources import files, reports, stores
+from tidewatch.sources import tree as tree_source
 
 
 def test_language_and_discovery(spark):
@@ -140,5 +141,48 @@ def test_large_files_are_listed(spark, monkeypatch):
     assert [r.total_bytes for r in files.repo_sizes(src).collect()] == [348]
     assert files.accepted_files(src, 300 / 1024 / 1024).count() == 0
     res = scan_sources(src, already_discovered=True)
-    assert {r.path: r.parse_error for r in res.files.collect()} == {"big.py": files.NOT_READ, "big.js": files.NOT_READ, "small.py": None}
+    assert {r.path: r.parse_error for r in res.files.collect()} == {"big.py": files.TOO_LARGE, "big.js": files.TOO_LARGE, "small.py": None}
     assert [r.file for r in res.findings.collect()] == ["small.py"]
+
+
+def tree(files_of):
+    root = tempfile.mkdtemp(prefix="tw (tree) [x]+.", dir="/tmp")
+    for name, text in files_of.items():
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        open(os.path.join(root, name), "wb").write(text if isinstance(text, bytes) else text.encode())
+    return root
+
+
+def test_every_name_is_listed(spark):
+    names = ["a.py", "__init__.py", "pkg/_app.tsx", "pkg/_internal/x.py", "__tests__/y.js", "pkg/b.js", ".conf/z.ts", ".eslintrc.js"]
+    root = tree({**{n: "x\n" for n in names}, ".git/h.py": "1", "pkg/.venv/v.py": "1", "notes.md": "1", "a b/c%20d.py": "x\n"})
+    os.symlink(os.path.join(root, "pkg"), os.path.join(root, "loop"))
+    os.symlink(os.path.join(root, "a.py"), os.path.join(root, "linked.py"))
+    os.symlink(os.path.join(root, "nothing"), os.path.join(root, "broken.py"))
+    os.mkfifo(os.path.join(root, "pipe.py"))
+    got = files.read_source_tree(spark, root, repo="demo").collect()
+    assert {r.path for r in got} == {*names, "a b/c%20d.py", "linked.py"} and {r.content for r in got} == {"x\n"}
+    # The same whatever the tree is dealt out in, and by its address.
+    for slices in (1, 3):
+        assert {r.path for r in tree_source.list_source_tree(spark, "file:" + root + "/", "demo", slices).collect()} == {
+            *names, "a b/c%20d.py", "linked.py", ".git/h.py", "pkg/.venv/v.py", "notes.md"}
+
+
+def test_names_that_are_no_utf8_and_files_that_vanish(spark):
+    root = tree({"ok.py": "eval(x)\n", "gone.py": "eval(y)\n"})
+    open(os.path.join(os.fsencode(root), b"od\xff.py"), "w").write("eval(z)\n")
+    listing = tree_source.list_source_tree(spark, root, "demo")
+    os.remove(os.path.join(root, "gone.py"))
+    src = files.read_source_tree(spark, root, "demo", listing=listing)
+    res = scan_sources(src, already_discovered=True)
+    assert {r.path: r.parse_error for r in res.files.collect()} == {"ok.py": None, "gone.py": files.NOT_OPENED, "od\\xff.py": files.NOT_OPENED}
+    assert [r.file for r in res.findings.collect()] == ["ok.py"]
+
+
+def test_scan_of_a_folder_with_the_size_cap(spark):
+    assets = {f"big/assets/{i}.bin": b"\0" * 300_000 for i in range(4)}
+    root = tree({"small/m.py": "eval(x)\n", "small/.git/pack": b"1" * 1000, "big/m.py": "eval(x)\n", "loose.py": "eval(x)\n", **assets})
+    got = scan_tree(spark, root, max_mb=1)
+    name = root.rsplit("/", 1)[-1]
+    assert {(r.repo, r.total_bytes, r.accepted) for r in got.sizes.collect()} == {("small", 1008, True), ("big", 1_200_008, False), (name, 8, True)}
+    assert {(r.repo, r.file) for r in got.scan.findings.collect()} == {("small", "m.py"), (name, "loose.py")}

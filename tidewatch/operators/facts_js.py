@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import loc_from_lines, split_lines
 from tidewatch.operators.js_tokens import FILE, JS_LANGUAGES, NOT_CALLED, raw_tokens, segments, tokens
 from tidewatch.session import materialize
-from tidewatch.sources.files import NOT_READ, not_read
+from tidewatch.sources.files import not_read
 
 ANONYMOUS = "<anonymous>"
 DECLARES = ("const", "let", "var")
@@ -248,6 +248,6 @@ def extract_js_facts(sources: DataFrame) -> DataFrame:
     shut = t.groupBy(*FILE).agg(F.max(F.struct("i", "depth"))["depth"].alias("left_open"), F.min("depth").alias("lowest"))
     lines = split_lines(F.coalesce("content", F.lit("")))
     files = js.select(*FILE, "language", "not_read", loc_from_lines(lines).alias("loc")).join(shut, FILE, "left").select(
-        *FILE, "language", "loc", F.when(F.col("not_read"), NOT_READ).when((F.col("left_open") != 0) | (F.col("lowest") < 0), "syntax error: brackets do not match").alias("parse_error"))
+        *FILE, "language", "loc", F.when(F.col("not_read").isNotNull(), F.col("not_read")).when((F.col("left_open") != 0) | (F.col("lowest") < 0), "syntax error: brackets do not match").alias("parse_error"))
     known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (scoped, tag(inventory, "inventory"), tag(classes, "class")))
     return known.join(js.select(*FILE, "language"), FILE).unionByName(tag(files, "file"), allowMissingColumns=True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.sources.files import NOT_READ, not_read
+from tidewatch.sources.files import not_read
 
 ARG = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("literal", T.StringType()),
@@ -230,7 +230,7 @@ def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for i in range(batch.num_rows):
             repo, path, lang, content, not_read = (c[i].as_py() for c in columns)
-            rows.extend(_flat_rows(repo, path, lang, {"loc": 0, "parse_error": NOT_READ} if not_read else extract(content or "")))
+            rows.extend(_flat_rows(repo, path, lang, {"loc": 0, "parse_error": not_read} if not_read else extract(content or "")))
             if len(rows) >= FLUSH_ROWS:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows = []

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import facts_python as fp
@@ -20,7 +20,8 @@ from tidewatch.operators.findings import attach_metadata, attach_snippets, parse
 from tidewatch.operators import rules_js as rj
 from tidewatch.operators import rules_python as rp
 from tidewatch.session import checkpoint_dir, materialize, spread
-from tidewatch.sources.files import classify
+from tidewatch.sources.files import MAX_REPO_SIZE_MB, classify, read_source_tree, repo_sizes
+from tidewatch.sources.tree import list_source_tree
 
 
 @dataclass
@@ -78,6 +79,21 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
     return ScanResult(fp.files_table(facts), facts, findings)
 
 
+@dataclass
+class TreeScan:
+    scan: ScanResult
+    sizes: DataFrame       # (repo, total_bytes, size_mb, accepted): S6 over every file of the tree
+    sources: DataFrame     # the code files that were scanned
+
+
+def scan_tree(spark: SparkSession, root: str, repo: str | None = None, max_mb: float = MAX_REPO_SIZE_MB, **options) -> TreeScan:
+    """S1 to F3 in one call: a folder of checkouts (or one checkout, with ``repo``) to findings.  Repositories
+    above ``max_mb`` are listed in ``sizes`` as not accepted and none of their files is opened.  ``options`` are those of ``scan_sources``."""
+    listing = list_source_tree(spark, root, repo)
+    sources = read_source_tree(spark, root, repo, max_mb, listing=listing)
+    return TreeScan(scan_sources(sources, already_discovered=True, **options), repo_sizes(listing, max_mb), sources)
+
+
 def inventory_functions(facts: DataFrame) -> DataFrame:
     """P2 rows: module-level functions and methods of module-level classes."""
     f = fp.inventory_table(facts)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -90,7 +91,8 @@ def spread(df):
     return df.repartition(int(n)) if n else df
 
 
-_SHIPPED: set[int] = set()
+# Contexts that have the package already.
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -102,7 +104,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc in _SHIPPED:
         return
     import tidewatch
     root = os.path.dirname(os.path.abspath(tidewatch.__file__))
@@ -113,7 +115,7 @@ def ship_package(spark: SparkSession) -> None:
         current = sc.environment.get("PYTHONPATH", "")
         if base not in current.split(os.pathsep):
             sc.environment["PYTHONPATH"] = base + (os.pathsep + current if current else "")
-        _SHIPPED.add(id(sc))
+        _SHIPPED.add(sc)
         return
     out_dir = tempfile.mkdtemp(prefix="tidewatch-pyfiles-")
     zpath = os.path.join(out_dir, "tidewatch.zip")
@@ -124,4 +126,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(zpath)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc)

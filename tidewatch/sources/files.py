@@ -1,9 +1,8 @@
 """Source discovery and file-level rules.
 
-``read_source_tree`` reads files with the ``binaryFile`` source; the path
-filters run on ``path``/``length`` first and ``content`` is only decoded for
-kept files (column pruning keeps the bytes out of the filter stage).  Any table
-with ``repo, path, content`` works the same way through ``classify``.
+``read_source_tree`` lists every file with the data source of ``tree``; the path
+filters and the size cap run on that table of names and lengths, and only files that stay
+are opened.  Any table with ``repo, path, content`` works the same way through ``classify``.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.tree import list_source_tree, read_contents
+
 # Supported extensions (case-sensitive last suffix) -> language.
 EXTENSION_LANGUAGE = {".py": "Python", ".ts": "TypeScript", ".tsx": "TypeScript",
                       ".js": "JavaScript", ".jsx": "JavaScript"}
@@ -67,44 +68,34 @@ def classify(files: DataFrame) -> DataFrame:
     return out.filter(F.col("language").isNotNull() & ~in_ignored_dir(F.col("path")) & ~is_minified(F.col("path")))
 
 
-# Larger files are listed and not read (Spark's file source holds a file's bytes in one value).
+# Larger files are listed and not read (a Spark cell holds less than 2 GiB); a parameter of ``read_source_tree``.
 MAX_FILE_BYTES = 1 << 30
-NOT_READ = "not read: file too large"
+TOO_LARGE = "not read: file too large"
+NOT_OPENED = "not read: file could not be opened"
 
 
 def not_read(sources: DataFrame):
-    """Files of ``sources`` that were listed without their content."""
+    """Why a file of ``sources`` was listed without its content; null where it was read."""
     if "bytes" not in sources.columns:
-        return F.lit(False)
-    return F.coalesce(F.col("content").isNull() & (F.col("bytes") > MAX_FILE_BYTES), F.lit(False))
+        return F.lit(None).cast("string")
+    missing = F.col("content").isNull() & (F.col("bytes") > 0)
+    return F.when(missing & (F.col("bytes") > MAX_FILE_BYTES), TOO_LARGE).when(missing, NOT_OPENED)
 
 
-def read_source_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, repo: str | None = None, max_mb: float | None = None,
+                     max_file_bytes: int | None = None, listing: DataFrame | None = None) -> DataFrame:
     """S1 + S5: the code files under ``root`` as (repo, path, language, bytes, content).
 
-    ``repo`` names one repository at ``root``; without it ``root`` holds one checkout
-    per folder, and the first folder of a file's path names its repository (files
-    directly under ``root`` belong to the last part of ``root``).  Only files of the five
-    extensions are opened (``pathGlobFilter``), and those above ``MAX_FILE_BYTES``
-    are listed with their length and a null content; a scan gives them a ``parse_error``.
+    Every name is listed (``tree.list_source_tree``, whose table may be given as ``listing``); only files that S2-S4
+    keep are opened.  With ``max_mb`` the repositories whose files (all of them, whatever their kind) are larger are left out
+    (S6).  Files above ``max_file_bytes`` are listed with their length and a null content; a scan gives them a ``parse_error``.
     """
-    root = root.rstrip("/")
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in EXTENSION_LANGUAGE) + "}").load(root))
-    large = F.col("length") > MAX_FILE_BYTES
-    listed = raw.filter(large).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    raw = raw.filter(~large).select("path", "length", "content").unionAll(listed)
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + root.lstrip("/").replace(".", r"\.") + "/", "")
-    meta = raw.select(rel.alias("rel"), F.col("length").alias("bytes"), "content")
-    if repo is not None:
-        meta = meta.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), "bytes", "content")
-    else:
-        inside = F.instr("rel", "/") > 0
-        meta = meta.select(
-            F.when(inside, F.substring_index("rel", "/", 1)).otherwise(F.lit(root.rsplit("/", 1)[-1])).alias("repo"),
-            F.when(inside, F.expr("substring(rel, instr(rel, '/') + 1)")).otherwise(F.col("rel")).alias("path"), "bytes", "content")
-    kept = classify(meta)
-    return kept.select("repo", "path", "language", "bytes", decode_utf8(F.col("content")).alias("content"))
+    listing = list_source_tree(spark, root, repo) if listing is None else listing
+    kept = classify(listing)
+    if max_mb is not None:
+        kept = kept.join(repo_sizes(listing, max_mb).filter("accepted").select("repo"), "repo", "left_semi")
+    read = read_contents(kept, root.rstrip("/") or "/", MAX_FILE_BYTES if max_file_bytes is None else max_file_bytes)
+    return read.select("repo", "path", "language", "bytes", decode_utf8(F.col("content")).alias("content"))
 
 
 def repo_sizes(files: DataFrame, max_mb: float = MAX_REPO_SIZE_MB) -> DataFrame:
