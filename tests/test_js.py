@@ -44,6 +44,11 @@ FORMS = [
     "const v = <div className='x'>it's {a} &amp; don't</div>;",
     "const p: Promise<Array<Map<string, number>>> = load();",
     "obj.if = 1; obj.class = 2; x = obj.new;",
+    "const a = <p title=\"it's\" {...rest}>don't {`${b}'`} won't</p>;",
+    "const a = <T,>(x: T) => x; const b = <T extends K>(x: T) => x; const c = a < b;",
+    "const a = <>it's <br/> {/* it's */} <A.B c:d='\"' e={<i>it's</i>} /></>;",
+    "const a = tag`x ${y} ' ${`${z}`}`, b = `${c}${d}`, e = `,${f},`;",
+    "const a = x.map(y => <li>{y ? <b>can't</b> : 'no'}</li>); if (a < 1) { b = c > 2; }",
 ]
 
 
@@ -115,8 +120,9 @@ def test_regex_literals_hide_nothing(literal_facts, i):
 
 
 def test_tokens_give_back_the_file():
-    for s in [FEATURES, TS, *FORMS, *LITERALS, "", "'open", "`open", "/* open", "/[open", "\0 'a", "\u00a0\ufeff\U0001f600 é²"]:
-        assert "".join(lex(s)) == s
+    for s in [FEATURES, TS, *FORMS, *LITERALS, "", "'open", "`open", "`open ${", "`open ${a} b", "`a\\", "<p>open {", "<p open", "<p>}</p>}", "/* open", "/[open", "\0 'a", "\u00a0\ufeff\U0001f600 é²"]:
+        for jsx in (True, False):
+            assert "".join(token for token, _ in lex(s, jsx)) == s
 
 
 def test_long_literals_end_where_they_end(spark):
@@ -128,3 +134,31 @@ def test_long_literals_end_where_they_end(spark):
         assert [(c["root"], c["args"][0]["kind"]) for c in of(rows, p, "call") if c["name"] == "exec"] == [("cp", "dynamic")], p
         assert [r["name"] for r in of(rows, p, "inventory")] == ["after"], p
         assert [r["parse_error"] for r in of(rows, p, "file")] == [None], p
+
+
+def test_code_in_templates_and_elements(spark):
+    files = {
+        "a.js": "const x = `a ${eval(u)} b`;",
+        "b.js": "return `${items.map(i => { document.body.innerHTML = i; return eval(i); })}`",
+        "c.jsx": "<p>don't</p>; eval(x)",
+        "d.jsx": "const v = <A b={eval(x)} password='abcdef'>it's {eval(y)}</A>;",
+        "e.js": "f(`${a}`, `b`, `c${`${eval(d)}`}`, eval(e))",
+        "f.ts": "const a = <Foo>eval(x); const b = `${<T>eval(y)}`;",
+    }
+    rows = [r.asDict(recursive=True) for r in extract_js_facts(source_df(spark, files)).collect()]
+    evals = {p: sum(r["name"] == "eval" for r in of(rows, p, "call")) for p in files}
+    assert evals == {"a.js": 1, "b.js": 1, "c.jsx": 1, "d.jsx": 2, "e.js": 2, "f.ts": 2}
+    assert [r["target_shape"] for r in of(rows, "b.js", "assign")] == ["innerHTML"]
+    assert [r["targets"] for r in of(rows, "d.jsx", "assign")] == [["v"]]
+    assert [[a["kind"] for a in r["args"]] for r in of(rows, "e.js", "call") if r["name"] == "f"] == [["dynamic", "template_plain", "dynamic", "call"]]
+    assert all(r["parse_error"] is None for r in rows if r["kind"] == "file")
+
+
+def test_destructured_parameters_are_cut_in_place(spark):
+    long = ", ".join(f"name{i} = /* x */ {i}" for i in range(40))
+    many = "\n".join(f"function f{i}({{ a{i}, b: [c{i}] }}, {{ {long} }} = {{}}, [d]) {{}}" for i in range(50))
+    rows = [r.asDict() for r in extract_js_facts(source_df(spark, {"m.js": many})).collect()]
+    got = {r["name"]: r["params"] for r in of(rows, "m.js", "inventory")}
+    cut = ("{ " + ", ".join(f"name{i} = {i}" for i in range(40)))
+    assert len(got) == 50 and all(got[f"f{i}"][0] == f"{{ a{i}, b: [c{i}] }}" and got[f"f{i}"][2] == "[d]" for i in range(50))
+    assert {len(p[1]) for p in got.values()} == {60} and cut.startswith("{ name0")

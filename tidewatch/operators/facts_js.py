@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import loc_from_lines, split_lines
-from tidewatch.operators.js_tokens import FILE, JS_LANGUAGES, NOT_CALLED, raw_tokens, segments, tokens
+from tidewatch.operators.js_tokens import FILE, JS_LANGUAGES, MARKED, NOT_CALLED, raw_tokens, segments, tokens
 from tidewatch.session import materialize
 from tidewatch.sources.files import not_read
 
@@ -105,10 +105,14 @@ def _params(functions: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
     items = words.filter(~F.col("sep")).join(opener, [*FILE, "par", "seg"]).filter(F.col("opener").isNull() | (F.col("opener") == ","))
     items = items.groupBy(*FILE, "par", "item").agg(
         F.coalesce(F.bool_or(F.col("text") == "..."), F.lit(False)).alias("rest"),
-        F.min(F.when(plain, F.struct("i", "text")))["text"].alias("name"), F.min(F.when(pattern, F.struct("i", "mate"))).alias("at"))
-    within = items.filter(F.col("at").isNotNull()).select(*FILE, "par", "item", F.col("at.i").alias("lo"), F.col("at.mate").alias("hi"))
-    text = F.concat(F.when(F.col("i") > F.col("lo"), F.col("gap")).otherwise(""), F.col("text"))
-    source = within.join(t.select(*FILE, "i", "text", "gap"), FILE).filter("i between lo and hi").groupBy(*FILE, "par", "item").agg(
+        F.min(F.when(plain, F.struct("i", "text")))["text"].alias("name"), F.min(F.when(pattern, F.struct("i", "mate", "nth"))).alias("at"))
+    # A pattern's text is cut to PARAM_TEXT characters, so it needs no more than its first so many tokens: they are
+    # looked up by their number in the file.
+    within = items.filter(F.col("at").isNotNull()).select(*FILE, "par", "item", F.col("at.i").alias("lo"), F.col("at.mate").alias("hi"), F.col("at.nth").alias("first"))
+    within = within.withColumn("nth", F.explode(F.sequence(F.col("first"), F.col("first") + PARAM_TEXT - 1)))
+    bare = F.when(F.col("kind").isin(*MARKED), F.expr("substring(text, 2)")).otherwise(F.col("text"))
+    text = F.concat(F.when(F.col("i") > F.col("lo"), F.col("gap")).otherwise(""), bare)
+    source = within.join(t.select(*FILE, "nth", "i", "kind", "text", "gap"), [*FILE, "nth"]).filter("i <= hi").groupBy(*FILE, "par", "item").agg(
         F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", text.alias("text")))), lambda x: x["text"]), ""), 1, PARAM_TEXT).alias("source"))
     items = items.join(source, [*FILE, "par", "item"], "left")
     name = F.concat(F.when(F.col("rest"), "...").otherwise(""), F.coalesce("source", "name"))

@@ -1,15 +1,15 @@
 """JavaScript / TypeScript token table: lexing in one pass per file, bracket
 structure as Spark windows.
 
-A file is cut into tokens by one regular expression inside the row
-(``mapInArrow``); whether a slash divides or starts a regular expression literal
+A file is cut into tokens by a regular expression per mode inside the row
+(``mapInArrow``); a stack of modes tells code from template text, tags and JSX text.  Whether a slash divides or starts a regular expression literal
 depends on the token before it, and after ``)`` or ``}`` on what opened that
 bracket.  Windows per file give lines and bracket depth; windows per
 (file, depth) match brackets; windows per (file, enclosing bracket) split what
 one pair of brackets holds into segments (at ``, ; = => : ?`` and line ends
 that end a statement), items (at commas) and chains (``a.b(c).d``).
 
-Nothing here can fail on a file: text that does not lex well (JSX prose) yields
+Nothing here can fail on a file: text that does not lex well yields
 odd tokens around that spot and the other facts of the file stay.
 """
 
@@ -30,12 +30,21 @@ JS_LANGUAGES = ("JavaScript", "TypeScript")
 _TRIVIA = r"(?P<space>[ \t\n\x0b\x0c\r]++)|(?P<comment>//[^\n]*+|/\*[\s\S]*?(?:\*/|\Z)|\A#![^\n]*+)"
 _TOKEN = re.compile("|".join((
     _TRIVIA,
-    r'(?P<str>"(?:[^"\\\n]++|\\[\s\S])*+"?' + r"|'(?:[^'\\\n]++|\\[\s\S])*+'?)", r"(?P<tmpl>`(?:[^`\\]++|\\[\s\S])*+`?)",
+    r'(?P<str>"(?:[^"\\\n]++|\\[\s\S])*+"?' + r"|'(?:[^'\\\n]++|\\[\s\S])*+'?)", r"(?P<tmpl>`)",
     r"(?P<ident>(?:[^\W\d]|[$#@])[\w$]*+)", r"(?P<num>[0-9][0-9A-Za-z_.]*+)",
     r"(?P<punct>=>|\?\.(?![0-9])|\.\.\.|[=!]==?|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|[-+*/%&|^]=|<<=?|>>>?=?|[\s\S])",
 )))
 _REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+")
+# Text of a template up to its end or its next substitution.
+_PIECE = re.compile(r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\\\Z)*+")
+# The start of an element: a name or nothing, and no type parameters.
+_ELEMENT = re.compile(r"<((?:[^\W\d]|\$)[\w$.:-]*+)?+(?=[\s/>])(?!\s*+,|\s++extends\s)")
+_IN_TAG = re.compile(r"""(?P<space>[ \t\n\x0b\x0c\r]++)|(?P<comment>/\*[\s\S]*?(?:\*/|\Z))|(?P<piece>"[^"]*+"?|'[^']*+'?|[\w$.:-]++)|(?P<shut>/>)|(?P<sign>[\s\S])""")
+_JSX_TEXT = re.compile(r"[^<{]++")
+_END_TAG = re.compile(r"</[\s\w$.:-]*+>?")
+JSX_FILES = (".js", ".jsx", ".tsx")
 BATCH = 50_000  # tokens that leave a task at a time
+PIECE_MARK, MARKED = "`", ("piece", "jopen", "jclose")
 SEPARATORS = (",", ";", "=", "=>", ":", "?")
 # Words before a bracket that make it something else than a call.
 NOT_CALLED = tuple(("if for while switch catch function return typeof await new delete void in of instanceof case do else yield throw with "
@@ -53,18 +62,57 @@ GOES_ON = tuple("in of instanceof as satisfies else catch finally".split())
 
 def _operand_end(kind: Column, text: Column) -> Column:
     word = (kind == "ident") & ~text.isin(*OPERATOR_WORDS)
-    return word | kind.isin("str", "tmpl", "num", "regex") | text.isin(")", "]", "}")
+    return word | kind.isin("str", "tmpl", "num", "regex", "tclose", "jclose") | text.isin(")", "]", "}")
 
 
-def lex(content: str) -> Iterator[str]:
-    """The tokens of a file, white space and comments included; joined they are the file."""
+def lex(content: str, jsx: bool = True) -> Iterator[tuple[str, str]]:
+    """(token, kind) of a file, white space and comments included; the tokens joined are the file.
+
+    A stack of modes tells code from template text and, where ``jsx`` allows it, from the inside of tags and
+    the text between them.  A template with substitutions is a pair of brackets (kinds ``topen`` and
+    ``tclose``) around text pieces and ``${ }`` pairs, an element a pair (``jopen``, ``jclose``) around pieces,
+    ``{ }`` pairs and elements; what stands in the brackets is code like any other."""
     at, size = 0, len(content)
     kind = text = before = ""  # the last token that is no white space or comment, and the one before
-    literal = True  # a regular expression literal may follow
+    literal = True  # a regular expression literal, or an element, may follow
     parens: list[bool] = []  # open round brackets: the header of a statement
-    braces: list[str] = []  # open curly brackets: "block", "value" or "either"
+    modes: list[str] = []  # open curly brackets: "block", "value", "either", "${", "{x"; and "`", "<name", ">name"
     last, line_end = "", False  # the curly bracket closed last; a line end since the last token
+    ends: dict[str, int] = {}  # place of the last end tag of a name
+
+    def closes(name: str) -> bool:
+        if name not in ends:
+            ends[name] = content.rfind("</" + name)
+        return ends[name] >= at
+
     while at < size:
+        mode = modes[-1][0] if modes else ""
+        if mode == "`":
+            piece = _PIECE.match(content, at)[0]
+            at += len(piece)
+            if content.startswith("${", at):
+                if piece:
+                    yield piece, "piece"
+                yield "${", "punct"
+                modes.append("${")
+                at += 2
+                before, kind, text, literal, line_end = text, "punct", "${", True, False
+            else:
+                yield (piece + content[at:at + 1], "tclose" if at < size else "piece")
+                at += 1
+                modes.pop()
+                before, kind, text, literal, line_end = text, "tclose", "`", False, False
+            continue
+        if mode in ("<", ">"):
+            at, new = yield from _element(content, at, modes, closes)
+            if new:  # an element ended, or code begins in a curly bracket
+                before, (kind, text, literal), line_end = text, new, False
+            continue
+        if content[at] == "<" and literal and jsx and (m := _ELEMENT.match(content, at)):
+            yield m[0], "jopen"
+            at = m.end()
+            modes.append("<" + (m[1] or ""))
+            continue
         m = None
         if content[at] == "/" and (literal or (text == "}" and last == "either" and line_end)):
             m = _REGEX.match(content, at)
@@ -76,10 +124,24 @@ def lex(content: str) -> Iterator[str]:
             m = _TOKEN.match(content, at)
             new = m.lastgroup
         token, at = m[0], m.end()
-        yield token
-        if new in ("space", "comment"):
+        if new == "tmpl":
+            token += _PIECE.match(content, at)[0]
+            at += len(token) - 1
+            if content.startswith("${", at):
+                yield token, "topen"
+                modes.append("`")
+                yield "${", "punct"
+                modes.append("${")
+                at += 2
+                before, kind, text, literal, line_end = text, "punct", "${", True, False
+                continue
+            token += content[at:at + 1]
+            at += 1
+        if new in ("space", "comment") or (new == "punct" and (token.isspace() or token == "﻿")):
+            yield token, "comment" if new == "comment" else "space"
             line_end = line_end or "\n" in token
             continue
+        yield token, new
         if new == "punct":
             may = token not in _NO_LITERAL
             if token == "(":
@@ -87,27 +149,65 @@ def lex(content: str) -> Iterator[str]:
             elif token == ")":
                 may = bool(parens and parens.pop())
             elif token == "{":
-                braces.append(_brace(kind, text, last, braces))
+                modes.append(_brace(kind, text, last, modes))
             elif token == "}":
-                last = braces.pop() if braces else "block"
+                last = modes.pop() if modes else "block"
                 may = last == "block"
             elif token == "!":
                 may = literal or line_end  # else a postfix: x! / 2
-            elif token.isspace() or token == "\ufeff":
-                continue
         else:
             may = new == "ident" and token in _BEFORE_LITERAL and text not in (".", "?.")
         before, kind, text, literal, line_end = text, new, token, may, False
 
 
-def _brace(kind: str, text: str, last: str, braces: list[str]) -> str:
+def _element(content: str, at: int, modes: list[str], closes):
+    """One step inside an element's tag (mode ``<name``) or the text after it (``>name``): yields tokens,
+    returns the place after them and, where code goes on there, what stands before it."""
+    if modes[-1][0] == ">":
+        if m := _JSX_TEXT.match(content, at):
+            yield m[0], "piece"
+            return m.end(), None
+        if m := _END_TAG.match(content, at):
+            modes.pop()
+            yield m[0], "jclose"
+            return m.end(), ("jclose", ">", False)
+    else:
+        m = _IN_TAG.match(content, at)
+        if m.lastgroup == "shut":
+            modes.pop()
+            yield m[0], "jclose"
+            return m.end(), ("jclose", ">", False)
+        if m.lastgroup != "sign":
+            yield m[0], m.lastgroup
+            return m.end(), None
+        if m[0] == ">":
+            if closes(modes[-1][1:]):
+                modes[-1] = ">" + modes[-1][1:]
+                yield ">", "piece"
+                return m.end(), None
+            modes.pop()  # no end tag: a type in angle brackets, or a tag that is never closed
+            yield ">", "jclose"
+            return m.end(), ("jclose", ">", True)
+    if content[at] == "{":
+        modes.append("{x")
+        yield "{", "punct"
+        return at + 1, ("punct", "{", True)
+    if content[at] == "<" and (m := _ELEMENT.match(content, at)):
+        modes.append("<" + (m[1] or ""))
+        yield m[0], "jopen"
+        return m.end(), None
+    yield content[at], "piece"
+    return at + 1, None
+
+
+def _brace(kind: str, text: str, last: str, modes: list[str]) -> str:
     """What a curly bracket after this token opens; "either" where names and tags come before it."""
     if text == "}":
-        return last
+        return last if last in ("block", "value", "either") else "block"
     if text in _BEFORE_BLOCK:
         return "block"
     if text == ":":
-        return "value" if braces and braces[-1] == "value" else "either"
+        return "value" if modes and modes[-1] == "value" else "either"
     if kind == "punct" and text not in (">", "]"):
         return "value"
     return "value" if kind == "ident" and text in _BEFORE_LITERAL else "either"
@@ -116,9 +216,9 @@ def _brace(kind: str, text: str, last: str, braces: list[str]) -> str:
 def _lex_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in range(b.num_rows):
-            content = b.column("content")[row].as_py()
+            content, jsx = b.column("content")[row].as_py(), b.column("path")[row].as_py().endswith(JSX_FILES)
             rows, first = [], 1
-            for token in lex((content or b"").decode("utf-8", "replace")):
+            for token in lex((content or b"").decode("utf-8", "replace"), jsx):
                 rows.append(token)
                 if len(rows) == BATCH:
                     yield _token_batch(b, row, first, rows)
@@ -127,38 +227,36 @@ def _lex_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _token_batch(b, row, first, rows)
 
 
-def _token_batch(b: pa.RecordBatch, row: int, first: int, rows: list[str]) -> pa.RecordBatch:
+def _token_batch(b: pa.RecordBatch, row: int, first: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
     keys = [b.column(x).take(pa.array([row] * len(rows), pa.int32())) for x in FILE]
-    return pa.RecordBatch.from_arrays([*keys, pa.array(range(first, first + len(rows)), pa.int32()), pa.array(rows, pa.string())], names=[*FILE, "i", "text"])
+    # Pieces and tags are marked, so that their text is never taken for a word or a sign of the code.
+    text = pa.array([PIECE_MARK + t if k in MARKED else t for t, k in rows], pa.string())
+    return pa.RecordBatch.from_arrays([*keys, pa.array(range(first, first + len(rows)), pa.int32()), text, pa.array([k for _, k in rows], pa.string())],
+                                      names=[*FILE, "i", "text", "kind"])
 
 
 def raw_tokens(sources: DataFrame) -> DataFrame:
-    """repo, path, i (1-based), text, kind, line, depth, gap (white space before), white space and comments included.
+    """repo, path, i (1-based), text, kind, line, depth, nth (number among the tokens of code), gap (white space before), white space and comments included.
 
     This is the only shuffle by file: the windows of ``tokens`` are partitioned by
     (repo, path) and more, which this partitioning already satisfies."""
     ship_package(sources.sparkSession)
     src = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, F.col("content").cast("binary").alias("content"))
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:len(FILE)])
-    t = src.mapInArrow(_lex_files, f"{keys}, i int, text string")
-    c = F.substring("text", 1, 1)
-    two = F.substring("text", 1, 2)
-    kind = (F.when(F.trim(F.translate("text", "\n\t\r\u000b\u000c ﻿", " ")) == "", "space")
-            .when(two.isin("//", "/*") | (two == "#!"), "comment")
-            .when(c.isin("'", '"'), "str").when(c == "`", "tmpl").when((c == "/") & (F.length("text") > 2), "regex")
-            .when(c.rlike("[0-9]"), "num").when(c.rlike(r"[\p{L}_$#@]"), "ident").otherwise("punct"))
-    t = t.withColumn("kind", kind)
-    opens, closes = F.col("text").isin("(", "[", "{"), F.col("text").isin(")", "]", "}")
+    t = src.mapInArrow(_lex_files, f"{keys}, i int, text string, kind string")
+    opens = F.col("text").isin("(", "[", "{", "${") | F.col("kind").isin("topen", "jopen")
+    closes = F.col("text").isin(")", "]", "}") | F.col("kind").isin("tclose", "jclose")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     w = Window.partitionBy(*FILE).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     after = F.lead("kind").over(w)
+    code = (~F.col("kind").isin("space", "comment")).cast("int")
     return t.withColumns({
         "line": (F.lit(1) + F.sum(newlines).over(upto) - newlines).cast("int"),
         "depth": F.sum(step).over(upto).cast("int"),
         "level": F.sum(step).over(upto).cast("int") - F.when(opens, 1).otherwise(0),
-        "opens": opens, "closes": closes,
+        "opens": opens, "closes": closes, "nth": F.sum(code).over(upto).cast("int"),
         "gap": F.when(F.lag("kind").over(w) == "space", F.lag("text").over(w)).otherwise(F.lit("")),
         "before_comment": (after == "comment") | ((after == "space") & (F.lead("kind", 2).over(w) == "comment"))})
 
@@ -199,7 +297,7 @@ def tokens(raw: DataFrame) -> DataFrame:
     # Chains: names, dots and the brackets applied to them.
     applied = F.col("text").isin("(", "[") & _operand_end(F.col("pk1"), F.col("p1")) & ~F.col("ends") & ~(
         F.col("p1").isin(*NOT_CALLED) & ~F.coalesce(F.col("p2").isin(".", "?."), F.lit(False)))
-    goes_on = F.col("text").isin(".", "?.", ")", "]") | F.col("p1").isin(".", "?.") | applied
+    goes_on = F.col("text").isin(".", "?.", ")", "]") | F.col("kind").isin("tclose", "jclose") | F.col("p1").isin(".", "?.") | applied
     head = ~F.coalesce(goes_on, F.lit(False))
     link = F.col("text").isin("(", "[").cast("int")
     t = t.withColumns({"head": head, "links": F.sum(link).over(upto) - link})
@@ -225,7 +323,7 @@ def segments(t: DataFrame) -> DataFrame:
     k = F.col("k")
     text = F.col("text")
     binary = _operand_end(F.col("pk1"), F.col("p1"))
-    op = (F.col("kind") == "punct") & ~text.isin(".", "?.", "(", ")", "[", "]", "{", "}")
+    op = (F.col("kind") == "punct") & ~text.isin(".", "?.", "(", ")", "[", "]", "{", "}", "${")
     low = text.isin("===", "==", "!==", "!=", "<", ">", "<=", ">=", "&&", "||", "??", "&", "|", "^", "<<", ">>", ">>>") | (
         (F.col("kind") == "ident") & text.isin("instanceof", "in", "as", "satisfies", "yield"))
     add = text.isin("+", "-") & binary & (k > 1)
@@ -250,7 +348,8 @@ def segments(t: DataFrame) -> DataFrame:
     plain_chain = (F.col("chains") == 1) & ~F.col("op")
     kind = (F.when(F.col("n") == 0, "none").when(~whole, "other")
             .when((F.col("n") == 1) & (F.col("k1") == "str"), "str_literal")
-            .when((F.col("n") == 1) & (F.col("k1") == "tmpl"), F.when(F.col("t1").contains("${"), "dynamic").otherwise("template_plain"))
+            .when((F.col("n") == 1) & (F.col("k1") == "tmpl"), "template_plain")
+            .when((F.col("n") == 2) & (F.col("k1") == "topen"), "dynamic")
             .when((F.col("n") == 1) & ((F.col("k1") == "num") | F.col("t1").isin("true", "false", "null", "undefined")), "other_literal")
             .when((F.col("n") == 1) & (F.col("k1") == "ident"), "ident")
             .when((F.col("add") == "+") & ~F.col("low"), "dynamic")

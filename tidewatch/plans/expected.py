@@ -471,4 +471,30 @@ EXPECTED: tuple[dict, ...] = (
             ("strip", 9, 9, [], False, None),
         ],
     },
+    {  # JS/TS template 15
+        "findings": [
+            (4, "page", "dangerous-eval-exec", False, None),
+            (6, "<anonymous>", "xss-innerhtml-assignment", False, None),
+            (7, "<anonymous>", "dangerous-eval-exec", False, None),
+            (9, "page", "command-injection-js-exec", False, None),
+            (10, "page", "sql-injection-string-build", False, None),
+        ],
+        "functions": [
+            ("page", 3, 12, ["db", "items", "u"], False, None),
+            ("after", 14, 14, ["a"], False, None),
+        ],
+    },
+    {  # JS/TS template 16
+        "findings": [
+            (4, "<anonymous>", "dangerous-eval-exec", False, None),
+            (5, "<anonymous>", "dangerous-eval-exec", False, None),
+            (12, "Note", "command-injection-js-exec", False, None),
+            (15, "Last", "sql-injection-string-build", False, None),
+        ],
+        "functions": [
+            ("List", 3, 9, ["{ rows, html }"], False, None),
+            ("Note", 11, 13, ["{ text }"], False, None),
+            ("Last", 15, 15, ["db", "v"], False, None),
+        ],
+    },
 )

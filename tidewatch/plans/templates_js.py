@@ -215,5 +215,38 @@ function outer(db, v) {
   inner(db, "DELETE " + v);
 }
 const strip = s => s.replace(/['"]/g, '');
+"""),
+    # 15: sinks inside template substitutions, nested templates, template text that looks like code
+    (".js", """const cp = require('child_process');
+
+function page(db, items, u) {
+  const x = `a ${eval(u)} b`;
+  const list = `<ul>${items.map(i => {
+    document.body.innerHTML = i;
+    return eval(i);
+  })}</ul>`;
+  const deep = `1 ${`2 ${cp.exec('ls ' + u)} '3`} "4`;
+  db.query(`SELECT ${`'${u}'`} FROM t`);
+  return `plain {$u} )( \\${eval(u)}` + x + list + deep;
+}
+
+function after(a) { return a; }
+"""),
+    # 16: JSX: apostrophes and quotes in text and attributes, sinks beside and inside, fragments, no secrets in attributes
+    (".jsx", """import cp from 'child_process';
+
+export const List = ({ rows, html }) => (
+  <section title="it's" onClick={() => eval(html)}>
+    <p>don't</p> {rows.map(r => <li key={r.id}>isn't {eval(r.name)}</li>)}
+    <Input password="abcdef" secret='0123456789' />
+    <>can't</>
+  </section>
+);
+
+function Note({ text }) {
+  cp.exec('ls ' + text); return <b>it's {text} / {text}</b>;
+}
+
+export function Last(db, v) { const a = <p>won't</p>; db.query("SELECT " + v); return a / 2; }
 """),
 )
