@@ -30,12 +30,14 @@ invisible inside a function):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpoint_dir, materialize
+from tidewatch.session import checkpoint_dir, materialize, ship_package
 
 FILE = ["repo", "path"]
 SCOPE = FILE + ["scope_id"]
@@ -104,14 +106,32 @@ class Links:
     def tainted(self, start: DataFrame) -> DataFrame:
         """Roots that are tainted when the defs ``start`` are (T4)."""
         known = start.select(*DEF_KEY).distinct()
-        while self.has_multi:
-            k = known.select(*SCOPE, F.col("var").alias("t_var"), F.col("pos").alias("t_pos"))
-            new = self.multi.join(k, SCOPE + ["t_var", "t_pos"], "left_semi").select(*DEF_KEY).distinct()
-            new = materialize(new.join(known, DEF_KEY, "left_anti"), "taint-new")
-            if new.isEmpty():
-                break
-            known = known.unionByName(new)
-        return known
+        if not self.has_multi:
+            return known
+        # Scopes with multi-target aliases are read once more, in order: what a def depends on stands before it.
+        none = F.lit(None)
+        scopes = self.multi.select(*SCOPE).distinct()
+        events = known.join(scopes, SCOPE, "left_semi").select(*DEF_KEY, none.cast("string").alias("t_var"), none.cast("int").alias("t_pos"))
+        events = events.unionByName(self.multi).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "pos", F.asc_nulls_first("t_var"))
+        new = events.mapInArrow(_settle_in_order, events.select(*DEF_KEY).schema)
+        return known.unionByName(materialize(new, "taint-new"))
+
+
+def _settle_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tainted multi-target aliases.  Rows come by scope and ``pos``; a def without a target is tainted, one with a target
+    is if its target is.  Holds the tainted defs of one scope."""
+    scope, tainted = None, set()
+    for b in batches:
+        out = []
+        for i, (*at, var, pos, t_var, t_pos) in enumerate(zip(*(b.column(c).to_pylist() for c in [*SCOPE, "var", "pos", "t_var", "t_pos"]))):
+            if at != scope:
+                scope, tainted = at, set()
+            if t_var is None:
+                tainted.add((var, pos))
+            elif (t_var, t_pos) in tainted and (var, pos) not in tainted:
+                tainted.add((var, pos))
+                out.append(i)
+        yield b.select(DEF_KEY).take(pa.array(out, pa.int32()))
 
 
 def resolve_links(edges: DataFrame) -> Links:
@@ -161,6 +181,7 @@ def analyse(defs: DataFrame, sink_queries: DataFrame) -> DataFrame:
     """Resolve links and sinks in one window pass, decide taint on roots, and
     return the sink queries with a ``tainted`` flag."""
     checkpoint_dir(defs.sparkSession)
+    ship_package(defs.sparkSession)
     resolved = materialize(resolve(defs, link_queries(defs).unionByName(sink_queries)), "taint-resolved")
     links = resolve_links(link_edges(resolved))
     sinks = rooted(resolved.filter(~F.col("qkind").isin("src", "prev")), links)
