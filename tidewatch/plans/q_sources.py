@@ -78,9 +78,9 @@ def s17_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Names of the files of a tree: hidden files and folders, assets, ignored folders.
-TREE_NAMES = ("__init__.py", "_app.tsx", ".conf/m.ts", "__tests__/m.js", "assets/m.bin", "src/m.jsx", "_internal/x.py", "node_modules/m.js", ".env.js", "dist.py/readme")
+TREE_NAMES = ("p#/__init__.py", "_m#.tsx", ".conf/m#.ts", "__tests__/m#.js", "assets/m#.bin", "src/m#.jsx", "_internal/x#.py", "node_modules/m#.js", ".env#.js", "notes.py/m#")
 TREE_CAP_MB = 0.125
-_TREE_SQL = f"""(SELECT source AS repo, 'd' || CAST(doc_id AS VARCHAR) || '/' || list_extract([{", ".join(map(sql_quote, TREE_NAMES))}], CAST(doc_id % {len(TREE_NAMES)} AS INT) + 1) AS path,
+_TREE_SQL = f"""(SELECT source AS repo, replace(list_extract([{", ".join(map(sql_quote, TREE_NAMES))}], CAST(doc_id % {len(TREE_NAMES)} AS INT) + 1), '#', CAST(doc_id AS VARCHAR)) AS path,
   text AS content, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)"""
 _SIZES_SQL = f"SELECT repo, CAST(sum(bytes) AS BIGINT) AS total_bytes, CAST(sum(bytes) AS DOUBLE) / 1048576.0 AS size_mb, CAST(sum(bytes) AS DOUBLE) / 1048576.0 <= {TREE_CAP_MB} AS accepted FROM {_TREE_SQL} GROUP BY repo"
 
@@ -89,15 +89,16 @@ def _written_tree(spark: SparkSession, sf_dir: str) -> str:
     """Every document as a file of a tree of checkouts, one folder per source, in the shared folder."""
     d = tables.read_table(spark, sf_dir, "documents")
     name = F.element_at(F.array(*[F.lit(n) for n in TREE_NAMES]), (F.col("doc_id") % len(TREE_NAMES) + 1).cast("int"))
+    name = F.replace(name, F.lit("#"), F.col("doc_id").cast("string"))
     root = f"{checkpoint_dir(spark).rstrip('/')}/trees/{uuid.uuid4().hex}"
-    tree.write_tree(d.select(F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), F.col("text").alias("content")), root)
+    tree.write_tree(d.select(F.concat("source", F.lit("/"), name).alias("path"), F.col("text").alias("content")), root)
     return root
 
 
 @register("s1_source_tree", f"""
 SELECT repo, path, CASE regexp_extract(path, '[.][^.]+$') WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' ELSE 'TypeScript' END AS language,
        bytes, sha256(content) AS content_sha256
-FROM {_TREE_SQL} WHERE regexp_matches(path, '[^/][.](py|ts|tsx|js|jsx)$') AND NOT contains(path, '/node_modules/')""")
+FROM {_TREE_SQL} WHERE regexp_matches(path, '[^/][.](py|ts|tsx|js|jsx)$') AND NOT starts_with(path, 'node_modules/')""")
 def s1_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = files.read_source_tree(spark, _written_tree(spark, sf_dir))
     return src.select("repo", "path", "language", "bytes", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
@@ -111,6 +112,6 @@ def s6_tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("s6_files_of_accepted_trees", f"""
 WITH s AS ({_SIZES_SQL})
 SELECT repo, path, bytes FROM {_TREE_SQL} JOIN s USING (repo)
-WHERE accepted AND regexp_matches(path, '[^/][.](py|ts|tsx|js|jsx)$') AND NOT contains(path, '/node_modules/')""")
+WHERE accepted AND regexp_matches(path, '[^/][.](py|ts|tsx|js|jsx)$') AND NOT starts_with(path, 'node_modules/')""")
 def s6_files_of_accepted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_source_tree(spark, _written_tree(spark, sf_dir), max_mb=TREE_CAP_MB).select("repo", "path", "bytes")
