@@ -57,3 +57,66 @@ def test_no_cartesian_or_nested_loop_joins_in_registered_plans(spark, sf):
                  "w2_trailing_counts", "s17_changed_files", "s6_accepted_files"):
         p = plan(qs[name](spark, sf))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+MULTILINE = """const api_token: string = 'plain-secret-1', other = 1, pwd = "plain-secret-2";
+function f(db, v) {
+  const q = 'SELECT ' + v
+  db
+    // the call comes later
+    .connection(() => { return 1 })
+    .query(
+      q)
+  require('child_process')
+    .spawn(v)
+  const el = document
+  el.body
+    .innerHTML = `<p>${cp
+      .exec('ls ' + v)}</p>`
+  const o = cors({
+    'origin':
+      '*' })
+  const x = new
+    Function(v)
+  return <p title="it's">{
+    eval(
+      v)}</p>
+}
+"""
+
+
+def test_snippets_are_cut_in_the_fact_pass(spark, monkeypatch):
+    from tidewatch.operators import rules_python, taint
+    from tidewatch.plans import scan
+    from tidewatch.session import materialize
+    written = []
+
+    def keep(df, name, partition_by=None):
+        written.append((name, plan(df), materialize(df, name, partition_by)))
+        return written[-1][2]
+
+    for module in (scan, taint, rules_python, __import__("tidewatch.operators.facts_js", fromlist=["x"])):
+        monkeypatch.setattr(module, "materialize", keep)
+    py = "import os\nDB_PASSWORD = 'plain-secret-3'\nos.system(x)\n"
+    res = scan.scan_sources(source_df(spark, {"m.jsx": MULTILINE, "m.py": py}))
+    got = sorted((r.file, r.line, r.rule_id, r.snippet) for r in res.findings.collect())
+    assert [(f, n, rule) for f, n, rule, _ in got] == [
+        ("m.jsx", 1, "hardcoded-secret"), ("m.jsx", 1, "hardcoded-secret"), ("m.jsx", 4, "sql-injection-string-build"), ("m.jsx", 12, "xss-innerhtml-assignment"),
+        ("m.jsx", 13, "command-injection-js-exec"), ("m.jsx", 16, "insecure-cors-wildcard"), ("m.jsx", 18, "dangerous-eval-exec"), ("m.jsx", 21, "dangerous-eval-exec"),
+        ("m.py", 2, "hardcoded-secret"), ("m.py", 3, "command-injection-os-system")]
+    text = {"m.jsx": MULTILINE.splitlines(), "m.py": py.splitlines()}
+    for f, n, rule, snippet in got:
+        raw = "\n".join(text[f][max(0, n - 2):n + 5])
+        if rule == "hardcoded-secret":  # its own literal only
+            assert snippet in [raw.replace(f"plain-secret-{i}", "<redacted>") for i in (1, 2, 3)] and snippet != raw
+        else:
+            assert snippet == raw
+    # No text is shuffled, and what is written holds a secret only where another finding's snippet shows it.
+    for name, p, df in written:
+        assert not [x for x in p.splitlines() if "content" in x and ("hashpartitioning" in x or "Exchange" in x)], name
+        if name not in ("findings", "code-facts"):
+            assert not [r for r in df.collect() if "plain-secret" in str(r)], name
+        if name == "code-facts":
+            assert not [r for r in df.drop("snippet").collect() if "plain-secret" in str(r)]
+    strict = scan.scan_sources(source_df(spark, {"m.jsx": MULTILINE, "m.py": py}), strict_redaction=True)
+    assert "plain-secret" not in str(strict.findings.collect()) and "plain-secret" not in str(strict.facts.collect())

@@ -46,7 +46,7 @@ def scan(spark):
             path = f"known{i}.{'js' if js else 'py'}"
             files[path], answers[path] = known_program(rng, js)
     res = scan_sources(source_df(spark, files))
-    return ranked(res.findings).collect(), inventory_functions(res.facts).collect(), inventory_classes(res.facts).collect(), res.files.collect(), answers
+    return ranked(res.findings).collect(), inventory_functions(res.facts).collect(), inventory_classes(res.facts).collect(), res.files.collect(), answers, files
 
 
 def test_findings(scan):
@@ -76,3 +76,13 @@ def test_secrets_are_redacted(scan):
 def test_known_programs(scan):
     for path, lines in scan[4].items():
         assert [r.line for r in sorted(scan[0], key=lambda r: r.ord) if r.file == path] == lines, path
+
+
+def test_snippets(scan):
+    for r in scan[0]:
+        lines = scan[5][r.file].splitlines()
+        want = "\n".join(lines[max(0, r.line - 2):r.line + 5])[:600]
+        if r.rule_id == "hardcoded-secret":
+            assert r.snippet != want and "<redacted>" in r.snippet
+        else:
+            assert r.snippet == want, (r.file, r.line)

@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import loc_from_lines, split_lines
-from tidewatch.operators.js_tokens import FILE, JS_LANGUAGES, MARKED, NOT_CALLED, raw_tokens, segments, tokens
+from tidewatch.operators.js_tokens import DECLARES, FILE, JS_LANGUAGES, MARKED, NOT_CALLED, raw_tokens, segments, tokens
 from tidewatch.session import materialize
 from tidewatch.sources.files import not_read
 
 ANONYMOUS = "<anonymous>"
-DECLARES = ("const", "let", "var")
 MODIFIERS = ("public", "private", "protected", "readonly", "static", "override", "async", "get", "set", "abstract", "declare", "accessor")
 OBJECT_BEFORE = ("(", ",", "=", ":", "[", "?", "return", "default", "&&", "||", "??", "...", "in", "of")
 PARAM_TEXT = 60  # fixed value: length a destructured parameter's text is cut to
@@ -194,8 +193,9 @@ def _pairs(t: DataFrame, s: DataFrame, calls: DataFrame) -> DataFrame:
                     F.when(arg, F.col("arg") + F.col("shift")).cast("int").alias("arg_idx"), F.lit(2).alias("turn"), F.lit(3).alias("fact"))
 
 
-def extract_js_facts(sources: DataFrame) -> DataFrame:
+def extract_js_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     """(repo, path, language, content) of JS / TS files -> flat fact rows of all kinds."""
+    from tidewatch.operators.windows import js_windows
     js = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, "language", "content", not_read(sources).alias("not_read"))
     t = materialize(tokens(raw_tokens(js)), "js-tokens")
     s = materialize(segments(t), "js-segments")
@@ -254,4 +254,5 @@ def extract_js_facts(sources: DataFrame) -> DataFrame:
     files = js.select(*FILE, "language", "not_read", loc_from_lines(lines).alias("loc")).join(shut, FILE, "left").select(
         *FILE, "language", "loc", F.when(F.col("not_read").isNotNull(), F.col("not_read")).when((F.col("left_open") != 0) | (F.col("lowest") < 0), "syntax error: brackets do not match").alias("parse_error"))
     known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (scoped, tag(inventory, "inventory"), tag(classes, "class")))
-    return known.join(js.select(*FILE, "language"), FILE).unionByName(tag(files, "file"), allowMissingColumns=True)
+    known = known.join(js.select(*FILE, "language"), FILE)
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (known, tag(files, "file"), tag(js_windows(sources, strict), "window")))

@@ -209,54 +209,64 @@ FLAT_SCHEMA = T.StructType(
        T.StructField("key", T.StringType()), T.StructField("value_kind", T.StringType()),
        T.StructField("value_literal", T.StringType()), T.StructField("value_items", T.ArrayType(T.StringType())),
        T.StructField("call_pos", T.IntegerType()), T.StructField("arg_idx", T.IntegerType()),
-       T.StructField("ctor", T.StringType())])
+       T.StructField("ctor", T.StringType()), T.StructField("snippet", T.StringType())])
 
 
 def _flat_rows(repo, path, lang, facts):
     yield {"kind": "file", "repo": repo, "path": path, "language": lang, "loc": facts["loc"],
            "parse_error": facts["parse_error"]}
     for k, kind in (("functions", "function"), ("classes", "class"), ("calls", "call"), ("assigns", "assign"),
-                    ("inventory", "inventory"), ("pairs", "pair"), ("news", "new")):
+                    ("inventory", "inventory"), ("windows", "window")):
         for r in facts.get(k, ()):
             yield {"kind": kind, "repo": repo, "path": path, "language": lang, **r}
 
 
-def _flat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    schema = to_arrow_schema(FLAT_SCHEMA)
-    for batch in batches:
-        # One file after the other: a batch of files is never held as Python objects.
-        columns = [batch.column(c) for c in ("repo", "path", "language", "content", "not_read")]
-        rows = []
-        for i in range(batch.num_rows):
-            repo, path, lang, content, not_read = (c[i].as_py() for c in columns)
-            rows.extend(_flat_rows(repo, path, lang, {"loc": 0, "parse_error": not_read} if not_read else extract(content or "")))
-            if len(rows) >= FLUSH_ROWS:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+def _flat_batches(strict: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from tidewatch.operators.windows import python_snippets
+        schema = to_arrow_schema(FLAT_SCHEMA)
+        for batch in batches:
+            # One file after the other: a batch of files is never held as Python objects.
+            columns = [batch.column(c) for c in ("repo", "path", "language", "content", "not_read")]
+            rows = []
+            for i in range(batch.num_rows):
+                repo, path, lang, content, not_read = (c[i].as_py() for c in columns)
+                facts = {"loc": 0, "parse_error": not_read} if not_read else extract(content or "")
+                if facts.get("calls") or facts.get("assigns"):
+                    facts["windows"] = python_snippets(content or "", facts, strict)
+                rows.extend(_flat_rows(repo, path, lang, facts))
+                if len(rows) >= FLUSH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    return run
 
 
 FLUSH_ROWS = 20_000
 CODE_LANGUAGES = ("Python", "JavaScript", "TypeScript")
 
 
-def extract_python_facts(sources: DataFrame) -> DataFrame:
+def extract_python_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     """(repo, path, language, content) of Python files -> flat fact rows."""
     from tidewatch.session import ship_package
     ship_package(sources.sparkSession)
     src = sources.filter(F.col("language") == "Python").select("repo", "path", "language", "content", not_read(sources).alias("not_read"))
-    return src.mapInArrow(_flat_batches, FLAT_SCHEMA)
+    return src.mapInArrow(_flat_batches(strict), FLAT_SCHEMA)
 
 
-def extract_facts(sources: DataFrame) -> DataFrame:
+def extract_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     """Flat fact rows of all code files: Python by one pass over ``ast`` per
-    file, JavaScript and TypeScript from the token table."""
+    file, JavaScript and TypeScript from the token table.  ``strict`` redacts every
+    secret of a file in all of its snippets, not only in its own."""
     from tidewatch.operators.facts_js import extract_js_facts
-    js = extract_js_facts(sources)
+    # Reads the language column only, and only up to the first file found.
+    if sources.filter(F.col("language").isin("JavaScript", "TypeScript")).select("language").isEmpty():
+        return extract_python_facts(sources, strict).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FLAT_SCHEMA.fields])
+    js = extract_js_facts(sources, strict)
     have = set(js.columns)
     js = js.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in FLAT_SCHEMA.fields])
-    return extract_python_facts(sources).unionByName(js)
+    return extract_python_facts(sources, strict).unionByName(js)
 
 
 # -- fact tables (partition-pruned reads of the flat facts) --------------------
@@ -291,6 +301,11 @@ def news_table(facts: DataFrame) -> DataFrame:
                                                        "ctor")
 
 
+def windows_table(facts: DataFrame) -> DataFrame:
+    """Snippets by place: one per line (``pos`` null), and a redacted one per declared secret."""
+    return facts.filter(F.col("kind") == "window").select("repo", "path", "line", "pos", "snippet")
+
+
 def classes_table(facts: DataFrame) -> DataFrame:
     return _kind(facts, "class", CLASS.fields)
 

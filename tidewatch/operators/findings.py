@@ -1,5 +1,5 @@
 """Finding construction: rule metadata (F1), rule disabling (F4), snippets and
-redaction (F2, F3, see functions.text), emission order.
+redaction (F2, F3, see operators.windows), emission order.
 
 A *candidate* has ``repo, file, line, function, rule_id, snippet, via_param,
 ord``; ``attach_metadata`` turns it into the findings table.
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import CROSS_FUNCTION_NOTE, RULES, rules_df
-from tidewatch.functions.text import REDACTED, loc_from_lines, redact, snippet, split_lines
 
+SECRET_RULE = "hardcoded-secret"
 FINDING_COLUMNS = ("repo", "file", "line", "function", "rule_id", "title", "severity", "cwe",
                    "owasp", "snippet", "description", "remediation", "ord")
 
@@ -51,32 +51,10 @@ def attach_metadata(candidates: DataFrame, disabled: str | Iterable[str] | None
     )
 
 
-def attach_snippets(candidates: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
-    """F2 + F3 for candidates that carry (repo, file, line, literal): one join
-    per *file* (candidates are grouped per file first, so a file's lines are
-    split once and never copied per finding), snippets computed inside the
-    row, literal replaced in the finding's own snippet, literal dropped.
-    AQE broadcasts the grouped side when it is small; otherwise it is a
-    sort-merge join on (repo, path).
-
-    ``strict=False`` keeps the reference's redaction (only the finding's own
-    literal, in its already cut snippet).  ``strict=True`` removes every secret
-    literal of the file from every snippet of that file, so a neighbouring
-    finding's window cannot show it."""
-    keep = [c for c in candidates.columns if c not in ("repo", "file")]
-    per_file = candidates.groupBy("repo", "file").agg(F.collect_list(F.struct(*keep)).alias("fs"))
-    src = sources.select("repo", F.col("path").alias("file"), "content")
-    j = src.join(per_file, ["repo", "file"], "inner")
-    j = j.select("repo", "file", split_lines(F.col("content")).alias("lines"), "fs")
-    j = j.withColumn("loc", loc_from_lines(F.col("lines")))
-    if strict:
-        secrets = F.filter(F.transform("fs", lambda f: f["literal"]), lambda x: x.isNotNull() & (x != ""))
-        j = j.withColumn("secrets", F.array_distinct(secrets))
-    ex = j.select("repo", "file", *(["secrets"] if strict else []), F.explode(F.transform("fs", lambda f: F.struct(
-        f.alias("f"), snippet(F.col("lines"), F.col("loc"), f["line"]).alias("raw")))).alias("x"))
-    cols = [F.col("x.f." + c).alias(c) for c in keep if c != "literal"]
-    if strict:
-        red = F.aggregate("secrets", F.col("x.raw"), lambda acc, lit: F.replace(acc, lit, F.lit(REDACTED)))
-    else:
-        red = redact(F.col("x.raw"), F.col("x.f.literal"))
-    return ex.select("repo", "file", *cols, red.alias("snippet"))
+def attach_snippets(candidates: DataFrame, windows: DataFrame) -> DataFrame:
+    """F2 + F3: looks up the snippet of candidates (repo, file, line, pos, rule_id) in the
+    fact pass's ``windows`` (see ``operators.windows``).  Both sides are short rows, about as many as there are
+    findings; no file content is read or shuffled."""
+    own = F.when(F.col("rule_id") == SECRET_RULE, F.col("pos").cast("int")).otherwise(F.lit(-1))
+    w = windows.select("repo", F.col("path").alias("file"), "line", F.coalesce("pos", F.lit(-1)).alias("__at"), "snippet")
+    return candidates.withColumn("__at", own).join(w, ["repo", "file", "line", "__at"], "left").drop("__at")

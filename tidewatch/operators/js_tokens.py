@@ -43,6 +43,7 @@ _IN_TAG = re.compile(r"""(?P<space>[ \t\n\x0b\x0c\r]++)|(?P<comment>/\*[\s\S]*?(
 _JSX_TEXT = re.compile(r"[^<{]++")
 _END_TAG = re.compile(r"</[\s\w$.:-]*+>?")
 JSX_FILES = (".js", ".jsx", ".tsx")
+DECLARES = ("const", "let", "var")
 BATCH = 50_000  # tokens that leave a task at a time
 PIECE_MARK, MARKED = "`", ("piece", "jopen", "jclose")
 SEPARATORS = (",", ";", "=", "=>", ":", "?")
@@ -214,11 +215,13 @@ def _brace(kind: str, text: str, last: str, modes: list[str]) -> str:
 
 
 def _lex_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from tidewatch.operators.windows import masked
     for b in batches:
         for row in range(b.num_rows):
             content, jsx = b.column("content")[row].as_py(), b.column("path")[row].as_py().endswith(JSX_FILES)
             rows, first = [], 1
-            for token in lex((content or b"").decode("utf-8", "replace"), jsx):
+            text = (content or b"").decode("utf-8", "replace")
+            for token in masked(lex(text, jsx), text):
                 rows.append(token)
                 if len(rows) == BATCH:
                     yield _token_batch(b, row, first, rows)

@@ -29,13 +29,13 @@ def _arg(i: int):
     return F.try_element_at("args", F.lit(i))
 
 
-def _cand(df: DataFrame, rule, seq, pass_no: int, pos="pos", literal=None) -> DataFrame:
+def _cand(df: DataFrame, rule, seq, pass_no: int, pos="pos") -> DataFrame:
     return df.select(
         "repo", F.col("path").alias("file"), "line", F.col("func_name").alias("function"),
         (F.lit(rule) if isinstance(rule, str) else rule).alias("rule_id"),
         (F.lit(pass_no * PASS_STRIDE) + F.col(pos).cast("long") * 64 + seq).alias("ord"),
         F.lit(pass_no).alias("pass"),
-        (literal if literal is not None else F.lit(None).cast("string")).alias("literal"))
+        F.col(pos).alias("pos"))
 
 
 def taint_sink_condition():
@@ -95,7 +95,7 @@ def plain_candidates(calls: DataFrame, assigns: DataFrame, pairs: DataFrame, new
     r23 = assigns.filter(secret_name & (v["kind"] == "str_literal") & (F.length(v["literal"]) > 3))
     r24 = assigns.filter(secret_name & F.col("value_has_math_random"))
     xss = assigns.filter((F.col("target_shape") == "innerHTML") & ~F.col("value_is_literal"))
-    parts += [_cand(r23, "hardcoded-secret", DECL_SEQ["hardcoded-secret"], 1, literal=v["literal"]),
+    parts += [_cand(r23, "hardcoded-secret", DECL_SEQ["hardcoded-secret"], 1),
               _cand(r24, "insecure-random-token", DECL_SEQ["insecure-random-token"], 1),
               _cand(xss, "xss-innerhtml-assignment", 0, 1)]
     out = parts[0]

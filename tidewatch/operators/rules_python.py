@@ -79,24 +79,24 @@ def taint_sink_condition():
     return rule, sql | opn
 
 
-def _cand(df: DataFrame, rule, seq, pass_no: int, literal=None) -> DataFrame:
+def _cand(df: DataFrame, rule, seq, pass_no: int) -> DataFrame:
     return df.select(
         "repo", F.col("path").alias("file"), "line", F.col("func_name").alias("function"),
         (rule if not isinstance(rule, str) else F.lit(rule)).alias("rule_id"),
         (F.lit(pass_no * PASS_STRIDE) + F.col("pos").cast("long") * 64 + seq).alias("ord"),
         F.lit(pass_no).alias("pass"),
-        (literal if literal is not None else F.lit(None).cast("string")).alias("literal"))
+        "pos")
 
 
 def assign_candidates(assigns: DataFrame) -> DataFrame:
-    """R4 (hardcoded-secret, with the literal for redaction) and R12."""
+    """R4 (hardcoded-secret) and R12."""
     secret_target = F.exists("targets", lambda t: t.isNotNull() & t.rlike(SECRET_NAME_RE))
     v = F.col("value")
     r4 = assigns.filter((v["kind"] == "str_literal") & (F.length(v["literal"]) > 3) & secret_target)
     is_random = (((F.col("value_call_root") == "random") & F.col("value_call_name").isin(*RANDOM_FUNCS))
                  | ((F.col("value_call_shape") == "name") & F.col("value_call_name").isin(*RANDOM_FUNCS)))
     r12 = assigns.filter((v["kind"] == "call") & is_random & secret_target)
-    return (_cand(r4, "hardcoded-secret", ASSIGN_SEQ["hardcoded-secret"], 1, v["literal"])
+    return (_cand(r4, "hardcoded-secret", ASSIGN_SEQ["hardcoded-secret"], 1)
             .unionByName(_cand(r12, "insecure-random-token", ASSIGN_SEQ["insecure-random-token"], 1)))
 
 
@@ -182,7 +182,7 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     ``sink`` / ``seq_of`` describe the language's taint sinks.  Definitions are
     resolved to their roots once for both passes (see ``taint``): pass 1 taints gen
     defs, pass 2 the seeded parameter defs as well.
-    Columns: repo, file, line, function, rule_id, ord, pass, literal, via_param.
+    Columns: repo, file, line, function, rule_id, ord, pass, pos, via_param.
     """
     params = local_function_params(functions)
     # Placeholder defs: each function node named like a module-level function,

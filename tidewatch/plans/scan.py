@@ -71,11 +71,11 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
         kept = kept.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     checkpoint_dir(sources.sparkSession)
     kept = spread(kept)
-    facts = materialize(fp.extract_facts(kept), "code-facts", partition_by="kind")
+    facts = materialize(fp.extract_facts(kept, strict_redaction), "code-facts", partition_by="kind")
     dis = parse_disabled(disabled)
     cands = code_candidates(facts, dis)
     # Written once: summaries, filters, reports and reviews all read this table.
-    findings = materialize(attach_metadata(attach_snippets(cands, kept, strict_redaction), dis), "findings")
+    findings = materialize(attach_metadata(attach_snippets(cands, fp.windows_table(facts)), dis), "findings")
     return ScanResult(fp.files_table(facts), facts, findings)
 
 
