@@ -77,3 +77,16 @@ def test_pages(spark, edge):
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in QUERIES["op5_html_extraction"](spark, edge).collect() if r.n_chars < 1000}
     assert got[(1, "http://a/")] == ("", 0) and got[(2, None)] == ("", 0) and got[(None, "u")] == ("text only", 9)
     assert got[(3, "u")][0] == "T & t\nSome long paragraph of the text here\nNo."
+
+
+def test_windows_that_many_items_share(spark):
+    from tidewatch.llm import decontam
+    prefix = " ".join(f"p{i}" for i in range(40))
+    items = [{"item_id": i, "text": f"{prefix} own{i}"} for i in range(5000)] + [{"item_id": -1, "text": "quite short"}]
+    docs = [{"doc_id": i, "text": f"a{i} {prefix} b{i}"} for i in range(300)] + [{"doc_id": 300 + i, "text": f"x {prefix} own{i} y quite short"} for i in range(3)]
+    docs += [{"doc_id": 7, "text": docs[7]["text"]}] * 40 + [{"doc_id": 400, "text": "none of it"}] * 5
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(brute.decontamination(docs, items))
+    for blocks in ({}, {"block_windows": 700}, {"block_bytes": 20_000}):
+        assert rows(decontam.scan(d, b, **blocks), 6) == want
+    assert Counter(r.doc_id for r in decontam.clean_documents(d, b).collect()) == Counter({400: 5})
