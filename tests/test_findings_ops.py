@@ -150,3 +150,46 @@ def test_cache_document_parsing(spark):
     assert rows["k1"].verified is True and rows["k1"].things_to_verify == ["a"]
     assert rows["k2"].verified is None            # wrongly typed -> miss at probe time
     assert FINDING_COLUMNS[0] == "repo"
+
+
+def cache_df(spark, keys, seq, text):
+    rows = [(k, True, "high", text, "", "", [], seq) for k in keys]
+    return spark.createDataFrame(rows, stores.CACHE_SCHEMA)
+
+
+def test_cache_updates_rewrite_only_the_slots_they_touch(spark, tmp_path):
+    import os
+    root = str(tmp_path / "cache")
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2000)]
+    stores.save_cache(cache_df(spark, keys, 1, "old"), root)
+    path = stores.update_cache(spark, root, cache_df(spark, [keys[3], "new key"], 2, "new"))
+    touched = {d.split("=")[1] for d in os.listdir(path) if d.startswith("slot=")}
+    want = {f"{__import__('zlib').crc32(k.encode()) % 256:02x}" for k in (keys[3], "new key")}
+    assert touched == want and len(touched) == 2
+    rows = {r.cache_key: r.explanation for r in stores.load_cache(spark, root).collect()}
+    assert len(rows) == 2001 and {k for k, v in rows.items() if v == "new"} == {keys[3], "new key"}
+    assert len(stores.load_cache(spark, root).inputFiles()) <= 256
+    # An older row does not win, an unfinished version does not count.
+    stores.update_cache(spark, root, cache_df(spark, [keys[3]], 1, "older"))
+    cache_df(spark, keys, 9, "lost").write.parquet(f"{root}/version=999999999999999-x-part/slot=00")
+    assert {r.cache_key for r in stores.load_cache(spark, root).filter("explanation = 'new'").collect()} == {keys[3], "new key"}
+    assert stores.load_cache(spark, root).filter("explanation = 'lost'").count() == 0
+    stores.compact_cache(spark, root)
+    assert len(os.listdir(f"{root}/commits")) == 1 + sum(n.endswith(".crc") for n in os.listdir(f"{root}/commits"))
+    assert {r.cache_key: r.explanation for r in stores.load_cache(spark, root).collect()} == rows
+    assert stores.update_cache(spark, root, cache_df(spark, [], 1, "")) is None
+    stores.save_cache(cache_df(spark, ["k"], 1, "x"), root)  # a whole version replaces what was there
+    assert [r.cache_key for r in stores.load_cache(spark, root).collect()] == ["k"]
+
+
+def test_request_positions_number_a_repository_in_parts(spark):
+    rows = [("hot" if i % 3 else "r", f"f{i % 400:03d}.py", i, None, "weak-crypto-hash", "s") for i in range(3000)]
+    f = findings_df(spark, rows).repartition(5)
+    got = verdicts.request_positions(f).collect()
+    for repo in ("hot", "r"):
+        mine = sorted((r for r in got if r.repo == repo), key=lambda r: (r.file, r.line, r.ord))
+        assert [r.position for r in mine] == list(range(len(mine)))
+    # Windows hold one file, one part of a range sort, or one row per part of a repository.
+    plan = verdicts.request_positions(f)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_part" in line or "file" in line or "_pn" in line for line in windows)

@@ -77,25 +77,36 @@ def upsert_cache(cache: DataFrame, new_rows: DataFrame) -> DataFrame:
     the last one in (repo, position) order wins; new rows then carry the write
     time in microseconds as ``seq`` and win over every older row."""
     base = cache.select("cache_key", *VERDICT_COLS, F.col("seq").cast("long"))
+    return latest_cache(base.unionByName(cache_rows(new_rows)))
+
+
+def cache_rows(new_rows: DataFrame) -> DataFrame:
+    """Cache rows of newly merged verdicts, one per key."""
     last = F.max_by(F.struct(*[F.col(v) for v in VERDICT_COLS]), F.struct("repo", "position"))
-    nxt = (new_rows.groupBy("cache_key").agg(last.alias("b"))
-           .select("cache_key", *[F.col("b." + v).alias(v) for v in VERDICT_COLS],
-                   F.unix_micros(F.current_timestamp()).alias("seq")))
-    return latest_cache(base.unionByName(nxt))
+    return (new_rows.groupBy("cache_key").agg(last.alias("b"))
+            .select("cache_key", *[F.col("b." + v).alias(v) for v in VERDICT_COLS],
+                    F.unix_micros(F.current_timestamp()).alias("seq")))
 
 
 def request_positions(findings: DataFrame, order_cols=("file", "line", "ord")) -> DataFrame:
     """O6 helper: 0-based position of each finding within its repo in request
-    order, without a window over all findings of a repo: row number within
-    (repo, file) + the number of findings in earlier files of that repo."""
+    order, without a window over all findings, or all files, of a repo: row number within
+    (repo, file) + findings in earlier files.  Files are range-sorted into parts; a
+    file's offset is that of its part (one row per repo and part) plus what lies before it inside the part."""
     first, rest = order_cols[0], list(order_cols[1:])
     w_file = Window.partitionBy("repo", first).orderBy(*rest)
     numbered = findings.withColumn("_rn", F.row_number().over(w_file) - 1)
     per_file = findings.groupBy("repo", first).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy("repo").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).cast("long"))
-    return (numbered.join(offsets.select("repo", first, "_off"), ["repo", first])
-            .withColumn("position", F.col("_off") + F.col("_rn")).drop("_rn", "_off"))
+    # Written once: the parts of a range sort are what they are only within one run.
+    parts = materialize(per_file.repartitionByRange("repo", first).withColumn("_part", F.spark_partition_id()), "file-counts")
+    ahead = lambda *key, by: Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("repo", "_part").agg(F.sum("_n").alias("_pn"))
+    sums = sums.select("repo", "_part", F.coalesce(F.sum("_pn").over(ahead("repo", by="_part")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(ahead("repo", "_part", by=first)), F.lit(0))
+    offsets = parts.withColumn("_in", inside).join(sums, ["repo", "_part"]).select(
+        F.col("repo").alias("_repo"), F.col(first).alias("_first"), (F.col("_before") + F.col("_in")).cast("long").alias("_off"))
+    same = F.col("repo").eqNullSafe(F.col("_repo")) & F.col(first).eqNullSafe(F.col("_first"))
+    return numbered.join(offsets, same).withColumn("position", F.col("_off") + F.col("_rn")).drop("_rn", "_off", "_repo", "_first")
 
 
 def assign_batches(misses: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
@@ -184,6 +195,7 @@ def merge_verdicts(batched: DataFrame, verdicts: DataFrame) -> DataFrame:
 class VerdictResult:
     validated: DataFrame      # findings + six verdict fields (hits and merged misses)
     new_cache: DataFrame      # cache after upsert of the newly merged verdicts
+    new_rows: DataFrame       # only the newly merged verdicts, for ``stores.update_cache``
     errors: DataFrame         # (batch_id, error) for documents that could not be parsed
     prompts: DataFrame        # (batch_id, repo, n, prompt)
 
@@ -220,8 +232,8 @@ def validate_findings(findings: DataFrame, cache: DataFrame, provider: Provider,
     merged = merge_verdicts(batched, verdicts.join(broken, "batch_id", "left_anti"))
     validated = hits.unionByName(merged.select(*finding_cols, *VERDICT_COLS))
     sound = merged.join(broken, "batch_id", "left_anti")
-    new_cache = upsert_cache(cache, sound.select("cache_key", "repo", "position", *VERDICT_COLS))
-    return VerdictResult(validated, new_cache, errors, prompts)
+    fresh = sound.select("cache_key", "repo", "position", *VERDICT_COLS)
+    return VerdictResult(validated, upsert_cache(cache, fresh), cache_rows(fresh), errors, prompts)
 
 
 def split_verified(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

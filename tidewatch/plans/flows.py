@@ -21,7 +21,8 @@ class Review:
     dismissed: DataFrame
     summary: DataFrame      # per repository, of the verified findings only
     errors: DataFrame       # verdict documents that could not be read
-    new_cache: DataFrame
+    new_cache: DataFrame    # whole, lazily merged
+    new_rows: DataFrame     # what this review adds to it, for ``stores.update_cache``
     warnings: list[str] = field(default_factory=list)
 
 
@@ -37,7 +38,7 @@ def review_flow(findings: DataFrame, files: DataFrame, cache: DataFrame, provide
     validated = materialize(res.validated, "review-validated")
     verified, dismissed = verdicts.split_verified(validated)
     repos = files.select("repo").distinct()
-    out = Review(candidates, verdicts.rank_verified(verified), dismissed, summary.summarize(verified, repos), res.errors, res.new_cache)
+    out = Review(candidates, verdicts.rank_verified(verified), dismissed, summary.summarize(verified, repos), res.errors, res.new_cache, res.new_rows)
     if history is not None:
         for what, append in (("validations", lambda p: stores.record_validations(validated, p)),
                              ("scans", lambda p: stores.record_scans(stores.scan_rows(candidates, validated, repos, branch), p))):

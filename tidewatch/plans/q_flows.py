@@ -114,7 +114,7 @@ def s11_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores.save_cache(empty, root)
     provider = labels_provider(tables.read_table(spark, sf_dir, "labels"))
     res = verdicts.validate_findings(doc_findings(spark, sf_dir), stores.load_cache(spark, root), provider)
-    stores.save_cache(res.new_cache, root)
+    stores.update_cache(spark, root, res.new_rows)
     return stores.load_cache(spark, root).select("cache_key", "verified", "confidence", "explanation")
 
 

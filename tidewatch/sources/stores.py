@@ -3,14 +3,14 @@ history (S12, S13).
 
 All are Parquet tables in a folder the caller names (on a cluster: a shared
 file system or object store).  Writers never overwrite the table they read:
-the cache is written as a new version folder and readers take the newest.
+the cache is stored in slots by key, every version holds the slots it changed, and readers take
+each slot from the newest version that has it.
 The reference's single-document JSON formats are read with Spark's variant
 functions (all JVM-side) and malformed input degrades to an empty table.
 """
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 
@@ -47,6 +47,7 @@ VALIDATIONS_SCHEMA = T.StructType([
     T.StructField("verified", T.IntegerType(), False),
     T.StructField("confidence", T.StringType(), False),
     T.StructField("validated_at", T.TimestampType(), False),
+    T.StructField("validated_date", T.DateType(), False),
 ])
 
 SCANS_SCHEMA = T.StructType([
@@ -117,19 +118,42 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 # -- verdict cache ------------------------------------------------------------
 
-def load_cache(spark: SparkSession, root: str, enabled: bool = True) -> DataFrame:
-    """Newest version folder under ``root``; disabled/missing/corrupt -> empty."""
-    if not enabled or not _exists(spark, root):
+CACHE_SLOTS = 256
+
+
+def cache_slot(key=None):
+    """The slot a cache key is stored in."""
+    key = F.col("cache_key") if key is None else key
+    return F.lower(F.lpad(F.hex(F.crc32(key.cast("binary")) % CACHE_SLOTS), 2, "0"))
+
+
+def _folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names in a folder that start with ``prefix``, in order; none where there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(hpath)) if n.startswith(prefix))
+
+
+def _cache_parts(spark: SparkSession, root: str) -> dict[str, str]:
+    """Slot -> the folder with its newest rows: of the newest whole version and the later partial ones."""
+    committed = _folders(spark, f"{root}/commits")
+    whole = max((k for k, v in enumerate(committed) if v.endswith("-whole")), default=0)
+    parts: dict[str, str] = {}
+    for version in committed[whole:]:
+        parts |= {name.split("=", 1)[1]: f"{root}/{version}/{name}" for name in _folders(spark, f"{root}/{version}", "slot=")}
+    return parts
+
+
+def load_cache(spark: SparkSession, root: str, enabled: bool = True, slots: set[str] | None = None) -> DataFrame:
+    """The rows stored under ``root`` (of ``slots`` only, if given); disabled/missing/corrupt -> empty."""
+    paths = [p for slot, p in sorted(_cache_parts(spark, root).items()) if slots is None or slot in slots] if enabled else []
+    if not paths:
         return _empty(spark, CACHE_SCHEMA)
     try:
-        versions = [os.path.basename(str(s.getPath().toString())) for s in
-                    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-                    .getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-                    .listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root))]
-        versions = sorted(v for v in versions if v.startswith("version="))
-        if not versions:
-            return _empty(spark, CACHE_SCHEMA)
-        df = spark.read.schema(CACHE_SCHEMA).parquet(f"{root}/{versions[-1]}")
+        df = spark.read.schema(CACHE_SCHEMA).parquet(*paths)
         df.limit(1).collect()      # surface a corrupt folder here, not later
         return df
     except Exception as e:
@@ -140,12 +164,45 @@ def load_cache(spark: SparkSession, root: str, enabled: bool = True) -> DataFram
         return _empty(spark, CACHE_SCHEMA)
 
 
+def _write_version(rows: DataFrame, root: str, kind: str) -> str:
+    """A version counts once its name stands among the commits, which happens after the write."""
+    version = f"version={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}-{kind}"
+    out = rows.select(*[f.name for f in CACHE_SCHEMA.fields], cache_slot().alias("slot"))
+    # One task per slot, so that a slot is one file.
+    out.repartition("slot").write.mode("error").partitionBy("slot").parquet(f"{root}/{version}")
+    jvm = rows.sparkSession.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{root}/commits/{version}")
+    mark.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
+    return f"{root}/{version}"
+
+
 def save_cache(cache: DataFrame, root: str, enabled: bool = True) -> str | None:
-    """Write the merged cache as a new version folder; returns its path."""
+    """Write a whole cache as a new version, which replaces what was there; returns its path."""
+    return _write_version(cache, root, "whole") if enabled else None
+
+
+def update_cache(spark: SparkSession, root: str, new_rows: DataFrame, enabled: bool = True) -> str | None:
+    """B6 on the stored cache: only the slots that ``new_rows`` (CACHE_SCHEMA) touch are read, merged (last
+    write wins) and written; the other slots stay in the versions that hold them."""
+    from tidewatch.operators.verdicts import latest_cache
     if not enabled:
         return None
-    path = f"{root}/version={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-    cache.select(*[f.name for f in CACHE_SCHEMA.fields]).write.mode("error").parquet(path)
+    slots = {r["slot"] for r in new_rows.select(cache_slot().alias("slot")).distinct().collect()}  # at most CACHE_SLOTS
+    if not slots:
+        return None
+    names = [f.name for f in CACHE_SCHEMA.fields]
+    return _write_version(latest_cache(load_cache(spark, root, slots=slots).unionByName(new_rows.select(*names))), root, "part")
+
+
+def compact_cache(spark: SparkSession, root: str) -> str | None:
+    """Writes the cache as one whole version and deletes the versions before it."""
+    old = _folders(spark, f"{root}/commits")
+    path = save_cache(load_cache(spark, root), root)
+    jvm = spark.sparkContext._jvm
+    for version in old:
+        for name in (f"{root}/commits/{version}", f"{root}/{version}"):
+            hpath = jvm.org.apache.hadoop.fs.Path(name)
+            hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
     return path
 
 
@@ -189,13 +246,16 @@ def validation_rows(validated: DataFrame, repository_col: str = "repo") -> DataF
         F.monotonically_increasing_id().alias("id"),
         F.col(repository_col).alias("repository"), "rule_id", "file", "function", "severity",
         F.col("verified").cast("int").alias("verified"), "confidence",
-        F.current_timestamp().alias("validated_at"))
+        F.current_timestamp().alias("validated_at"), F.to_date(F.current_timestamp()).alias("validated_date"))
 
 
 def record_validations(validated: DataFrame, path: str, repository_col: str = "repo") -> None:
-    """Append; an empty input appends nothing."""
+    """Append; an empty input appends nothing.  Folders are dates; inside a call's files rows lie by
+    repository, so a reader of one repository skips files and row groups by their statistics, and the
+    number of files does not follow the number of repositories."""
     rows = validation_rows(validated, repository_col)
-    rows.write.mode("append").partitionBy("repository").parquet(path)
+    order = ["repository", "file", "id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("validated_date").parquet(path)
 
 
 def scan_rows(candidates: DataFrame, validated: DataFrame | None, repos: DataFrame,
