@@ -5,7 +5,12 @@ import re
 
 import pytest
 
-from tidewatch.llm import decision_list, html_extract
+import math
+import random
+
+import numpy as np
+
+from tidewatch.llm import decision_list, html_extract, langid, quality_knn
 from tidewatch.llm.common import table
 from tidewatch.llm.queries import QUERIES
 
@@ -114,3 +119,56 @@ def test_articles_that_are_furniture():
         assert html_extract.extract(f"<html><body><article>{text}</article>{beside}</body></html>") == paras, beside[:40]
         assert html_extract.extract(f"<html><body><main><article>{text}</article>{beside}</main></body></html>") == paras, beside[:40]
     assert html_extract.extract(f"<html><body><nav><ul><li>x<article>{text}</article></body></html>") == paras
+
+
+def test_codes_keep_their_distance():
+    for n in (1, 2, 3, 4, 5, 16, 17, 60, 176, 300):
+        code = langid.codewords(n)
+        apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
+        m = max(4, (n - 1).bit_length())
+        assert set(np.unique(code)) <= {-1, 1} and len(code) == n and (n == 1 or not (abs(code.sum(axis=0)) == n).any())
+        assert not apart or min(apart) >= (1 if n < 5 else 2 ** (m - 1)), n
+        assert len({bytes(c) for c in code.T.astype(np.int8)}) == code.shape[1]
+
+
+def test_two_hundred_languages():
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñçøåœ"
+
+    def text(syllables, n):
+        return " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+    tongues = [["".join(r.choices(letters, k=r.randint(2, 3))) for _ in range(40)] for _ in range(200)]
+    names = [f"l{i}" for i in range(200)]
+    rows = [(name, langid.vector(text(s, 40))) for name, s in zip(names, tongues) for _ in range(15)]
+    model = langid.fit(np.stack([v for _, v in rows]), [n for n, _ in rows])
+    got = [(name, model.decode(langid.vector(text(s, 40)))) for name, s in zip(names, tongues) for _ in range(3)]
+    assert sum(name == found for name, (found, _, _) in got) >= 0.9 * len(got)
+
+
+def test_decoding_against_plain_sums(spark):
+    docs = table(spark, SF, "documents").limit(200)
+    model = langid.learn(table(spark, SF, "documents"))
+    want = {}
+    for r in docs.collect():
+        v, losses = langid.vector(r.text), []
+        for word in model.code:
+            margins = [float(v @ model.weights[:-1, b] + model.weights[-1, b]) for b in range(len(word))]
+            losses.append(sum(float(t) * math.log1p(math.exp(-4.0 * int(c) * x)) for c, x, t in zip(word, margins, model.trust)) / float(model.trust.sum()))
+        want[r.doc_id] = (model.languages[losses.index(min(losses))], 1 / sum(math.exp(-6.0 * (x - min(losses))) for x in losses))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.report(docs, model).collect()}
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-4)
+
+
+def test_votes_against_all_pairs(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").limit(200)
+    model = quality_knn.learn(table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels"))
+    got = {r.doc_id: r.score for r in quality_knn.score(docs, model).collect()}
+    for r in docs.collect():
+        z = (quality_knn.vector(r.text).astype(np.float64) - model.mean) @ model.space
+        z = z / np.linalg.norm(z)
+        near = sorted(((float(z @ v), y) for v, y in zip(model.vectors.astype(np.float64), model.labels)), reverse=True)[:quality_knn.NEIGHBOURS]
+        weights = [max((1 + c) / 2, 1e-6) ** quality_knn.SHARPNESS for c, _ in near]
+        # Ties at the last neighbour may fall either way.
+        assert got[r.doc_id] == pytest.approx(sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights), abs=0.02)

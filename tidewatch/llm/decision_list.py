@@ -174,8 +174,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     sample = known.orderBy("__order", "__id", "__quality").limit(sample_rows)  # bounded: it is broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
     # What fails the base rule is removed anyway; the list is learned on the rest.
-    rows = text_statistics(rows.select("text", "__quality", "__order")).filter(~F.col("base_failed")).select(
-        "__order", *[f"__f_{f}" for f in FEATURES], "__quality").limit(2 * sample_rows).collect()
+    rows = text_statistics(rows.select("text", "__quality", "__order")).filter(~F.col("base_failed"))
+    # Repeated ids give one row, the least statistics: at most ``sample_rows`` rows, the same in every run.
+    least = F.min(F.struct(*[f"__f_{f}" for f in FEATURES])).alias("__f")
+    rows = rows.groupBy("__order", "__quality").agg(least).select("__order", "__f.*", "__quality").collect()
     return learn([tuple(r)[1:] for r in sorted(rows, key=tuple)])
 
 

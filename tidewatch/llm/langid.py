@@ -1,7 +1,8 @@
 """Language identification by error-correcting output codes.
 
-Every language gets a codeword of ``CODE_BITS`` bits, chosen so that words lie
-far apart.  One linear classifier per bit, over hashed character n-grams of the
+Every language gets a codeword of a simplex code: with n languages and 2^m >= n, at least
+2^4, words have up to 2^m - 1 bits and any two of them differ in half, so the bits that may be wrong grow
+with the languages.  One linear classifier per bit, over hashed character n-grams of the
 whole lower-cased text, predicts that bit; decoding sums a loss of every
 classifier's margin against a language's codeword, weighted by how well that
 classifier did on its training rows, and takes the nearest word.  If a second
@@ -35,7 +36,7 @@ SAMPLE_ROWS = 3000
 PER_LANGUAGE = 600
 FEATURE_BITS = 12
 ORDERS = (1, 2, 3)
-CODE_BITS = 15
+LEAST_ORDER = 4
 RIDGE = 0.3
 # Two languages whose decoding losses differ by less than this are too close to call.
 AMBIGUITY = 0.02
@@ -73,17 +74,15 @@ class Model:
         return self.languages[order[0]], float(1.0 / near.sum()), gap < AMBIGUITY
 
 
-def codewords(n: int, bits: int = CODE_BITS, tries: int = 400) -> np.ndarray:
-    """The best of ``tries`` seeded random codes: rows far apart, no constant column."""
-    rng, best, found = np.random.default_rng(8), -1, None
-    for _ in range(tries):
-        code = rng.integers(0, 2, (n, bits)) * 2 - 1
-        if n > 1 and (abs(code.sum(axis=0)) == n).any():
-            continue
-        apart = min(((code[i] != code[j]).sum() for i in range(n) for j in range(i)), default=bits)
-        if apart > best:
-            best, found = apart, code
-    return found if found is not None else rng.integers(0, 2, (n, bits)) * 2 - 1
+def codewords(n: int) -> np.ndarray:
+    """n words of a simplex code: word a has the bit <a, x> (sum of products, modulo 2) at place x.  Any two words differ
+    in 2^(m - 1) of the 2^m - 1 places.  Few words leave places alike (or without a difference); one of each stays."""
+    m = max(LEAST_ORDER, (n - 1).bit_length())
+    units = [1 << i for i in range(m)]
+    names = np.array([0, *units, *(a for a in range(3, 1 << m) if a & (a - 1))][:n])  # units first: all places differ
+    code = np.bitwise_count(names[:, None] & np.arange(1, 1 << m)[None, :]) & 1
+    places = {bytes(column): i for i, column in reversed(list(enumerate(code.T.astype(np.uint8)))) if column.any()}
+    return code[:, sorted(places.values())].astype(np.int64) * 2 - 1
 
 
 def fit(x: np.ndarray, y: list[str]) -> Model:
@@ -114,8 +113,9 @@ def learn(docs: DataFrame, seed: str = "lang-1") -> Model | None:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("__label"), pa.array([v.astype(np.float16).tobytes() for v in made], pa.binary())],
                                              names=["id", "label", "v"])
 
-    rows = rows.select("doc_id", "__label", "text").mapInArrow(vectors, "id string, label string, v binary").limit(2 * SAMPLE_ROWS).collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["v"])))
+    rows = rows.select("doc_id", "__label", "text").mapInArrow(vectors, "id string, label string, v binary")
+    # Repeated ids give one row, the least vector: at most SAMPLE_ROWS rows, the same in every run.
+    rows = sorted(rows.groupBy("id", "label").agg(F.min("v").alias("v")).collect(), key=lambda r: (r["id"], r["label"]))
     if not rows:
         return None
     y, x = [r["label"] for r in rows], unpack_vectors(rows)

@@ -119,8 +119,9 @@ def learn(docs: DataFrame, labels: DataFrame, seed: str = "quality-1") -> Model
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(made, pa.binary())], names=["id", "label", "v"])
 
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("__label").cast("int").alias("label"), "text")
-    rows = rows.mapInArrow(vectors, "id string, label int, v binary").limit(4 * PER_LABEL).collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["v"])))
+    rows = rows.mapInArrow(vectors, "id string, label int, v binary")
+    # Repeated ids give one row, the least vector: at most 2 * PER_LABEL rows, the same in every run.
+    rows = sorted(rows.groupBy("id", "label").agg(F.min("v").alias("v")).collect(), key=lambda r: (r["id"], r["label"]))
     if not rows:
         return None
     y, x = np.array([r["label"] for r in rows]), unpack_vectors(rows)
