@@ -172,3 +172,43 @@ def test_votes_against_all_pairs(spark):
         weights = [max((1 + c) / 2, 1e-6) ** quality_knn.SHARPNESS for c, _ in near]
         # Ties at the last neighbour may fall either way.
         assert got[r.doc_id] == pytest.approx(sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights), abs=0.02)
+
+
+def _article(page):
+    article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+    return [b for b in blocks if b]
+
+
+def test_ratios_tell_the_text_where_no_tag_does(spark, monkeypatch):
+    pages = [r.html for r in table(spark, SF, "pages").collect()]
+    bare = [re.sub(r"<(/?)(?:article|main|nav|aside|footer|header)\b", r"<\1div", p) for p in pages]
+    no_title = [re.sub(r"<(/?)h1>", r"<\1p>", p) for p in bare]
+    right = lambda made: sum(html_extract.extract(b) == _article(p) for b, p in zip(made, pages))
+    footers = lambda made: sum(any(line.startswith("©") for line in html_extract.extract(b)) for b in made)
+    assert footers(bare) == 0 and right(bare) == len(pages)
+    assert footers(no_title) <= 0.04 * len(pages) and right(no_title) >= 0.96 * len(pages)
+    # The same pages with a constant for every ratio: nothing tells the footer from the text.
+    monkeypatch.setattr(html_extract, "line_ratio", lambda text, tags: 1.0)
+    assert right(no_title) < 0.2 * len(pages)
+
+
+def test_sections_of_one_text_stay_together():
+    paras = [f"{i} " + "word " * (20 + 15 * (i % 3)) + "end." for i in range(9)]
+    parts = "".join("<div>" + "".join(f"<p>{p}</p>" for p in paras[k:k + 3]) + "</div>" for k in (0, 3, 6))
+    page = f"<html><body><div><a href=/>Home</a> <a href=/b>News</a></div><div><div><h1>The title</h1></div>{parts}</div><div>All rights kept</div></body></html>"
+    assert html_extract.extract(page) == ["The title", *paras]
+    alone = "".join(f"<div>{p}</div>" for p in paras)
+    assert html_extract.extract(f"<html><body><div>{alone}</div><div>All rights kept</div></body></html>") == paras
+    giant = "<div>" + "word " * 3000 + "</div>"
+    assert len(html_extract.extract(f"<html><body><div>{alone}{giant}</div></body></html>")) == 10
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    took = []
+    for n in (5000, 40_000):
+        start = time.process_time()
+        assert len(html_extract.extract("".join(f"<div>line number {i} of the page" for i in range(n)))) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0] + 1

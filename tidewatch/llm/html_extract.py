@@ -3,9 +3,11 @@
 The standard library's parser streams events; text between two block-level
 tags is one line.  A line's ratio is its text length over its number of tags; ratios are
 smoothed with a Gaussian over neighbouring lines, and lines at or above one standard
-deviation of the smoothed ratios are content.  The content region is the innermost
-section of the page that holds all content lines (never inside an article or
-main element).  Every line of that region is kept, short ones too, except
+deviation of the smoothed ratios are content.  The content region is found from the whole page
+downwards: as long as one section below holds most of the smoothed ratio (or the heading), and everything beside it has a
+text-to-tag ratio of less than half of its own, the search goes on inside that section.  Only where ratios do not tell
+(something beside comes near) tags do: a single line beside goes if the section has a heading and the line
+has none, and article and main elements count as wholes.  Every line of the region is kept, short ones too, except
 what lies in page furniture (navigation, headers, footers, asides, forms, adverts,
 notices, comments, by element, role, class or id) and low lines that are nothing
 but links, lie in no article or main element and stand before the first or after
@@ -18,7 +20,7 @@ elements that always are.  Reader comments have no vote unless there is nothing
 and a subtree is not chosen over content lines of an article (or main element) that it lies outside of.
 A page with no line left takes all lines that are furniture by name only.
 
-Each page is handled inside its own row; nothing is shuffled.
+Each page is handled inside its own row, in time linear in its length; nothing is shuffled.
 
 Defined results: null and empty html give an empty text; a page without content lines keeps
 all its lines outside page furniture; broken markup is read as far as browsers would,
@@ -48,6 +50,9 @@ BLOCK = frozenset((
     "select style summary table tbody td template textarea tfoot th thead title tr ul").split())
 SECTION = frozenset("article aside body center details dialog div dl fieldset figure footer form header main nav ol section table td ul".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = ("h1", "h2")
+# Beside the section that holds the text, ratios below this part of its own are low.
+LOW = 0.5
 # Elements that a start tag closes when their end tags were left out, and the elements it does not look beyond.
 _ITEM = SECTION - {"div"} | {"blockquote", "button", "dir", "menu", "object", "select", "template"}
 _CELL = frozenset(("table", "template"))
@@ -80,10 +85,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Section:
-    __slots__ = ("tag", "parent", "depth", "rank")
+    __slots__ = ("tag", "parent", "number", "rank")
 
-    def __init__(self, tag: str, parent: "_Section | None"):
-        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, parent: "_Section | None", number: int):
+        self.tag, self.parent, self.number = tag, parent, number
         # 2 inside an article, 1 inside main only.
         self.rank = max(parent.rank if parent else 0, 2 if tag == "article" else int(tag in ARTICLE))
 
@@ -107,10 +112,12 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, _Furniture | None, _Section]] = []
+        self.headings: set[int] = set()  # numbers of lines that are headings
         self.named: list[_Furniture] = []  # those by name only, outer ones first
         self.text: list[str] = []
         self.tags = self.linked = 0
-        self.root = self.section = _Section("", None)
+        self.root = self.section = _Section("", None, 0)
+        self.all = [self.root]  # sections, each after the one around it
         # Open elements: (tag, section before it, furniture before it).
         self.open: list[tuple[str, _Section, _Furniture | None]] = []
         # Places of open elements in the stack by tag, and of those that are sections.
@@ -125,6 +132,8 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            if any(self.places.get(h) for h in HEADINGS):
+                self.headings.add(len(self.lines))
             self.lines.append((text, max(self.tags, 1), self.linked, self.furniture, self.section))
             self.tags = 0
         self.text, self.linked = [], 0
@@ -152,7 +161,8 @@ class _Lines(HTMLParser):
         if how:
             self._enter(how != "sure", how == "comments", tag in ("aside", "footer"))
         if tag in SECTION:
-            self.section = _Section(tag, self.section)
+            self.section = _Section(tag, self.section, len(self.all))
+            self.all.append(self.section)
 
     def _enter(self, named: bool, comments: bool, holds_articles: bool = False) -> None:
         self.furniture = _Furniture(self.furniture, named, comments, self.section.rank, holds_articles)
@@ -259,25 +269,58 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), _KERNEL)[RADIUS:RADIUS + len(ratios)]
 
 
-def _common(a: _Section, b: _Section) -> _Section:
-    while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-    return a
-
-
-def _ratios(lines: list[tuple], furniture: list[bool]) -> tuple[np.ndarray, float]:
-    """Smoothed ratios and their bound."""
-    ratios = smoothed(np.array([0.0 if f else len(text) / tags for (text, tags, *_), f in zip(lines, furniture)]))
-    return ratios, ratios.std() if len(ratios) else 0.0
+def _region(sections: list[_Section], lines: list[tuple], headings: set[int], raw: np.ndarray, ratios: np.ndarray) -> int:
+    """Number of the section that holds the text; one pass over the lines, one over the sections."""
+    n = len(sections)
+    # Of every section with all inside it: smoothed ratio, text, text times ratio, lines, headings; first those of its own lines.
+    own = np.zeros((n, 5))
+    for i, (text, _, _, furniture, section) in enumerate(lines):
+        if not furniture:
+            own[section.number] += (ratios[i], len(text), len(text) * raw[i], 1, i in headings)
+    whole = own.copy()
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for s in reversed(sections[1:]):
+        whole[s.parent.number] += whole[s.number]
+        if whole[s.number][3]:
+            kids[s.parent.number].append(s.number)  # later ones first
+    at = 0
+    while kids[at]:
+        best = max((k for k in reversed(kids[at]) if whole[k][3] > 1), key=lambda k: whole[k][0], default=None)
+        if best is None or (2 * whole[best][0] <= whole[at][0] and not whole[best][4]):
+            break
+        mean = whole[best][2] / whole[best][1]
+        beside = [(whole[k], k < best) for k in kids[at] if k != best] + ([(own[at], True)] if own[at][3] else [])
+        if not all(_low(found, first, mean, whole[best]) for found, first in beside):
+            break
+        at = best
+    return at
+
+
+def _low(found: np.ndarray, first: bool, mean: float, best: np.ndarray) -> bool:
+    """Whether what stands beside the best section is no text of the page."""
+    _, text, weighted, n, heads = found
+    if first and heads and not best[4]:
+        return False  # a title over the text
+    if weighted < LOW * mean * text:
+        return True
+    return n == 1 and not heads and best[4] > 0
+
+
+def line_ratio(text: str, tags: int) -> float:
+    return len(text) / tags
+
+
+def _ratios(lines: list[tuple], furniture: list[bool]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ratios of the lines, smoothed ratios and their bound."""
+    raw = np.array([0.0 if f else line_ratio(text, tags) for (text, tags, *_), f in zip(lines, furniture)])
+    ratios = smoothed(raw)
+    return raw, ratios, ratios.std() if len(ratios) else 0.0
 
 
 def _release(lines: list[tuple], named: list[_Furniture]) -> None:
     """Takes ``off`` from the named subtrees that hold most of the page's content lines."""
     sure = [f is not None and f.sure for _, _, _, f, _ in lines]
-    ratios, bound = _ratios(lines, sure)
+    _, ratios, bound = _ratios(lines, sure)
     content = [(f, section) for (_, _, _, f, section), s, ratio in zip(lines, sure, ratios) if not s and ratio >= bound]
     content = [x for x in content if not (x[0] and x[0].comments)] or content
     clear = [0, 0, 0]
@@ -305,27 +348,24 @@ def extract(html: str | None) -> list[str]:
     if parser.named:
         _release(parser.lines, parser.named)
     lines = [(text, tags, linked, f is not None and f.off, section) for text, tags, linked, f, section in parser.lines]
-    ratios, bound = _ratios(lines, [line[3] for line in lines])
-    region = None
-    for (_, _, _, furniture, section), ratio in zip(lines, ratios):
-        if not furniture and ratio >= bound:
-            region = section if region is None else _common(region, section)
-    region = region or parser.root
+    raw, ratios, bound = _ratios(lines, [line[3] for line in lines])
+    region = parser.all[_region(parser.all, lines, parser.headings, raw, ratios)]
     # The whole article, not one part of it.
     at = region
     while at is not None:
         if at.tag in ARTICLE:
             region = at
         at = at.parent
+    inside = np.zeros(len(parser.all), bool)
+    for s in parser.all:
+        inside[s.number] = s is region or (s.parent is not None and inside[s.parent.number])
     run = [i for i, (line, ratio) in enumerate(zip(lines, ratios)) if not line[3] and ratio >= bound]
     kept = []
     for i, ((text, _, linked, furniture, section), ratio) in enumerate(zip(lines, ratios)):
         outside = not section.rank and not (run and run[0] < i < run[-1])
         if furniture or (outside and ratio < bound and linked >= len(text.replace(" ", "")) > 0):
             continue
-        while section.depth > region.depth:
-            section = section.parent
-        if section is region:
+        if inside[section.number]:
             kept.append(text)
     return kept
 
