@@ -75,6 +75,39 @@ def test_stream_decides_late_events(spark):
     assert got == {1: ("c", True), 2: ("c", True), 3: ("c", False), 4: ("unknown", True), 5: ("c", False)}
 
 
+def test_stream_state_merges_frames_and_drops_idle_clients():
+    import pandas as pd
+
+    from tidewatch.streaming.ratelimit import _step
+
+    class State:
+        def __init__(self):
+            self.value, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+    rng = __import__("random").Random(4)
+    rows = [(i, "c", rng.randrange(10_000)) for i in range(500)]
+    frames = [pd.DataFrame({"event_id": [r[0] for r in rows[k:k + 70]], "t": [r[2] for r in rows[k:k + 70]]}) for k in range(0, 500, 70)]
+    state, step = State(), _step(3, 200, 60_000)
+    got = pd.concat(step(("c",), iter(frames), state))
+    assert dict(zip(got.event_id, got.admitted)) == walker(rows, 200, 3)
+    assert state.exists and len(state.value[0]) <= 3 and state.timeout == 60_000
+    state.hasTimedOut = True
+    assert list(step(("c",), iter(()), state)) == [] and not state.exists
+
+
 def test_rule_stats_rounding_and_review(spark):
     rows = [("a", 1)] * 2 + [("a", 0)] * 1 + [("b", 0)] * 5 + [("b", 1)] * 2 + [("c", 0)]
     v = spark.createDataFrame(rows, "rule_id string, verified int")

@@ -2,16 +2,20 @@
 
 ``applyInPandasWithState`` keyed by client; the state is the admitted
 timestamps still inside the window of the latest event seen (at most ``limit`` of
-them).  Within a micro-batch a client's events are walked in (event time, event id)
-order.  There is no watermark, so every event gets a row however late it comes; a late
+them).  With ``idle_seconds`` a client that has sent nothing for so long (processing time) loses its state, so
+state does not grow with every client ever seen.  Within a micro-batch a client's events are walked in (event time, event id)
+order; the frames they arrive in are sorted one by one and merged, never put together.
+There is no watermark, so every event gets a row however late it comes; a late
 event is judged against the admitted entries of the state as it is then (entries
 later than it count as well), as the reference decides in arrival order.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,32 +25,54 @@ from tidewatch.operators.ratelimit import UNKNOWN_CLIENT, micros
 
 OUTPUT_SCHEMA = "event_id long, client string, admitted boolean"
 STATE_SCHEMA = "admitted array<long>"
+OUT_ROWS = 10_000
 
 
-def _step(limit: int, window_us: int):
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+    """(t, event_id) of all frames in order.  A frame is kept as two sorted arrays (16 bytes an event) and the
+    frames are merged, so no frame of all a client's events is built."""
+    runs = []
+    for f in frames:
+        t, i = f["t"].to_numpy(np.int64), f["event_id"].to_numpy(np.int64)
+        order = np.lexsort((i, t))
+        runs.append((t[order], i[order]))
+    yield from heapq.merge(*(zip(t, i) for t, i in runs))
+
+
+def _frame(rows: list[tuple[int, bool]], client: str) -> pd.DataFrame:
+    return pd.DataFrame({"event_id": [r[0] for r in rows], "client": client, "admitted": [r[1] for r in rows]})
+
+
+def _step(limit: int, window_us: int, idle_ms: int | None):
+    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (client,) = key
-        admitted = list(state.get[0]) if state.exists else []
-        frames = [p for p in pdfs]
-        if not frames:
+        if state.hasTimedOut:
+            state.remove()
             return
-        pdf = pd.concat(frames).sort_values(["t", "event_id"], kind="mergesort")
-        out = []
-        for ev_id, t in zip(pdf["event_id"].tolist(), pdf["t"].tolist()):
+        admitted = list(state.get[0]) if state.exists else []
+        out: list[tuple[int, bool]] = []
+        for t, event_id in _in_order(frames):
             admitted = [a for a in admitted if t - a <= window_us]
             ok = len(admitted) < limit
             if ok:
-                admitted.append(t)
-            out.append((ev_id, client, ok))
+                admitted.append(int(t))
+            out.append((int(event_id), ok))
+            if len(out) == OUT_ROWS:
+                yield _frame(out, client)
+                out = []
         state.update((admitted,))
-        yield pd.DataFrame(out, columns=["event_id", "client", "admitted"])
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        if out:
+            yield _frame(out, client)
     return fn
 
 
 def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_paths: Iterable[str],
                  client_col: str = "client", path_col: str = "path", ts_col: str = "ts",
-                 id_col: str = "event_id") -> DataFrame:
-    """W1 on a streaming DataFrame; returns a streaming (event_id, client, admitted)."""
+                 id_col: str = "event_id", idle_seconds: int | None = None) -> DataFrame:
+    """W1 on a streaming DataFrame; returns a streaming (event_id, client, admitted).  A live stream passes
+    its window as ``idle_seconds``; the default keeps state, since the processing time of a replay says nothing."""
     window_us = window_seconds * 1_000_000
     from tidewatch.session import ship_package
     ship_package(events.sparkSession)
@@ -54,8 +80,9 @@ def admit_stream(events: DataFrame, window_seconds: int, limit: int, counted_pat
           .select(F.col(id_col).alias("event_id"),
                   F.coalesce(F.col(client_col).cast("string"), F.lit(UNKNOWN_CLIENT)).alias("client"),
                   micros(events, ts_col).alias("t")))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
     return ev.groupBy("client").applyInPandasWithState(
-        _step(limit, window_us), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _step(limit, window_us, idle_seconds and idle_seconds * 1000), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def replay_admission(events: DataFrame, window_seconds: int, limit: int, counted_paths: Iterable[str],
