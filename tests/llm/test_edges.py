@@ -90,3 +90,9 @@ def test_windows_that_many_items_share(spark):
     for blocks in ({}, {"block_windows": 700}, {"block_bytes": 20_000}):
         assert rows(decontam.scan(d, b, **blocks), 6) == want
     assert Counter(r.doc_id for r in decontam.clean_documents(d, b).collect()) == Counter({400: 5})
+
+
+def test_slots_follow_the_text(spark, edge, monkeypatch):
+    from tidewatch.llm import substring_dedup
+    monkeypatch.setattr(substring_dedup, "SLOT_BYTES", 5000)  # many more slots than shuffle partitions
+    assert rows(QUERIES["op3_substring_dedup"](spark, edge)) == Counter(WANT["op3_substring_dedup"]())

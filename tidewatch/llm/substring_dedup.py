@@ -17,8 +17,12 @@ Hashing every window of the corpus would shuffle one entry per word.  Instead:
 Numpy works on packed columns inside tasks; Spark deals them out by hash and brings them back to
 their documents.  A task first settles what repeats among its own documents, so
 a passage that a third of all rows share leaves each task once, not once per row.
-Texts travel compressed, by document, and no task holds more than its share of
-entries (12 to 32 bytes each).
+Texts travel compressed, by document.  Entries (12 to 32 bytes each) are dealt into slots, at least one per
+``SLOT_BYTES`` of text whatever the number of shuffle partitions, and a task holds one slot's: some 170 MB if every word
+of the corpus were repeated.
+
+Windows are compared by 96 bits of hash.  Among n different windows the expected number of chance matches is n^2 / 2^97:
+for the 10^13 words of some 60 TB of text, less than one in a thousand for the whole corpus.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing;
 rows with equal doc_id do not remove each other's words; a null doc_id is
@@ -46,6 +50,8 @@ COVER = (0, 1, 3)  # every difference modulo 7 is a difference of two of these
 ANCHOR = WINDOW - PERIOD + 1
 # Entries gathered in a task before they are settled and sent on.
 FLUSH = 1 << 21
+# Text whose entries go to one slot.
+SLOT_BYTES = 32 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -314,7 +320,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     assert covers(PERIOD, COVER) and ANCHOR >= 1
     spark = docs.sparkSession
     ship_package(spark)
-    slots = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slots = max(shuffle_partitions(spark), -(-size // SLOT_BYTES))
     d = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     d = d.withColumn("own", F.xxhash64("doc", "text")).withColumn("slot", F.pmod("own", F.lit(slots)).cast("int"))
     texts = d.select("slot", "own", "doc", "text").mapInArrow(_packed_texts, "slot int, own long, doc long, text binary")
