@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import curriculum, decontam, langid, sharding, simhash
 from tidewatch.llm.common import table
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, delete_path, scratch
 
 ORACLE_SQL = None
 
@@ -62,11 +62,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder."""
+    """All stages over ``documents``; each result is a table in the shared folder.  A stage's own tables and
+    the result before it are deleted once its result is written."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/tables/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{root}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

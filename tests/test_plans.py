@@ -120,3 +120,17 @@ def test_snippets_are_cut_in_the_fact_pass(spark, monkeypatch):
             assert not [r for r in df.drop("snippet").collect() if "plain-secret" in str(r)]
     strict = scan.scan_sources(source_df(spark, {"m.jsx": MULTILINE, "m.py": py}), strict_redaction=True)
     assert "plain-secret" not in str(strict.findings.collect()) and "plain-secret" not in str(strict.facts.collect())
+
+
+def test_scratch_deletes_what_a_block_wrote(spark, tmp_path):
+    import os
+
+    from tidewatch.session import checkpoint_dir, scratch
+    folder = checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    kept = materialize(spark.range(3), "kept")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        materialize(spark.range(5), "gone").write.parquet(str(tmp_path / "out"))
+        assert len(os.listdir(folder)) == len(before) + 1
+    assert set(os.listdir(folder)) == before and kept.count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -79,9 +80,42 @@ def materialize(df, name: str, partition_by: str | None = None):
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+    _written(spark).append(path)
     return spark.read.parquet(path)
 
 
+# Tables written per context, in order.
+_TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _written(spark: SparkSession) -> list[str]:
+    return _TABLES.setdefault(spark.sparkContext, [])
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the intermediate tables that are written inside the block when it ends::
+
+        with scratch(spark):
+            scan_tree(spark, root).scan.findings.write.parquet(out)
+
+    Frames made inside cannot be read afterwards."""
+    tables = _written(spark)
+    first = len(tables)
+    try:
+        yield
+    finally:
+        for path in tables[first:]:
+            delete_path(spark, path)
+        del tables[first:]
+
+
 def spread(df):
     """Deal the rows of a text table over more tasks where the session asks for it
     with ``spark.tidewatch.spread`` (a number of partitions; unset: never).  The
