@@ -2,6 +2,7 @@
 
 import random
 
+from tidewatch.llm import chat
 from tidewatch.llm.chat import fold_events
 
 OPS = ("message", "edit", "regenerate", "delta", "delta", "delta")
@@ -32,3 +33,15 @@ def test_logs_are_folded(spark):
     for e in rows:
         logs.setdefault(e[:3], []).append(e)
     assert got == {k: walk(v) for k, v in logs.items()}
+
+
+def test_the_log_of_a_table_has_every_kind_of_event(spark, edge):
+    """Folding the log of the conversations table, in any order of arrival, gives its rows back."""
+    rows = spark.read.parquet(f"{edge}/conversations.parquet")
+    for piece in (1, 3, 200):
+        log = chat.conversation_events(rows.filter("length(text) < 1000 or text is null"), piece)
+        assert {r.op for r in log.select("op").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+        got = chat.fold_events(log.repartition(7, "text")).collect()
+        want = rows.filter("length(text) < 1000 or text is null").collect()
+        assert sorted((r.conv_id or -1, r.turn if r.turn is not None else -1, r.role, r.text) for r in got) == sorted(
+            (r.conv_id or -1, r.turn if r.turn is not None else -1, r.role or "", r.text or "") for r in want)

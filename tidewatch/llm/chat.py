@@ -8,7 +8,9 @@ Events have columns ``conv_id, turn, part, seq, op, role, text``:
 ``regenerate`` throws its text away, ``delta`` appends to it.  A message is named by
 (conv_id, turn, part); its final text is the last setting event's text with the
 deltas after it, in ``seq`` order (ties by op, then text).  The conversations table
-holds only finished rows: ``conversation_events`` gives one ``message`` event per row.
+holds only finished rows: ``conversation_events`` writes the log such a row could have come from.  By a
+hash of the row it is a finished message, one streamed in pieces, one edited, or one begun, thrown away and
+streamed again.
 
 Template, per message: ``<|role:ROLE|>\\nTEXT<|end|>\\n``.  In ROLE and TEXT the
 characters ``& < [ |`` are written as character references, so no control string
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import running
 
 TURNS_PER_BLOCK = 512
+# Characters of a streamed piece.
+PIECE = 200
 # Order matters: the reference character itself is escaped first and restored last.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("|", "&#124;"))
 HEAD, HEAD_END, TAIL = "<|role:", "|>\n", "<|end|>\n"
@@ -50,12 +54,29 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The conversations table as a log: one ``message`` event per row."""
+def conversation_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The conversations table as a log of events."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select("conv_id", "turn", "role", "text").select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.row_number().over(same).alias("part"),
-        F.lit(0).cast("long").alias("seq"), F.lit("message").alias("op"), "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text").select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.row_number().over(same).alias("part"), "role", "text")
+    whole, none = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
+
+    def event(seq, op: str, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
+
+    def streamed(first: int) -> Column:
+        at = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.char_length(whole) - 1, F.lit(0)) / piece).cast("long"))
+        return F.transform(at, lambda i: F.struct((i + first).alias("seq"), F.lit("delta").alias("op"), none.alias("role"),
+                                                  F.substring(whole, (i * piece + 1).cast("int"), F.lit(piece)).alias("text")))
+
+    role = F.col("role")
+    draft = F.concat(F.substring(whole, 1, piece), F.lit(" ..."))
+    kind = F.crc32(F.concat_ws(":", F.lit("log"), F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("part").cast("string")).cast("binary")) % 4
+    log = (F.when(kind == 0, F.array(event(0, "message", role, F.col("text"))))
+            .when(kind == 1, F.concat(F.array(event(0, "message", role, none)), streamed(1)))
+            .when(kind == 2, F.array(event(0, "message", role, draft), event(1, "delta", none, draft), event(2, "edit", none, F.col("text"))))
+            .otherwise(F.concat(F.array(event(0, "message", role, none), event(1, "delta", none, draft), event(2, "regenerate", none, none)), streamed(3))))
+    return rows.select("conv_id", "turn", "part", F.explode(log).alias("e")).select("conv_id", "turn", "part", "e.*")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
