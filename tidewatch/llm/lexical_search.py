@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import materialize, ship_package
 
 TOP = 50
-BATCH_DOCS, LEAF_DOCS, FAN_OUT = 4096, 32, 8
+BATCH_DOCS, LEAF_DOCS, FAN_OUT = 4096, 8, 8
 BLOCK_CELLS, BLOCK_ITEMS = 4_000_000, 1024
 SAMPLE_PART = 16
 # Terms are runs of digits, ASCII letters and bytes of other characters; A-Z are lower-cased.
