@@ -16,7 +16,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # A bucket of a seeded order is meant to hold about this many rows.
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,8 @@ def source_key(source: Column) -> Column:
 
 def bucket_bits(n_rows: int) -> int:
     """Bits of a bucket number so that a group of all ``n_rows`` rows is split
-    into buckets of about ``ROWS_PER_BUCKET`` rows (at most 2^20 buckets)."""
-    return max(1, min(20, math.ceil(math.log2(max(2, n_rows) / ROWS_PER_BUCKET)) if n_rows > ROWS_PER_BUCKET else 1))
+    into buckets of about ``ROWS_PER_BUCKET`` rows (at most 2^22 buckets)."""
+    return max(1, min(22, math.ceil(math.log2(max(2, n_rows) / ROWS_PER_BUCKET)) if n_rows > ROWS_PER_BUCKET else 1))
 
 
 def running(df: DataFrame, group: str | None, bucket: str, order: list[str], value: str, bits_name: str = "") -> DataFrame:
