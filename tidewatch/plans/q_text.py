@@ -64,6 +64,18 @@ def d2_rule_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.rule_distribution(rl_all_text(spark, sf_dir))
 
 
+@register("d1_distribution_maps", f"""
+WITH f AS {RL_ALL}, s AS (SELECT repo, lower(severity) AS severity, count(*) AS n FROM f GROUP BY 1, 2), r AS (SELECT repo, rule_id, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT repo, (SELECT string_agg(severity || '=' || n, ',' ORDER BY severity) FROM s WHERE s.repo = x.repo) AS severities,
+       (SELECT string_agg(rule_id || '=' || n, ',' ORDER BY rule_id) FROM r WHERE r.repo = x.repo) AS rules
+FROM (SELECT DISTINCT repo FROM f) x""")
+def d1_distribution_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repository with both maps, written as sorted text."""
+    m = summary.distributions_as_maps(rl_all_text(spark, sf_dir))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return m.select("repo", text("severity_distribution").alias("severities"), text("rule_distribution").alias("rules"))
+
+
 SUMMARY_SQL = f"""
 WITH f AS {RL_ALL},
 p AS (SELECT repo, count(*) AS finding_count,
