@@ -111,7 +111,7 @@ class Trie:
         self.held = 0
 
     def spill_largest(self, most: int) -> Iterator[tuple[bytes, Owner]]:
-        """Sends the largest subtrees of at most half of ``most`` bytes until half of ``most`` is free."""
+        """Sends the largest subtrees of at most half of ``most`` bytes until half of ``most`` is free; all, if that is not enough."""
         order, above = [(self.root, None, b"")], {}
         for node, parent, prefix in order:  # grows while it is walked: parents before kids
             above[id(node)] = parent
@@ -127,6 +127,8 @@ class Trie:
                 break
             parent.kids.pop(node.label[0], None)
             yield from self._drain(node, prefix)
+        if self.held > most // 2:  # what is left are the long paths above those subtrees
+            yield from self.drain()
 
     def spill_before(self, last: bytes) -> Iterator[tuple[bytes, Owner]]:
         """Keys arrive in order and ``last`` is the newest: all others are complete."""
