@@ -134,3 +134,27 @@ def test_scratch_deletes_what_a_block_wrote(spark, tmp_path):
         assert len(os.listdir(folder)) == len(before) + 1
     assert set(os.listdir(folder)) == before and kept.count() == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_no_written_plan_of_a_scan_is_large(spark, monkeypatch):
+    """The driver holds a plan, and all that Spark makes of it, in memory: 56 shuffles in one took more than 1.5 GB."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tidewatch.plans import scan
+    shuffles, written = [], DataFrameWriter.parquet
+
+    def keep(self, *args, **options):
+        shuffles.append(plan(self._df).count("Exchange "))
+        return written(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", keep)
+    res = scan.scan_sources(source_df(spark, {"m.jsx": MULTILINE, "m.py": "import os\nos.system(x)\n"}))
+    assert res.findings.count() > 0 and max(shuffles) <= 24, shuffles
+
+
+def test_parts_of_a_table_are_one_table(spark):
+    from tidewatch.session import materialize_parts
+    parts = [spark.range(n).selectExpr("cast(id as string) as x", f"'k{n}' as kind") for n in (0, 2, 3)]
+    got = materialize_parts(parts, "parts", partition_by="kind")
+    assert sorted((r.kind, r.x) for r in got.collect()) == [("k2", "0"), ("k2", "1"), ("k3", "0"), ("k3", "1"), ("k3", "2")]
+    assert materialize_parts(parts[:1], "parts", partition_by="kind").count() == 0

@@ -68,15 +68,15 @@ def _functions(t: DataFrame, s: DataFrame, class_bodies: DataFrame) -> DataFrame
     return f.withColumn("first", first).withColumn("name", name).withColumn("stop", F.coalesce("stop", "start"))
 
 
-def _scoped(facts: DataFrame, functions: DataFrame) -> DataFrame:
-    """Adds scope_id and func_name: the innermost function around each ``pos``."""
+def _scopes(asks: DataFrame, functions: DataFrame) -> DataFrame:
+    """scope_id and func_name of each asked (repo, path, pos, turn, fact): the innermost function around ``pos``."""
     none = F.lit(None).cast("string")
     marks = functions.select(*FILE, F.explode(F.array(
         F.struct(F.col("start").alias("pos"), F.lit(1).alias("turn"), F.lit(1).alias("step"), F.col("name").alias("named"), F.col("start").alias("of")),
         F.struct(F.col("stop").alias("pos"), F.lit(3).alias("turn"), F.lit(-1).alias("step"), none.alias("named"), F.col("start").alias("of")))).alias("m"))
     marks = marks.select(*FILE, "m.*", F.lit(None).cast("int").alias("fact"))
     # A function's own row (turn 0) lies outside it, everything else at its first place inside.
-    asks = facts.select(*FILE, "pos", F.col("turn"), F.lit(0).alias("step"), none.alias("named"), F.lit(None).cast("int").alias("of"), F.col("fact")).distinct()
+    asks = asks.select(*FILE, "pos", F.col("turn"), F.lit(0).alias("step"), none.alias("named"), F.lit(None).cast("int").alias("of"), F.col("fact")).distinct()
     e = marks.unionByName(asks)
     # Ends at one place close the inner function first.
     order = ["pos", "turn", F.when(F.col("turn") == 3, -F.col("of")).otherwise(F.col("of"))]
@@ -84,9 +84,8 @@ def _scoped(facts: DataFrame, functions: DataFrame) -> DataFrame:
     e = e.withColumn("nest", F.sum("step").over(w) + F.when(F.col("step") == -1, 1).otherwise(0))
     inner = Window.partitionBy(*FILE, "nest").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("in", F.last(F.when(F.col("step") == 1, F.struct("of", "named")), True).over(inner))
-    found = e.filter((F.col("step") == 0)).select(
+    return e.filter((F.col("step") == 0)).select(
         *FILE, "pos", "fact", F.when(F.col("nest") > 0, F.col("in.of")).otherwise(0).alias("scope_id"), F.when(F.col("nest") > 0, F.col("in.named")).alias("func_name"))
-    return facts.join(found, [*FILE, "pos", "fact"], "left").drop("fact", "turn")
 
 
 def _params(functions: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
@@ -195,6 +194,11 @@ def _pairs(t: DataFrame, s: DataFrame, calls: DataFrame) -> DataFrame:
 
 def extract_js_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     """(repo, path, language, content) of JS / TS files -> flat fact rows of all kinds."""
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), js_fact_parts(sources, strict))
+
+
+def js_fact_parts(sources: DataFrame, strict: bool = False) -> list[DataFrame]:
+    """The rows of ``extract_js_facts``, a frame per kind with that kind's columns."""
     from tidewatch.operators.windows import js_windows
     js = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, "language", "content", not_read(sources).alias("not_read"))
     t = materialize(tokens(raw_tokens(js)), "js-tokens")
@@ -207,8 +211,10 @@ def extract_js_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     last = Window.partitionBy(*FILE, "at").orderBy(F.col("class_at").desc())
     bodies = bodies.withColumn("o", F.row_number().over(last)).filter("o = 1").drop("o")
     bodies = bodies.withColumn("cname", F.when(F.col("cname").isin("extends", "implements"), None).otherwise(F.col("cname")))
-    functions = _functions(t, s, bodies)
-    params = _params(functions, t, s)
+    # Every table that others read is written: a plan over all of them is so large that the driver runs out of memory.
+    bodies = materialize(bodies.select(*FILE, "par", "at", "to", "start_line", "cname"), "js-class-bodies")
+    functions = materialize(_functions(t, s, bodies), "js-functions")
+    params = materialize(_params(functions, t, s), "js-params")
     ends = t.select(*FILE, F.col("i").alias("stop"), F.col("line").alias("end_line"))
     f = functions.join(params, [*FILE, "args_at"], "left").join(ends, [*FILE, "stop"], "left")
     f = f.withColumn("params", F.coalesce("params", F.array().cast("array<string>")))
@@ -229,18 +235,21 @@ def extract_js_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
           .withColumn("start_line", F.when(F.coalesce(bound, F.lit(False)) | (field & F.col("member")), left["last_name"]["line"]).otherwise(F.col("line"))))
     f = materialize(f.select(*FILE, F.col("start").alias("pos"), "start", "stop", "name", "local_name", "is_top_level", "is_method", "is_member", "parent_class",
                              "params", "start_line", "end_line", "args_at", F.lit(0).alias("turn"), F.lit(0).alias("fact"), "line"), "js-function-facts")
-    calls = _calls(t, s, f)
-    assigns = _assigns(t, s, f, bodies)
-    pairs = _pairs(t, s, calls)
+    calls = materialize(_calls(t, s, f), "js-calls")
+    assigns = materialize(_assigns(t, s, f, bodies), "js-assigns")
+    pairs = materialize(_pairs(t, s, calls), "js-pairs")
     news = t.filter((F.col("text") == "new") & (F.col("kind") == "ident")).select(
         *FILE, F.col("i").alias("pos"), "line", F.when((F.col("nk1") == "ident") & ~F.coalesce(F.col("n2").isin(".", "?."), F.lit(False)), F.col("n1")).alias("ctor"),
         F.lit(2).alias("turn"), F.lit(4).alias("fact"))
     # One scope lookup for the facts of all kinds.
     tag = lambda d, kind: d.withColumn("kind", F.lit(kind))
-    own = tag(f.drop("start", "stop", "args_at", "line", "is_member", "parent_class"), "function").withColumn("func_id", F.col("pos"))
-    scoped = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (
-        own, tag(calls.drop("shift"), "call"), tag(assigns, "assign"), tag(pairs, "pair"), tag(news, "new")))
-    scoped = _scoped(scoped, f)
+    own = f.drop("start", "stop", "args_at", "line", "is_member", "parent_class").withColumn("func_id", F.col("pos"))
+    scoped = {"function": own, "call": calls.drop("shift"), "assign": assigns, "pair": pairs, "new": news}
+    asks = reduce(DataFrame.unionByName, (d.select(*FILE, "pos", "turn", "fact") for d in scoped.values()))
+    language = js.select(*FILE, "language")
+    scopes = materialize(_scopes(asks, f).join(language, FILE), "js-scopes")
+    numbers = {"function": 0, "call": 1, "assign": 2, "pair": 3, "new": 4}  # ``fact`` of a kind
+    parts = [tag(d.join(scopes.filter(F.col("fact") == numbers[kind]), [*FILE, "pos", "fact"]).drop("fact", "turn"), kind) for kind, d in scoped.items()]
     inventory = f.filter(F.col("is_member") | F.col("is_top_level")).select(
         *FILE, F.col("pos").alias("func_id"), F.when(F.col("is_member"), F.col("name")).otherwise(F.col("local_name")).alias("name"), "is_top_level",
         F.col("is_member").alias("is_method"), "parent_class", "params", "start_line", "end_line")
@@ -253,6 +262,5 @@ def extract_js_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     lines = split_lines(F.coalesce("content", F.lit("")))
     files = js.select(*FILE, "language", "not_read", loc_from_lines(lines).alias("loc")).join(shut, FILE, "left").select(
         *FILE, "language", "loc", F.when(F.col("not_read").isNotNull(), F.col("not_read")).when((F.col("left_open") != 0) | (F.col("lowest") < 0), "syntax error: brackets do not match").alias("parse_error"))
-    known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (scoped, tag(inventory, "inventory"), tag(classes, "class")))
-    known = known.join(js.select(*FILE, "language"), FILE)
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (known, tag(files, "file"), tag(js_windows(sources, strict), "window")))
+    parts += [tag(d.join(language, FILE), kind) for kind, d in (("inventory", inventory), ("class", classes))]
+    return [*parts, tag(files, "file"), tag(js_windows(sources, strict), "window")]

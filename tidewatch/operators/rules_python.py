@@ -204,12 +204,12 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     gens = defs.filter(F.col("kind") == "gen").select(*taint.DEF_KEY)
     tainted1 = links.tainted(gens)
     args1 = taint.taint_of(sinks, tainted1)
-    pass1 = plain.unionByName(taint_candidates(calls, args1, 1, sink, seq_of))
+    tainted_rows = taint_candidates(calls, args1, 1, sink, seq_of)
 
     if disabled:
-        pass1 = pass1.filter(~F.col("rule_id").isin(list(disabled)))
-    # Written once: both the unseeded rows and the dedupe below read it.
-    pass1 = materialize(pass1, "pass1-candidates")
+        plain, tainted_rows = (d.filter(~F.col("rule_id").isin(list(disabled))) for d in (plain, tainted_rows))
+    # Written once: both the unseeded rows and the dedupe below read them.
+    pass1 = materialize(plain, "plain-candidates").unionByName(materialize(tainted_rows, "taint-candidates"))
     seed_rows = materialize(seeds(call_taint(calls, args1), params), "seeds")
     seeded_files = seed_rows.select(*FILE).distinct()
     seeded = not seed_rows.isEmpty()

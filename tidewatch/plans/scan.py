@@ -19,7 +19,7 @@ from tidewatch.operators import facts_python as fp
 from tidewatch.operators.findings import attach_metadata, attach_snippets, parse_disabled
 from tidewatch.operators import rules_js as rj
 from tidewatch.operators import rules_python as rp
-from tidewatch.session import checkpoint_dir, materialize, spread
+from tidewatch.session import checkpoint_dir, materialize, materialize_parts, spread
 from tidewatch.sources.files import MAX_REPO_SIZE_MB, classify, read_source_tree, repo_sizes
 from tidewatch.sources.tree import list_source_tree
 
@@ -71,7 +71,7 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
         kept = kept.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     checkpoint_dir(sources.sparkSession)
     kept = spread(kept)
-    facts = materialize(fp.extract_facts(kept, strict_redaction), "code-facts", partition_by="kind")
+    facts = materialize_parts(fp.fact_parts(kept, strict_redaction), "code-facts", partition_by="kind")
     dis = parse_disabled(disabled)
     cands = code_candidates(facts, dis)
     # Written once: summaries, filters, reports and reviews all read this table.

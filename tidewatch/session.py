@@ -84,6 +84,18 @@ def materialize(df, name: str, partition_by: str | None = None):
     return spark.read.parquet(path)
 
 
+def materialize_parts(parts, name: str, partition_by: str):
+    """``materialize`` for the union of ``parts``, frames of one schema: each is written by a job of its own into
+    the same table, so no plan holds more than one of them."""
+    import uuid
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").partitionBy(partition_by).parquet(path)
+    _written(spark).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 # Tables written per context, in order.
 _TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
