@@ -158,3 +158,23 @@ def test_parts_of_a_table_are_one_table(spark):
     got = materialize_parts(parts, "parts", partition_by="kind")
     assert sorted((r.kind, r.x) for r in got.collect()) == [("k2", "0"), ("k2", "1"), ("k3", "0"), ("k3", "1"), ("k3", "2")]
     assert materialize_parts(parts[:1], "parts", partition_by="kind").count() == 0
+
+
+def test_plans_of_a_scan_are_written_in_steps(spark, monkeypatch):
+    """Before, parameters of functions and the findings were made by one plan each, of 14 shuffles and more."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tidewatch.plans import scan
+    shuffles, written = {}, DataFrameWriter.parquet
+
+    def keep(self, path, *args, **options):
+        name = path.rstrip("/").split("/")[-1].rsplit("-", 1)[0]
+        shuffles[name] = max(plan(self._df).count("Exchange "), shuffles.get(name, 0))
+        return written(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", keep)
+    py = "def f(q):\n    db.execute(q)\n\n\ndef g(x):\n    f('a' + x)\n"
+    res = scan.scan_sources(source_df(spark, {"m.jsx": MULTILINE, "m.py": py}))
+    assert [(r.file, r.line) for r in res.findings.filter("rule_id = 'sql-injection-string-build'").orderBy("file").collect()] == [("m.jsx", 4), ("m.py", 2)]
+    assert {"js-param-items", "local-params", "taint-params", "candidates", "findings"} <= set(shuffles)
+    assert max(shuffles.values()) <= 16, shuffles

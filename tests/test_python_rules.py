@@ -93,3 +93,25 @@ def test_a_long_chain_of_double_targets_takes_few_rounds(spark, monkeypatch):
     # A target of an assignment with two targets that holds no name and nothing dynamic keeps what it held.
     assert sorted((r.file, r.line) for r in res.findings.collect()) == [("hot.py", 1005), ("hot.py", 1006), ("late.py", 6), ("late.py", 9)]
     assert len(written) <= 10 and written.count("taint-new") <= 2
+
+
+def test_rounds_of_a_long_chain_read_no_more_tables(spark, monkeypatch):
+    """The driver held a plan of 16 scans in the fourth round, and three more in every further one."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tidewatch.operators import taint
+    from tidewatch.session import materialize
+    scans, written = [], DataFrameWriter.parquet
+
+    def keep(self, *args, **options):
+        scans.append(self._df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet"))
+        return written(self, *args, **options)
+
+    n = 300
+    edges = materialize(spark.createDataFrame([("r", "m.py", 0, f"v{i}", i, f"v{i - 1}", i - 1) for i in range(1, n)],
+                                              "repo string, path string, scope_id int, var string, pos int, t_var string, t_pos int"), "edges")
+    monkeypatch.setattr(DataFrameWriter, "parquet", keep)
+    links = taint.resolve_links(edges)
+    assert len(scans) >= 5 and max(scans) <= 7, scans
+    roots = {r.var: (r.r_var, r.r_pos) for r in links.roots.collect()}
+    assert roots == {f"v{i}": ("v0", 0) for i in range(1, n)} and not links.has_multi

@@ -104,6 +104,7 @@ def _params(functions: DataFrame, t: DataFrame, s: DataFrame) -> DataFrame:
     items = items.groupBy(*FILE, "par", "item").agg(
         F.coalesce(F.bool_or(F.col("text") == "..."), F.lit(False)).alias("rest"),
         F.min(F.when(plain, F.struct("i", "text")))["text"].alias("name"), F.min(F.when(pattern, F.struct("i", "mate", "nth"))).alias("at"))
+    items = materialize(items, "js-param-items")
     # A pattern's text is cut to PARAM_TEXT characters, so it needs no more than its first so many tokens: they are
     # looked up by their number in the file.
     within = items.filter(F.col("at").isNotNull()).select(*FILE, "par", "item", F.col("at.i").alias("lo"), F.col("at.mate").alias("hi"), F.col("at.nth").alias("first"))
@@ -143,19 +144,20 @@ def _assigns(t: DataFrame, s: DataFrame, functions: DataFrame, class_bodies: Dat
     """Declarators and ``=`` assignments with the kind of their value."""
     w = Window.partitionBy(*FILE, "par").orderBy("seg")
     stmt = Window.partitionBy(*FILE, "par", "stmt")
-    d = s.withColumn("declares", F.max(F.when(F.col("t1").isin(*DECLARES) | (F.col("t2").isin(*DECLARES) & F.col("t1").isin("export", "declare")), F.col("seg"))).over(stmt))
-    for k in (1, 2):
-        d = d.withColumn(f"a{k}", F.lead(F.struct("opener", "value", "next", "t1", "t2", "t3", "t4", "n", "kind", "item", "k1")
-                                         , k).over(w))
+    # The window over whole brackets comes first: its shuffle also serves the one over their statements.
+    d = s.withColumns({f"a{k}": F.lead(F.struct("opener", "value", "next", "t1", "t2", "t3", "t4", "n", "kind", "item", "k1"), k).over(w) for k in (1, 2)})
+    d = d.withColumn("declares", F.max(F.when(F.col("t1").isin(*DECLARES) | (F.col("t2").isin(*DECLARES) & F.col("t1").isin("export", "declare")), F.col("seg"))).over(stmt))
     first = F.col("seg") == F.col("declares")
     more = (F.col("opener") == ",") & (F.col("seg") > F.col("declares"))
     declared = (first & (F.col("last_name.i") == F.col("end.i")) & ~F.col("end.text").isin(*DECLARES)) | (more & (F.col("n") == 1) & (F.col("k1") == "ident"))
     typed = (F.col("a1.opener") == ":") & (F.col("a2.opener") == "=")
     value = F.when(F.col("a1.opener") == "=", F.col("a1")).when(typed, F.col("a2"))
-    in_header = functions.filter(F.col("args_at").isNotNull()).select(*FILE, F.col("args_at").alias("par"), F.lit(True).alias("header")).distinct()
+    # What a bracket is: a function's parameters, a class body, a pattern or an object.
+    in_header = functions.filter(F.col("args_at").isNotNull()).select(*FILE, F.col("args_at").alias("par"), F.lit(True).alias("header"))
+    in_class = class_bodies.select(*FILE, F.col("at").alias("par"), F.lit(True).alias("in_class"))
     braces = t.filter((F.col("text") == "{")).select(*FILE, F.col("i").alias("par"), F.coalesce(F.col("p1").isin(*OBJECT_BEFORE), F.col("p1").isNull() & (F.col("par") > 0)).alias("pattern"))
-    d = d.join(in_header, [*FILE, "par"], "left").join(class_bodies.select(*FILE, F.col("at").alias("par"), F.lit(True).alias("in_class")), [*FILE, "par"], "left")
-    d = d.join(braces, [*FILE, "par"], "left")
+    brackets = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (in_header, in_class, braces))
+    d = d.join(brackets.groupBy(*FILE, "par").agg(*[F.bool_or(c).alias(c) for c in ("header", "in_class", "pattern")]), [*FILE, "par"], "left")
     assigned = (F.col("a1.opener") == "=") & F.col("declares").isNull() & F.col("header").isNull() & F.col("in_class").isNull() & ~(
         F.coalesce("pattern", F.lit(False)) & (F.col("opener").isNull() | (F.col("opener") == ","))) & (F.col("n") > 0) & (F.col("t1") != "type")
     hit = d.filter(declared | assigned).withColumn("decl", F.coalesce(declared, F.lit(False))).withColumn("v", value)

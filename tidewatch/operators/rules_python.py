@@ -184,7 +184,8 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     defs, pass 2 the seeded parameter defs as well.
     Columns: repo, file, line, function, rule_id, ord, pass, pos, via_param.
     """
-    params = local_function_params(functions)
+    # What several tables are made of is written: plans that hold it again and again make the driver run out of memory.
+    params = materialize(local_function_params(functions), "local-params")
     # Placeholder defs: each function node named like a module-level function,
     # one per parameter name of that function (candidates for seeding).
     nodes = functions.select(*FILE, F.col("func_id").alias("scope_id"), F.col("name").alias("callee"))
@@ -192,6 +193,7 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
                .select(*FILE, "scope_id", F.col("param").alias("var"), F.col("scope_id").alias("pos"),
                        F.lit("param").alias("kind"), F.lit(None).cast("string").alias("src"),
                        F.lit(True).alias("single"), "callee"))
+    virtual = materialize(virtual, "taint-params")
     defs = taint.definitions(assigns).withColumn("callee", F.lit(None).cast("string")).unionByName(virtual)
     top_names = functions.filter(F.col("is_top_level")).select(*FILE, F.col("local_name").alias("name"))
     queries = taint.link_queries(defs).unionByName(sink_queries(calls, top_names, sink))
@@ -227,6 +229,7 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     pass2 = taint_candidates(calls2, args2, 2, sink, seq_of)
     if disabled:
         pass2 = pass2.filter(~F.col("rule_id").isin(list(disabled)))
+    pass2 = materialize(pass2, "seeded-candidates")
 
     flag = seeded_files.select("repo", F.col("path").alias("file"), F.lit(True).alias("seeded"))
     marked = pass1.join(flag, ["repo", "file"], "left")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpoint_dir, materialize, ship_package
+from tidewatch.session import PartTable, checkpoint_dir, materialize, ship_package
 
 FILE = ["repo", "path"]
 SCOPE = FILE + ["scope_id"]
@@ -139,18 +139,16 @@ def resolve_links(edges: DataFrame) -> Links:
     targets = edges.groupBy(*DEF_KEY).agg(F.collect_set(F.struct("t_var", "t_pos")).alias("to"))  # at most two
     targets = materialize(targets, "taint-links")
     at = targets.filter(F.size("to") == 1).select(*DEF_KEY, F.col("to")[0]["t_var"].alias("r_var"), F.col("to")[0]["t_pos"].alias("r_pos"))
-    settled, open_ = None, at
+    rounds, open_ = PartTable(edges.sparkSession, "taint-jumps"), at
     while True:
         step = at.select(*SCOPE, F.col("var").alias("r_var"), F.col("pos").alias("r_pos"), F.col("r_var").alias("n_var"), F.col("r_pos").alias("n_pos"))
         jump = open_
         for _ in range(JUMPS):  # several jumps per written table: fewer jobs for long chains
             jump = jump.join(step, SCOPE + ["r_var", "r_pos"], "left").select(
                 *DEF_KEY, F.coalesce("n_var", "r_var").alias("r_var"), F.coalesce("n_pos", "r_pos").alias("r_pos"), F.col("n_pos").isNotNull().alias("moved"))
-        jump = materialize(jump, "taint-jumps")
         # Defs that the last jump did not move stand at their root; only the others go on.
-        done = jump.filter(~F.col("moved")).drop("moved")
-        settled = done if settled is None else settled.unionByName(done)
-        open_ = jump.filter("moved").drop("moved")
+        open_ = rounds.add(jump).filter("moved").drop("moved")
+        settled = rounds.all().filter(~F.col("moved")).drop("moved")
         if open_.isEmpty():
             break
         at = settled.unionByName(open_)

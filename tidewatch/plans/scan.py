@@ -73,7 +73,7 @@ def scan_sources(sources: DataFrame, disabled=None, languages=None, changed: Dat
     kept = spread(kept)
     facts = materialize_parts(fp.fact_parts(kept, strict_redaction), "code-facts", partition_by="kind")
     dis = parse_disabled(disabled)
-    cands = code_candidates(facts, dis)
+    cands = materialize(code_candidates(facts, dis), "candidates")
     # Written once: summaries, filters, reports and reviews all read this table.
     findings = materialize(attach_metadata(attach_snippets(cands, fp.windows_table(facts)), dis), "findings")
     return ScanResult(fp.files_table(facts), facts, findings)

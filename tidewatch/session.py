@@ -96,6 +96,29 @@ def materialize_parts(parts, name: str, partition_by: str):
     return spark.read.schema(schema).parquet(path)
 
 
+class PartTable:
+    """A table in the shared folder that grows part by part: ``add`` writes a frame and reads it back, ``all`` reads
+    every part so far in one scan, so the plans of a loop stay as large as those of its first round."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        import uuid
+        self.spark, self.parts, self.schema = spark, [], None
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+        _written(spark).append(self.path)
+
+    def add(self, df):
+        self.schema = df.schema
+        self.parts.append(f"{self.path}/{len(self.parts)}")
+        df.write.mode("error").parquet(self.parts[-1])
+        return self._read(self.parts[-1])
+
+    def all(self):
+        return self._read(*self.parts)
+
+    def _read(self, *paths: str):
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+
 # Tables written per context, in order.
 _TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
