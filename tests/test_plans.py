@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from source_tables import source_df
@@ -178,3 +179,18 @@ def test_plans_of_a_scan_are_written_in_steps(spark, monkeypatch):
     assert [(r.file, r.line) for r in res.findings.filter("rule_id = 'sql-injection-string-build'").orderBy("file").collect()] == [("m.jsx", 4), ("m.py", 2)]
     assert {"js-param-items", "local-params", "taint-params", "candidates", "findings"} <= set(shuffles)
     assert max(shuffles.values()) <= 16, shuffles
+
+
+def test_the_scan_with_disabled_rules_reads_a_written_corpus(spark, monkeypatch):
+    from tidewatch.plans import q_code
+
+    class Seen(Exception):
+        pass
+
+    def scanned(sources, **options):
+        raise Seen(plan(sources))
+
+    monkeypatch.setattr(q_code, "scan_sources", scanned)
+    with pytest.raises(Seen) as e:
+        q_code.f4_disabled_rules(spark, "/root/testdata/sf0.001")
+    assert "Join" not in str(e.value) and "Scan parquet" in str(e.value)
