@@ -108,6 +108,28 @@ def test_stream_state_merges_frames_and_drops_idle_clients():
     assert list(step(("c",), iter(()), state)) == [] and not state.exists
 
 
+def test_clients_share_the_groups_of_a_stream(spark):
+    """A group per client made the replay's time grow with the clients, a few milliseconds of a core each."""
+    import uuid
+
+    from tidewatch.session import checkpoint_dir
+    from tidewatch.streaming.ratelimit import BUCKETS, OUTPUT_SCHEMA, admit_stream
+    root = f"{checkpoint_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    rng, log, clients = __import__("random").Random(7), [], 3000
+    for part in range(2):  # the second part meets the state of the first
+        rows = [(part * 10_000 + i, None if i % 50 == 0 else f"c{rng.randrange(clients)}" if i % 3 else "hot", part * 5000 + rng.randrange(5000)) for i in range(9000)]
+        log += rows
+        spark.createDataFrame(rows, "event_id long, client string, s long").selectExpr(
+            "event_id", "client", "'p' AS path", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        q = admit_stream(spark.readStream.schema("event_id long, client string, path string, ts timestamp").parquet(f"{root}/in"), 600, 2, ["p"]).writeStream.format(
+            "parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert 0 < max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= BUCKETS
+    got = {r.event_id: (r.client, r.admitted) for r in spark.read.schema(OUTPUT_SCHEMA).parquet(f"{root}/out").collect()}
+    want = walker([(i, c or "unknown", s * 1_000_000) for i, c, s in log], 600 * 1_000_000, 2)
+    assert {i: ok for i, (_, ok) in got.items()} == want and {i: c for i, (c, _) in got.items()} == {i: c or "unknown" for i, c, _ in log}
+
+
 def test_rule_stats_rounding_and_review(spark):
     rows = [("a", 1)] * 2 + [("a", 0)] * 1 + [("b", 0)] * 5 + [("b", 1)] * 2 + [("c", 0)]
     v = spark.createDataFrame(rows, "rule_id string, verified int")
