@@ -96,7 +96,7 @@ def test_a_long_chain_of_double_targets_takes_few_rounds(spark, monkeypatch):
 
 
 def test_rounds_of_a_long_chain_read_no_more_tables(spark, monkeypatch):
-    """The driver held a plan of 16 scans in the fourth round, and three more in every further one."""
+    """The driver held a plan of 16 scans in the fifth round, and three more in every further one."""
     from pyspark.sql.readwriter import DataFrameWriter
 
     from tidewatch.operators import taint
