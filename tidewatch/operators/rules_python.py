@@ -180,7 +180,7 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
 
     ``plain`` are the pass-1 candidates of rules that do not depend on taint;
     ``sink`` / ``seq_of`` describe the language's taint sinks.  Definitions are
-    resolved to their roots once for both passes (see ``taint``): pass 1 taints gen
+    walked once for both passes (see ``taint``): pass 1 taints gen
     defs, pass 2 the seeded parameter defs as well.
     Columns: repo, file, line, function, rule_id, ord, pass, pos, via_param.
     """
@@ -196,16 +196,9 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     virtual = materialize(virtual, "taint-params")
     defs = taint.definitions(assigns).withColumn("callee", F.lit(None).cast("string")).unionByName(virtual)
     top_names = functions.filter(F.col("is_top_level")).select(*FILE, F.col("local_name").alias("name"))
-    queries = taint.link_queries(defs).unionByName(sink_queries(calls, top_names, sink))
     checkpoint_dir(functions.sparkSession)
-    resolved = materialize(taint.resolve(defs, queries), "taint-resolved")
-    links = taint.resolve_links(taint.link_edges(resolved))
-    # Rooted once; both passes only ask which roots are tainted.
-    sinks = materialize(taint.rooted(resolved.filter(F.col("qkind") == "sink"), links), "taint-sinks")
-
-    gens = defs.filter(F.col("kind") == "gen").select(*taint.DEF_KEY)
-    tainted1 = links.tainted(gens)
-    args1 = taint.taint_of(sinks, tainted1)
+    # Walked once; pass 2 only asks which parameters are seeded.
+    args1 = sinks = materialize(taint.walk(defs, sink_queries(calls, top_names, sink)), "taint-sinks")
     tainted_rows = taint_candidates(calls, args1, 1, sink, seq_of)
 
     if disabled:
@@ -223,9 +216,8 @@ def assemble(functions: DataFrame, calls: DataFrame, assigns: DataFrame, plain:
     # change; only the taint rules can differ from pass 1).
     seed_defs = virtual.join(seed_rows.select(*FILE, "callee", F.col("param").alias("var")),
                              FILE + ["callee", "var"], "left_semi")
-    tainted2 = links.tainted(gens.unionByName(seed_defs.select(*taint.DEF_KEY)))
     calls2 = calls.join(seeded_files, FILE, "left_semi")
-    args2 = taint.taint_of(sinks.join(seeded_files, FILE, "left_semi"), tainted2)
+    args2 = taint.seeded(sinks.filter(F.col("qidx") == 0).join(seeded_files, FILE, "left_semi"), seed_defs)
     pass2 = taint_candidates(calls2, args2, 2, sink, seq_of)
     if disabled:
         pass2 = pass2.filter(~F.col("rule_id").isin(list(disabled)))

@@ -19,13 +19,13 @@ invisible inside a function):
 * a ``gen`` def is tainted; an ``alias`` def is tainted iff the def reaching
   its ``src`` is tainted, or - for a multi-target alias - the previous def of
   its own target is (the reference leaves such targets untouched);
-* an alias with one target has exactly one link, so chains of them are resolved by
-  pointer jumping: every round each def follows its link several times, so paths grow
-  four times as long, and a chain of n steps is settled after log4(n) rounds.  What remains are roots: defs without a
-  link, and multi-target aliases (two links).  Taint is decided on roots, for
-  both passes from the same resolved links; only links among multi-target
-  aliases are followed one by one.  Links always point to a smaller ``pos``, so
-  there are no cycles.  Every round is a written table in the shared folder.
+* links always point to a smaller ``pos``, so one walk through a scope's defs and uses in
+  order decides them all (``walk``): Spark sorts them by scope and ``pos``, the walk holds what the names of one scope
+  hold at the moment.  A name holds "tainted" or the parameters it comes from, so the same walk serves both
+  passes: pass 2 asks which of those parameters are seeded;
+* links given as a table are followed by pointer jumping (``resolve_links``): every round each def follows its
+  link several times, so paths grow four times as long, and a chain of n steps is settled after log4(n) rounds.
+  Every round is a written table in the shared folder.  Tests hold the walk against this form.
 """
 
 from __future__ import annotations
@@ -175,12 +175,71 @@ def taint_of(rooted_queries: DataFrame, tainted: DataFrame) -> DataFrame:
             .withColumn("tainted", F.coalesce(F.col("hit"), F.lit(False))).drop("hit"))
 
 
+def walk(defs: DataFrame, sink_queries: DataFrame) -> DataFrame:
+    """The sink queries with ``tainted`` (the reaching def is tainted in pass 1) and ``params``: the parameters of the
+    function around them that the value otherwise comes from; seeding one of those taints it in pass 2.
+
+    One shuffle by scope.  Spark sorts the rows (and spills); a task holds the names of one scope that are not clean."""
+    ship_package(defs.sparkSession)
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    d = defs.select(*SCOPE, "pos", F.lit(1).alias("is_def"), "var", "kind", "src", "single", number.alias("qidx"))
+    q = sink_queries.select(*SCOPE, "pos", F.lit(0).alias("is_def"), "var", text.alias("kind"), text.alias("src"), F.lit(None).cast("boolean").alias("single"), "qidx")
+    events = d.unionByName(q).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "pos", "is_def")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*SCOPE, "pos", "var", "qidx").schema)
+    return events.mapInArrow(_walk_scopes, f"{keys}, tainted boolean, params array<string>")
+
+
+def _either(a, b):
+    """What a name holds that may hold either: True (tainted), or a set of parameters."""
+    return True if a is True or b is True else a | b
+
+
+def _walk_scopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """See ``walk``.  Rows come by scope and ``pos``; uses and defs of one ``pos`` see what stood before it."""
+    clean = frozenset()
+    scope, at, holds, new = None, None, {}, {}
+    for b in batches:
+        rows, tainted, params = [], [], []
+        for i, (repo, path, scope_id, pos, is_def, var, kind, src, single) in enumerate(
+                zip(*(b.column(c).to_pylist() for c in (*SCOPE, "pos", "is_def", "var", "kind", "src", "single")))):
+            if scope != (repo, path, scope_id):
+                scope, at, holds, new = (repo, path, scope_id), pos, {}, {}
+            elif pos != at:
+                for name, value in new.items():
+                    if value:
+                        holds[name] = value
+                    else:
+                        holds.pop(name, None)
+                at, new = pos, {}
+            if not is_def:
+                value = holds.get(var, clean)
+                rows.append(i)
+                tainted.append(value is True)
+                params.append([] if value is True else sorted(value))
+                continue
+            if kind == "gen":
+                value = True
+            elif kind == "alias":
+                value = holds.get(src, clean)
+                if not single:
+                    value = _either(value, holds.get(var, clean))
+            else:
+                value = frozenset((var,)) if kind == "param" else clean
+            new[var] = _either(new[var], value) if var in new else value
+        asked = b.select([*SCOPE, "pos", "var", "qidx"]).take(pa.array(rows, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(tainted, pa.bool_()), pa.array(params, pa.list_(pa.string()))],
+                                         names=[*asked.schema.names, "tainted", "params"])
+
+
+def seeded(sinks: DataFrame, seed_defs: DataFrame) -> DataFrame:
+    """``sinks`` (of ``walk``) with ``tainted`` as in pass 2, where the parameters ``seed_defs`` (scope, var) are tainted too."""
+    asked = sinks.select(*SCOPE, "pos", "qidx", F.explode("params").alias("var"))
+    hit = asked.join(seed_defs.select(*SCOPE, "var"), SCOPE + ["var"], "left_semi").select(*SCOPE, "pos", "qidx", F.lit(True).alias("hit")).distinct()
+    return (sinks.join(hit, SCOPE + ["pos", "qidx"], "left")
+            .withColumn("tainted", F.col("tainted") | F.coalesce("hit", F.lit(False))).drop("hit"))
+
+
 def analyse(defs: DataFrame, sink_queries: DataFrame) -> DataFrame:
-    """Resolve links and sinks in one window pass, decide taint on roots, and
-    return the sink queries with a ``tainted`` flag."""
+    """The sink queries with a ``tainted`` flag (pass 1)."""
     checkpoint_dir(defs.sparkSession)
-    ship_package(defs.sparkSession)
-    resolved = materialize(resolve(defs, link_queries(defs).unionByName(sink_queries)), "taint-resolved")
-    links = resolve_links(link_edges(resolved))
-    sinks = rooted(resolved.filter(~F.col("qkind").isin("src", "prev")), links)
-    return taint_of(sinks, links.tainted(defs.filter(F.col("kind") == "gen")))
+    return materialize(walk(defs, sink_queries), "taint-sinks")
