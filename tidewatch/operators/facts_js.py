@@ -1,6 +1,6 @@
-"""JavaScript / TypeScript facts (P5-P7, E2, E7-E13) as joins and windows over
-the token table of ``js_tokens``: functions, classes, calls, assignments,
-object pairs and ``new`` expressions, in the same flat shape as Python's.
+"""JavaScript / TypeScript facts (P5-P7, E2, E7-E13): functions, classes, calls, assignments,
+object pairs and ``new`` expressions, in the same flat shape as Python's.  Files of usual size are read by one pass inside
+the row (``facts_js_row``), longer ones by joins and windows over the token table of ``js_tokens``; tests hold each against the other.
 
 ``pos`` of a fact is the place of its token in the file, so facts of a file
 sort in reading order and an assignment comes before the calls of its value.
@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import loc_from_lines, split_lines
+from tidewatch.operators import facts_js_row as row
+from tidewatch.operators.facts_python import FLAT_SCHEMA, flat
 from tidewatch.operators.js_tokens import DECLARES, FILE, JS_LANGUAGES, MARKED, NOT_CALLED, raw_tokens, segments, tokens
-from tidewatch.session import materialize
+from tidewatch.session import materialize, ship_package
 from tidewatch.sources.files import not_read
 
 ANONYMOUS = "<anonymous>"
@@ -196,11 +198,35 @@ def _pairs(t: DataFrame, s: DataFrame, calls: DataFrame) -> DataFrame:
 
 def extract_js_facts(sources: DataFrame, strict: bool = False) -> DataFrame:
     """(repo, path, language, content) of JS / TS files -> flat fact rows of all kinds."""
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), js_fact_parts(sources, strict))
+    rows, rest = js_fact_parts(sources, strict)
+    return reduce(DataFrame.unionByName, [rows, *rest(rows)])
 
 
-def js_fact_parts(sources: DataFrame, strict: bool = False) -> list[DataFrame]:
-    """The rows of ``extract_js_facts``, a frame per kind with that kind's columns."""
+def js_fact_parts(sources: DataFrame, strict: bool = False) -> list:
+    """The rows of ``extract_js_facts``: those of one pass over the files, and a function that gives the others from
+    these once they are written: functions with their parameters, and all rows of files too long for the pass."""
+    ship_package(sources.sparkSession)
+    js = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(
+        *FILE, "language", F.col("content").cast("binary").alias("content"), not_read(sources).alias("not_read"))
+
+    def rest(written: DataFrame) -> list[DataFrame]:
+        items = written.filter(F.col("kind") == row.PARAM).groupBy(*FILE, "call_pos").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("arg_idx", "name"))), lambda x: x["name"]).alias("params"))
+        items = materialize(items, "js-param-items")
+        out = []
+        for kind, unfinished in row.OPEN.items():
+            f = written.filter(F.col("kind") == unfinished).drop("params").join(items, [*FILE, "call_pos"], "left")
+            f = f.withColumns({"kind": F.lit(kind), "params": F.coalesce("params", F.array().cast("array<string>")), "call_pos": F.lit(None)})
+            out.append(flat(f))
+        if not written.filter(F.col("kind") == row.LARGE).isEmpty():
+            out += [flat(p) for p in token_table_parts(sources.filter(F.octet_length("content") > row.MAX_BYTES), strict)]
+        return out
+
+    return [js.mapInArrow(row.js_rows(strict), FLAT_SCHEMA), rest]
+
+
+def token_table_parts(sources: DataFrame, strict: bool = False) -> list[DataFrame]:
+    """The facts by windows and joins over the token table, a frame per kind with that kind's columns."""
     from tidewatch.operators.windows import js_windows
     js = sources.filter(F.col("language").isin(*JS_LANGUAGES)).select(*FILE, "language", "content", not_read(sources).alias("not_read"))
     t = materialize(tokens(raw_tokens(js)), "js-tokens")

@@ -86,12 +86,14 @@ def materialize(df, name: str, partition_by: str | None = None):
 
 def materialize_parts(parts, name: str, partition_by: str):
     """``materialize`` for the union of ``parts``, frames of one schema: each is written by a job of its own into
-    the same table, so no plan holds more than one of them."""
+    the same table, so no plan holds more than one of them.  A part may be a function that gives frames from the table as
+    it is by then; they go into partitions that are not there yet or are read no more."""
     import uuid
     spark, schema = parts[0].sparkSession, parts[0].schema
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     for part in parts:
-        part.write.mode("append").partitionBy(partition_by).parquet(path)
+        for frame in part(spark.read.schema(schema).parquet(path)) if callable(part) else [part]:
+            frame.write.mode("append").partitionBy(partition_by).parquet(path)
     _written(spark).append(path)
     return spark.read.schema(schema).parquet(path)
 
