@@ -34,6 +34,9 @@ _TOKEN = re.compile("|".join((
     r"(?P<ident>(?:[^\W\d]|[$#@])[\w$]*+)", r"(?P<num>[0-9][0-9A-Za-z_.]*+)",
     r"(?P<punct>=>|\?\.(?![0-9])|\.\.\.|[=!]==?|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|[-+*/%&|^]=|<<=?|>>>?=?|[\s\S])",
 )))
+# Line comments after the first one, with the white space before each, but for what stands after the last.
+_COMMENTS = re.compile(r"(?:[ \t\n\x0b\x0c\r]++//[^\n]*+)++(?=\n)")
+_COMMENT = re.compile(r"//[^\n]*+")
 _REGEX = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+")
 # Text of a template up to its end or its next substitution.
 _PIECE = re.compile(r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\\\Z)*+")
@@ -66,13 +69,19 @@ def _operand_end(kind: Column, text: Column) -> Column:
     return word | kind.isin("str", "tmpl", "num", "regex", "tclose", "jclose") | text.isin(")", "]", "}")
 
 
-def lex(content: str, jsx: bool = True) -> Iterator[tuple[str, str]]:
+def run_length(run: str) -> int:
+    """Tokens that a ``run`` of ``lex`` stands for: white space and a comment in turn."""
+    return 2 * len(_COMMENT.findall(run))
+
+
+def lex(content: str, jsx: bool = True, runs: bool = False) -> Iterator[tuple[str, str]]:
     """(token, kind) of a file, white space and comments included; the tokens joined are the file.
 
     A stack of modes tells code from template text and, where ``jsx`` allows it, from the inside of tags and
     the text between them.  A template with substitutions is a pair of brackets (kinds ``topen`` and
     ``tclose``) around text pieces and ``${ }`` pairs, an element a pair (``jopen``, ``jclose``) around pieces,
-    ``{ }`` pairs and elements; what stands in the brackets is code like any other."""
+    ``{ }`` pairs and elements; what stands in the brackets is code like any other.  With ``runs``, line comments
+    after a line comment come as one token (kind ``run``) with the white space between them."""
     at, size = 0, len(content)
     kind = text = before = ""  # the last token that is no white space or comment, and the one before
     literal = True  # a regular expression literal, or an element, may follow
@@ -141,6 +150,9 @@ def lex(content: str, jsx: bool = True) -> Iterator[tuple[str, str]]:
         if new in ("space", "comment") or (new == "punct" and (token.isspace() or token == "﻿")):
             yield token, "comment" if new == "comment" else "space"
             line_end = line_end or "\n" in token
+            if runs and new == "comment" and token.startswith("//") and (m := _COMMENTS.match(content, at)):
+                yield m[0], "run"
+                at, line_end = m.end(), True
             continue
         yield token, new
         if new == "punct":

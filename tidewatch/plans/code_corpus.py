@@ -42,7 +42,8 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("tid", tid).join(F.broadcast(shapes), F.col("tid") == F.col("__tid"))
     tid, ext, prefix, template = F.col("tid"), F.col("ext"), F.col("prefix"), F.col("template")
     secret = F.md5(F.col("text"))
-    clean = F.translate("text", OTHER_BREAK_CHARS, " " * len(OTHER_BREAK_CHARS))
+    # Character by character only where there is something to replace.
+    clean = F.when(F.col("text").rlike(f"[{OTHER_BREAK_CHARS}]"), F.translate("text", OTHER_BREAK_CHARS, " " * len(OTHER_BREAK_CHARS))).otherwise(F.col("text"))
     comments = F.concat(prefix, F.replace(clean, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
     content = F.concat(F.replace(template, F.lit(PLACEHOLDER), secret), F.lit("\n"), comments, F.lit("\n"))
     subdir = (F.when(F.col("doc_id") % 20 == 0, "node_modules/").when(F.col("doc_id") % 20 == 1, "build/")
