@@ -175,16 +175,21 @@ def taint_of(rooted_queries: DataFrame, tainted: DataFrame) -> DataFrame:
             .withColumn("tainted", F.coalesce(F.col("hit"), F.lit(False))).drop("hit"))
 
 
+# What a row of the walk is; uses come before the definitions at their place.
+USE, GEN, ALIAS, ALIAS_OF_SEVERAL, PARAM, KILL = range(6)
+
+
 def walk(defs: DataFrame, sink_queries: DataFrame) -> DataFrame:
     """The sink queries with ``tainted`` (the reaching def is tainted in pass 1) and ``params``: the parameters of the
     function around them that the value otherwise comes from; seeding one of those taints it in pass 2.
 
     One shuffle by scope.  Spark sorts the rows (and spills); a task holds the names of one scope that are not clean."""
     ship_package(defs.sparkSession)
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
-    d = defs.select(*SCOPE, "pos", F.lit(1).alias("is_def"), "var", "kind", "src", "single", number.alias("qidx"))
-    q = sink_queries.select(*SCOPE, "pos", F.lit(0).alias("is_def"), "var", text.alias("kind"), text.alias("src"), F.lit(None).cast("boolean").alias("single"), "qidx")
-    events = d.unionByName(q).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "pos", "is_def")
+    step = F.when(F.col("kind") == "gen", GEN).when(F.col("kind") == "alias", F.when(F.col("single"), ALIAS).otherwise(ALIAS_OF_SEVERAL)).when(
+        F.col("kind") == "param", PARAM).otherwise(KILL)
+    d = defs.select(*SCOPE, "pos", step.alias("step"), "var", "src", F.lit(None).cast("int").alias("qidx"))
+    q = sink_queries.select(*SCOPE, "pos", F.lit(USE).alias("step"), "var", F.lit(None).cast("string").alias("src"), "qidx")
+    events = d.unionByName(q).repartition(*SCOPE).sortWithinPartitions(*SCOPE, "pos", "step")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*SCOPE, "pos", "var", "qidx").schema)
     return events.mapInArrow(_walk_scopes, f"{keys}, tainted boolean, params array<string>")
 
@@ -199,11 +204,17 @@ def _walk_scopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     clean = frozenset()
     scope, at, holds, new = None, None, {}, {}
     for b in batches:
+        if not b.num_rows:
+            continue
         rows, tainted, params = [], [], []
-        for i, (repo, path, scope_id, pos, is_def, var, kind, src, single) in enumerate(
-                zip(*(b.column(c).to_pylist() for c in (*SCOPE, "pos", "is_def", "var", "kind", "src", "single")))):
-            if scope != (repo, path, scope_id):
-                scope, at, holds, new = (repo, path, scope_id), pos, {}, {}
+        # By column: strings become Python objects in one go, and only where a scope ends is looked for in its key.
+        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in SCOPE]
+        begins = [True, *(keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])]
+        begins[0] = scope != [k[0] for k in keys]
+        scope = [k[-1] for k in keys]
+        for i, (begin, pos, step, var, src) in enumerate(zip(begins, *(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("pos", "step", "var", "src")))):
+            if begin:
+                at, holds, new = pos, {}, {}
             elif pos != at:
                 for name, value in new.items():
                     if value:
@@ -211,20 +222,20 @@ def _walk_scopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         holds.pop(name, None)
                 at, new = pos, {}
-            if not is_def:
+            if step == USE:
                 value = holds.get(var, clean)
                 rows.append(i)
                 tainted.append(value is True)
                 params.append([] if value is True else sorted(value))
                 continue
-            if kind == "gen":
+            if step == GEN:
                 value = True
-            elif kind == "alias":
+            elif step == ALIAS:
                 value = holds.get(src, clean)
-                if not single:
-                    value = _either(value, holds.get(var, clean))
+            elif step == ALIAS_OF_SEVERAL:
+                value = _either(holds.get(src, clean), holds.get(var, clean))
             else:
-                value = frozenset((var,)) if kind == "param" else clean
+                value = frozenset((var,)) if step == PARAM else clean
             new[var] = _either(new[var], value) if var in new else value
         asked = b.select([*SCOPE, "pos", "var", "qidx"]).take(pa.array(rows, pa.int32()))
         yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(tainted, pa.bool_()), pa.array(params, pa.list_(pa.string()))],
